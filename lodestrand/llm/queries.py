@@ -4,26 +4,81 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .chat_format import as_chain, digest, format_conversations
+from .cube_mix import mix
 from .exact_dedup import exact_groups
+from .langid import identify
+from .simhash_vptree import near_groups
+from .url_rules import SEGMENTS, judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: A conversation whose texts hold control strings, formatted along with the table.
+CONTROL_CONVERSATION = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digest(format_conversations(as_chain(rows.union(spark.createDataFrame(CONTROL_CONVERSATION, rows.schema)))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filters": op2_url_filters,
+    "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_mix_sources": op7_mix_sources,
+    "op8_chat_format": op8_chat_format,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The template's escape, for DuckDB.
+_ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>|\|im_(?:start|end)\|>)', '\1\\\2\3', 'g')"
+
 ORACLE: dict[str, str] = {
+    "op2_url_filters": f"""
+        WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+             r(host, path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+             m AS (SELECT p.page_id, p.host, p.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+                   FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY ALL),
+             s AS (SELECT *, (SELECT max_by('*/' || seg || '/*', (length(seg), seg)) FROM (VALUES {', '.join(f"('{x}')" for x in SEGMENTS)}) v(seg) WHERE contains(path || '/', '/' || seg || '/')) AS pat FROM m)
+        SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN pat IS NULL THEN 'allow' ELSE 'block' END) AS verdict, coalesce(rule, pat) AS pattern FROM s""",
+    "op8_chat_format": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT * FROM (VALUES {', '.join(str(x) for x in CONTROL_CONVERSATION)}))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(24 + length(role) + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id""",
     "op5_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({_ASCII_LOWER}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
