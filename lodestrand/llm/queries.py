@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat_format import as_chain, digest, format_conversations
 from .cube_mix import mix
+from .decontaminate import leaks
 from .exact_dedup import exact_groups
 from .langid import identify
+from .paragraph_dedup import repeated_paragraphs
 from .simhash_vptree import near_groups
+from .token_counts import count_tokens
 from .url_rules import SEGMENTS, judge_urls
 
 
@@ -22,6 +25,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("rid")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
@@ -48,13 +55,24 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_conversations(as_chain(rows.union(spark.createDataFrame(CONTROL_CONVERSATION, rows.schema)))))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(_table(spark, sf_dir, "documents")).drop("rid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
+    "op3_decontaminate": op3_decontaminate,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_chat_format": op8_chat_format,
+    "op9_token_counts": op9_token_counts,
+    "op10_paragraph_dedup": op10_paragraph_dedup,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
