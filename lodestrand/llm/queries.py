@@ -10,6 +10,7 @@ from .chat_format import as_chain, digest, format_conversations
 from .cube_mix import mix
 from .decontaminate import leaks
 from .exact_dedup import exact_groups
+from .kneser_ney import judge_quality
 from .langid import identify
 from .paragraph_dedup import repeated_paragraphs
 from .simhash_vptree import near_groups
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -64,6 +69,7 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_url_filters": op2_url_filters,
     "op3_decontaminate": op3_decontaminate,
     "op4_language_id": op4_language_id,
