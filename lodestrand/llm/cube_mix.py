@@ -145,8 +145,8 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
             group = group.sort_values(["doc_id", "size", "rid"], na_position="first", ignore_index=True)
             rank, block = int(group["rank"].iloc[0]), int(group["block"].iloc[0])
             rng = random.Random(f"{seed}/{flights}/{rank}/{block}")
-            order = list(range(len(group)))
-            rng.shuffle(order)
+            # Large documents fly first, so that what is left to land is small.
+            order = sorted(range(len(group)), key=lambda i: (-group["size"].iat[i], rng.random()))
             chances = np.empty(len(group))
             chances[order] = fly(group["chance"].to_numpy(float)[order], group["size"].to_numpy(float)[order], rng, land)
             return group.assign(chance=chances)[columns]
