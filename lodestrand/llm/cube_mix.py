@@ -100,22 +100,51 @@ def _move(units: list[list], rng: random.Random) -> list[list]:
     return [u for u in units if 0 < u[0] < 1]
 
 
-def fly(chances: np.ndarray, sizes: np.ndarray, rng: random.Random, land: bool) -> np.ndarray:
-    """The chances after a flight: all but two are 0 or 1. land settles these too, first by number, then by chance."""
-    units = [[float(p), float(s), i] for i, (p, s) in enumerate(zip(chances, sizes))]
+def fly(chances: np.ndarray, sizes: np.ndarray, rng: random.Random) -> np.ndarray:
+    """The chances after a flight in random order: all but two are 0 or 1."""
+    order = list(range(len(chances)))
+    rng.shuffle(order)
+    units = [[float(chances[i]), float(sizes[i]), i] for i in order]
     left: list[list] = []
     for u in units:
-        if not 0 < u[0] < 1:
-            continue
-        left.append(u)
-        while len(left) == 3:
-            left = _move(left, rng)
-    if land:
-        while len(left) == 2:
-            left = _move(left, rng)
-        for u in left:
-            u[0] = float(rng.random() < u[0])
-    return np.array([u[0] for u in units])
+        if 0 < u[0] < 1:
+            left.append(u)
+            while len(left) == 3:
+                left = _move(left, rng)
+    out = np.empty(len(chances))
+    out[order] = [u[0] for u in units]
+    return out
+
+
+def settle(chances: np.ndarray, sizes: np.ndarray, rng: random.Random) -> np.ndarray:
+    """The chances after the last flight, all 0 or 1.
+
+    Here the largest unsettled document moves against all smaller ones at once, in the direction of the null space
+    that spreads the response evenly over number and size. So the two that are left to land are small.
+    """
+    out = np.array(chances, float)
+    order = sorted(range(len(out)), key=lambda i: (-sizes[i], rng.random()))
+    left = np.array([i for i in order if 0 < out[i] < 1], int)
+    while len(left) > 2:
+        big, rest = sizes[left[0]], sizes[left[1:]]
+        n, s1, s2 = len(rest), rest.sum(), (rest * rest).sum()
+        if (det := n * s2 - s1 * s1) > 1e-6 * s2:
+            response = (s1 * big - s2 + (s1 - n * big) * rest) / det
+        else:  # all smaller ones are of one size: their number gives way
+            response = np.full(n, -big / s1 if s1 > 0 else -1.0 / n)
+        along = np.concatenate([[1.0], response])
+        p = out[left]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(along > 0, (1 - p) / along, np.where(along < 0, -p / along, np.inf))
+            down = np.where(along > 0, p / along, np.where(along < 0, (p - 1) / along, np.inf))
+        step = _draw(float(down.min()), float(up.min()), rng)
+        p = p + step * along
+        p[p < _NEAR], p[p > 1 - _NEAR] = 0.0, 1.0
+        out[left] = p
+        left = left[(p > 0) & (p < 1)]
+    for i in left:
+        out[i] = float(rng.random() < out[i])
+    return out
 
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -145,10 +174,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
             group = group.sort_values(["doc_id", "size", "rid"], na_position="first", ignore_index=True)
             rank, block = int(group["rank"].iloc[0]), int(group["block"].iloc[0])
             rng = random.Random(f"{seed}/{flights}/{rank}/{block}")
-            # Large documents fly first, so that what is left to land is small.
-            order = sorted(range(len(group)), key=lambda i: (-group["size"].iat[i], rng.random()))
-            chances = np.empty(len(group))
-            chances[order] = fly(group["chance"].to_numpy(float)[order], group["size"].to_numpy(float)[order], rng, land)
+            chances = (settle if land else fly)(group["chance"].to_numpy(float), group["size"].to_numpy(float), rng)
             return group.assign(chance=chances)[columns]
 
         flown = materialize(dealt.groupBy("rank", "block").applyInPandas(one, schema), "flown")
