@@ -19,7 +19,6 @@ boundaries: results don't depend on it, and every row is indexed and every row i
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,9 @@ WORDS, MAX_BITS, SEED = 4, 4, 42
 #: Rows that place the upper boundaries, at most.
 SAMPLE_ROWS = 20_000
 #: Fingerprints a shard should hold, its visitors included.
-SHARD_ROWS = 60_000
+SHARD_ROWS = 100_000
+#: Share of points near a boundary: at a median split of 21 bits, those at the two middle distances.
+_NEAR = 0.336
 #: Below so many points a leaf is compared outright.
 LEAF = 48
 
@@ -108,9 +109,9 @@ def route(tree: list, points: np.ndarray, mask: int, radius: int) -> Iterator[tu
             continue
         vantage, at = np.uint64(node[0]), node[1]
         dh, dv = (np.bitwise_count((points[x] & np.uint64(mask)) ^ vantage).astype(np.int64) for x in (home, visit))
+        # A pair that parts here is found inside, where its outer point visits: the inner one needn't visit outside.
         inner_visit = np.concatenate([visit[dv <= at + radius], home[(dh > at) & (dh <= at + radius)]])
-        outer_visit = np.concatenate([visit[dv > at - radius], home[(dh <= at) & (dh > at - radius)]])
-        todo += [(node[2], home[dh <= at], inner_visit, 2 * leaf), (node[3], home[dh > at], outer_visit, 2 * leaf + 1)]
+        todo += [(node[2], home[dh <= at], inner_visit, 2 * leaf), (node[3], home[dh > at], visit[dv > at - radius], 2 * leaf + 1)]
 
 
 class Labels:
@@ -150,7 +151,7 @@ def link_within(points: np.ndarray, home: np.ndarray, visit: np.ndarray, mask: i
         vantage, at = found
         dh, dv = (np.bitwise_count((points[x] & part) ^ vantage).astype(np.int64) for x in (home, visit))
         todo.append((home[dh <= at], np.concatenate([visit[dv <= at + radius], home[(dh > at) & (dh <= at + radius)]]), depth + 1))
-        todo.append((home[dh > at], np.concatenate([visit[dv > at - radius], home[(dh <= at) & (dh > at - radius)]]), depth + 1))
+        todo.append((home[dh > at], visit[dv > at - radius], depth + 1))
 
 
 def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -158,7 +159,7 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, shard_rows: int
     n = fps.count()
     # Every point has the same chance, and as many are drawn as the bound says, give or take a few.
     drawn = np.sort(fps.where(F.pmod(F.xxhash64("fp"), F.lit(max(n, 1))) < sample_rows).select("fp").toArrow()["fp"].to_numpy()).view(np.uint64)
-    levels = min(18, max(0, math.ceil(math.log(max(1, n / shard_rows)) / math.log(1.5))))
+    levels = next((k for k in range(18) if n * (1 + ((1 + _NEAR) ** k - 1) / 2) / 2**k <= shard_rows), 18)
     trees = [(mask, radius, build_tree(drawn, mask, levels)) for mask, radius in thirds(max_bits)]
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
