@@ -3,8 +3,9 @@
 A source's target is a share of all words; a document then has ``target / source size`` expected copies. The whole part
 is taken outright; the rest is an inclusion probability. The cube method turns these into 0 or 1: three documents at a
 time move along the direction that keeps both their number and their total size (the null space of the two balancing
-equations) until one of them settles. In a block all but two documents settle (the flight). The unsettled ones of all
-blocks fly again together, block by block, until two are left in a source; these land one constraint at a time.
+equations) until one of them settles. In a block all but two documents settle (the flight). One block of each source is
+held back. It and the unsettled ones of the other blocks fly again, until a source has few left; these are settled with
+ever smaller documents, so that the two that have to land, one constraint at a time, are small.
 
 Blocks have a bounded number of documents whatever a source holds, so a hot source is many small groups. Draws depend
 on the seed, the source and the documents only: reruns agree.
@@ -153,7 +154,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     A null source is a source. A document without words counts for balancing and takes no words. Each input row has
     one output row, repeated rows included; ties in size are settled by doc_id and row. Empty input gives no rows.
     """
-    sizes = materialize(sized(docs, text, doc_id, source), "sizes")
+    sizes = materialize(sized(docs, text, doc_id, source), "sizes", 1)
     targets = source_targets(sizes, weights, max_copies)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = sizes.join(F.broadcast(targets) if targets.count() <= 100_000 else targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
@@ -168,11 +169,13 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         # The document's row is part of the key, so that a doc_id that fills a source is dealt out like any other.
         dealt = left.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "rid", F.lit(seed + flights)), blocks))
         most = left.agg(F.max("n")).first()[0] or 0
-        land = most <= block_rows
+        land = most <= 2 * block_rows
 
         def one(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values(["doc_id", "size", "rid"], na_position="first", ignore_index=True)
             rank, block = int(group["rank"].iloc[0]), int(group["block"].iloc[0])
+            if not land and block == 0:
+                return group[columns]
             rng = random.Random(f"{seed}/{flights}/{rank}/{block}")
             chances = (settle if land else fly)(group["chance"].to_numpy(float), group["size"].to_numpy(float), rng)
             return group.assign(chance=chances)[columns]
