@@ -68,7 +68,10 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vec
 
     def code(table: int) -> Column:
         # a hash of table, bit and place decides each coordinate's sign
-        sums = [F.aggregate(F.transform("v", lambda x, i, bit=bit: F.when(F.xxhash64(F.lit(table * 64 + bit), i) % 2 == 0, x.cast("double")).otherwise(-x.cast("double"))), F.lit(0.0), lambda s, x: s + x) for bit in range(bits)]
+        def turned(bit: int) -> Column:
+            return F.transform("v", lambda x, i: F.when(F.xxhash64(F.lit(table * 64 + bit), i) % 2 == 0, x.cast("double")).otherwise(-x.cast("double")))
+
+        sums = [F.aggregate(turned(bit), F.lit(0.0), lambda s, x: s + x) for bit in range(bits)]
         return sum((F.when(s >= 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, s in enumerate(sums)), F.lit(table << bits))
 
     keyed = slim.select("id", F.explode(F.array(*[code(t) for t in range(tables)])).alias("block"))
