@@ -1,4 +1,4 @@
 """All registered queries of the engine and their SQL."""
 
-from . import graph_queries, retrieval_queries, stream_queries, text_queries, web_queries  # noqa: F401
+from . import graph_queries, more_queries, retrieval_queries, stream_queries, text_queries, web_queries  # noqa: F401
 from .registered import QUERIES, SQL  # noqa: F401
