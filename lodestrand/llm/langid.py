@@ -22,14 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_parts, materialize
+from .common import arrow_parts, free_name, materialize
 
 MIN_SHARE = 1e-5
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Entries after which a partition's counts are passed on, and remembered words before they are forgotten.
-_FLUSH, _REMEMBER = 400_000, 400_000
+_FLUSH, _REMEMBER = 400_000, 500_000
+#: Texts whose new words are scored together.
+_TOGETHER = 256
 
 
 def _words_of(counts: Counter) -> Counter:
@@ -123,41 +125,125 @@ def score_word(model: dict, word: str) -> tuple[float, ...] | None:
     return None
 
 
+def _gram_keys(codes: np.ndarray, order: int) -> np.ndarray:
+    """A number for the gram at each place (the last few places run over the end)."""
+    out = np.zeros(max(0, len(codes) - order + 1), np.uint64)
+    for k in range(order):
+        out = (out ^ codes[k : len(codes) - order + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
 class Predictor:
+    """Scores texts; words that are new to it are scored together, on arrays."""
+
     def __init__(self, model: dict):
-        self.model, self.langs = model, model["langs"]
+        self.langs = model["langs"]
+        words = model["scores"][0]
+        self.words = {w: i for i, w in enumerate(words)}
+        width = len(self.langs)
+        self.word_rows = np.array(list(words.values()), np.float64).reshape(len(words), width)
+        self.grams = {}
+        for order in ORDERS:
+            table = model["scores"][order]
+            keys = np.array([_gram_keys(_codes(g), order)[0] for g in table], np.uint64)
+            rows = np.array(list(table.values()), np.float64).reshape(len(table), width)
+            by = np.argsort(keys)
+            self.grams[order] = (keys[by], rows[by])
+        self.forget()
+
+    def forget(self) -> None:
         self.seen: dict[str, int] = {}
-        self.rows: list[tuple[float, ...]] = []
-        self.matrix = np.zeros((0, len(self.langs) + 1))
+        self.matrix = np.zeros((1024, len(self.langs) + 1))
+
+    def _back_off(self, words: list[str]) -> np.ndarray:
+        """Scores of unseen words, and in the last column whether any n-gram is known."""
+        out = np.zeros((len(words), len(self.langs) + 1))
+        left = np.arange(len(words))
+        for order in ORDERS:
+            keys, rows = self.grams[order]
+            if not len(left) or not len(keys):
+                continue
+            pad = " " if order > 1 else ""
+            parts = [f"{pad}{words[i]}{pad}" for i in left]
+            lengths = np.array([len(p) for p in parts])
+            found = _gram_keys(_codes("".join(parts)), order)
+            owner = np.repeat(np.arange(len(parts)), lengths)[: len(found)]
+            ends = np.repeat(np.cumsum(lengths), lengths)[: len(found)]
+            inside = np.arange(len(found)) + order <= ends
+            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+            known = np.flatnonzero(inside & (keys[at] == found))
+            if len(known):
+                who = owner[known]
+                n = np.bincount(who, minlength=len(parts))
+                sums = np.stack([np.bincount(who, rows[at[known], k], len(parts)) for k in range(len(self.langs))], axis=1)
+                done = n > 0
+                out[left[done], :-1] = sums[done] / n[done, None]
+                out[left[done], -1] = 1.0
+                left = left[~done]
+        return out
 
-    def _add(self, token: str) -> int:
-        """Remembers a raw token: its words' summed scores, and how many words scored."""
-        found = [row for word in _LETTERS.findall(token.lower()) if (row := score_word(self.model, word)) is not None]
-        self.seen[token] = at = len(self.rows)
-        self.rows.append((*map(sum, zip(*found)), len(found)) if found else (0.0,) * (len(self.langs) + 1))
-        return at
+    def _learn(self, tokens: list[str]) -> None:
+        """Rows for raw tokens: their words' summed scores, and how many words scored."""
+        owners, ids, unseen, whose = [], [], [], []
+        for i, token in enumerate(tokens):
+            for word in _LETTERS.findall(token.lower()):
+                if (j := self.words.get(word)) is not None:
+                    owners.append(i)
+                    ids.append(j)
+                else:
+                    whose.append(i)
+                    unseen.append(word)
+        rows = np.zeros((len(tokens), len(self.langs) + 1))
+        if ids:
+            np.add.at(rows, owners, np.concatenate([self.word_rows[ids], np.ones((len(ids), 1))], axis=1))
+        if unseen:
+            np.add.at(rows, whose, self._back_off(unseen))
+        end = len(self.seen)
+        if end > len(self.matrix):  # room doubles, so that copying stays in proportion
+            self.matrix = np.concatenate([self.matrix, np.zeros((max(end, len(self.matrix)), self.matrix.shape[1]))])
+        self.matrix[end - len(tokens) : end] = rows
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out = []
+        out: list[tuple[str, float]] = []
+        for begin in range(0, len(texts), _TOGETHER):
+            out += self._predict(texts[begin : begin + _TOGETHER])
+        return out
+
+    def _predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if len(self.seen) > _REMEMBER:
+            self.forget()
+        counted, fresh, seen = [], [], self.seen
         for text in texts:
             if text is None or not self.langs or not _LETTERS.search(text):
+                counted.append(None)
+                continue
+            counts = Counter(text.split())
+            for token in counts:
+                if token not in seen:
+                    seen[token] = len(seen)
+                    fresh.append(token)
+            counted.append(([seen[token] for token in counts], np.fromiter(counts.values(), np.float64, len(counts))))
+        if fresh:
+            self._learn(fresh)
+        out = []
+        for one in counted:
+            if one is None:
                 out.append((UNKNOWN, 0.0))
                 continue
-            if len(self.seen) > _REMEMBER:
-                self.seen, self.rows, self.matrix = {}, [], self.matrix[:0]
-            counts, seen = Counter(text.split()), self.seen
-            at = [i if (i := seen.get(token)) is not None else self._add(token) for token in counts]
-            if len(self.rows) > len(self.matrix):
-                self.matrix = np.concatenate([self.matrix, np.array(self.rows[len(self.matrix) :])])
-            *totals, n = (np.fromiter(counts.values(), np.float64, len(counts)) @ self.matrix[at]).tolist()
+            *totals, n = (one[1] @ self.matrix[one[0]]).tolist()
             best = max(range(len(totals)), key=lambda i: totals[i])  # of equals the first language by code point
             sharp = min(n, 20.0) / max(n, 1.0)
             out.append((self.langs[best], 1.0 / sum(exp((x - totals[best]) * sharp) for x in totals)))
         return out
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs -> the columns in keep, then lang_pred and score (0 to 1, the share of the best language).
+def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs -> the columns in keep, then lang_pred and score (0 to 1, the share of the best language), by these names.
 
     A null text, one without a letter, and any text under an empty model give ``und`` with score 0.
     """
@@ -169,10 +255,10 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
         for batch in batches:
             found = predictor.predict([x.as_py() for x in batch.column(0)])
             columns = [*batch.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
     fields = [docs.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"{names[0]} string", f"{names[1]} double"])
     return docs.select(F.col(text), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 
 
@@ -190,4 +276,5 @@ def identify(docs: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
 def keep_identified(docs: DataFrame, min_score: float = 0.5, min_share: float = MIN_SHARE) -> DataFrame:
     """The rows of docs whose language is identified with a score of at least min_score, with all their columns."""
     model = train(docs.where(~held_out()), min_share=min_share)
-    return predict(docs, model, keep=docs.columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).drop("lang_pred", "score")
+    lang, score = names = free_name(docs, "lang_pred"), free_name(docs, "score")
+    return predict(docs, model, keep=docs.columns, names=names).where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).drop(*names)
