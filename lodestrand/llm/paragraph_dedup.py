@@ -6,13 +6,14 @@ pasted. Paragraphs are compared as sets of 5-word shingles.
 
 1. *Bands.* ROWS min-hashes make a band, and BANDS bands a signature. Two paragraphs with a Jaccard similarity s meet in
    some band with probability 1 - (1 - s^ROWS)^BANDS: 0.987 at 0.8 and 1 for equal sets.
-2. *Join.* Equal paragraphs are one node, so copies make no pairs. Bands that hold one node are dropped after one shuffle
-   of (band, node); only the rest fetch their shingles.
+2. *Join.* Equal paragraphs are one node, so copies make no pairs; those of a batch are one row before the shuffle.
+   Bands that hold one node are dropped after one shuffle of (band, node); only the rest fetch their shingles.
 3. *Verification.* Nodes that share a band are compared exactly, unless they are connected already. Linked nodes are
    merged as they are found; a group returns at most one edge for each node.
 4. *Clusters* are connected components. In each the first paragraph (by document, then place) stays.
 
-Shingles and whole paragraphs are 64-bit hashes of their words.
+Whole paragraphs are 64-bit hashes of their words; shingles are kept as 32-bit hashes, which is all that a comparison of
+two paragraphs needs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import arrow_parts, materialize
 from .components import connected_components
@@ -90,8 +91,9 @@ def bands(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The bands' keys of each paragraph, a row each."""
     out = np.zeros((len(offsets) - 1, BANDS), np.uint64)
     if len(out):
+        wide = _mix(shingles.astype(np.uint64))
         for k in range(BANDS * ROWS):
-            least = np.minimum.reduceat((shingles ^ _PERMS[0, k]) * _PERMS[1, k], offsets[:-1])
+            least = np.minimum.reduceat((wide ^ _PERMS[0, k]) * _PERMS[1, k], offsets[:-1])
             out[:, k // ROWS] = _mix(out[:, k // ROWS] + least + np.uint64(k))
     return out
 
@@ -117,6 +119,10 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _short(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(32)).astype(np.uint32)
+
+
 def _pairs_in(nodes: np.ndarray, sets: list[np.ndarray], label: dict[int, int], min_jaccard: float) -> None:
     """Merges the nodes of one band whose sets are similar enough; label maps a node to another one of its cluster."""
 
@@ -148,31 +154,33 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     A cluster lies in two rows of docs at least; repetition within one row alone isn't reported. Null and empty texts
     and shorter paragraphs give no rows. Repeated rows of docs repeat each other.
     """
-    spark = docs.sparkSession
-
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, found in _rows(batch.select([2]), min_words):
                 if len(row):
                     at = pa.array(row)
-                    sets = pa.ListArray.from_arrays(pa.array(found["offsets"].astype(np.int32)), _signed(found["shingles"]))
+                    sets = pa.ListArray.from_arrays(pa.array(found["offsets"].astype(np.int32)), pa.array(_short(found["shingles"]).view(np.int32)))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found["first"]), pa.array(found["length"]), pa.array(found["words"]), _signed(found["whole"]), sets], ["rid", "doc_id", "start", "length", "n_words", "h", "shingles"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    all_units = materialize(arrow_parts(rows, units, "rid long, doc_id long, start long, length long, n_words long, h long, shingles array<long>"), "paragraphs")
+    all_units = materialize(arrow_parts(rows, units, "rid long, doc_id long, start long, length long, n_words long, h long, shingles array<int>"), "paragraphs")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = batch.column(1)
             offsets = sets.offsets.to_numpy().astype(np.int64)
-            keys = bands(sets.values.to_numpy().view(np.uint64)[offsets[0] : offsets[-1]], offsets - offsets[0])
+            keys = bands(sets.values.to_numpy().view(np.uint32)[offsets[0] : offsets[-1]], offsets - offsets[0])
             # the band's number is part of its key
-            yield pa.RecordBatch.from_arrays([_signed(_mix(keys + np.arange(BANDS, dtype=np.uint64)).reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["band", "h"])
-
-    meet = arrow_parts(all_units.select("h", "shingles"), keyed, "band long, h long").groupBy("band", "h").agg(F.lit(1).alias("one")).drop("one")
-    meet = materialize(meet, "bands")
-    shared = meet.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    meet = materialize(meet.join(shared, "band", "left_semi"), "meetings")
+            band, h = _mix(keys + np.arange(BANDS, dtype=np.uint64)).reshape(-1), np.repeat(batch.column(0).to_numpy(), BANDS)
+            order = np.lexsort((h, band))
+            band, h = band[order], h[order]
+            new = np.concatenate([[True], (band[1:] != band[:-1]) | (h[1:] != h[:-1])])
+            yield pa.RecordBatch.from_arrays([_signed(band[new]), pa.array(h[new])], ["band", "h"])
+
+    meet = arrow_parts(all_units.select("h", "shingles"), keyed, "band long, h long")
+    w = W.partitionBy("band")
+    meet = meet.select("band", "h", (F.min("h").over(w) != F.max("h").over(w)).alias("shared")).where("shared").select("band", "h").distinct()
+    meet = materialize(meet, "meetings")
     wanted = meet.select("h").distinct()
     sets = all_units.select("h", "shingles").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles"))
     parts = max(1, -(-meet.count() // 20_000))
