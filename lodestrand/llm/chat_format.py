@@ -44,7 +44,7 @@ def as_chain(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
     Null turns come first; a null conv_id is a conversation of its own; null roles and texts are empty.
     """
     clean = rows.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"), F.monotonically_increasing_id().alias("node"))
-    clean = materialize(clean, "messages")
+    clean = materialize(clean, "messages", 1)
     before = F.lag("node").over(W.partitionBy("conv_id").orderBy("turn", "role", "text", "node"))
     return clean.select("conv_id", "node", before.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
@@ -83,7 +83,7 @@ def format_conversations(messages: DataFrame, branches: int = 1, learn_from: tup
     conv_id, branch, path_score, n_turns, formatted, loss_spans: (start, length) in UTF-8 bytes of formatted, from 0,
     of each text to learn from, in order. Empty texts have spans of length 0.
     """
-    messages = materialize(messages, "messages")
+    messages = materialize(messages, "messages", 1)
     path = choose_paths(messages, branches)
     turns = path.join(messages.select("node", escape_role(F.coalesce("role", F.lit(""))).alias("r"), escape(F.coalesce("text", F.lit(""))).alias("t"), F.coalesce("role", F.lit("")).isin(*learn_from).alias("learn")), "node")
     turns = turns.withColumn("piece", F.concat(F.lit(OPEN), "r", F.lit("\n"), "t", F.lit(CLOSE)))

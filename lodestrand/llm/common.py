@@ -21,13 +21,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Shuffle partitions that share a file of a table of numbers, whose rows are far smaller than those of texts.
+PER_FILE = 8
+
+
+def materialize(df: DataFrame, name: str, per_file: int = PER_FILE) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
 
-    The files go when the driver's JVM ends.
+    A task writes per_file shuffle partitions to one file; tables with texts take 1. The files go when the driver's JVM
+    ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestrand-{name}-{uuid.uuid4().hex}"
+    if per_file > 1:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // per_file))
     df.write.parquet(path)
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -98,7 +98,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
     """docs -> the model. Rows with a null text or language teach nothing; without any row the model knows nothing."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     schema = "lang string, key string, n long"
-    words = materialize(arrow_parts(rows, _count_words, schema).groupBy("lang", "key").agg(F.sum("n").alias("n")), "words")
+    words = materialize(arrow_parts(rows, _count_words, schema).groupBy("lang", "key").agg(F.sum("n").alias("n")), "words", 1)
     grams = arrow_parts(words, _count_ngrams, schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
     known = _known(words, F.lit(0), min_share) + _known(grams, F.when(F.length("key") <= max(ORDERS), F.length("key")), min_share)
     langs = sorted({x[0] for x in known})
@@ -138,6 +138,12 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; other word characters, such as superscripts, aren't."""
+    found = _LETTERS.search(text)
+    return found is not None and (found[0][0].isalpha() or any(c.isalpha() for c in text))
+
+
 class Predictor:
     """Scores texts; words that are new to it are scored together, on arrays."""
 
@@ -219,7 +225,7 @@ class Predictor:
             self.forget()
         counted, fresh, seen = [], [], self.seen
         for text in texts:
-            if text is None or not self.langs or not _LETTERS.search(text):
+            if text is None or not self.langs or not has_letter(text):
                 counted.append(None)
                 continue
             counts = Counter(text.split())

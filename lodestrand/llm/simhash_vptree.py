@@ -189,7 +189,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max
     Null texts and texts without words have fingerprint zero and are linked like any other. Repeated rows keep a row
     each. Empty input gives no rows. Null doc_ids are kept and never become a component's id unless all are null.
     """
-    fps = materialize(fingerprints(docs, text, doc_id), "fingerprints")
+    fps = materialize(fingerprints(docs, text, doc_id), "fingerprints", 1)
     points = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "points")
     # A doc_id that repeats with several fingerprints would be one node for two points; its points stay linked then,
     # as one document is one node of the graph.
