@@ -64,8 +64,10 @@ def choose_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         if now.where("up is not null").isEmpty():
             break
         jumps.append(now.where("up is not null").select("node", "up"))
+        # Paths that have reached their root stay as they are; only the others take another jump.
         above = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("len").alias("len2"))
-        now = materialize(now.join(above, "up", "left").select("conv_id", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("len") + F.coalesce("len2", F.lit(0))).alias("len")), "tree")
+        jumped = now.where("up is not null").join(above, "up").select("conv_id", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("len") + F.col("len2")).alias("len"))
+        now = materialize(now.where("up is null").unionByName(jumped), "tree")
     parents = nodes.where("up is not null").select(F.col("up").alias("node"))
     leaves = now.where("up is null").join(parents, "node", "left_anti").withColumn("path_score", F.col("total") / F.col("len"))
     best = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("path_score"), F.desc("len"), "node"))
