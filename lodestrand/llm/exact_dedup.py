@@ -54,7 +54,7 @@ def name_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     blocks = _blocks(_texts(docs, text, doc_id), block_bytes, key)
     sets = blocks.groupBy("h").agg(F.collect_set("bytes").alias("s"))
-    keys = materialize(sets.select("h", F.when(F.size("s") > 1, F.array_sort("s")).alias("s")), "blockkeys")
+    keys = materialize(sets.select("h", F.when(F.size("s") > 1, F.array_sort("s")).alias("s")), "blockkeys", 1)
     single = _number(keys.where("s is null").select("h", F.lit(0).alias("j")), ["h", "j"], F.xxhash64("h"))
     mixed = keys.where("s is not null")
     rows = blocks.select("rid", "doc_id", "sha", "n", "pos", "h")
@@ -88,7 +88,8 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **
     """
     named = materialize(name_documents(docs, text, doc_id, **options), "named")
     top = F.max(F.struct("doc_id", "rid"))
-    groups = named.groupBy("level", "name").agg(top.alias("top"), F.count("*").alias("group_size"))
+    # A table of its own: the join then starts from two shuffles, so that adaptive execution can split a hot group.
+    groups = materialize(named.groupBy("level", "name").agg(top.alias("top"), F.count("*").alias("group_size")), "groups")
     out = named.join(groups, ["level", "name"])
     return out.select("rid", "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
