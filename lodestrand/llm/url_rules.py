@@ -6,7 +6,8 @@ urls, each rule is filed under its rarest token, and a url's tokens fetch their
 Only these rules' expressions run on the url. A rule without a whole token is filed under ``*``, which every url
 has while there is such a rule.
 
-The index is a table; Spark broadcasts it if it is small by its own measure and shuffles it otherwise.
+The index is broadcast while there are at most MAX_BROADCAST rules, so that a token most urls have doesn't gather them;
+beyond that it is an equi-join between shuffles, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import ascii_lower
 
 ANY = "*"
+#: Rules whose index may be broadcast, about 200 bytes each.
+MAX_BROADCAST = 100_000
 
 
 @dataclass(frozen=True)
@@ -98,7 +101,8 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: list[Rule] | None = No
     urls = urls.withColumn("rid", F.monotonically_increasing_id())
     tokens = urls.select("rid", F.concat("host", "path").alias("subject"), tokens_of(F.col("host"), F.col("path"), not all(r.tokens for r in rules)).alias("tokens"))
     index = rule_index(spark, tokens, rules)
-    fetched = tokens.select("rid", "subject", F.explode("tokens").alias("token")).join(index.select("token", "regex", "priority"), "token")
+    small = F.broadcast if len(rules) <= MAX_BROADCAST else (lambda df: df)
+    fetched = tokens.select("rid", "subject", F.explode("tokens").alias("token")).join(small(index.select("token", "regex", "priority")), "token")
     best = fetched.where(F.expr("subject rlike regex")).groupBy("rid").agg(F.max("priority").alias("priority"))
-    found = urls.join(best, "rid", "left").join(index.select("priority", "rule", "verdict", "pattern"), "priority", "left")
+    found = urls.join(best, "rid", "left").join(small(index.select("priority", "rule", "verdict", "pattern")), "priority", "left")
     return found.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"), "pattern")
