@@ -5,7 +5,7 @@ would miss a passage that was pasted into the middle of one; its sentences, but
 pasted. Paragraphs are compared as sets of 5-word shingles.
 
 1. *Bands.* ROWS min-hashes make a band, and BANDS bands a signature. Two paragraphs with a Jaccard similarity s meet in
-   some band with probability 1 - (1 - s^ROWS)^BANDS: 0.987 at 0.8 and 1 for equal sets.
+   some band with probability 1 - (1 - s^ROWS)^BANDS: 0.998 at 0.8 and 1 for equal sets.
 2. *Join.* Equal paragraphs are one node, so copies make no pairs; those of a batch are one row before the shuffle.
    Bands that hold one node are dropped after one shuffle of (band, node); only the rest fetch their shingles.
 3. *Verification.* Nodes that share a band are compared exactly, unless they are connected already. Linked nodes are
@@ -29,7 +29,7 @@ from .common import arrow_parts, materialize
 from .components import connected_components
 
 SHINGLE, MIN_JACCARD, MIN_WORDS = 5, 0.8, 12
-BANDS, ROWS = 6, 3
+BANDS, ROWS = 9, 3
 #: Bytes of text that are hashed at once.
 _CHUNK = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -163,7 +163,7 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found["first"]), pa.array(found["length"]), pa.array(found["words"]), _signed(found["whole"]), sets], ["rid", "doc_id", "start", "length", "n_words", "h", "shingles"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    all_units = materialize(arrow_parts(rows, units, "rid long, doc_id long, start long, length long, n_words long, h long, shingles array<int>"), "paragraphs")
+    all_units = materialize(arrow_parts(rows, units, "rid long, doc_id long, start long, length long, n_words long, h long, shingles array<int>"), "paragraphs", 1)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,9 +180,10 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     meet = arrow_parts(all_units.select("h", "shingles"), keyed, "band long, h long")
     w = W.partitionBy("band")
     meet = meet.select("band", "h", (F.min("h").over(w) != F.max("h").over(w)).alias("shared")).where("shared").select("band", "h").distinct()
-    meet = materialize(meet, "meetings")
+    meet = materialize(meet, "meetings", 1)
     wanted = meet.select("h").distinct()
-    sets = all_units.select("h", "shingles").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles"))
+    # copies are combined before the shuffle
+    sets = all_units.groupBy("h").agg(F.first("shingles").alias("shingles")).join(wanted, "h", "left_semi")
     parts = max(1, -(-meet.count() // 20_000))
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
@@ -204,7 +205,9 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     nodes = numbers.groupBy("h").agg(F.count("*").alias("n"), F.min("rid").alias("r0"), F.max("rid").alias("r1"), F.min(F.struct("doc_id", "rid", "start")).alias("first"))
     nodes = nodes.join(clusters.withColumnRenamed("node", "h"), "h", "left").withColumn("component_id", F.coalesce("component", "h")).drop("component")
     groups = nodes.groupBy("component_id").agg(F.sum("n").alias("component_size"), F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("first").alias("first")).where("r0 != r1")
+    # A table of its own, so that adaptive execution can split a hot paragraph's join.
     labelled = nodes.select("h", "component_id").join(groups.select("component_id", "component_size", "first"), "component_id")
+    labelled = materialize(labelled, "labelled")
     out = numbers.join(labelled, "h")
     stays = (F.col("rid") == F.col("first.rid")) & (F.col("start") == F.col("first.start"))
     return out.select("rid", "doc_id", "start", "length", "n_words", "component_id", "component_size", (~stays).alias("removed"))
