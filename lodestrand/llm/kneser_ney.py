@@ -6,9 +6,10 @@ The model is over characters (UTF-16 units) with ORDER = 4, so a gram is exactly
 counts are summed by gram. Lower orders use continuation counts; discounts come from the counts of counts (Chen and
 Goodman). Probabilities come from joining counts, contexts and the next lower order, sharded by gram and context.
 
-*Scoring* looks up all grams of every document. What is broadcast for it has a proven bound: grams and contexts that
-make up at least MIN_SHARE of the counts of their order, hence 1 / MIN_SHARE of each at most, however large the corpus.
-Rarer grams score through their context's back-off weight and the next lower order.
+*Scoring* looks up all grams of every document in the whole model. The head is broadcast: grams of the highest order
+that make up at least MIN_SHARE of its counts, hence 1 / MIN_SHARE at most. All others are counted by document, and
+joins by gram and context give their probabilities, or the back-off weights and lower orders of grams the model doesn't
+have. The head only saves shuffling: scores don't depend on MIN_SHARE.
 
 *Thresholds* are set for each language from the trusted documents' quantiles of perplexity: the median, raised SPREAD
 times by the ratio of the UPPER quantile to the median. A document above its language's threshold goes.
@@ -16,6 +17,7 @@ times by the ratio of the UPPER quantile to the median. A document above its lan
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,32 +85,46 @@ def _low(g: Column, order: int) -> Column:
     return g.bitwiseAND(F.lit((1 << UNIT * (order - 1)) - 1))
 
 
-def train(trusted: DataFrame, text: str = "text", min_share: float = MIN_SHARE) -> dict:
-    """trusted -> the model's bounded tables: per order, sorted grams with log probabilities and contexts with log weights."""
+def _context(g: Column, order: int) -> Column:
+    """The gram without its last unit; all grams of order 1 have one context."""
+    return F.shiftrightunsigned(g, UNIT) if order > 1 else F.lit(0).cast("long")
+
+
+def learn(trusted: DataFrame, text: str = "text") -> dict[tuple[str, int], DataFrame]:
+    """trusted -> the whole model: per order, ("p", k) has grams and ("w", k) contexts: g, c (counts), v (log probability
+    or log back-off weight)."""
     counts = {ORDER: materialize(arrow_parts(trusted.select(text), _count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "grams")}
     for k in range(ORDER - 1, 0, -1):
         counts[k] = materialize(counts[k + 1].groupBy(_low(F.col("g"), k + 1).alias("g")).agg(F.count("*").alias("c")), "grams")
-    model, lower = {}, None
+    tables, lower = {}, None
     for k in range(1, ORDER + 1):
         d = _discounts(counts[k])
         off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        ctx = F.shiftrightunsigned("g", UNIT) if k > 1 else F.lit(0).cast("long")
-        rows = counts[k].select("g", "c", off.alias("d"), ctx.alias("ctx"))
-        contexts = rows.groupBy("ctx").agg(F.sum("c").alias("s"), (F.sum("d") / F.sum("c")).alias("weight"))
+        rows = counts[k].select("g", "c", off.alias("d"), _context(F.col("g"), k).alias("ctx"))
+        contexts = materialize(rows.groupBy("ctx").agg(F.sum("c").alias("s"), (F.sum("d") / F.sum("c")).alias("weight")), "contexts")
         joined = rows.join(contexts, "ctx")
         if lower is None:
             joined = joined.withColumn("rest", F.lit(1.0 / (1 << UNIT)))
         else:
             joined = joined.withColumn("low", _low(F.col("g"), k)).join(lower.select(F.col("g").alias("low"), F.col("p").alias("rest")), "low")
         lower = materialize(joined.select("g", "c", ((F.col("c") - F.col("d")) / F.col("s") + F.col("weight") * F.col("rest")).alias("p")), "probabilities")
-        total = float(counts[k].agg(F.sum("c")).first()[0] or 0)
-        known = lower.where(F.col("c") >= min_share * total).select("g", F.log("p").alias("v")).toArrow()
-        weights = contexts.where(F.col("s") >= min_share * total).select(F.col("ctx").alias("g"), F.log("weight").alias("v")).toArrow()
-        for name, table in (("p", known), ("w", weights)):
-            g, v = table["g"].to_numpy(), table["v"].to_numpy()
-            order = np.argsort(g)
-            model[name, k] = (g[order], v[order].astype(np.float32))
-    return model
+        tables["p", k] = lower.select("g", "c", F.log("p").alias("v"))
+        tables["w", k] = contexts.select(F.col("ctx").alias("g"), F.col("s").alias("c"), F.log("weight").alias("v"))
+    return tables
+
+
+def _head(table: DataFrame, min_share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The grams that make up at least min_share of a table's counts, sorted, with their values."""
+    total = float(table.agg(F.sum("c")).first()[0] or 0)
+    found = table.where(F.col("c") >= min_share * total).select("g", "v").toArrow()
+    g, v = found["g"].to_numpy(), found["v"].to_numpy()
+    order = np.argsort(g)
+    return g[order], v[order].astype(np.float32)
+
+
+def train(trusted: DataFrame, text: str = "text", min_share: float = MIN_SHARE) -> dict:
+    """The heads of all tables, for perplexities(); with min_share = 0 that is the whole model, for few texts."""
+    return {key: _head(table, min_share) for key, table in learn(trusted, text).items()}
 
 
 def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +137,7 @@ def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.nd
 
 
 def log_probabilities(model: dict, keys: np.ndarray, k: int = ORDER) -> np.ndarray:
-    """Log probabilities of grams of order k (as signed numbers)."""
+    """Log probabilities of grams of order k (as signed numbers), if the model's tables are whole."""
     if k == 0:
         return np.full(len(keys), -UNIT * np.log(2.0), np.float32)
     out, known = _find(model["p", k], keys)
@@ -145,17 +161,53 @@ def perplexities(model: dict, texts: list[str | None]) -> list[float | None]:
     return out
 
 
-def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """docs -> the columns in keep, and perplexity (null for an empty or null text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _values(wanted: DataFrame, tables: dict[tuple[str, int], DataFrame]) -> DataFrame:
+    """wanted (g: distinct grams of the highest order) -> g, v: their log probabilities under the whole model."""
+    out, value = wanted, F.lit(-UNIT * math.log(2.0))
+    for k in range(1, ORDER + 1):
+        key = _low(F.col("g"), k + 1) if k < ORDER else F.col("g")
+        p = tables["p", k].select(F.col("g").alias("key"), F.col("v").alias(f"p{k}"))
+        out = out.withColumn("key", key).join(F.broadcast(p) if k == 1 else p, "key", "left")  # 65,536 rows at most
+        if k == 1:
+            only = tables["w", 1].first()
+            weight = F.lit(only["v"] if only else 0.0)
+        else:
+            w = tables["w", k].select(F.col("g").alias("ctx"), F.col("v").alias(f"w{k}"))
+            out = out.withColumn("ctx", _context(F.col("key"), k)).join(F.broadcast(w) if k == 2 else w, "ctx", "left").drop("ctx")
+            weight = F.coalesce(f"w{k}", F.lit(0.0))
+        out, value = out.drop("key"), F.coalesce(F.col(f"p{k}"), weight + value)
+    return out.select("g", value.alias("v"))
+
+
+def score(docs: DataFrame, tables: dict[tuple[str, int], DataFrame], text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang"), min_share: float = MIN_SHARE) -> DataFrame:
+    """docs -> the columns in keep, and perplexity under the whole model (null for an empty or null text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(_head(tables["p", ORDER], min_share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = perplexities(shared.value, [x.as_py() for x in batch.column(0)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.float64())], [*keep, "perplexity"])
-
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "perplexity double"])
-    return docs.select(F.col(text), *keep).mapInArrow(run, schema)
+            begin = 0
+            for texts in _chunks([x.as_py() or "" for x in batch.column(0)]):
+                found, units = grams(texts)
+                keys, row = found.view(np.int64), np.repeat(np.arange(len(units)), units)
+                values, known = _find(shared.value, keys)
+                sums = np.bincount(row, np.where(known, values, 0.0), len(units))
+                row, keys = row[~known], keys[~known]
+                order = np.lexsort((keys, row))
+                row, keys = row[order], keys[order]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])])[: len(row)])
+                cuts = pa.array(np.searchsorted(row[first], np.arange(len(units) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (keys[first], np.diff(first, append=len(row)).astype(np.int64))]
+                part = batch.slice(begin, len(texts))
+                begin += len(texts)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(units), pa.array(sums, pa.float64()), *lists], ["rid", *keep, "units", "head", "g", "c"])
+
+    schema = ", ".join(["rid long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "units long, head double, g array<long>, c array<long>"])
+    heads = materialize(docs.select(F.col(text), F.monotonically_increasing_id().alias("rid"), *keep).mapInArrow(run, schema), "heads", 1)
+    tail = heads.select("rid", F.explode(F.arrays_zip("g", "c")).alias("x")).select("rid", "x.g", "x.c")
+    values = materialize(_values(tail.select("g").distinct(), tables), "values")
+    rest = tail.join(values, "g").groupBy("rid").agg(F.sum(F.col("c") * F.col("v")).alias("rest"))
+    mean = (F.col("head") + F.coalesce("rest", F.lit(0.0))) / F.col("units")
+    return heads.drop("g", "c").join(rest, "rid", "left").select(*keep, F.when(F.col("units") > 0, F.exp(-mean)).alias("perplexity"))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, spread: float = SPREAD, min_share: float = MIN_SHARE) -> DataFrame:
@@ -168,7 +220,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, spre
     ids = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     few = ids.count() <= MAX_BROADCAST
     trusted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    scored = materialize(score(docs.withColumn("lang", F.col("lang").cast("string")), train(trusted, min_share=min_share)), "perplexities", 1)
+    scored = materialize(score(docs.withColumn("lang", F.col("lang").cast("string")), learn(trusted), min_share=min_share), "perplexities", 1)
     logs = scored.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").where("perplexity is not null").select("lang", F.log("perplexity").alias("x"))
     cut = F.exp(F.percentile_approx("x", 0.5, 10_000) * (1 - spread) + F.percentile_approx("x", upper, 10_000) * spread).alias("own")
     cuts = materialize(logs.where("lang is not null").groupBy("lang").agg(cut), "cuts")

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from lodestrand.llm.kneser_ney import ORDER, judge_quality, perplexities, train
+from lodestrand.llm.kneser_ney import ORDER, judge_quality, learn, perplexities, score, train
 
 SF = "/root/testdata/sf0.01"
 
@@ -71,3 +71,20 @@ def test_edges(spark):
     assert len(rows) == 5 and all((r.perplexity is None) == (r.doc_id in (2, 3)) for r in rows)
     assert all(r.kept for r in judge_quality(docs, labels.where("doc_id > 5")).collect() if r.perplexity is not None)
     assert judge_quality(docs.where("doc_id > 9"), labels).count() == 0
+
+
+@pytest.mark.parametrize("min_share", [0.0, 0.02, 2.0])
+def test_scores_use_the_whole_model(spark, min_share):
+    texts = ["the cat sat on the mat.", "the dog sat on the log, the end", "a cat and a dog", "rare words: quixotic zephyr"]
+    seen = ["the cat", "quixotic zephyr", "zzz", "the \n mat", "日本", "the cat sat on the mat." * 50, "", None, "the cat"]
+    tables = learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(seen)], "doc_id long, text string, lang string")
+    p = plain_model(texts)
+    got = {r.doc_id: r.perplexity for r in score(docs, tables, min_share=min_share).collect()}
+    assert got == {i: pytest.approx(plain_perplexity(p, t), rel=1e-4) if t else None for i, t in enumerate(seen)}
+
+
+def test_verdicts_do_not_depend_on_the_head(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet").where("doc_id < 200") for x in ("documents", "labels"))
+    small, whole = ({r.doc_id: r.perplexity for r in judge_quality(docs, labels, min_share=x).collect()} for x in (1e-3, 0.0))
+    assert small == {i: pytest.approx(x, rel=1e-4) for i, x in whole.items()}
