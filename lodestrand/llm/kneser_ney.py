@@ -11,8 +11,8 @@ that make up at least MIN_SHARE of its counts, hence 1 / MIN_SHARE at most. All
 joins by gram and context give their probabilities, or the back-off weights and lower orders of grams the model doesn't
 have. The head only saves shuffling: scores don't depend on MIN_SHARE.
 
-*Thresholds* are set for each language from the trusted documents' quantiles of perplexity: the median, raised SPREAD
-times by the ratio of the UPPER quantile to the median. A document above its language's threshold goes.
+*Thresholds* are the UPPER quantile of the perplexities of each language's trusted documents. A document above its
+language's threshold goes.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .common import arrow_parts, materialize
 
 ORDER, UNIT = 4, 16
 MIN_SHARE = 1e-6
-UPPER, SPREAD = 0.9, 16.0
+UPPER = 0.99
 #: Trusted ids that may be broadcast to the scan of the texts (8 bytes each).
 MAX_BROADCAST = 4_000_000
 _CHUNK = 1 << 20
@@ -210,7 +210,7 @@ def score(docs: DataFrame, tables: dict[tuple[str, int], DataFrame], text: str =
     return heads.drop("g", "c").join(rest, "rid", "left").select(*keep, F.when(F.col("units") > 0, F.exp(-mean)).alias("perplexity"))
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, spread: float = SPREAD, min_share: float = MIN_SHARE) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, min_share: float = MIN_SHARE) -> DataFrame:
     """documents, labels (doc_id, quality, toxic) -> doc_id, lang, perplexity, threshold, kept; a row for each document.
 
     A language without trusted documents (and a null one) gets the threshold of all trusted documents; without any
@@ -221,10 +221,10 @@ def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, spre
     few = ids.count() <= MAX_BROADCAST
     trusted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     scored = materialize(score(docs.withColumn("lang", F.col("lang").cast("string")), learn(trusted), min_share=min_share), "perplexities", 1)
-    logs = scored.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").where("perplexity is not null").select("lang", F.log("perplexity").alias("x"))
-    cut = F.exp(F.percentile_approx("x", 0.5, 10_000) * (1 - spread) + F.percentile_approx("x", upper, 10_000) * spread).alias("own")
-    cuts = materialize(logs.where("lang is not null").groupBy("lang").agg(cut), "cuts")
-    pooled = logs.agg(cut).first()[0]
+    good = scored.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").where("perplexity is not null")
+    cut = F.percentile_approx("perplexity", upper, 10_000).alias("own")
+    cuts = materialize(good.where("lang is not null").groupBy("lang").agg(cut), "cuts")
+    pooled = good.agg(cut).first()[0]
     out = scored.join(F.broadcast(cuts) if cuts.count() <= 10_000 else cuts, "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(pooled).cast("double")))
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return out.select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"))

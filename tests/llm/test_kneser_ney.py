@@ -88,3 +88,14 @@ def test_verdicts_do_not_depend_on_the_head(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet").where("doc_id < 200") for x in ("documents", "labels"))
     small, whole = ({r.doc_id: r.perplexity for r in judge_quality(docs, labels, min_share=x).collect()} for x in (1e-3, 0.0))
     assert small == {i: pytest.approx(x, rel=1e-4) for i, x in whole.items()}
+
+
+def test_threshold_is_a_quantile_of_trusted_documents(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    good = defaultdict(list)
+    cuts = {}
+    for r in judge_quality(docs, labels).join(labels.where("quality = 1 and toxic = 0"), "doc_id").collect():
+        good[r.lang].append(r.perplexity)
+        cuts[r.lang] = r.threshold
+    for lang, found in good.items():
+        assert cuts[lang] == sorted(found)[math.ceil(0.99 * len(found)) - 1]
