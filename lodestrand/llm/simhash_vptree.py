@@ -186,22 +186,24 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, shard_rows: int
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
     """docs -> rid, doc_id, fp, component_id: the smallest doc_id reachable over links of max_bits or fewer.
 
-    Null texts and texts without words have fingerprint zero and are linked like any other. Repeated rows keep a row
-    each. Empty input gives no rows. Null doc_ids are kept and never become a component's id unless all are null.
+    Also group, one fingerprint of the component, whatever the doc_ids are: the links are between fingerprints, so null
+    and repeated doc_ids neither part nor join rows. Null texts and texts without words have fingerprint zero and are
+    linked like any other. Repeated rows keep a row each. Empty input gives no rows. Null doc_ids are kept and never
+    become a component's id unless all are null.
     """
     fps = materialize(fingerprints(docs, text, doc_id), "fingerprints", 1)
-    points = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "points")
-    # A doc_id that repeats with several fingerprints would be one node for two points; its points stay linked then,
-    # as one document is one node of the graph.
-    edges = link_fingerprints(points.where("node is not null"), max_bits)
-    parts = connected_components(edges)
-    roots = points.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(roots, "fp").select("rid", "doc_id", "fp", "component_id")
+    points = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    parts = connected_components(link_fingerprints(points.select("fp", F.col("fp").alias("node")), max_bits))
+    grouped = points.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    grouped = materialize(grouped, "grouped")
+    ids = materialize(grouped.groupBy("group").agg(F.min("least").alias("component_id")), "groupids")
+    roots = grouped.select("fp", "group").join(ids, "group")
+    return fps.join(roots, "fp").select("rid", "doc_id", "fp", "component_id", "group")
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of docs that stand for their component: the one with the smallest doc_id (the first read, if repeated)."""
     rid = free_name(docs, "rid")
     groups = materialize(near_groups(docs, text, doc_id, max_bits), "neargroups")
-    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "rid")).alias("first")).select(F.col("first.rid").alias(rid))
+    kept = groups.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "rid")).alias("first")).select(F.col("first.rid").alias(rid))
     return docs.withColumn(rid, F.monotonically_increasing_id()).join(kept, rid, "left_semi").drop(rid)

@@ -94,3 +94,19 @@ def test_groups(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert near_groups(docs).count() == 0 and drop_near_copies(docs).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(200)) for x in ("a", "b", "c", "d")]
+    rows = [(None, texts[0], "x"), (None, texts[1], "x"), (None, texts[0].upper(), "x"), (7, texts[2], "x"), (7, texts[3], "x"), (8, texts[1], "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert len({plain_fingerprint(t) for t in texts}) == 4
+    kept = sorted((r.doc_id or 0, r.text.lower()) for r in drop_near_copies(docs).collect())
+    assert kept == [(0, texts[0]), (7, texts[2]), (7, texts[3]), (8, texts[1])]
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in near_groups(docs).collect()) == [(0, 0), (0, 0), (0, 8), (7, 7), (7, 7), (8, 8)]
+
+
+def test_null_id_links_others(spark, monkeypatch):
+    ends = {"left": 0, "middle": 0b1111, "right": 0b11111111}
+    monkeypatch.setattr("lodestrand.llm.simhash_vptree.fingerprints", lambda docs, text, doc_id: spark.createDataFrame([(0, 1, ends["left"]), (1, None, ends["middle"]), (2, 2, ends["right"])], "rid long, doc_id long, fp long"))
+    assert {r.component_id for r in near_groups(spark.createDataFrame([], SCHEMA)).collect()} == {1}
