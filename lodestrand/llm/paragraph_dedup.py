@@ -11,6 +11,10 @@ pasted. Paragraphs are compared as sets of 5-word shingles.
 3. *Verification.* Nodes that share a band are compared exactly, unless they are connected already. Linked nodes are
    merged as they are found; a group returns at most one edge for each node.
 4. *Clusters* are connected components. In each the first paragraph (by document, then place) stays.
+5. *Windows* find what paragraphs miss: passages of shorter sentences or short lines, or within one long sentence. Of
+   each PASSAGE words in a row, the WINDOW words in a row with the least hash are a unit (winnowing), so that any PASSAGE
+   words that two texts share hold a whole common unit. Windows are compared by hash only. A window that repeats across
+   documents is reported, with all its places, if at some place it touches no repeated paragraph.
 
 Whole paragraphs are 64-bit hashes of their words; shingles are kept as 32-bit hashes, which is all that a comparison of
 two paragraphs needs.
@@ -30,6 +34,7 @@ from .components import connected_components
 
 SHINGLE, MIN_JACCARD, MIN_WORDS = 5, 0.8, 12
 BANDS, ROWS = 9, 3
+PASSAGE, WINDOW = 50, 25
 #: Bytes of text that are hashed at once.
 _CHUNK = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -42,6 +47,7 @@ _random = np.random.default_rng(20)
 #: A number for each byte at each place (of 64) in a word; a word's hash is their sum.
 _BYTES = _random.integers(0, 1 << 63, (64, 256), np.uint64, endpoint=True).reshape(-1)
 _PLACES = _random.integers(0, 1 << 63, SHINGLE, np.uint64, endpoint=True) | np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
 _PERMS = _random.integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64, endpoint=True) | np.uint64(1)
 
 
@@ -51,19 +57,54 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def paragraphs(raw: bytes, min_words: int) -> dict[str, np.ndarray]:
-    """The paragraphs of some bytes: first byte, length in bytes, words, whole (hash), and their shingles with offsets."""
+def _sliding(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
+    """The best of each n numbers in a row."""
+    size = 1
+    while 2 * size <= n:
+        x = best(x[:-size], x[size:])
+        size *= 2
+    return best(x[: len(x) - n + size], x[n - size :]) if size < n else x
+
+
+def windows(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, last word and hash of the windows of some words' hashes, given the text of each word.
+
+    Equal windows that follow each other within a text (stuffing) are one, from the first to the last.
+    """
+    n, span = len(words) - PASSAGE + 1, PASSAGE - WINDOW + 1
+    if n < 1:
+        none = np.zeros(0, np.int64)
+        return none, none, none.view(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(np.full(len(words), _BASE, np.uint64)), dtype=np.uint64)])
+    back = np.cumprod(np.full(len(words) - WINDOW + 1, pow(_BASE, -1, 1 << 64), np.uint64))
+    found = _mix((sums[WINDOW:] - sums[:-WINDOW]) * back)
+    least = np.where(text[:n] == text[PASSAGE - 1 :], _sliding(found, span, np.minimum), np.uint64(0))
+    edge = np.zeros(span - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), span, np.maximum) == found)
+    new = np.ones(len(at), bool)
+    new[1:] = (found[at[1:]] != found[at[:-1]]) | (text[at[1:]] != text[at[:-1]]) | (np.diff(at) > span)
+    heads = np.flatnonzero(new)
+    return at[heads], at[np.append(heads[1:], len(at)) - 1] + WINDOW - 1 if len(at) else at, found[at[heads]]
+
+
+def paragraphs(raw: bytes, min_words: int, starts: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The paragraphs of some bytes: first byte, length in bytes, words, whole (hash), and their shingles with offsets.
+
+    The same of the windows, but for shingles, under names with wide_; starts are the texts' first bytes.
+    """
     at = np.frombuffer(raw.lower(), np.uint8)
     space = _SPACE[at]
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     first, after = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     none = np.zeros(0, np.int64)
     if len(first) < max(min_words, SHINGLE):
-        return {"first": none, "length": none, "words": none, "whole": none.view(np.uint64), "shingles": none.view(np.uint64), "offsets": np.zeros(1, np.int64)}
+        return {"first": none, "length": none, "words": none, "whole": none.view(np.uint64), "shingles": none.view(np.uint64), "offsets": np.zeros(1, np.int64), "wide_first": none, "wide_length": none, "wide_words": none, "wide_whole": none.view(np.uint64)}
     place = np.arange(len(at)) - np.repeat(np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(at)]])))
     value = _BYTES[((place & 63) << 8) | at]
     value[space] = 0
     words = _mix(np.add.reduceat(value, first) + (after - first).astype(np.uint64))
+    wide, wide_last, wide_whole = windows(words, np.searchsorted(np.zeros(1) if starts is None else starts, first, "right"))
+    wides = {"wide_first": first[wide], "wide_length": after[wide_last] - first[wide], "wide_words": wide_last - wide + 1, "wide_whole": wide_whole}
     lines = np.concatenate([[0], np.cumsum(_LINE_END[at])])
     ends = _STOP[at[after - 1]]
     ends[:-1] |= lines[first[1:]] != lines[after[:-1]]
@@ -84,7 +125,7 @@ def paragraphs(raw: bytes, min_words: int) -> dict[str, np.ndarray]:
     shingles = np.zeros(len(start), np.uint64)
     for k in range(SHINGLE):
         shingles += words[start + k] * _PLACES[k]
-    return {"first": first[begin], "length": after[last] - first[begin], "words": n, "whole": whole, "shingles": _mix(shingles), "offsets": offsets}
+    return {"first": first[begin], "length": after[last] - first[begin], "words": n, "whole": whole, "shingles": _mix(shingles), "offsets": offsets} | wides
 
 
 def bands(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -98,8 +139,8 @@ def bands(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rows(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
-    """(row of each paragraph, paragraphs) for chunks of a batch; a chunk holds whole texts."""
+def _rows(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """(row of each paragraph, of each window, both) for chunks of a batch; a chunk holds whole texts."""
     texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(0)]
     begin = 0
     while begin < len(texts):
@@ -108,10 +149,10 @@ def _rows(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[np.ndarray, d
             total += len(texts[end]) + 1
             end += 1
         starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[begin:end]])])
-        found = paragraphs(b"\n".join(texts[begin:end]), min_words)
-        row = np.searchsorted(starts, found["first"], "right") - 1
-        found["first"] = found["first"] - starts[row]
-        yield row + begin, found
+        found = paragraphs(b"\n".join(texts[begin:end]), min_words, starts)
+        row, wide = (np.searchsorted(starts, found[x], "right") - 1 for x in ("first", "wide_first"))
+        found["first"], found["wide_first"] = found["first"] - starts[row], found["wide_first"] - starts[wide]
+        yield row + begin, wide + begin, found
         begin = end
 
 
@@ -147,23 +188,29 @@ def _pairs_in(nodes: np.ndarray, sets: list[np.ndarray], label: dict[int, int],
 
 
 def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, min_jaccard: float = MIN_JACCARD) -> DataFrame:
-    """docs -> one row per paragraph that repeats across documents.
+    """docs -> one row per paragraph that repeats across documents, and per window that repeats apart from those.
 
     rid (row number within this scan), doc_id, start and length (UTF-8 bytes of the text, from 0), n_words,
     component_id, component_size, removed: false for the first paragraph of its cluster, which stays.
     A cluster lies in two rows of docs at least; repetition within one row alone isn't reported. Null and empty texts
     and shorter paragraphs give no rows. Repeated rows of docs repeat each other.
     """
+    names = ["rid", "doc_id", "start", "length", "n_words", "h", "shingles"]
+
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, found in _rows(batch.select([2]), min_words):
+            for row, wide, found in _rows(batch.select([2]), min_words):
                 if len(row):
                     at = pa.array(row)
                     sets = pa.ListArray.from_arrays(pa.array(found["offsets"].astype(np.int32)), pa.array(_short(found["shingles"]).view(np.int32)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found["first"]), pa.array(found["length"]), pa.array(found["words"]), _signed(found["whole"]), sets], ["rid", "doc_id", "start", "length", "n_words", "h", "shingles"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found["first"]), pa.array(found["length"]), pa.array(found["words"]), _signed(found["whole"]), sets], names)
+                if len(wide):
+                    at = pa.array(wide)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(found[f"wide_{x}"]) for x in ("first", "length", "words")), _signed(found["wide_whole"]), pa.nulls(len(wide), pa.list_(pa.int32()))], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    all_units = materialize(arrow_parts(rows, units, "rid long, doc_id long, start long, length long, n_words long, h long, shingles array<int>"), "paragraphs", 1)
+    both = materialize(arrow_parts(rows, units, "rid long, doc_id long, start long, length long, n_words long, h long, shingles array<int>"), "paragraphs", 1)
+    all_units, wide = both.where("shingles is not null"), both.where("shingles is null").drop("shingles")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,4 +257,20 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     labelled = materialize(labelled, "labelled")
     out = numbers.join(labelled, "h")
     stays = (F.col("rid") == F.col("first.rid")) & (F.col("start") == F.col("first.start"))
-    return out.select("rid", "doc_id", "start", "length", "n_words", "component_id", "component_size", (~stays).alias("removed"))
+    out = materialize(out.select("rid", "doc_id", "start", "length", "n_words", "component_id", "component_size", (~stays).alias("removed")), "repeats")
+    return out.unionByName(_apart(wide, out))
+
+
+def _apart(wide: DataFrame, repeats: DataFrame) -> DataFrame:
+    """The windows that repeat across documents and somewhere touch no repeated paragraph, as rows like these."""
+    places = wide.groupBy("h").agg(F.count("*").alias("component_size"), F.min("rid").alias("r0"), F.max("rid").alias("r1"), F.min(F.struct("doc_id", "rid", "start")).alias("first")).where("r0 != r1")
+    found = materialize(wide.join(materialize(places.drop("r0", "r1"), "places"), "h"), "windows")
+    end = (F.col("start") + F.col("length")).alias("end")
+    spans = repeats.select("rid", "start", end, F.lit(None).cast("long").alias("h")).union(found.select("rid", "start", end, "h"))
+    up, down = W.partitionBy("rid").orderBy("start", F.col("h").asc_nulls_first()), W.partitionBy("rid").orderBy(F.desc("start"))
+    up, down = (w.rowsBetween(W.unboundedPreceding, W.currentRow) for w in (up, down))
+    spans = spans.withColumn("before", F.max(F.when(F.col("h").isNull(), F.col("end"))).over(up)).withColumn("next", F.min(F.when(F.col("h").isNull(), F.col("start"))).over(down))
+    free = spans.where("h is not null and coalesce(before <= start, true) and coalesce(next >= end, true)").select("h").distinct()
+    stays = (F.col("rid") == F.col("first.rid")) & (F.col("start") == F.col("first.start"))
+    kept = found.join(materialize(free, "free"), "h", "left_semi")
+    return kept.select("rid", "doc_id", "start", "length", "n_words", F.col("h").alias("component_id"), "component_size", (~stays).alias("removed"))

@@ -3,7 +3,9 @@
 import random
 import re
 
-from lodestrand.llm.paragraph_dedup import repeated_paragraphs
+import numpy as np
+
+from lodestrand.llm.paragraph_dedup import paragraphs, repeated_paragraphs
 
 SCHEMA = "doc_id long, text string, rid string"
 
@@ -82,3 +84,32 @@ def test_spans_cut_the_text(spark):
 
 def test_empty(spark):
     assert repeated_paragraphs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_any_fifty_shared_words_hold_a_window():
+    rng = random.Random(4)
+    for _ in range(200):
+        passage = prose(rng, 50)
+        texts = [" ".join([prose(rng, rng.randint(0, 60)), passage, prose(rng, rng.randint(0, 60))]).strip().encode() for _ in range(2)]
+        together = paragraphs(b"\n".join(texts), 12, np.array([0, len(texts[0]) + 1]))
+        alone = [paragraphs(t, 12) for t in texts]
+        assert set(alone[0]["wide_whole"]) & set(alone[1]["wide_whole"])
+        assert np.array_equal(np.concatenate([x["wide_whole"] for x in alone]), together["wide_whole"])
+    stuffed = paragraphs(b"buy now " * 500, 12)
+    assert stuffed["wide_whole"].size == 1 and stuffed["wide_words"][0] >= 950
+
+
+def test_passages_without_a_long_sentence_of_their_own(spark):
+    rng = random.Random(5)
+    short, lines, inside = " ".join(prose(rng, 6) + "." for _ in range(10)), "\n".join(prose(rng, 4) for _ in range(15)), prose(rng, 55)
+    rows = []
+    for i, passage in enumerate([short, short, lines, lines, inside, inside]):
+        around = "\n" if passage != inside else " "
+        rows.append((i, f"{prose(rng, 70)}{around}{passage}{around}{prose(rng, 70)}.", "x"))
+    rows.append((9, prose(rng, 200), "x"))
+    out = repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id for r in out} == set(range(6)) and {r.doc_id for r in out if r.removed} == {1, 3, 5}
+    texts = {d: t.encode() for d, t, _ in rows}
+    for r in out:
+        span = texts[r.doc_id][r.start : r.start + r.length].decode()
+        assert len(span.split()) == r.n_words >= 25 and span in (short, lines, inside)[r.doc_id // 2] and r.component_size == 2
