@@ -79,13 +79,14 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vec
     return near.join(a, "a").join(b, "b").withColumn("sim", cosine(F.col("va"), F.col("vb"))).where(F.col("sim") >= threshold).select("a", "b", "sim")
 
 
-def greedy_near_duplicates(nodes: DataFrame, pairs: DataFrame, key: str = "vec_id", most_rounds: int = 50) -> DataFrame:
+def greedy_near_duplicates(nodes: DataFrame, pairs: DataFrame, key: str = "vec_id") -> DataFrame:
     """JON-05 as the order decides: a node is kept unless an earlier kept node is similar; duplicate_of is the first such.
 
     nodes: (key); pairs: (a < b). A node whose earlier neighbours are all decided is decided; rounds go on until all are.
+    Each round decides the first open node at least, so a chain of n nodes can take n rounds.
     """
     state = nodes.select(F.col(key).alias("id"), F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast("long").alias("duplicate_of"))
-    for _ in range(most_rounds):
+    while True:
         seen = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a").groupBy(F.col("b").alias("id")).agg(F.min(F.when(F.col("ka"), F.col("a"))).alias("by"), F.count_if(F.col("ka").isNull()).alias("open"))
         now = state.join(seen, "id", "left")
         kept = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("by").isNotNull(), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))

@@ -190,3 +190,11 @@ def test_engine(spark):
     assert engine.query(asked, 1, window=(1, 1)).count() >= 1
     engine.delete_document("2")
     assert engine.document_chunks("2").count() == 0
+
+
+def test_greedy_decides_a_long_chain(spark):
+    from lodestrand.operators.validate import greedy_near_duplicates
+
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(53)], "a long, b long").coalesce(1)
+    rows = greedy_near_duplicates(spark.range(54).withColumnRenamed("id", "vec_id").coalesce(1), pairs).collect()
+    assert sorted((r.vec_id, r.kept, r.duplicate_of) for r in rows) == [(i, i % 2 == 0, None if i % 2 == 0 else i - 1) for i in range(54)]
