@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,9 +14,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``), or a temporary one where it is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); where it is unset, a temporary one in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lodestrand-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,6 +45,15 @@ def materialize(df: DataFrame, name: str, per_file: int = PER_FILE) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, rid: str, name: str = "rows") -> DataFrame:
+    """df with a row id, as a table in the shared folder.
+
+    Row ids hold for one evaluation only: rows come in another order when a shuffle is repeated, and even a scan is cut
+    anew when the number of cores changes. So whoever joins by row id must read both sides from a table like this one.
+    """
+    return materialize(df.withColumn(rid, F.monotonically_increasing_id()), name, 1)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; pure ASCII texts take the cheaper built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -7,7 +7,8 @@ Only these rules' expressions run on the url. A rule without a whole token is fi
 has while there is such a rule.
 
 The index is broadcast while there are at most MAX_BROADCAST rules, so that a token most urls have doesn't gather them;
-beyond that it is an equi-join between shuffles, which adaptive execution splits.
+beyond that it is an equi-join between shuffles, which adaptive execution splits. Hosts and paths are written once, with
+row ids, as a table in the shared folder: both sides of the last join read their ids from it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, numbered
 
 ANY = "*"
 #: Rules whose index may be broadcast, about 200 bytes each.
@@ -84,7 +85,8 @@ def rule_index(spark: SparkSession, urls: DataFrame, rules: list[Rule]) -> DataF
     ordered = sorted(rules, key=lambda r: r.rank)
     table = spark.createDataFrame([(i, list(r.tokens), r.regex, r.rule, r.verdict, r.pattern) for i, r in enumerate(ordered)], "priority int, tokens array<string>, regex string, rule string, verdict string, pattern string")
     wanted = table.select(F.explode("tokens").alias("token")).distinct()
-    counts = urls.select(F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    # Counted before the join: each task sums its own urls' tokens, so one that most urls have is a few rows.
+    counts = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).join(wanted, "token", "left_semi")
     choices = table.select("priority", F.explode("tokens").alias("token")).join(counts, "token", "left")
     rarest = choices.groupBy("priority").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     return table.join(rarest, "priority", "left").withColumn("token", F.coalesce("token", F.lit(ANY))).drop("tokens")
@@ -95,10 +97,12 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: list[Rule] | None = No
 
     A null url or one without ``://`` has an empty host and path, which rules may still match. One row for each input
     row, repeated rows included; equal ranks can't occur among different rules, and the same rule twice counts once.
+    Whole urls are read, however long. Empty tables give no rows. Columns of pages that aren't in keep are not read, so
+    their names can't clash; columns in keep may have any name but those of the results.
     """
     spark, rules = pages.sparkSession, list({r.rank: r for r in (default_rules() if rules is None else rules)}.values())
     urls = pages.select(*[F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    urls = urls.withColumn("rid", F.monotonically_increasing_id())
+    urls = numbered(urls, "rid", "urls")
     tokens = urls.select("rid", F.concat("host", "path").alias("subject"), tokens_of(F.col("host"), F.col("path"), not all(r.tokens for r in rules)).alias("tokens"))
     index = rule_index(spark, tokens, rules)
     small = F.broadcast if len(rules) <= MAX_BROADCAST else (lambda df: df)
