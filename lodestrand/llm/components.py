@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is a grouped minimum (combined map-side, so a hub's edges are reduced before the shuffle) and an equi-join
-whose skewed partitions adaptive execution splits. Edges never reach the driver; only their count and checksum do.
+Each step is a grouped minimum (combined map-side, so a hub's edges are reduced before the shuffle), written as a table
+of one row a node, and an equi-join with it. As both sides of the join are plain scans, adaptive execution can split the
+partition of a hub. Edges never reach the driver; only their count and checksum do.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over edges (u > v): large links larger neighbours to the least one, small links the smaller ones and u."""
     if large:
         both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
         linked = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         linked = edges.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
     return linked.where("u > v").distinct()
 
@@ -32,7 +33,7 @@ def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     now = materialize(kept.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(max_steps):
-        now = materialize(_star(_star(now, True), False), "edges")
+        now = materialize(_star(materialize(_star(now, True), "edges"), False), "edges")
         sums = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sums == seen:
             break
