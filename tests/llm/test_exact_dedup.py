@@ -60,3 +60,17 @@ def test_filter_keeps_columns(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert exact_groups(docs).count() == 0 and drop_exact_copies(docs).count() == 0
+
+
+def test_second_key_is_drawn_anew(spark):
+    tried = []
+
+    def second(raw, seed):
+        tried.append(seed)
+        return F.lit(1).cast("long") if seed < 2 else F.xxhash64(F.lit(seed), raw)
+
+    docs = spark.createDataFrame(rows(5), SCHEMA)
+    named = name_documents(docs, block_bytes=16, key=lambda b: F.lit(7).cast("long"), second=second)
+    assert named.select("level", "name").distinct().count() == len({lower(t) for _, t, _, _ in rows(5)}) and max(tried) == 2
+    with pytest.raises(RuntimeError):
+        name_documents(docs, block_bytes=16, key=lambda b: F.lit(7).cast("long"), second=lambda b, seed: F.lit(seed).cast("long"))
