@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_rows, free_name, materialize
+from .common import arrow_rows, free_name, materialize, numbered
 from .components import connected_components
 
 WORDS, MAX_BITS, SEED = 4, 4, 42
@@ -58,14 +58,19 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs -> one row per input row: rid (row number within this scan), doc_id, fp (the fingerprint's bits as a long)."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rid: str | None = None) -> DataFrame:
+    """docs -> one row per input row: rid, doc_id, fp (the fingerprint's bits as a long).
+
+    rid names a column of row ids, if docs has one; else rows are numbered as they are read. Texts are read whole, one
+    at a time; null and empty ones have fingerprint zero.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(2)), np.uint64, batch.num_rows)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["rid", "doc_id", "fp"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
+    row = F.col(rid) if rid else F.monotonically_increasing_id()
+    rows = docs.select(row.alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
     return arrow_rows(rows, work, "rid long, doc_id long, fp long")
 
 
@@ -183,15 +188,16 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, shard_rows: int
     return dealt.groupBy("shard").applyInPandas(pair, "a long, b long")
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS, **options) -> DataFrame:
     """docs -> rid, doc_id, fp, component_id: the smallest doc_id reachable over links of max_bits or fewer.
 
     Also group, one fingerprint of the component, whatever the doc_ids are: the links are between fingerprints, so null
     and repeated doc_ids neither part nor join rows. Null texts and texts without words have fingerprint zero and are
     linked like any other. Repeated rows keep a row each. Empty input gives no rows. Null doc_ids are kept and never
-    become a component's id unless all are null.
+    become a component's id unless all are null. Other columns of docs are not read, so their names can't clash. options
+    go to fingerprints.
     """
-    fps = materialize(fingerprints(docs, text, doc_id), "fingerprints", 1)
+    fps = materialize(fingerprints(docs, text, doc_id, **options), "fingerprints", 1)
     points = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     parts = connected_components(link_fingerprints(points.select("fp", F.col("fp").alias("node")), max_bits))
     grouped = points.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
@@ -202,8 +208,12 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs that stand for their component: the one with the smallest doc_id (the first read, if repeated)."""
-    rid = free_name(docs, "rid")
-    groups = materialize(near_groups(docs, text, doc_id, max_bits), "neargroups")
-    kept = groups.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "rid")).alias("first")).select(F.col("first.rid").alias(rid))
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(kept, rid, "left_semi").drop(rid)
+    """The rows of docs that stand for their component: the one with the smallest doc_id (the first read, if repeated).
+
+    docs is written once with row ids, and both sides of the join read that table.
+    """
+    name = free_name(docs, "rid")
+    rows = numbered(docs, name)
+    groups = materialize(near_groups(rows, text, doc_id, max_bits, rid=name), "neargroups")
+    kept = groups.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "rid")).alias("first")).select(F.col("first.rid").alias(name))
+    return rows.join(kept, name, "left_semi").drop(name)
