@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import arrow_rows, free_name, materialize
+from .common import arrow_rows, free_name, materialize, numbered
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -29,14 +29,18 @@ BLOCK_ROWS = 2_000
 _NEAR = 1e-9
 
 
-def sized(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """docs -> rid (row number within this scan), doc_id, source, size (words; null text: 0)."""
+def sized(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", rid: str | None = None) -> DataFrame:
+    """docs -> rid, doc_id, source, size (words; null text: 0).
+
+    rid names a column of row ids, if docs has one; else rows are numbered as they are read.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes = [len(t.as_buffer().to_pybytes().split()) if t.is_valid else 0 for t in batch.column(3)]
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64())], ["rid", "doc_id", "source", "size"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("binary").alias("t"))
+    row = F.col(rid) if rid else F.monotonically_increasing_id()
+    rows = docs.select(row.alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("binary").alias("t"))
     return arrow_rows(rows, work, "rid long, doc_id long, source string, size long")
 
 
@@ -148,13 +152,14 @@ def settle(chances: np.ndarray, sizes: np.ndarray, rng: random.Random) -> np.nda
     return out
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES, seed: int = 42, block_rows: int = BLOCK_ROWS, rid: str | None = None) -> DataFrame:
     """docs -> rid, doc_id, source, size, source_size, target, copies, taken (size times copies).
 
     A null source is a source. A document without words counts for balancing and takes no words. Each input row has
-    one output row, repeated rows included; ties in size are settled by doc_id and row. Empty input gives no rows.
+    one output row, repeated rows included; ties in size are settled by doc_id and row. Empty input gives no rows. Texts
+    are read whole, and only their number of words goes on. Other columns of docs are not read.
     """
-    sizes = materialize(sized(docs, text, doc_id, source), "sizes", 1)
+    sizes = materialize(sized(docs, text, doc_id, source, rid), "sizes", 1)
     targets = source_targets(sizes, weights, max_copies)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = sizes.join(F.broadcast(targets) if targets.count() <= 100_000 else targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
@@ -180,7 +185,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
             chances = (settle if land else fly)(group["chance"].to_numpy(float), group["size"].to_numpy(float), rng)
             return group.assign(chance=chances)[columns]
 
-        flown = materialize(dealt.groupBy("rank", "block").applyInPandas(one, schema), "flown")
+        flown = materialize(dealt.groupBy("rank", "block").applyInPandas(one, schema), "flown", 1)
         if land:
             settled = flown if settled is None else settled.unionByName(flown)
             break
@@ -195,9 +200,11 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
 def apply_mix(docs: DataFrame, copies: str = "copies", **options) -> DataFrame:
     """The rows of docs that the mix takes, with all their columns and how many copies it takes of each.
 
-    A column of docs that has the new column's name gives way to it.
+    A column of docs that has the new column's name gives way to it. docs is written once with row ids, and both sides
+    of the join read that table.
     """
-    rid = free_name(docs, "rid")
-    taken = mix(docs, **options).where("copies > 0").select(F.col("rid").alias(rid), F.col("copies").alias(copies))
+    name = free_name(docs, "rid")
     kept = [c for c in docs.columns if c.lower() != copies.lower()]
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(rid)).join(taken, rid).drop(rid)
+    rows = numbered(docs, name)
+    taken = mix(rows, rid=name, **options).where("copies > 0").select(F.col("rid").alias(name), F.col("copies").alias(copies))
+    return rows.select(*[F.col(f"`{c}`") for c in kept], name).join(taken, name).drop(name)
