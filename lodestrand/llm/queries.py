@@ -57,7 +57,9 @@ CONTROL_CONVERSATION = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assis
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return digest(format_conversations(as_chain(rows.union(spark.createDataFrame(CONTROL_CONVERSATION, rows.schema)))))
+    both = [x.withColumn("conv_id", F.struct("conv_id", F.lit(mark).alias("control"))) for x, mark in ((rows, False), (spark.createDataFrame(CONTROL_CONVERSATION, rows.schema), True))]
+    # a conversation of the table that has the number -1 itself stays apart
+    return digest(format_conversations(as_chain(both[0].union(both[1])))).withColumn("conv_id", F.col("conv_id.conv_id"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,13 +98,13 @@ ORACLE: dict[str, str] = {
              s AS (SELECT *, (SELECT max_by('*/' || seg || '/*', (length(seg), seg)) FROM (VALUES {', '.join(f"('{x}')" for x in SEGMENTS)}) v(seg) WHERE contains(path || '/', '/' || seg || '/')) AS pat FROM m)
         SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN pat IS NULL THEN 'allow' ELSE 'block' END) AS verdict, coalesce(rule, pat) AS pattern FROM s""",
     "op8_chat_format": f"""
-        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-                   UNION ALL SELECT * FROM (VALUES {', '.join(str(x) for x in CONTROL_CONVERSATION)}))
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS control FROM conversations
+                   UNION ALL SELECT *, true FROM (VALUES {', '.join(str(x) for x in CONTROL_CONVERSATION)}))
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(24 + length(role) + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars
-        FROM c GROUP BY conv_id""",
+        FROM c GROUP BY conv_id, control""",
     "op5_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({_ASCII_LOWER}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -3,7 +3,10 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from lodestrand.llm.chat_format import as_chain, choose_paths, digest, format_conversations, read_loss, read_turns
+from lodestrand.llm.queries import op8_chat_format
 
 CHAIN = "conv_id long, turn long, role string, text string, node string"
 TREE = "conv_id long, node long, parent long, role string, text string, score double"
@@ -58,3 +61,32 @@ def test_long_chain_and_empty(spark):
     (r,) = digest(format_conversations(as_chain(spark.createDataFrame(rows, CHAIN)))).collect()
     assert r.n_turns == 300
     assert format_conversations(as_chain(spark.createDataFrame([], CHAIN))).count() == 0
+
+
+def test_repeated_messages_and_shared_nodes(spark):
+    rows = [(1, 10, None, "user", "root", 0.0), (1, 10, None, "user", "root", 0.0), (1, 11, 10, "assistant", "leaf", 1.0), (1, 11, 10, "assistant", "leaf", 1.0)]
+    rows += [(2, 10, None, "user", "other root", 0.0), (2, 11, 10, "assistant", "other leaf", None), (None, 10, None, "user", "no id", 0.0), (None, 11, 10, "assistant", "no id either", 0.0)]
+    rows += [(3, None, None, "user", "without a node", 0.0), (3, None, 10, "user", "nor this", 0.0)]
+    got = {(r.conv_id, r.branch): [tuple(t) for t in r.turns] for r in format_conversations(spark.createDataFrame(rows, TREE), branches=2).select("conv_id", "branch", read_turns(F.col("formatted")).alias("turns")).collect()}
+    assert got == {
+        (1, 1): [("user", "root"), ("assistant", "leaf")],
+        (2, 1): [("user", "other root"), ("assistant", "other leaf")],
+        (None, 1): [("user", "no id"), ("assistant", "no id either")],
+        (3, 1): [("user", got[3, 1][0][1])],
+        (3, 2): [("user", got[3, 2][0][1])],
+    }
+    assert {got[3, 1][0][1], got[3, 2][0][1]} == {"without a node", "nor this"}
+
+
+def test_a_real_control_conversation(spark, tmp_path):
+    rows = [(-1, 0, "user", "real"), (-1, 1, "assistant", "answer"), (4, 0, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r.conv_id, r.n_turns, r.loss_chars) for r in op8_chat_format(spark, str(tmp_path)).collect())
+    assert got == [(-1, 2, 6), (-1, 2, 21), (4, 1, 0)]
+
+
+def test_rows_out_of_a_shuffle(spark):
+    rows = [(c, t, "user" if t % 2 else "assistant", f"turn {t} of {c}", "x") for c in range(50) for t in range(c % 7 + 1)]
+    docs = spark.createDataFrame(rows, CHAIN)
+    want, got = (sorted(map(tuple, digest(format_conversations(as_chain(d))).collect())) for d in (docs, docs.repartition("text").distinct()))
+    assert got == want
