@@ -25,12 +25,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
-    """edges (a, b: long) -> (node, component): the least node that each node of any edge reaches.
+    """edges (a, b: of one type that can be compared) -> (node, component): the least node that each node reaches.
 
     Self-loops, repeated and null edges are ignored; a node without an edge to another node isn't listed.
     """
     kept = edges.where("a is not null and b is not null and a != b")
-    now = materialize(kept.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct(), "edges")
+    now = materialize(kept.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(max_steps):
         now = materialize(_star(materialize(_star(now, True), "edges"), False), "edges")

@@ -2,22 +2,28 @@
 
 A paragraph here is a sentence of at least MIN_WORDS words: text between line ends and sentence ends. Real paragraphs
 would miss a passage that was pasted into the middle of one; its sentences, but for the first, stay whole wherever it is
-pasted. Paragraphs are compared as sets of 5-word shingles.
+pasted. Words are runs between white space; in scripts that write without it (Han, kana) each character is a word.
+Paragraphs are compared as sets of 5-word shingles.
 
 1. *Bands.* ROWS min-hashes make a band, and BANDS bands a signature. Two paragraphs with a Jaccard similarity s meet in
    some band with probability 1 - (1 - s^ROWS)^BANDS: 0.998 at 0.8 and 1 for equal sets.
-2. *Join.* Equal paragraphs are one node, so copies make no pairs; those of a batch are one row before the shuffle.
-   Bands that hold one node are dropped after one shuffle of (band, node); only the rest fetch their shingles.
-3. *Verification.* Nodes that share a band are compared exactly, unless they are connected already. Linked nodes are
-   merged as they are found; a group returns at most one edge for each node.
-4. *Clusters* are connected components. In each the first paragraph (by document, then place) stays.
+2. *Join.* Equal paragraphs (by a 128-bit hash of their words) are one node, so copies make no pairs. A shuffle of (band,
+   node) tells which bands hold several nodes; only these nodes fetch their texts. A task knows by itself that a band it
+   sees twice is shared, and sends two of the band's nodes there and the others elsewhere, so that a band that a third of
+   all paragraphs share doesn't meet in one task.
+3. *Verification.* Nodes that share a band are compared exactly, by the words of their shingles, unless they are
+   connected already. A band with more than MOST nodes is taken apart first: all its nodes are compared with one of them,
+   the pivot. Those linked to it leave the band. As Jaccard distance is a metric, they can be linked to those with a
+   similarity to the pivot of 0.6 or more only, and are compared with these in slices; the others go on with a new pivot.
+4. *Clusters* are connected components.
 5. *Windows* find what paragraphs miss: passages of shorter sentences or short lines, or within one long sentence. Of
    each PASSAGE words in a row, the WINDOW words in a row with the least hash are a unit (winnowing), so that any PASSAGE
-   words that two texts share hold a whole common unit. Windows are compared by hash only. A window that repeats across
-   documents is reported, with all its places, if at some place it touches no repeated paragraph.
+   words that two texts share hold a whole common unit. Windows are equal by a 128-bit hash of their words. A window that
+   repeats across documents is reported, with all its places, if at some place it touches no reported paragraph.
+6. *Stretches.* Repeated units of a document with less than MIN_WORDS words between them form a stretch. Only stretches
+   of MIN_RUN words are passages; a shorter one, as a license line, is not reported.
 
-Whole paragraphs are 64-bit hashes of their words; shingles are kept as 32-bit hashes, which is all that a comparison of
-two paragraphs needs.
+In each cluster the first paragraph (by document, then place) stays.
 """
 
 from __future__ import annotations
@@ -33,19 +39,25 @@ from .common import arrow_parts, materialize
 from .components import connected_components
 
 SHINGLE, MIN_JACCARD, MIN_WORDS = 5, 0.8, 12
-BANDS, ROWS = 9, 3
+BANDS, ROWS = 6, 2
 PASSAGE, WINDOW = 50, 25
-#: Bytes of text that are hashed at once.
-_CHUNK = 1 << 20
+MIN_RUN = 25
+#: Nodes of a band that are compared in one task; larger bands are taken apart first.
+MOST = 2_000
+#: Pivots of a band before its rest is compared slice by slice.
+ROUNDS = 12
+#: Bytes of text that are hashed at once, and (band, node) rows that a task looks through at once.
+_CHUNK, _FLUSH = 1 << 20, 2_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LINE_END = np.zeros(256, bool)
 _LINE_END[[10, 13]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(x) for x in ".!?"]] = True
+#: Sentence ends of the scripts without spaces, as their three bytes.
+_WIDE_STOPS = np.array([int.from_bytes(x.encode(), "big") for x in "。！？"])
 _random = np.random.default_rng(20)
-#: A number for each byte at each place (of 64) in a word; a word's hash is their sum.
-_BYTES = _random.integers(0, 1 << 63, (64, 256), np.uint64, endpoint=True).reshape(-1)
+_BYTES = _random.integers(0, 1 << 63, 256, np.uint64, endpoint=True)
 _PLACES = _random.integers(0, 1 << 63, SHINGLE, np.uint64, endpoint=True) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _PERMS = _random.integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64, endpoint=True) | np.uint64(1)
@@ -66,15 +78,14 @@ def _sliding(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
     return best(x[: len(x) - n + size], x[n - size :]) if size < n else x
 
 
-def windows(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, last word and hash of the windows of some words' hashes, given the text of each word.
+def windows(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last word of the windows of some words' hashes, given the text of each word.
 
     Equal windows that follow each other within a text (stuffing) are one, from the first to the last.
     """
     n, span = len(words) - PASSAGE + 1, PASSAGE - WINDOW + 1
     if n < 1:
-        none = np.zeros(0, np.int64)
-        return none, none, none.view(np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(np.full(len(words), _BASE, np.uint64)), dtype=np.uint64)])
     back = np.cumprod(np.full(len(words) - WINDOW + 1, pow(_BASE, -1, 1 << 64), np.uint64))
     found = _mix((sums[WINDOW:] - sums[:-WINDOW]) * back)
@@ -84,193 +95,330 @@ def windows(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new = np.ones(len(at), bool)
     new[1:] = (found[at[1:]] != found[at[:-1]]) | (text[at[1:]] != text[at[:-1]]) | (np.diff(at) > span)
     heads = np.flatnonzero(new)
-    return at[heads], at[np.append(heads[1:], len(at)) - 1] + WINDOW - 1 if len(at) else at, found[at[heads]]
+    return at[heads], at[np.append(heads[1:], len(at)) - 1] + WINDOW - 1 if len(at) else at
 
 
-def paragraphs(raw: bytes, min_words: int, starts: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """The paragraphs of some bytes: first byte, length in bytes, words, whole (hash), and their shingles with offsets.
+def split_words(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte after the last, and hash of each word of some lower-cased bytes."""
+    space = _SPACE[at]
+    dense = (at >= 0xE3) & (at <= 0xE9)  # the first byte of a character from U+3000 to U+9FFF
+    apart = np.concatenate([[True], space[:-1]]) | dense
+    apart[3:] |= dense[:-3]
+    begins = apart & ~space
+    ends = ~space & np.concatenate([(space | begins)[1:], [True]])
+    first, after = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    if not len(first):
+        return first, after, np.zeros(0, np.uint64)
+    place = np.arange(len(at)) - np.repeat(np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(at)]])))
+    powers = np.cumprod(np.full(int((after - first).max()) + 1, _BASE, np.uint64))
+    value = _BYTES[at]
+    value[space] = 0
+    value *= powers[np.minimum(place, len(powers) - 1)]
+    return first, after, _mix(np.add.reduceat(value, first) + (after - first).astype(np.uint64))
+
+
+def _shingles(words: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of paragraphs that begin at these words and have n words each, and their offsets."""
+    m = n - SHINGLE + 1
+    offsets = np.concatenate([[0], np.cumsum(m)])
+    start = np.repeat(begin, m) + np.arange(offsets[-1]) - np.repeat(offsets[:-1], m)
+    out = np.zeros(len(start), np.uint64)
+    for k in range(SHINGLE):
+        out += words[start + k] * _PLACES[k]
+    return _mix(out), offsets
+
 
-    The same of the windows, but for shingles, under names with wide_; starts are the texts' first bytes.
+def units(raw: bytes, min_words: int, starts: np.ndarray | None = None) -> dict[str, list]:
+    """The paragraphs and windows of some texts' bytes (starts: each text's first byte), a list a field.
+
+    first and length (bytes), at (first word, counted over all texts), words (their number), text (the paragraph's words
+    with one space between them; None for windows), key (16 bytes: the hash of the words).
     """
+    from xxhash import xxh3_128_digest
+
+    out: dict[str, list] = {k: [] for k in ("first", "length", "at", "words", "text", "key")}
     at = np.frombuffer(raw.lower(), np.uint8)
-    space = _SPACE[at]
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    first, after = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    none = np.zeros(0, np.int64)
+    first, after, words = split_words(at)
     if len(first) < max(min_words, SHINGLE):
-        return {"first": none, "length": none, "words": none, "whole": none.view(np.uint64), "shingles": none.view(np.uint64), "offsets": np.zeros(1, np.int64), "wide_first": none, "wide_length": none, "wide_words": none, "wide_whole": none.view(np.uint64)}
-    place = np.arange(len(at)) - np.repeat(np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(at)]])))
-    value = _BYTES[((place & 63) << 8) | at]
-    value[space] = 0
-    words = _mix(np.add.reduceat(value, first) + (after - first).astype(np.uint64))
-    wide, wide_last, wide_whole = windows(words, np.searchsorted(np.zeros(1) if starts is None else starts, first, "right"))
-    wides = {"wide_first": first[wide], "wide_length": after[wide_last] - first[wide], "wide_words": wide_last - wide + 1, "wide_whole": wide_whole}
+        return out
     lines = np.concatenate([[0], np.cumsum(_LINE_END[at])])
-    ends = _STOP[at[after - 1]]
-    ends[:-1] |= lines[first[1:]] != lines[after[:-1]]
-    ends[-1] = True
-    last = np.flatnonzero(ends)
+    stops = _STOP[at[after - 1]]
+    if len(long := np.flatnonzero(after - first == 3)):
+        last = after[long]
+        wide = at[last - 3].astype(np.int64) << 16 | at[last - 2].astype(np.int64) << 8 | at[last - 1]
+        stops[long] |= np.isin(wide, _WIDE_STOPS)
+    stops[:-1] |= lines[first[1:]] != lines[after[:-1]]
+    stops[-1] = True
+    last = np.flatnonzero(stops)
     begin = np.concatenate([[0], last[:-1] + 1])
     kept = last - begin + 1 >= max(min_words, SHINGLE)
     begin, last = begin[kept], last[kept]
-    n = last - begin + 1
-    # every word of the kept paragraphs, in order
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    word = np.repeat(begin, n) + inner
-    spread = _mix(words[word] + inner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    whole = _mix(np.add.reduceat(spread, np.cumsum(n) - n) + n.astype(np.uint64)) if len(n) else none.view(np.uint64)
-    m = n - SHINGLE + 1
-    offsets = np.concatenate([[0], np.cumsum(m)])
-    start = np.repeat(begin, m) + np.arange(offsets[-1]) - np.repeat(offsets[:-1], m)
-    shingles = np.zeros(len(start), np.uint64)
-    for k in range(SHINGLE):
-        shingles += words[start + k] * _PLACES[k]
-    return {"first": first[begin], "length": after[last] - first[begin], "words": n, "whole": whole, "shingles": _mix(shingles), "offsets": offsets} | wides
+    wide_begin, wide_last = windows(words, np.searchsorted(np.zeros(1) if starts is None else starts, first, "right"))
+    # all words with a space after each
+    size = after - first
+    to = np.cumsum(size + 1) - size - 1
+    flat = np.full(to[-1] + size[-1] + 1, 32, np.uint8)
+    flat[np.repeat(to, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = at[~_SPACE[at]]
+    joined, stop = flat.tobytes(), to + size
+    for a, b in zip(begin.tolist(), last.tolist()):
+        out["text"].append(joined[to[a] : stop[b]])
+    out["key"] = [xxh3_128_digest(x) for x in out["text"]]
+    out["key"] += [xxh3_128_digest(joined[to[a] : stop[a + WINDOW - 1]]) for a in wide_begin.tolist()]
+    out["text"] += [None] * len(wide_begin)
+    a, b = np.concatenate([begin, wide_begin]), np.concatenate([last, wide_last])
+    out["first"], out["length"], out["at"], out["words"] = first[a], after[b] - first[a], a, b - a + 1
+    return out
 
 
 def bands(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The bands' keys of each paragraph, a row each."""
     out = np.zeros((len(offsets) - 1, BANDS), np.uint64)
     if len(out):
-        wide = _mix(shingles.astype(np.uint64))
         for k in range(BANDS * ROWS):
-            least = np.minimum.reduceat((wide ^ _PERMS[0, k]) * _PERMS[1, k], offsets[:-1])
+            least = np.minimum.reduceat((shingles ^ _PERMS[0, k]) * _PERMS[1, k], offsets[:-1])
             out[:, k // ROWS] = _mix(out[:, k // ROWS] + least + np.uint64(k))
     return out
 
 
-def _rows(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
-    """(row of each paragraph, of each window, both) for chunks of a batch; a chunk holds whole texts."""
-    texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(0)]
+def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about _CHUNK bytes; a longer text is a run of its own."""
     begin = 0
-    while begin < len(texts):
+    while begin < len(sizes):
         end, total = begin, 0
-        while end < len(texts) and (end == begin or total + len(texts[end]) < _CHUNK):
-            total += len(texts[end]) + 1
+        while end < len(sizes) and (end == begin or total + sizes[end] < _CHUNK):
+            total += sizes[end] + 1
             end += 1
-        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[begin:end]])])
-        found = paragraphs(b"\n".join(texts[begin:end]), min_words, starts)
-        row, wide = (np.searchsorted(starts, found[x], "right") - 1 for x in ("first", "wide_first"))
-        found["first"], found["wide_first"] = found["first"] - starts[row], found["wide_first"] - starts[wide]
-        yield row + begin, wide + begin, found
+        yield begin, end
         begin = end
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+FIELDS = ["rid", "doc_id", "start", "length", "at", "n_words", "h", "g", "text"]
+
+
+def _units_of(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(2)]
+        for begin, end in _chunks([len(t) for t in texts]):
+            starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[begin:end]])])
+            found = units(b"\n".join(texts[begin:end]), min_words, starts)
+            if len(found["first"]):
+                row = np.searchsorted(starts, found["first"], "right") - 1
+                ids = pa.array(row + begin)
+                keys = np.frombuffer(b"".join(found["key"]), np.int64).reshape(-1, 2)
+                numbers = [found["first"] - starts[row], found["length"], found["at"], found["words"], np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), *map(pa.array, numbers), pa.array(found["text"], pa.binary())], FIELDS)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, n_words, text) -> band, h, slot, known; see step 2. Slot 0 holds what has to meet."""
+
+    def told(band: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((h, band))
+        band, h = band[order], h[order]
+        new = np.concatenate([[True], (band[1:] != band[:-1]) | (h[1:] != h[:-1])])
+        band, h = band[new], h[new]
+        heads = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+        size = np.diff(np.append(heads, len(band)))
+        place = np.arange(len(band)) - np.repeat(heads, size)
+        slot = np.where(place < 2, 0, h | 1)
+        return pa.RecordBatch.from_arrays([pa.array(band.view(np.int64)), pa.array(h), pa.array(slot), pa.array(np.repeat(size > 1, size))], ["band", "h", "slot", "known"])
+
+    held, rows = ([], []), 0
+    for batch in batches:
+        texts = [t.as_buffer().to_pybytes() for t in batch.column(2)]
+        sizes = batch.column(1).to_numpy()
+        for begin, end in _chunks([len(t) for t in texts]):
+            words = split_words(np.frombuffer(b"\n".join(texts[begin:end]), np.uint8))[2]
+            n = sizes[begin:end]
+            keys = bands(*_shingles(words, np.cumsum(n) - n, n))
+            # the band's number is part of its key
+            held[0].append(_mix(keys + np.arange(BANDS, dtype=np.uint64)).reshape(-1))
+            held[1].append(np.repeat(batch.column(0).to_numpy()[begin:end], BANDS))
+            rows += keys.size
+        if rows > _FLUSH:
+            yield told(*map(np.concatenate, held))
+            held, rows = ([], []), 0
+    if rows:
+        yield told(*map(np.concatenate, held))
+
+
+def _sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' sets of shingles as numbers, one after the other, and how many each has; equal shingles by their words."""
+    numbers: dict[tuple, int] = {}
+    flat: list[int] = []
+    n = []
+    for text in texts:
+        words = text.split(b" ")
+        mine = {numbers.setdefault(tuple(words[i : i + SHINGLE]), len(numbers)) for i in range(len(words) - SHINGLE + 1)}
+        flat += mine
+        n.append(len(mine))
+    return np.array(flat, np.int64), np.array(n, np.int64)
+
+
+def link(texts: list[bytes], right: np.ndarray | None, min_jaccard: float) -> list[tuple[int, int]]:
+    """Links that connect all similar ones of some texts; right: only pairs of a left and a right text are compared, and
+    the left ones are connected already."""
+    flat, n = _sets(texts)
+    offsets = np.cumsum(n) - n
+    label, out = np.arange(len(texts)), []
+    if right is not None:
+        label[~right] = np.flatnonzero(~right)[0] if not right.all() else 0
+    mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    for i in range(len(texts)) if right is None else np.flatnonzero(right).tolist():
+        others = label != label[i]
+        if right is None:
+            others[: i + 1] = False
+        else:
+            others &= ~right
+        others = np.flatnonzero(others)
+        if not len(others):
+            continue
+        mine = flat[offsets[i] : offsets[i] + n[i]]
+        mark[mine] = True
+        where = np.repeat(offsets[others] - (np.cumsum(n[others]) - n[others]), n[others]) + np.arange(n[others].sum())
+        both = np.add.reduceat(mark[flat[where]], np.cumsum(n[others]) - n[others], dtype=np.int64)
+        mark[mine] = False
+        for j in others[both >= min_jaccard * (n[i] + n[others] - both)].tolist():
+            if label[i] != label[j]:
+                out.append((i, j))
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+    return out
 
 
-def _short(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(32)).astype(np.uint32)
+def _verify(rows: DataFrame, block: list, parts: int, min_jaccard: float) -> DataFrame:
+    """rows (h, g, text, right or null) of blocks -> edges between nodes; a task has whole blocks, one after the other."""
 
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        edges = []
+        for _, one in group.groupby("block", sort=True):
+            one = one.sort_values(["h", "g"], ignore_index=True)
+            right = None if one["right"].isna().all() else one["right"].to_numpy(bool)
+            nodes = list(zip(one["h"].tolist(), one["g"].tolist()))
+            edges += [nodes[i] + nodes[j] for i, j in link(one["text"].tolist(), right, min_jaccard)]
+        return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 4), columns=["ah", "ag", "bh", "bg"])
 
-def _pairs_in(nodes: np.ndarray, sets: list[np.ndarray], label: dict[int, int], min_jaccard: float) -> None:
-    """Merges the nodes of one band whose sets are similar enough; label maps a node to another one of its cluster."""
+    dealt = rows.withColumn("block", F.xxhash64(*block)).withColumn("shard", F.pmod(F.xxhash64("block", F.lit(7)), F.lit(parts)))
+    found = dealt.select("shard", "block", "h", "g", "text", "right").groupBy("shard").applyInPandas(run, "ah long, ag long, bh long, bg long")
+    return found.select(F.struct(F.col("ah").alias("h"), F.col("ag").alias("g")).alias("a"), F.struct(F.col("bh").alias("h"), F.col("bg").alias("g")).alias("b"))
 
-    def find(x: int) -> int:
-        while label[x] != x:
-            label[x] = label[label[x]]
-            x = label[x]
-        return x
 
-    n = np.array([len(s) for s in sets])
-    flat, offsets = np.concatenate(sets), np.cumsum(n) - n
-    values, flat = np.unique(flat, return_inverse=True)
-    mark = np.zeros(len(values), bool)
-    for i in range(len(nodes) - 1):
-        mine = flat[offsets[i] : offsets[i] + n[i]]
-        mark[mine] = True
-        both = np.add.reduceat(mark[flat[offsets[i + 1] :]], offsets[i + 1 :] - offsets[i + 1], dtype=np.int64)
-        mark[mine] = False
-        for j in np.flatnonzero(both >= min_jaccard * (n[i] + n[i + 1 :] - both)) + i + 1:
-            a, b = find(int(nodes[i])), find(int(nodes[j]))
-            label[max(a, b)] = min(a, b)
+def _against_pivots(rows: DataFrame, min_jaccard: float) -> DataFrame:
+    """rows (band, h, g, text, pivot) with ring: 0 linked to the pivot, 1 possibly linked to such a node, 2 neither."""
+    reach = max(0.0, 2 * min_jaccard - 1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rings = []
+            for text, pivot in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                a, b = ({tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)} for w in (text.split(b" "), pivot.split(b" ")))
+                both = len(a & b)
+                union = len(a) + len(b) - both
+                rings.append(0 if both >= min_jaccard * union else 1 if both >= reach * union - 1e-9 else 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(rings, pa.int32())], ["band", "h", "g", "text", "ring"])
+
+    return arrow_parts(rows.select("band", "h", "g", "text", "pivot"), work, "band long, h long, g long, text binary, ring int")
+
+
+def link_bands(meet: DataFrame, min_jaccard: float = MIN_JACCARD, most: int = MOST, rounds: int = ROUNDS) -> DataFrame:
+    """meet (band, h, g, text: distinct nodes of each band) -> edges (a, b) that connect all similar nodes of a band."""
+    no_side = F.lit(None).cast("boolean").alias("right")
+    edges, rest = [], meet
+    sizes = materialize(rest.groupBy("band").count(), "bandsizes")
+    for _ in range(rounds):
+        large = sizes.where(F.col("count") > most).select("band")
+        if large.isEmpty():
+            break
+        hot, cool = rest.join(large, "band", "left_semi"), rest.join(large, "band", "left_anti")
+        pivots = materialize(hot.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "h", "g"), "h", "g", F.col("text").alias("pivot"))).alias("p")), "pivots", 1)
+        rings = materialize(_against_pivots(hot.join(pivots.select("band", "p.pivot"), "band"), min_jaccard), "rings", 1)
+        node = F.struct("h", "g")
+        edges.append(rings.where("ring = 0").join(pivots.select("band", F.struct("p.h", "p.g").alias("b")), "band").select(node.alias("a"), "b").where("a != b"))
+        # the linked ones in slices, against slices of those that may be linked to them
+        cuts = materialize(rings.groupBy("band").agg(F.ceil(F.count_if(F.col("ring") == 0) / most).alias("n0"), F.ceil(F.count_if(F.col("ring") == 1) / most).alias("n1")).where("n1 > 0"), "cuts")
+        sided = rings.where("ring < 2").join(cuts, "band").withColumn("right", F.col("ring") == 1)
+        own = F.pmod(F.xxhash64("h", "g"), F.when(F.col("right"), F.col("n1")).otherwise(F.col("n0")))
+        sided = sided.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("right"), F.col("n0")).otherwise(F.col("n1")) - 1)))
+        sided = sided.withColumn("i", F.when(F.col("right"), F.col("other")).otherwise(F.col("own"))).withColumn("j", F.when(F.col("right"), F.col("own")).otherwise(F.col("other")))
+        edges.append(_verify(sided, ["band", "i", "j"], max(1, -(-sided.count() // 20_000)), min_jaccard))
+        rest = materialize(cool.unionByName(rings.where("ring > 0").select("band", "h", "g", "text")), "rest", 1)
+        sizes = materialize(rest.groupBy("band").count(), "bandsizes")
+    else:  # what is still large is compared slice by slice
+        large = sizes.where(F.col("count") > most).withColumn("k", F.ceil(F.col("count") / most)).select("band", "k")
+        sliced = rest.join(large, "band").withColumn("own", F.pmod(F.xxhash64("h", "g"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        sliced = sliced.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("band", "i", "j", "h", "g", "text", no_side)
+        edges.append(_verify(sliced, ["band", "i", "j"], max(1, -(-sliced.count() // 20_000)), min_jaccard))
+        rest = rest.join(large.select("band"), "band", "left_anti")
+    several = rest.join(sizes.where("count > 1").select("band"), "band", "left_semi").select("band", "h", "g", "text", no_side)
+    out = _verify(several, ["band"], max(1, -(-int(sizes.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]) // 20_000)), min_jaccard)
+    for more in edges:
+        out = out.unionByName(more)
+    return out
 
 
-def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, min_jaccard: float = MIN_JACCARD) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, min_jaccard: float = MIN_JACCARD, min_run: int = MIN_RUN, most: int = MOST) -> DataFrame:
     """docs -> one row per paragraph that repeats across documents, and per window that repeats apart from those.
 
     rid (row number within this scan), doc_id, start and length (UTF-8 bytes of the text, from 0), n_words,
-    component_id, component_size, removed: false for the first paragraph of its cluster, which stays.
-    A cluster lies in two rows of docs at least; repetition within one row alone isn't reported. Null and empty texts
-    and shorter paragraphs give no rows. Repeated rows of docs repeat each other.
+    component_id, component_size, removed: false for the first paragraph of its cluster, which stays (of equal doc_ids
+    the row read first, null ids first).
+    A cluster lies in two rows of docs at least; repetition within one row alone isn't reported, nor are stretches of
+    less than min_run words. Null and empty texts and shorter ones give no rows. Repeated rows of docs repeat each other.
+    Texts are read whole, a long one as one chunk. An empty table gives no rows. Other columns aren't read.
     """
-    names = ["rid", "doc_id", "start", "length", "n_words", "h", "shingles"]
-
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, wide, found in _rows(batch.select([2]), min_words):
-                if len(row):
-                    at = pa.array(row)
-                    sets = pa.ListArray.from_arrays(pa.array(found["offsets"].astype(np.int32)), pa.array(_short(found["shingles"]).view(np.int32)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found["first"]), pa.array(found["length"]), pa.array(found["words"]), _signed(found["whole"]), sets], names)
-                if len(wide):
-                    at = pa.array(wide)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(found[f"wide_{x}"]) for x in ("first", "length", "words")), _signed(found["wide_whole"]), pa.nulls(len(wide), pa.list_(pa.int32()))], names)
-
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    both = materialize(arrow_parts(rows, units, "rid long, doc_id long, start long, length long, n_words long, h long, shingles array<int>"), "paragraphs", 1)
-    all_units, wide = both.where("shingles is not null"), both.where("shingles is null").drop("shingles")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = batch.column(1)
-            offsets = sets.offsets.to_numpy().astype(np.int64)
-            keys = bands(sets.values.to_numpy().view(np.uint32)[offsets[0] : offsets[-1]], offsets - offsets[0])
-            # the band's number is part of its key
-            band, h = _mix(keys + np.arange(BANDS, dtype=np.uint64)).reshape(-1), np.repeat(batch.column(0).to_numpy(), BANDS)
-            order = np.lexsort((h, band))
-            band, h = band[order], h[order]
-            new = np.concatenate([[True], (band[1:] != band[:-1]) | (h[1:] != h[:-1])])
-            yield pa.RecordBatch.from_arrays([_signed(band[new]), pa.array(h[new])], ["band", "h"])
-
-    meet = arrow_parts(all_units.select("h", "shingles"), keyed, "band long, h long")
-    w = W.partitionBy("band")
-    meet = meet.select("band", "h", (F.min("h").over(w) != F.max("h").over(w)).alias("shared")).where("shared").select("band", "h").distinct()
-    meet = materialize(meet, "meetings", 1)
-    wanted = meet.select("h").distinct()
+    schema = "rid long, doc_id long, start long, length long, at long, n_words long, h long, g long, text binary"
+    both = materialize(arrow_parts(rows, lambda x: _units_of(x, min_words), schema), "units", 1)
+    paragraphs, wide = both.where("text is not null"), both.where("text is null")
+    meet = arrow_parts(paragraphs.select("h", "n_words", "text"), _keyed, "band long, h long, slot long, known boolean")
+    w = W.partitionBy("band", "slot")
+    meet = meet.withColumn("shared", F.col("known") | (F.min("h").over(w) != F.max("h").over(w)))
+    meet = materialize(meet.where("shared").select("band", "h").distinct(), "meetings", 1)
     # copies are combined before the shuffle
-    sets = all_units.groupBy("h").agg(F.first("shingles").alias("shingles")).join(wanted, "h", "left_semi")
-    parts = max(1, -(-meet.count() // 20_000))
-
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["band", "h"], ignore_index=True)
-        band, nodes = group["band"].to_numpy(), group["h"].to_numpy()
-        sets = [np.unique(x) for x in group["shingles"]]
-        label = {int(x): int(x) for x in nodes}
-        cuts = np.flatnonzero(np.diff(band)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(band)]):
-            if b - a > 1:
-                _pairs_in(nodes[a:b], sets[a:b], label, min_jaccard)
-        edges = [(a, b) for a, b in label.items() if a != b]
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-
-    shard = F.pmod(F.xxhash64("band"), F.lit(parts))
-    edges = meet.join(sets, "h").withColumn("shard", shard).groupBy("shard").applyInPandas(verify, "a long, b long")
-    clusters = connected_components(edges)
-    numbers = all_units.select("rid", "doc_id", "start", "length", "n_words", "h")
-    nodes = numbers.groupBy("h").agg(F.count("*").alias("n"), F.min("rid").alias("r0"), F.max("rid").alias("r1"), F.min(F.struct("doc_id", "rid", "start")).alias("first"))
-    nodes = nodes.join(clusters.withColumnRenamed("node", "h"), "h", "left").withColumn("component_id", F.coalesce("component", "h")).drop("component")
-    groups = nodes.groupBy("component_id").agg(F.sum("n").alias("component_size"), F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("first").alias("first")).where("r0 != r1")
-    # A table of its own, so that adaptive execution can split a hot paragraph's join.
-    labelled = nodes.select("h", "component_id").join(groups.select("component_id", "component_size", "first"), "component_id")
-    labelled = materialize(labelled, "labelled")
-    out = numbers.join(labelled, "h")
-    stays = (F.col("rid") == F.col("first.rid")) & (F.col("start") == F.col("first.start"))
-    out = materialize(out.select("rid", "doc_id", "start", "length", "n_words", "component_id", "component_size", (~stays).alias("removed")), "repeats")
-    return out.unionByName(_apart(wide, out))
-
-
-def _apart(wide: DataFrame, repeats: DataFrame) -> DataFrame:
-    """The windows that repeat across documents and somewhere touch no repeated paragraph, as rows like these."""
-    places = wide.groupBy("h").agg(F.count("*").alias("component_size"), F.min("rid").alias("r0"), F.max("rid").alias("r1"), F.min(F.struct("doc_id", "rid", "start")).alias("first")).where("r0 != r1")
-    found = materialize(wide.join(materialize(places.drop("r0", "r1"), "places"), "h"), "windows")
-    end = (F.col("start") + F.col("length")).alias("end")
-    spans = repeats.select("rid", "start", end, F.lit(None).cast("long").alias("h")).union(found.select("rid", "start", end, "h"))
-    up, down = W.partitionBy("rid").orderBy("start", F.col("h").asc_nulls_first()), W.partitionBy("rid").orderBy(F.desc("start"))
-    up, down = (w.rowsBetween(W.unboundedPreceding, W.currentRow) for w in (up, down))
-    spans = spans.withColumn("before", F.max(F.when(F.col("h").isNull(), F.col("end"))).over(up)).withColumn("next", F.min(F.when(F.col("h").isNull(), F.col("start"))).over(down))
-    free = spans.where("h is not null and coalesce(before <= start, true) and coalesce(next >= end, true)").select("h").distinct()
+    texts = paragraphs.join(meet.select("h").distinct(), "h", "left_semi").groupBy("h", "g").agg(F.first("text").alias("text"))
+    clusters = materialize(connected_components(link_bands(materialize(meet.join(texts, "h"), "bands", 1), min_jaccard, most)), "clusters")
+    clusters = clusters.select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), F.col("component.h").alias("ch"), F.col("component.g").alias("cg"))
+
+    def spread(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.min("r0").alias("r0"), F.max("r1").alias("r1")).where("r0 != r1").select(*by)
+
+    numbers = paragraphs.drop("text")
+    nodes = numbers.groupBy("h", "g").agg(F.min("rid").alias("r0"), F.max("rid").alias("r1")).join(clusters, ["h", "g"], "left")
+    nodes = materialize(nodes.select("h", "g", F.coalesce("ch", "h").alias("ch"), F.coalesce("cg", "g").alias("cg"), "r0", "r1"), "nodes")
+    # tables of their own, so that adaptive execution can split a hot paragraph's join
+    labelled = materialize(nodes.join(spread(nodes, "ch", "cg"), ["ch", "cg"]).select("h", "g", "ch", "cg"), "labelled")
+    ends = wide.select("h", "g", F.col("rid").alias("r0"), F.col("rid").alias("r1"))
+    places = materialize(spread(ends, "h", "g"), "places")
+    columns = ["rid", "doc_id", "start", "length", "at", "n_words", "ch", "cg", "wide"]
+    found = numbers.join(labelled, ["h", "g"]).withColumn("wide", F.lit(False)).select(*columns)
+    found = found.unionByName(wide.join(places, ["h", "g"]).select(*columns[:6], F.col("h").alias("ch"), F.col("g").alias("cg"), F.lit(True).alias("wide")))
+    return _reported(_stretches(found, min_run, min_words))
+
+
+def _stretches(found: DataFrame, min_run: int, gap: int) -> DataFrame:
+    """The repeated units that lie in stretches of at least min_run words."""
+    by = W.partitionBy("rid").orderBy("at", "n_words", "wide", "ch")
+    end = F.col("at") + F.col("n_words")
+    before = F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1))
+    cut = found.withColumn("new", F.when(F.col("at") >= before + gap, 1).otherwise(0))
+    cut = cut.withColumn("stretch", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    whole = W.partitionBy("rid", "stretch")
+    return cut.withColumn("run", F.max(end).over(whole) - F.min("at").over(whole)).where(F.col("run") >= min_run).drop("new", "stretch", "run")
+
+
+def _reported(found: DataFrame) -> DataFrame:
+    """The units as result rows: paragraphs, and windows that touch no paragraph in some document."""
+    end = F.col("at") + F.col("n_words")
+    order = [F.col("at"), F.col("wide").cast("int")]
+    up = W.partitionBy("rid").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    down = W.partitionBy("rid").orderBy(F.desc("at"), F.desc("wide")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    narrow = F.when(~F.col("wide"), end), F.when(~F.col("wide"), F.col("at"))
+    spans = found.withColumn("before", F.max(narrow[0]).over(up)).withColumn("next", F.min(narrow[1]).over(down))
+    free = F.col("wide") & F.coalesce(F.col("before") <= F.col("at"), F.lit(True)) & F.coalesce(F.col("next") >= end, F.lit(True))
+    rows = materialize(spans.withColumn("free", free).drop("before", "next"), "repeats", 1)
+    groups = rows.groupBy("ch", "cg", "wide").agg(F.count("*").alias("component_size"), F.min("rid").alias("r0"), F.max("rid").alias("r1"), F.min(F.struct("doc_id", "rid", "start")).alias("first"), F.max("free").alias("free"))
+    groups = materialize(groups.where("r0 != r1 and (free or not wide)").drop("r0", "r1", "free"), "groups")
+    out = rows.drop("free").join(groups, ["ch", "cg", "wide"])
     stays = (F.col("rid") == F.col("first.rid")) & (F.col("start") == F.col("first.start"))
-    kept = found.join(materialize(free, "free"), "h", "left_semi")
-    return kept.select("rid", "doc_id", "start", "length", "n_words", F.col("h").alias("component_id"), "component_size", (~stays).alias("removed"))
+    name = F.concat(F.lpad(F.hex("ch"), 16, "0"), F.lpad(F.hex("cg"), 16, "0"))
+    return out.select("rid", "doc_id", "start", "length", "n_words", F.lower(name).alias("component_id"), "component_size", (~stays).alias("removed"))

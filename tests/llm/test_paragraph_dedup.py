@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from lodestrand.llm.paragraph_dedup import paragraphs, repeated_paragraphs
+from lodestrand.llm.paragraph_dedup import MIN_JACCARD, link_bands, repeated_paragraphs, split_words, units
 
 SCHEMA = "doc_id long, text string, rid string"
 
@@ -65,7 +65,7 @@ def test_against_all_pairs(spark):
             body.insert(2, " ".join(words).upper() + ".")
         rows.append((i, rng.choice(["\n", " "]).join(body), "x"))
     rows += [(99, None, None), (98, "", "x"), (97, "short", "x"), (3, rows[3][1], "again")]
-    got = found(repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)))
+    got = found(repeated_paragraphs(spark.createDataFrame(rows, SCHEMA), min_run=0))
     assert got == plain(rows) and any(len(g) >= 8 for g in got)
 
 
@@ -78,7 +78,8 @@ def test_spans_cut_the_text(spark):
     line = "Ünd two three four five six seven eight nine ten eleven twelve thirteen."
     rows = [(1, f"Start. {line} End.", "x"), (2, f"é\n{line}", "x")]
     texts = {d: t.encode() for d, t, _ in rows}
-    out = repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)).count() == 0  # too short a stretch for a passage
+    out = repeated_paragraphs(spark.createDataFrame(rows, SCHEMA), min_run=12).collect()
     assert [texts[r.doc_id][r.start : r.start + r.length].decode() for r in out] == [line, line]
 
 
@@ -86,17 +87,86 @@ def test_empty(spark):
     assert repeated_paragraphs(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def windows_of(found):
+    return [k for k, t in zip(found["key"], found["text"]) if t is None]
+
+
 def test_any_fifty_shared_words_hold_a_window():
     rng = random.Random(4)
     for _ in range(200):
         passage = prose(rng, 50)
         texts = [" ".join([prose(rng, rng.randint(0, 60)), passage, prose(rng, rng.randint(0, 60))]).strip().encode() for _ in range(2)]
-        together = paragraphs(b"\n".join(texts), 12, np.array([0, len(texts[0]) + 1]))
-        alone = [paragraphs(t, 12) for t in texts]
-        assert set(alone[0]["wide_whole"]) & set(alone[1]["wide_whole"])
-        assert np.array_equal(np.concatenate([x["wide_whole"] for x in alone]), together["wide_whole"])
-    stuffed = paragraphs(b"buy now " * 500, 12)
-    assert stuffed["wide_whole"].size == 1 and stuffed["wide_words"][0] >= 950
+        together = units(b"\n".join(texts), 12, np.array([0, len(texts[0]) + 1]))
+        alone = [units(t, 12) for t in texts]
+        assert set(windows_of(alone[0])) & set(windows_of(alone[1]))
+        assert windows_of(together) == [k for x in alone for k in windows_of(x)]
+    stuffed = units(b"buy now " * 500, 12)
+    assert [n for n, t in zip(stuffed["words"], stuffed["text"]) if t is None] == [n for n in stuffed["words"].tolist()[1:] if n >= 950] and len(stuffed["words"]) == 2
+
+
+def test_words_of_scripts_without_spaces():
+    text = "the cat 日本語 テa b".encode()
+    first, after, _ = split_words(np.frombuffer(text, np.uint8))
+    assert [text[a:b].decode() for a, b in zip(first, after)] == ["the", "cat", "日", "本", "語", "テ", "a", "b"]
+
+
+def test_japanese_sentences(spark):
+    rng = random.Random(6)
+    made = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    shared = "".join(made(18) + "。" for _ in range(4))
+    rows = [(i, made(40) + "。" + shared + made(30) + "。", "x") for i in range(2)] + [(2, made(200), "x")]
+    out = repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id for r in out} == {0, 1} and {r.doc_id for r in out if r.removed} == {1}
+
+
+def test_words_that_differ_far_behind_their_start(spark):
+    a, b = "x" * 64 + "y", "y" + "x" * 64
+    body = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"{a} {body}.", "x"), (2, f"{b} {body}.", "x"), (3, " ".join([a] * 13 + [b] * 12) + ".", "x"), (4, " ".join([b] * 13 + [a] * 12) + ".", "x")]
+    out = repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id for r in out} == {1, 2}
+
+
+def components(nodes, pairs):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def test_large_bands_lose_no_link(spark):
+    rng = random.Random(7)
+    texts = []
+    for _ in range(3):  # families that drift away from their first text, and loners
+        base = prose(rng, 24).split()
+        for _ in range(30):
+            base = list(base)
+            base[rng.randrange(24)] = prose(rng, 1)
+            texts.append(" ".join(base))
+    texts += [prose(rng, 24) for _ in range(10)]
+    rows = [(band, i, i, t.encode()) for i, t in enumerate(texts) for band in (1, 2 + i % 2)] + [(9, 0, 0, texts[0].encode())]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(20)} for t in texts]
+    want = components(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert 10 < len(set(want.values())) < len(texts)
+    meet = spark.createDataFrame(rows, "band long, h long, g long, text binary")
+    for most, rounds in ((2000, 12), (7, 40), (7, 2), (3, 1)):
+        edges = [(a.h, b.h) for a, b in link_bands(meet, MIN_JACCARD, most, rounds).collect()]
+        assert components(range(len(texts)), edges) == want and len(edges) < 3 * len(texts) * (rounds + 1)
+
+
+def test_one_line_everywhere(spark):
+    rng = random.Random(9)
+    line = prose(rng, 26) + "."
+    rows = [(i, f"{prose(rng, 20)}.\n{line if i % 3 else line.replace(line.split()[i % 25], f'v{i}')}\n{prose(rng, 20)}.", None) for i in range(300)]
+    got = found(repeated_paragraphs(spark.createDataFrame(rows, SCHEMA), most=20))
+    assert got == plain(rows) and len(got) == 1 and len(got[0]) == 212
 
 
 def test_passages_without_a_long_sentence_of_their_own(spark):
