@@ -2,12 +2,11 @@
 
 import corpus_pipeline
 from lodestrand.llm.common import materialize
-from lodestrand.llm.langid import held_out, train
 
 from .test_cube_mix import plain_targets
 from .test_decontaminate import plain as plain_cover
 from .test_exact_dedup import lower
-from .test_langid import plain as plain_language
+from .test_langid import Plain, learned
 from .test_simhash_vptree import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -24,8 +23,8 @@ def test_stages(spark):
         got = {r.doc_id for r in kept.collect()}
         assert kept.count() == len(got)
         if name == "language_id":
-            model = train(docs.where(~held_out()))
-            found = {i: plain_language(model, r.text) for i, r in rows.items()}
+            plain_language = Plain(learned(docs))
+            found = {i: plain_language(r.text) for i, r in rows.items()}
             want = {i for i, (lang, score) in found.items() if lang != "und" and score >= 0.5}
         elif name == "exact_dedup":
             last = {lower(r.text): i for i, r in sorted(rows.items())}
