@@ -62,7 +62,7 @@ def _tree(messages: DataFrame) -> DataFrame:
         return rows
     by = [F.asc_nulls_last(c) for c in ("parent", "score", "role", "text") if c in messages.columns]
     once = known.withColumn("copy", F.row_number().over(W.partitionBy("conv_id", "node").orderBy(*by, "id"))).where("copy = 1").drop("copy")
-    return materialize(rows.where("node is null").unionByName(once), "messages", 1)
+    return materialize(rows.where("node is null").unionByName(once), "messages")
 
 
 def _linked(rows: DataFrame) -> DataFrame:

@@ -25,20 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Shuffle partitions that share a file of a table of numbers, whose rows are far smaller than those of texts.
-PER_FILE = 8
-
-
-def materialize(df: DataFrame, name: str, per_file: int = PER_FILE) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
 
-    A task writes per_file shuffle partitions to one file; tables with texts take 1. The files go when the driver's JVM
-    ends.
+    Adaptive execution decides how many files there are. They go when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestrand-{name}-{uuid.uuid4().hex}"
-    if per_file > 1:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // per_file))
     df.write.parquet(path)
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -52,7 +45,7 @@ def numbered(df: DataFrame, rid: str, name: str = "rows") -> DataFrame:
     Row ids hold for one evaluation only: rows come in another order when a shuffle is repeated, and even a scan is cut
     anew when the number of cores changes. So whoever joins by row id must read both sides from a table like this one.
     """
-    return materialize(df.withColumn(rid, F.monotonically_increasing_id()), name, 1)
+    return materialize(df.withColumn(rid, F.monotonically_increasing_id()), name)
 
 
 def ascii_lower(text: Column) -> Column:

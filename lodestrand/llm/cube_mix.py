@@ -159,7 +159,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     one output row, repeated rows included; ties in size are settled by doc_id and row. Empty input gives no rows. Texts
     are read whole, and only their number of words goes on. Other columns of docs are not read.
     """
-    sizes = materialize(sized(docs, text, doc_id, source, rid), "sizes", 1)
+    sizes = materialize(sized(docs, text, doc_id, source, rid), "sizes")
     targets = source_targets(sizes, weights, max_copies)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = sizes.join(F.broadcast(targets) if targets.count() <= 100_000 else targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
@@ -185,7 +185,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
             chances = (settle if land else fly)(group["chance"].to_numpy(float), group["size"].to_numpy(float), rng)
             return group.assign(chance=chances)[columns]
 
-        flown = materialize(dealt.groupBy("rank", "block").applyInPandas(one, schema), "flown", 1)
+        flown = materialize(dealt.groupBy("rank", "block").applyInPandas(one, schema), "flown")
         if land:
             settled = flown if settled is None else settled.unionByName(flown)
             break

@@ -60,7 +60,7 @@ def name_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     for seed in range(TRIES):
         pair = lambda df: df.withColumn("h", key(F.col("bytes"))).withColumn("g", second(F.col("bytes"), seed)).drop("bytes")  # noqa: B023,E731
         ids = {"rid": F.col(rid) if rid else F.monotonically_increasing_id(), "doc_id": F.col(doc_id)}
-        rows = materialize(pair(_blocks(docs, text, block_bytes, ids)), "blockkeys", 1)
+        rows = materialize(pair(_blocks(docs, text, block_bytes, ids)), "blockkeys")
         held = _blocks(docs, text, block_bytes, {}).select(key(F.col("bytes")).alias("h"), second(F.col("bytes"), seed).alias("g"), "bytes")
         if held.groupBy("h", "g").agg(F.size(F.collect_set("bytes")).alias("k")).agg(F.coalesce(F.max("k"), F.lit(0))).first()[0] <= 1:
             break

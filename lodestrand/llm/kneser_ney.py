@@ -202,7 +202,7 @@ def score(docs: DataFrame, tables: dict[tuple[str, int], DataFrame], text: str =
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(units), pa.array(sums, pa.float64()), *lists], ["rid", *keep, "units", "head", "g", "c"])
 
     schema = ", ".join(["rid long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "units long, head double, g array<long>, c array<long>"])
-    heads = materialize(docs.select(F.col(text), F.monotonically_increasing_id().alias("rid"), *keep).mapInArrow(run, schema), "heads", 1)
+    heads = materialize(docs.select(F.col(text), F.monotonically_increasing_id().alias("rid"), *keep).mapInArrow(run, schema), "heads")
     tail = heads.select("rid", F.explode(F.arrays_zip("g", "c")).alias("x")).select("rid", "x.g", "x.c")
     values = materialize(_values(tail.select("g").distinct(), tables), "values")
     rest = tail.join(values, "g").groupBy("rid").agg(F.sum(F.col("c") * F.col("v")).alias("rest"))
@@ -220,7 +220,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, min_
     ids = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     few = ids.count() <= MAX_BROADCAST
     trusted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    scored = materialize(score(docs.withColumn("lang", F.col("lang").cast("string")), learn(trusted), min_share=min_share), "perplexities", 1)
+    scored = materialize(score(docs.withColumn("lang", F.col("lang").cast("string")), learn(trusted), min_share=min_share), "perplexities")
     good = scored.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").where("perplexity is not null")
     cut = F.percentile_approx("perplexity", upper, 10_000).alias("own")
     cuts = materialize(good.where("lang is not null").groupBy("lang").agg(cut), "cuts")

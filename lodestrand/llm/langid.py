@@ -103,8 +103,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """docs -> the whole model. Rows with a null text or language teach nothing; without any row it knows nothing."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     schema = "lang string, key string, n long"
-    words = materialize(arrow_parts(rows, _count_words, schema).groupBy("lang", "key").agg(F.sum("n").alias("n")), "words", 1)
-    grams = materialize(arrow_parts(words, _count_ngrams, schema).groupBy("lang", "key").agg(F.sum("n").alias("n")), "grams", 1)
+    words = materialize(arrow_parts(rows, _count_words, schema).groupBy("lang", "key").agg(F.sum("n").alias("n")), "words")
+    grams = materialize(arrow_parts(words, _count_ngrams, schema).groupBy("lang", "key").agg(F.sum("n").alias("n")), "grams")
     counts = words.withColumn("kind", F.lit(0)).unionByName(grams.withColumn("kind", F.length("key")))
     totals = {(r["lang"], r["kind"]): r["n"] for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}  # a row a language and kind
     langs = sorted({x for x, _ in totals})
@@ -117,7 +117,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     total = F.aggregate("shares", F.lit(0.0), lambda s, x: s + x)
     # to log shares among the languages
     table = shares.select("kind", "key", F.array_max("shares").alias("share"), F.transform("shares", lambda x: F.log(x / total)).alias("row"))
-    return Model(langs, materialize(table, "shares", 1))
+    return Model(langs, materialize(table, "shares"))
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -302,7 +302,7 @@ def _unheaded(docs: DataFrame, model: Model, text: str, keep: list[str], names:
 
     schema = _fields(docs, keep) + ", ".join(f"{free[x]} {t}" for x, t in zip(own, ("long", "boolean", "double", "array<double>", "array<string>", "array<long>")))
     rows = docs.select(F.col(text), *[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias(free["rid"]))
-    heads = materialize(rows.mapInArrow(run, schema), "heads", 1)
+    heads = materialize(rows.mapInArrow(run, schema), "heads")
     tail = heads.select(F.col(free["rid"]).alias("rid"), F.explode(F.arrays_zip(F.col(free["w"]).alias("w"), F.col(free["c"]).alias("c"))).alias("x")).select("rid", "x.w", "x.c")
     spread = [F.col("row")[i].cast("float").cast("double").alias(f"r{i}") for i in k]
     # a number stands for the word where its n-grams go, as a word may be as long as a text
@@ -322,7 +322,7 @@ def _unheaded(docs: DataFrame, model: Model, text: str, keep: list[str], names:
     scored = scored.groupBy("wid", "kind").agg(*[(F.sum(F.col("m") * F.col(f"r{i}")) / F.sum("m")).alias(f"r{i}") for i in k])
     backed = scored.groupBy("wid").agg(F.max_by(F.struct(*[f"r{i}" for i in k]), "kind").alias("r")).select("wid", *[F.col(f"r.r{i}").alias(f"r{i}") for i in k])
     backed = unseen.select("w", "wid").join(backed, "wid").drop("wid")
-    values = materialize(met.where("r0 is not null").drop("wid").unionByName(backed), "tailvalues", 1)
+    values = materialize(met.where("r0 is not null").drop("wid").unionByName(backed), "tailvalues")
     rest = tail.join(values, "w").groupBy(F.col("rid").alias(free["rid"])).agg(F.sum("c").alias("_m"), *[F.sum(F.col("c") * F.col(f"r{i}")).alias(f"_s{i}") for i in k])
     rest = rest.select(free["rid"], F.struct("_m", *[f"_s{i}" for i in k]).alias(free["w"]))
     both = heads.drop(free["w"], free["c"]).join(rest, free["rid"], "left")

@@ -242,23 +242,36 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(*map(np.concatenate, held))
 
 
-def _sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' sets of shingles as numbers, one after the other, and how many each has; equal shingles by their words."""
-    numbers: dict[tuple, int] = {}
-    flat: list[int] = []
-    n = []
-    for text in texts:
-        words = text.split(b" ")
-        mine = {numbers.setdefault(tuple(words[i : i + SHINGLE]), len(numbers)) for i in range(len(words) - SHINGLE + 1)}
-        flat += mine
-        n.append(len(mine))
-    return np.array(flat, np.int64), np.array(n, np.int64)
+def _shingle_set(text: bytes) -> set[bytes]:
+    """The shingles of some words with one space between them; the words can't hold spaces, so joined ones tell them apart."""
+    words = text.split(b" ")
+    return {b" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+
+
+def _numbered(sets: list[set[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets as numbers, one after the other, and how many each has."""
+    numbers: dict[bytes, int] = {}
+    flat = [numbers.setdefault(x, len(numbers)) for one in sets for x in one]
+    return np.array(flat, np.int64), np.array([len(one) for one in sets], np.int64)
+
+
+def _link_few(sets: list[set[bytes]], min_jaccard: float) -> list[tuple[int, int]]:
+    label, out = list(range(len(sets))), []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and (both := len(a & sets[j])) >= min_jaccard * (len(a) + len(sets[j]) - both):
+                out.append((i, j))
+                label = [label[j] if x == label[i] else x for x in label]
+    return out
 
 
 def link(texts: list[bytes], right: np.ndarray | None, min_jaccard: float) -> list[tuple[int, int]]:
     """Links that connect all similar ones of some texts; right: only pairs of a left and a right text are compared, and
     the left ones are connected already."""
-    flat, n = _sets(texts)
+    sets = [_shingle_set(x) for x in texts]
+    if right is None and len(sets) <= 8:
+        return _link_few(sets, min_jaccard)
+    flat, n = _numbered(sets)
     offsets = np.cumsum(n) - n
     label, out = np.arange(len(texts)), []
     if right is not None:
@@ -290,13 +303,15 @@ def _verify(rows: DataFrame, block: list, parts: int, min_jaccard: float) -> Dat
     """rows (h, g, text, right or null) of blocks -> edges between nodes; a task has whole blocks, one after the other."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["block", "h", "g"], ignore_index=True)
+        block, h, g, texts = group["block"].to_numpy(), group["h"].to_numpy(), group["g"].to_numpy(), group["text"].tolist()
+        sides = None if group["right"].isna().all() else group["right"].to_numpy(bool)
+        cuts = np.flatnonzero(np.diff(block)) + 1
         edges = []
-        for _, one in group.groupby("block", sort=True):
-            one = one.sort_values(["h", "g"], ignore_index=True)
-            right = None if one["right"].isna().all() else one["right"].to_numpy(bool)
-            nodes = list(zip(one["h"].tolist(), one["g"].tolist()))
-            edges += [nodes[i] + nodes[j] for i, j in link(one["text"].tolist(), right, min_jaccard)]
-        return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 4), columns=["ah", "ag", "bh", "bg"])
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)]):
+            edges += [(a + i, a + j) for i, j in link(texts[a:b], None if sides is None else sides[a:b], min_jaccard)]
+        i, j = np.array(edges, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"ah": h[i], "ag": g[i], "bh": h[j], "bg": g[j]})
 
     dealt = rows.withColumn("block", F.xxhash64(*block)).withColumn("shard", F.pmod(F.xxhash64("block", F.lit(7)), F.lit(parts)))
     found = dealt.select("shard", "block", "h", "g", "text", "right").groupBy("shard").applyInPandas(run, "ah long, ag long, bh long, bg long")
@@ -311,7 +326,7 @@ def _against_pivots(rows: DataFrame, min_jaccard: float) -> DataFrame:
         for batch in batches:
             rings = []
             for text, pivot in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                a, b = ({tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)} for w in (text.split(b" "), pivot.split(b" ")))
+                a, b = _shingle_set(text), _shingle_set(pivot)
                 both = len(a & b)
                 union = len(a) + len(b) - both
                 rings.append(0 if both >= min_jaccard * union else 1 if both >= reach * union - 1e-9 else 2)
@@ -330,8 +345,8 @@ def link_bands(meet: DataFrame, min_jaccard: float = MIN_JACCARD, most: int = MO
         if large.isEmpty():
             break
         hot, cool = rest.join(large, "band", "left_semi"), rest.join(large, "band", "left_anti")
-        pivots = materialize(hot.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "h", "g"), "h", "g", F.col("text").alias("pivot"))).alias("p")), "pivots", 1)
-        rings = materialize(_against_pivots(hot.join(pivots.select("band", "p.pivot"), "band"), min_jaccard), "rings", 1)
+        pivots = materialize(hot.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "h", "g"), "h", "g", F.col("text").alias("pivot"))).alias("p")), "pivots")
+        rings = materialize(_against_pivots(hot.join(pivots.select("band", "p.pivot"), "band"), min_jaccard), "rings")
         node = F.struct("h", "g")
         edges.append(rings.where("ring = 0").join(pivots.select("band", F.struct("p.h", "p.g").alias("b")), "band").select(node.alias("a"), "b").where("a != b"))
         # the linked ones in slices, against slices of those that may be linked to them
@@ -341,7 +356,7 @@ def link_bands(meet: DataFrame, min_jaccard: float = MIN_JACCARD, most: int = MO
         sided = sided.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("right"), F.col("n0")).otherwise(F.col("n1")) - 1)))
         sided = sided.withColumn("i", F.when(F.col("right"), F.col("other")).otherwise(F.col("own"))).withColumn("j", F.when(F.col("right"), F.col("own")).otherwise(F.col("other")))
         edges.append(_verify(sided, ["band", "i", "j"], max(1, -(-sided.count() // 20_000)), min_jaccard))
-        rest = materialize(cool.unionByName(rings.where("ring > 0").select("band", "h", "g", "text")), "rest", 1)
+        rest = materialize(cool.unionByName(rings.where("ring > 0").select("band", "h", "g", "text")), "rest")
         sizes = materialize(rest.groupBy("band").count(), "bandsizes")
     else:  # what is still large is compared slice by slice
         large = sizes.where(F.col("count") > most).withColumn("k", F.ceil(F.col("count") / most)).select("band", "k")
@@ -368,15 +383,16 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
     schema = "rid long, doc_id long, start long, length long, at long, n_words long, h long, g long, text binary"
-    both = materialize(arrow_parts(rows, lambda x: _units_of(x, min_words), schema), "units", 1)
+    both = materialize(arrow_parts(rows, lambda x: _units_of(x, min_words), schema), "units")
     paragraphs, wide = both.where("text is not null"), both.where("text is null")
     meet = arrow_parts(paragraphs.select("h", "n_words", "text"), _keyed, "band long, h long, slot long, known boolean")
     w = W.partitionBy("band", "slot")
     meet = meet.withColumn("shared", F.col("known") | (F.min("h").over(w) != F.max("h").over(w)))
-    meet = materialize(meet.where("shared").select("band", "h").distinct(), "meetings", 1)
-    # copies are combined before the shuffle
-    texts = paragraphs.join(meet.select("h").distinct(), "h", "left_semi").groupBy("h", "g").agg(F.first("text").alias("text"))
-    clusters = materialize(connected_components(link_bands(materialize(meet.join(texts, "h"), "bands", 1), min_jaccard, most)), "clusters")
+    meet = materialize(meet.where("shared").select("band", "h").distinct(), "meetings")
+    # a table of its own: the join can be split, and copies are combined before the shuffle of the next step
+    texts = materialize(paragraphs.select("h", "g", "text").join(meet.select("h").distinct(), "h", "left_semi"), "texts")
+    texts = texts.groupBy("h", "g").agg(F.first("text").alias("text"))
+    clusters = materialize(connected_components(link_bands(materialize(meet.join(texts, "h"), "bands"), min_jaccard, most)), "clusters")
     clusters = clusters.select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), F.col("component.h").alias("ch"), F.col("component.g").alias("cg"))
 
     def spread(df: DataFrame, *by: str) -> DataFrame:
@@ -415,7 +431,7 @@ def _reported(found: DataFrame) -> DataFrame:
     narrow = F.when(~F.col("wide"), end), F.when(~F.col("wide"), F.col("at"))
     spans = found.withColumn("before", F.max(narrow[0]).over(up)).withColumn("next", F.min(narrow[1]).over(down))
     free = F.col("wide") & F.coalesce(F.col("before") <= F.col("at"), F.lit(True)) & F.coalesce(F.col("next") >= end, F.lit(True))
-    rows = materialize(spans.withColumn("free", free).drop("before", "next"), "repeats", 1)
+    rows = materialize(spans.withColumn("free", free).drop("before", "next"), "repeats")
     groups = rows.groupBy("ch", "cg", "wide").agg(F.count("*").alias("component_size"), F.min("rid").alias("r0"), F.max("rid").alias("r1"), F.min(F.struct("doc_id", "rid", "start")).alias("first"), F.max("free").alias("free"))
     groups = materialize(groups.where("r0 != r1 and (free or not wide)").drop("r0", "r1", "free"), "groups")
     out = rows.drop("free").join(groups, ["ch", "cg", "wide"])

@@ -197,7 +197,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max
     become a component's id unless all are null. Other columns of docs are not read, so their names can't clash. options
     go to fingerprints.
     """
-    fps = materialize(fingerprints(docs, text, doc_id, **options), "fingerprints", 1)
+    fps = materialize(fingerprints(docs, text, doc_id, **options), "fingerprints")
     points = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     parts = connected_components(link_fingerprints(points.select("fp", F.col("fp").alias("node")), max_bits))
     grouped = points.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))

@@ -19,7 +19,7 @@ def test_stages(spark):
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
         rows = {r.doc_id: r for r in docs.collect()}
-        kept = materialize(stage(spark, docs, SF), name, 1)
+        kept = materialize(stage(spark, docs, SF), name)
         got = {r.doc_id for r in kept.collect()}
         assert kept.count() == len(got)
         if name == "language_id":
