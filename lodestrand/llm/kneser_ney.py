@@ -2,8 +2,8 @@
 
 The model is over characters (UTF-16 units) with ORDER = 4, so a gram is exactly one 64-bit number.
 
-*Training* counts all trusted documents (labelled of good quality and not toxic): each partition counts first, then
-counts are summed by gram. Lower orders use continuation counts; discounts come from the counts of counts (Chen and
+*Training* counts the trusted documents (labelled of good quality and not toxic) but a fifth of them, chosen by a checksum
+of doc_id, which is held out: each partition counts first, then counts are summed by gram. Lower orders use continuation counts; discounts come from the counts of counts (Chen and
 Goodman). Probabilities come from joining counts, contexts and the next lower order, sharded by gram and context.
 
 *Scoring* looks up all grams of every document in the whole model. The head is broadcast: grams of the highest order
@@ -11,8 +11,9 @@ that make up at least MIN_SHARE of its counts, hence 1 / MIN_SHARE at most. All
 joins by gram and context give their probabilities, or the back-off weights and lower orders of grams the model doesn't
 have. The head only saves shuffling: scores don't depend on MIN_SHARE.
 
-*Thresholds* are the UPPER quantile of the perplexities of each language's trusted documents. A document above its
-language's threshold goes.
+*Thresholds* are the UPPER quantiles, over each language's held-out trusted documents, of two numbers: the perplexity of
+the whole document, and that of its worst word, which a good document with a few foreign or abusive words in it doesn't
+hide in its mean. A document above either threshold of its language goes.
 """
 
 from __future__ import annotations
@@ -24,11 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_parts, materialize
+from .common import arrow_parts, free_name, materialize
 
 ORDER, UNIT = 4, 16
 MIN_SHARE = 1e-6
-UPPER = 0.99
+UPPER = 0.995
+#: A word's units count with the one after it; shorter words don't count by themselves.
+WORD_UNITS = 3
+#: One in so many trusted documents is held out, and a language with fewer held-out ones takes all its trusted ones.
+HELD, MIN_HELD = 5, 20
 #: Trusted ids that may be broadcast to the scan of the texts (8 bytes each).
 MAX_BROADCAST = 4_000_000
 _CHUNK = 1 << 20
@@ -91,7 +96,7 @@ def _context(g: Column, order: int) -> Column:
 
 
 def learn(trusted: DataFrame, text: str = "text") -> dict[tuple[str, int], DataFrame]:
-    """trusted -> the whole model: per order, ("p", k) has grams and ("w", k) contexts: g, c (counts), v (log probability
+    """trusted -> the whole model (null and empty texts teach nothing, an empty table gives empty tables): per order, ("p", k) has grams and ("w", k) contexts: g, c (counts), v (log probability
     or log back-off weight)."""
     counts = {ORDER: materialize(arrow_parts(trusted.select(text), _count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "grams")}
     for k in range(ORDER - 1, 0, -1):
@@ -179,9 +184,30 @@ def _values(wanted: DataFrame, tables: dict[tuple[str, int], DataFrame]) -> Data
     return out.select("g", value.alias("v"))
 
 
+def _slots(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The word that each position belongs to, counted over all texts; -1 for white space but the first after a word, and
+    for words of less than WORD_UNITS units."""
+    unit = keys.view(np.uint64) & np.uint64((1 << UNIT) - 1)
+    space = (unit == 32) | ((unit >= 9) & (unit <= 13))
+    new = np.ones(len(keys), bool)
+    new[1:] = row[1:] != row[:-1]
+    before = np.concatenate([[True], space[:-1]]) | new
+    word = np.cumsum(before & ~space) - 1
+    word[space & before] = -1
+    long = np.bincount(word[~space], minlength=1) >= WORD_UNITS
+    return np.where((word >= 0) & long[np.maximum(word, 0)], word, -1) if len(keys) else word
+
+
 def score(docs: DataFrame, tables: dict[tuple[str, int], DataFrame], text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang"), min_share: float = MIN_SHARE) -> DataFrame:
-    """docs -> the columns in keep, and perplexity under the whole model (null for an empty or null text)."""
+    """docs -> the columns in keep, perplexity under the whole model (null for an empty or null text) and worst_word, the
+    highest perplexity of any word (null if there is no word of WORD_UNITS units).
+
+    Texts are read whole, a long one as one chunk; repeated rows keep a row each. Other columns aren't read; those in keep
+    may have any name but these two.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_head(tables["p", ORDER], min_share))
+    own = ["rid", "units", "head", "worst", "s", "g", "c", "k", "p"]
+    free = dict(zip(own, (free_name(docs.select(*keep), f"_{x}") for x in own)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,41 +216,73 @@ def score(docs: DataFrame, tables: dict[tuple[str, int], DataFrame], text: str =
                 found, units = grams(texts)
                 keys, row = found.view(np.int64), np.repeat(np.arange(len(units)), units)
                 values, known = _find(shared.value, keys)
-                sums = np.bincount(row, np.where(known, values, 0.0), len(units))
-                row, keys = row[~known], keys[~known]
-                order = np.lexsort((keys, row))
-                row, keys = row[order], keys[order]
-                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])])[: len(row)])
+                values = np.where(known, values, 0.0)
+                sums = np.bincount(row, values, len(units))
+                slot = _slots(keys, row)
+                size = np.bincount(slot[slot >= 0], minlength=1)
+                part = np.bincount(slot[slot >= 0], values[slot >= 0], len(size))
+                whole = size > 0
+                whole[slot[~known & (slot >= 0)]] = False
+                worst = np.full(len(units), np.inf)
+                owner = np.zeros(len(size), np.int64)
+                owner[slot[slot >= 0]] = row[slot >= 0]
+                np.minimum.at(worst, owner[whole], part[whole] / size[whole])
+                row, keys, slot = row[~known], keys[~known], slot[~known]
+                order = np.lexsort((keys, slot, row))
+                row, keys, slot = row[order], keys[order], slot[order]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (keys[1:] != keys[:-1]) | (slot[1:] != slot[:-1])])[: len(row)])
                 cuts = pa.array(np.searchsorted(row[first], np.arange(len(units) + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (keys[first], np.diff(first, append=len(row)).astype(np.int64))]
-                part = batch.slice(begin, len(texts))
+                words = slot[first]
+                lists = [words, keys[first], np.diff(first, append=len(row)).astype(np.int64), np.where(words >= 0, size[words], 0), np.where(words >= 0, part[words], 0.0)]
+                rest = batch.slice(begin, len(texts))
                 begin += len(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(units), pa.array(sums, pa.float64()), *lists], ["rid", *keep, "units", "head", "g", "c"])
+                yield pa.RecordBatch.from_arrays([*rest.columns[1:], pa.array(units), pa.array(sums, pa.float64()), pa.array(np.where(np.isinf(worst), np.nan, worst), pa.float64(), from_pandas=True), *(pa.ListArray.from_arrays(cuts, pa.array(x)) for x in lists)], [free["rid"], *keep, *(free[x] for x in own[1:])])
 
-    schema = ", ".join(["rid long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "units long, head double, g array<long>, c array<long>"])
-    heads = materialize(docs.select(F.col(text), F.monotonically_increasing_id().alias("rid"), *keep).mapInArrow(run, schema), "heads")
-    tail = heads.select("rid", F.explode(F.arrays_zip("g", "c")).alias("x")).select("rid", "x.g", "x.c")
+    kinds = dict(zip(own[1:], ("long", "double", "double", "array<long>", "array<long>", "array<long>", "array<long>", "array<double>")))
+    schema = ", ".join([f"{free['rid']} long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{free[x]} {t}" for x, t in kinds.items())])
+    heads = materialize(docs.select(F.col(text), F.monotonically_increasing_id().alias(free["rid"]), *keep).mapInArrow(run, schema), "heads")
+    lists = F.arrays_zip(*[F.col(free[x]).alias(x) for x in ("s", "g", "c", "k", "p")])
+    tail = heads.select(F.col(free["rid"]).alias("rid"), F.explode(lists).alias("x")).select("rid", "x.*")
     values = materialize(_values(tail.select("g").distinct(), tables), "values")
-    rest = tail.join(values, "g").groupBy("rid").agg(F.sum(F.col("c") * F.col("v")).alias("rest"))
-    mean = (F.col("head") + F.coalesce("rest", F.lit(0.0))) / F.col("units")
-    return heads.drop("g", "c").join(rest, "rid", "left").select(*keep, F.when(F.col("units") > 0, F.exp(-mean)).alias("perplexity"))
+    words = tail.join(values, "g").groupBy("rid", "s").agg(F.sum(F.col("c") * F.col("v")).alias("rest"), F.first("k").alias("k"), F.first("p").alias("p"))
+    rest = words.groupBy(F.col("rid").alias(free["rid"])).agg(F.sum("rest").alias(free["s"]), F.min(F.when(F.col("s") >= 0, (F.col("p") + F.col("rest")) / F.col("k"))).alias(free["p"]))
+    joined = heads.drop(*(free[x] for x in ("s", "g", "c", "k", "p"))).join(rest, free["rid"], "left")
+    mean = (F.col(free["head"]) + F.coalesce(free["s"], F.lit(0.0))) / F.col(free["units"])
+    return joined.select(*[F.col(f"`{c}`") for c in keep], F.when(F.col(free["units"]) > 0, F.exp(-mean)).alias("perplexity"), F.exp(-F.least(free["worst"], free["p"])).alias("worst_word"))
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, min_share: float = MIN_SHARE) -> DataFrame:
-    """documents, labels (doc_id, quality, toxic) -> doc_id, lang, perplexity, threshold, kept; a row for each document.
+def held_out(doc_id: str = "doc_id") -> Column:
+    """The trusted documents that thresholds come from, and that the model doesn't learn from."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(HELD)) == 0
+
 
-    A language without trusted documents (and a null one) gets the threshold of all trusted documents; without any
-    trusted document all thresholds are null and every document with text is kept. Null and empty texts have no
-    perplexity and are not kept. Repeated labels count once; repeated documents keep a row each.
+def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, min_share: float = MIN_SHARE) -> DataFrame:
+    """documents, labels (doc_id, quality, toxic) -> doc_id, lang, perplexity, worst_word, threshold, word_threshold, kept;
+    a row for each document.
+
+    A language with less than MIN_HELD held-out trusted documents takes the quantiles of all its trusted ones; one without
+    any (and a null one) those of all languages together. Without any trusted document all thresholds are null and every
+    document with text is kept; if all trusted ones are held out, the model learns from them. Null and empty texts have no
+    perplexity and are not kept. Repeated labels count once; repeated documents keep a row each. Very long texts are
+    scored whole. An empty table of documents gives no rows. Other columns aren't read, so their names can't clash.
     """
     ids = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    few = ids.count() <= MAX_BROADCAST
-    trusted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    scored = materialize(score(docs.withColumn("lang", F.col("lang").cast("string")), learn(trusted), min_share=min_share), "perplexities")
-    good = scored.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").where("perplexity is not null")
-    cut = F.percentile_approx("perplexity", upper, 10_000).alias("own")
-    cuts = materialize(good.where("lang is not null").groupBy("lang").agg(cut), "cuts")
-    pooled = good.agg(cut).first()[0]
-    out = scored.join(F.broadcast(cuts) if cuts.count() <= 10_000 else cuts, "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(pooled).cast("double")))
-    kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    return out.select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"))
+    small = F.broadcast if ids.count() <= MAX_BROADCAST else (lambda df: df)
+    fit = ids.where(~held_out())
+    trusted = docs.select("doc_id", "text").join(small(ids if fit.isEmpty() else fit), "doc_id", "left_semi")
+    asked = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    scored = materialize(score(asked, learn(trusted), min_share=min_share), "perplexities")
+    good = scored.join(small(ids), "doc_id", "left_semi").where("perplexity is not null").withColumn("held", held_out())
+
+    def cuts(rows: DataFrame, *by: str) -> DataFrame:
+        q = lambda x, only: F.percentile_approx(F.when(only, F.col(x)), upper, 10_000)
+        everyone, enough = F.lit(True), F.count_if("held") >= F.lit(MIN_HELD)
+        return rows.groupBy(*by).agg(*[F.when(enough, q(x, F.col("held"))).otherwise(q(x, everyone)).alias(y) for x, y in (("perplexity", "own"), ("worst_word", "own_word"))])
+
+    each = materialize(cuts(good.where("lang is not null"), "lang"), "cuts")
+    pooled = cuts(good).first() or {"own": None, "own_word": None}
+    out = scored.join(F.broadcast(each) if each.count() <= 10_000 else each, "lang", "left")
+    out = out.withColumn("threshold", F.coalesce("own", F.lit(pooled["own"]).cast("double"))).withColumn("word_threshold", F.coalesce("own_word", F.lit(pooled["own_word"]).cast("double")))
+    below = lambda x, y: F.coalesce(F.col(x) <= F.col(y), F.lit(True))
+    kept = F.col("perplexity").isNotNull() & below("perplexity", "threshold") & below("worst_word", "word_threshold")
+    return out.select("doc_id", "lang", "perplexity", "worst_word", "threshold", "word_threshold", kept.alias("kept"))

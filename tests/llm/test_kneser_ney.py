@@ -1,11 +1,13 @@
 """The model's probabilities against a plain restatement, and its verdicts."""
 
+import functools
 import math
+import re
 from collections import Counter, defaultdict
 
 import pytest
 
-from lodestrand.llm.kneser_ney import ORDER, judge_quality, learn, perplexities, score, train
+from lodestrand.llm.kneser_ney import MIN_HELD, ORDER, held_out, judge_quality, learn, perplexities, score, train
 
 SF = "/root/testdata/sf0.01"
 
@@ -47,6 +49,14 @@ def plain_perplexity(p, text):
     return math.exp(-sum(math.log(p(ORDER, s[i : i + ORDER])) for i in range(len(text))) / len(text))
 
 
+def plain_worst(p, text):
+    s, found = "\0" * (ORDER - 1) + text, []
+    for w in re.finditer(r"[^\x20\x09-\x0D]{3,}", text):
+        steps = [math.log(p(ORDER, s[i : i + ORDER])) for i in range(w.start(), min(w.end() + 1, len(text)))]
+        found.append(math.exp(-sum(steps) / len(steps)))
+    return max(found, default=None)
+
+
 def test_probabilities(spark):
     texts = ["the cat sat on the mat.", "the dog sat on the log, the end", "a cat and a dog", "é" * 5, "the"]
     model = train(spark.createDataFrame([(t,) for t in [*texts, "", None]], "text string"), min_share=0.0)
@@ -76,26 +86,53 @@ def test_edges(spark):
 @pytest.mark.parametrize("min_share", [0.0, 0.02, 2.0])
 def test_scores_use_the_whole_model(spark, min_share):
     texts = ["the cat sat on the mat.", "the dog sat on the log, the end", "a cat and a dog", "rare words: quixotic zephyr"]
-    seen = ["the cat", "quixotic zephyr", "zzz", "the \n mat", "日本", "the cat sat on the mat." * 50, "", None, "the cat"]
+    seen = ["the cat", "quixotic zephyr", "zzz", "the \n mat", "日本", "the cat sat on the mat." * 50, "", None, "the cat", " the  zebra sat", "a b c", "  ", "word" * 30_000]
     tables = learn(spark.createDataFrame([(t,) for t in texts], "text string"))
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(seen)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(seen)], "doc_id long, text string, _rid string")
     p = plain_model(texts)
-    got = {r.doc_id: r.perplexity for r in score(docs, tables, min_share=min_share).collect()}
-    assert got == {i: pytest.approx(plain_perplexity(p, t), rel=1e-4) if t else None for i, t in enumerate(seen)}
+    got = {r.doc_id: r for r in score(docs, tables, keep=("doc_id", "_rid"), min_share=min_share).collect()}
+    assert {i: r.perplexity for i, r in got.items()} == {i: pytest.approx(plain_perplexity(p, t), rel=1e-4) if t else None for i, t in enumerate(seen)}
+    assert {i: r.worst_word for i, r in got.items()} == {i: pytest.approx(w, rel=1e-4) if t and (w := plain_worst(p, t)) else None for i, t in enumerate(seen)}
 
 
 def test_verdicts_do_not_depend_on_the_head(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet").where("doc_id < 200") for x in ("documents", "labels"))
-    small, whole = ({r.doc_id: r.perplexity for r in judge_quality(docs, labels, min_share=x).collect()} for x in (1e-3, 0.0))
+    small, whole = ({r.doc_id: (r.perplexity, r.worst_word) for r in judge_quality(docs, labels, min_share=x).collect()} for x in (1e-3, 0.0))
     assert small == {i: pytest.approx(x, rel=1e-4) for i, x in whole.items()}
 
 
-def test_threshold_is_a_quantile_of_trusted_documents(spark):
+def test_registered_path_against_the_plain_model(spark):
+    """Perplexities and verdicts of judge_quality as registered, with a model and quantiles in plain Python."""
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    docs = docs.where("doc_id < 260 and length(text) < 4000")
+    good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
+    held = {r.doc_id for r in docs.where(held_out()).select("doc_id").collect()}
+    rows = {r.doc_id: r for r in docs.collect()}
+    p = functools.lru_cache(None)(plain_model([r.text for i, r in rows.items() if i in good - held]))
+    got = {r.doc_id: r for r in judge_quality(docs, labels).collect()}
+    assert set(got) == set(rows)
+    for field, plain in (("perplexity", plain_perplexity), ("worst_word", plain_worst)):
+        for i, r in rows.items():
+            assert got[i][field] == (pytest.approx(plain(p, r.text), rel=1e-4) if r.text and plain(p, r.text) else None)
+    for i, r in got.items():
+        assert r.kept == (r.perplexity is not None and r.perplexity <= r.threshold and (r.worst_word is None or r.worst_word <= r.word_threshold))
+
+
+def test_thresholds_are_quantiles_of_held_out_trusted_documents(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
-    good = defaultdict(list)
-    cuts = {}
-    for r in judge_quality(docs, labels).join(labels.where("quality = 1 and toxic = 0"), "doc_id").collect():
-        good[r.lang].append(r.perplexity)
-        cuts[r.lang] = r.threshold
+    good, cuts = defaultdict(list), {}
+    for r in judge_quality(docs, labels).join(labels.where("quality = 1 and toxic = 0"), "doc_id").withColumn("held", held_out()).collect():
+        good[r.lang].append(r)
+        cuts[r.lang] = r
+    assert len(good) == 4
     for lang, found in good.items():
-        assert cuts[lang] == sorted(found)[math.ceil(0.99 * len(found)) - 1]
+        chosen = [r for r in found if r.held] if sum(r.held for r in found) >= MIN_HELD else found
+        for field, cut in (("perplexity", "threshold"), ("worst_word", "word_threshold")):
+            values = sorted(r[field] for r in chosen if r[field] is not None)
+            assert cuts[lang][cut] == values[math.ceil(0.995 * len(values)) - 1]
+
+
+def test_abusive_words_show(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    rows = judge_quality(docs, labels).join(labels, "doc_id").where("lang = 'en' and toxic = 1 and quality = 1").collect()
+    assert len(rows) > 10 and sum(not r.kept for r in rows) >= 0.9 * len(rows)
