@@ -6,10 +6,11 @@ The model is over characters (UTF-16 units) with ORDER = 4, so a gram is exactly
 of doc_id, which is held out: each partition counts first, then counts are summed by gram. Lower orders use continuation counts; discounts come from the counts of counts (Chen and
 Goodman). Probabilities come from joining counts, contexts and the next lower order, sharded by gram and context.
 
-*Scoring* looks up all grams of every document in the whole model. The head is broadcast: grams of the highest order
-that make up at least MIN_SHARE of its counts, hence 1 / MIN_SHARE at most. All others are counted by document, and
-joins by gram and context give their probabilities, or the back-off weights and lower orders of grams the model doesn't
-have. The head only saves shuffling: scores don't depend on MIN_SHARE.
+*Scoring* looks up all grams of every document in the whole model. While that has MAX_ENTRIES at most, it is broadcast and
+texts are scored where they are read. Beyond that only its head is: grams of the highest order that make up at least
+MIN_SHARE of its counts, hence 1 / MIN_SHARE at most. All others are counted by document and word, and joins by gram and
+context give their probabilities, or the back-off weights and lower orders of grams the model doesn't have. Both ways
+give the same scores; broadcasts only save shuffling.
 
 *Thresholds* are the UPPER quantiles, over each language's held-out trusted documents, of two numbers: the perplexity of
 the whole document, and that of its worst word, which a good document with a few foreign or abusive words in it doesn't
@@ -29,6 +30,8 @@ from .common import arrow_parts, free_name, materialize
 
 ORDER, UNIT = 4, 16
 MIN_SHARE = 1e-6
+#: Grams and contexts of a model that may be broadcast whole (16 bytes each).
+MAX_ENTRIES = 4_000_000
 UPPER = 0.995
 #: A word's units count with the one after it; shorter words don't count by themselves.
 WORD_UNITS = 3
@@ -124,7 +127,7 @@ def _head(table: DataFrame, min_share: float) -> tuple[np.ndarray, np.ndarray]:
     found = table.where(F.col("c") >= min_share * total).select("g", "v").toArrow()
     g, v = found["g"].to_numpy(), found["v"].to_numpy()
     order = np.argsort(g)
-    return g[order], v[order].astype(np.float32)
+    return g[order], v[order]
 
 
 def train(trusted: DataFrame, text: str = "text", min_share: float = MIN_SHARE) -> dict:
@@ -136,7 +139,7 @@ def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.nd
     """The keys' values, and which of the keys are there."""
     g, v = table
     if not len(g):
-        return np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        return np.zeros(len(keys)), np.zeros(len(keys), bool)
     at = np.minimum(np.searchsorted(g, keys), len(g) - 1)
     return v[at], g[at] == keys
 
@@ -144,7 +147,7 @@ def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.nd
 def log_probabilities(model: dict, keys: np.ndarray, k: int = ORDER) -> np.ndarray:
     """Log probabilities of grams of order k (as signed numbers), if the model's tables are whole."""
     if k == 0:
-        return np.full(len(keys), -UNIT * np.log(2.0), np.float32)
+        return np.full(len(keys), -UNIT * np.log(2.0))
     out, known = _find(model["p", k], keys)
     if not known.all():
         rare = keys[~known]
@@ -198,14 +201,16 @@ def _slots(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
     return np.where((word >= 0) & long[np.maximum(word, 0)], word, -1) if len(keys) else word
 
 
-def score(docs: DataFrame, tables: dict[tuple[str, int], DataFrame], text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang"), min_share: float = MIN_SHARE) -> DataFrame:
+def score(docs: DataFrame, tables: dict[tuple[str, int], DataFrame], text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang"), min_share: float = MIN_SHARE, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """docs -> the columns in keep, perplexity under the whole model (null for an empty or null text) and worst_word, the
     highest perplexity of any word (null if there is no word of WORD_UNITS units).
 
     Texts are read whole, a long one as one chunk; repeated rows keep a row each. Other columns aren't read; those in keep
     may have any name but these two.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_head(tables["p", ORDER], min_share))
+    whole = sum(t.count() for t in tables.values()) <= max_entries
+    model = {key: _head(t, 0.0) for key, t in tables.items()} if whole else {("p", ORDER): _head(tables["p", ORDER], min_share)}
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     own = ["rid", "units", "head", "worst", "s", "g", "c", "k", "p"]
     free = dict(zip(own, (free_name(docs.select(*keep), f"_{x}") for x in own)))
 
@@ -215,18 +220,21 @@ def score(docs: DataFrame, tables: dict[tuple[str, int], DataFrame], text: str =
             for texts in _chunks([x.as_py() or "" for x in batch.column(0)]):
                 found, units = grams(texts)
                 keys, row = found.view(np.int64), np.repeat(np.arange(len(units)), units)
-                values, known = _find(shared.value, keys)
-                values = np.where(known, values, 0.0)
+                if whole:
+                    values, known = log_probabilities(shared.value, keys), np.ones(len(keys), bool)
+                else:
+                    values, known = _find(shared.value["p", ORDER], keys)
+                    values = np.where(known, values, 0.0)
                 sums = np.bincount(row, values, len(units))
                 slot = _slots(keys, row)
                 size = np.bincount(slot[slot >= 0], minlength=1)
                 part = np.bincount(slot[slot >= 0], values[slot >= 0], len(size))
-                whole = size > 0
-                whole[slot[~known & (slot >= 0)]] = False
+                done = size > 0
+                done[slot[~known & (slot >= 0)]] = False
                 worst = np.full(len(units), np.inf)
                 owner = np.zeros(len(size), np.int64)
                 owner[slot[slot >= 0]] = row[slot >= 0]
-                np.minimum.at(worst, owner[whole], part[whole] / size[whole])
+                np.minimum.at(worst, owner[done], part[done] / size[done])
                 row, keys, slot = row[~known], keys[~known], slot[~known]
                 order = np.lexsort((keys, slot, row))
                 row, keys, slot = row[order], keys[order], slot[order]
@@ -240,7 +248,11 @@ def score(docs: DataFrame, tables: dict[tuple[str, int], DataFrame], text: str =
 
     kinds = dict(zip(own[1:], ("long", "double", "double", "array<long>", "array<long>", "array<long>", "array<long>", "array<double>")))
     schema = ", ".join([f"{free['rid']} long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{free[x]} {t}" for x, t in kinds.items())])
-    heads = materialize(docs.select(F.col(text), F.monotonically_increasing_id().alias(free["rid"]), *keep).mapInArrow(run, schema), "heads")
+    heads = docs.select(F.col(text), F.monotonically_increasing_id().alias(free["rid"]), *keep).mapInArrow(run, schema)
+    mean = F.col(free["head"]) / F.col(free["units"])
+    if whole:
+        return heads.select(*[F.col(f"`{c}`") for c in keep], F.when(F.col(free["units"]) > 0, F.exp(-mean)).alias("perplexity"), F.exp(-F.col(free["worst"])).alias("worst_word"))
+    heads = materialize(heads, "heads")
     lists = F.arrays_zip(*[F.col(free[x]).alias(x) for x in ("s", "g", "c", "k", "p")])
     tail = heads.select(F.col(free["rid"]).alias("rid"), F.explode(lists).alias("x")).select("rid", "x.*")
     values = materialize(_values(tail.select("g").distinct(), tables), "values")
@@ -256,7 +268,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(HELD)) == 0
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, min_share: float = MIN_SHARE) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, min_share: float = MIN_SHARE, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """documents, labels (doc_id, quality, toxic) -> doc_id, lang, perplexity, worst_word, threshold, word_threshold, kept;
     a row for each document.
 
@@ -271,7 +283,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, min_
     fit = ids.where(~held_out())
     trusted = docs.select("doc_id", "text").join(small(ids if fit.isEmpty() else fit), "doc_id", "left_semi")
     asked = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    scored = materialize(score(asked, learn(trusted), min_share=min_share), "perplexities")
+    scored = materialize(score(asked, learn(trusted), min_share=min_share, max_entries=max_entries), "perplexities")
     good = scored.join(small(ids), "doc_id", "left_semi").where("perplexity is not null").withColumn("held", held_out())
 
     def cuts(rows: DataFrame, *by: str) -> DataFrame:
