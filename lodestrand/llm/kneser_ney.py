@@ -12,7 +12,7 @@ MIN_SHARE of its counts, hence 1 / MIN_SHARE at most. All others are counted by
 context give their probabilities, or the back-off weights and lower orders of grams the model doesn't have. Both ways
 give the same scores; broadcasts only save shuffling.
 
-*Thresholds* are the UPPER quantiles, over each language's held-out trusted documents, of two numbers: the perplexity of
+*Thresholds* are the UPPER and WORD_UPPER quantiles, over each language's held-out trusted documents, of two numbers: the perplexity of
 the whole document, and that of its worst word, which a good document with a few foreign or abusive words in it doesn't
 hide in its mean. A document above either threshold of its language goes.
 """
@@ -32,7 +32,8 @@ ORDER, UNIT = 4, 16
 MIN_SHARE = 1e-6
 #: Grams and contexts of a model that may be broadcast whole (16 bytes each).
 MAX_ENTRIES = 4_000_000
-UPPER = 0.995
+#: Quantiles of documents' perplexities and of their worst words'.
+UPPER, WORD_UPPER = 0.99, 0.995
 #: A word's units count with the one after it; shorter words don't count by themselves.
 WORD_UNITS = 3
 #: One in so many trusted documents is held out, and a language with fewer held-out ones takes all its trusted ones.
@@ -268,7 +269,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(HELD)) == 0
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, min_share: float = MIN_SHARE, max_entries: int = MAX_ENTRIES) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, word_upper: float = WORD_UPPER, min_share: float = MIN_SHARE, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """documents, labels (doc_id, quality, toxic) -> doc_id, lang, perplexity, worst_word, threshold, word_threshold, kept;
     a row for each document.
 
@@ -287,7 +288,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, upper: float = UPPER, min_
     good = scored.join(small(ids), "doc_id", "left_semi").where("perplexity is not null").withColumn("held", held_out())
 
     def cuts(rows: DataFrame, *by: str) -> DataFrame:
-        q = lambda x, only: F.percentile_approx(F.when(only, F.col(x)), upper, 10_000)
+        q = lambda x, only: F.percentile_approx(F.when(only, F.col(x)), upper if x == "perplexity" else word_upper, 10_000)
         everyone, enough = F.lit(True), F.count_if("held") >= F.lit(MIN_HELD)
         return rows.groupBy(*by).agg(*[F.when(enough, q(x, F.col("held"))).otherwise(q(x, everyone)).alias(y) for x, y in (("perplexity", "own"), ("worst_word", "own_word"))])
 
