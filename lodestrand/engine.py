@@ -57,7 +57,7 @@ class Engine:
         chunks = self._empty() if self.chunks is None else self.chunks
         kept = chunks.where(retrieve.matches(row_filter)) if row_filter else chunks
         asked = models.embed(queries, "text", "query_embedding", self.embedder).select("query_id", "query_embedding")
-        vector = lambda: retrieve.vector_scores(asked, kept.select("chunk_id", "embedding"))
+        vector = lambda: retrieve.vector_scores(asked, kept.select("chunk_id", "embedding"), k=2 * k)
         lexical = lambda: retrieve.bm25(queries, kept, "query_id", "text", "chunk_id", "content")
         if mode == "hybrid":
             hits = retrieve.hybrid(lexical(), vector(), "query_id", "chunk_id", k)

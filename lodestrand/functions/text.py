@@ -7,9 +7,13 @@ from pyspark.sql import Column, functions as F
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
+#: What counts as white space at the ends of a text: the ASCII kinds.
+SPACES = " \t\n\x0b\f\r"
+
+
 def strip(text: Column) -> Column:
     """Drops white space at both ends (all of it, not only spaces)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def not_blank(text: Column) -> Column:
@@ -44,7 +48,7 @@ def token_estimate(text: Column) -> Column:
 
 def alnum_count(text: Column) -> Column:
     """FN-05"""
-    return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
+    return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
 def query_slug(text: Column) -> Column:
@@ -65,7 +69,11 @@ def file_type(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[.]([^./]+)$", 1))
 
 
-def clipped(text: Column, size: int, marker: str = "\n\n[... truncated ...]") -> Column:
+#: What marks a cut text: a fixed value.
+TRUNCATED = "\n\n[... truncated ...]"
+
+
+def clipped(text: Column, size: int, marker: str = TRUNCATED) -> Column:
     """FN-16: at most size characters, with a marker if any were cut."""
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit(marker))).otherwise(text)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import safe_label
+from ..sources.state import cut
 
 
 def entity_id(doc: Column, index: Column, text: Column, start: Column, end: Column) -> Column:
@@ -55,7 +56,7 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
     wave = reached
     for d in range(1, depth + 1):
-        wave = wave.join(both, "node").select("seed", F.col("next").alias("node")).distinct().join(reached, ["seed", "node"], "left_anti").withColumn("depth", F.lit(d)).checkpoint()
+        wave = cut(wave.join(both, "node").select("seed", F.col("next").alias("node")).distinct().join(reached, ["seed", "node"], "left_anti").withColumn("depth", F.lit(d)))
         if wave.isEmpty():
             break
         reached = reached.unionByName(wave)
@@ -70,7 +71,7 @@ def expand_users(follows: DataFrame, seeds: DataFrame, levels: int, users_per_le
     reached = seeds.select("user", F.lit(0).alias("level"))
     wave = reached
     for level in range(1, levels + 1):
-        wave = wave.join(some, "user").select(F.col("follower").alias("user")).distinct().join(reached, "user", "left_anti").orderBy("user").limit(users_per_level).withColumn("level", F.lit(level)).checkpoint()
+        wave = cut(wave.join(some, "user").select(F.col("follower").alias("user")).distinct().join(reached, "user", "left_anti").orderBy("user").limit(users_per_level).withColumn("level", F.lit(level)))
         if wave.isEmpty():
             break
         reached = reached.unionByName(wave)

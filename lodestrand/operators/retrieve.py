@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import tokens
 from ..functions.vector import cosine
+from ..sources.state import stored
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -44,6 +47,22 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5))
 
 
+def merged_index(indexes: list[DataFrame]) -> DataFrame:
+    """AGG-02: indexes (term, df, total) of different chunks as one; a load adds its own and reads no old chunk."""
+    whole = indexes[0]
+    for more in indexes[1:]:
+        whole = whole.unionByName(more)
+    return whole.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
+def term_index(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """AGG-01, AGG-02: (term, df, total). A document's terms are counted inside its row, so that one row a term goes on."""
+    held = tokens(F.col(text))
+    first = F.transform(F.array_distinct(held), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("total")))
+    each = F.transform(held, lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("total")))
+    return chunks.select(F.inline(F.concat(first, each))).groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, query_key: str = "item_id", query_text: str = "text", key: str = "doc_id", text: str = "text", standard: bool = False) -> DataFrame:
     """AGG-03: (query_key, key, score) for chunks that share a term with the query.
 
@@ -51,13 +70,16 @@ def bm25(queries: DataFrame, chunks: DataFrame, query_key: str = "item_id", quer
     to be few against chunks: only postings of their terms are aggregated.
     """
     asked = queries.select(query_key, F.explode(tokens(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    wanted = asked.select("term").distinct()
-    lengths = chunk_lengths(chunks, key, text)
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    # postings of asked terms only: other words never reach the shuffle
-    held = chunks.select(key, F.explode(tokens(F.col(text))).alias("term")).join(wanted, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    # One pass over the texts: each chunk sends its asked terms, and one row without a term for its length.
+    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
+    found = chunks.select(F.col(key), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("all"))
+    rows = found.select(key, F.size("all").alias("dl"), F.explode(F.concat("all", F.array(F.lit(None).cast("string")))).alias("term"))
+    held = rows.join(wanted, "term", "left").where("wanted or term is null").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    held = stored(held, "postings")
+    stats = held.where("term is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    held = held.where("term is not null")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
-    rows = held.join(df, "term").join(lengths, key).join(F.broadcast(stats)).join(asked, "term")  # stats is one row
+    rows = held.join(df, "term").join(F.broadcast(stats)).join(asked, "term")  # stats is one row
     weight = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     times = F.col("qtf") if standard else F.col("qtf") * F.col("tf")
     return rows.groupBy(query_key, key).agg(F.sum(weight * times).alias("score"))
@@ -70,19 +92,67 @@ def top_k(scored: DataFrame, k: int, query_key: str | None, key: str, score: str
     return rounded.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame, query_key: str = "query_id", query_vector: str = "query_embedding", vector: str = "embedding", row_filter: dict | None = None, most_queries: int = 100_000) -> DataFrame:
+#: Cells of a matrix of scores that are made at once, and queries that are taken at once.
+_CELLS, BLOCK = 4_000_000, 20_000
+
+
+def vector_scores(queries: DataFrame, vectors: DataFrame, query_key: str = "query_id", query_vector: str = "query_embedding", vector: str = "embedding", row_filter: dict | None = None, k: int | None = None, key: str | None = None, digits: int = 6, block: int = BLOCK) -> DataFrame:
     """TOP-01: cosine of each query with all vectors that pass the filter; filters run before scores.
 
-    A stated set of queries against all rows: the queries are collected into one array, behind a check of their number,
-    and each vector is scored against it in place. More queries are taken in blocks.
+    A stated set of queries against all rows, taken in blocks of ``block``: a block's queries are collected and each batch
+    of vectors is scored against them as a product of matrices, so no vector is shuffled. With k, a batch only passes on
+    what may be among a query's best k (by score, rounded, ties included); top_k() then ranks these. Null and empty
+    vectors score 0; vectors of unequal length are an error. The columns of vectors but the vector itself stay.
     """
     kept = vectors.where(matches(row_filter)) if row_filter else vectors
-    n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries: search in blocks of {most_queries}")
-    block = queries.agg(F.collect_list(F.struct(F.col(query_key).alias("q"), F.col(query_vector).alias("qv"))).alias("block"))
-    rows = kept.join(F.broadcast(block)).select("*", F.explode("block").alias("one")).drop("block")
-    return rows.withColumn(query_key, F.col("one.q")).withColumn("score", cosine(F.col("one.qv"), F.col(vector))).drop("one", vector)
+    others = [c for c in kept.columns if c != vector]
+    asked = queries.select(F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
+    n = asked.count()
+    blocks = max(1, -(-n // block))
+    parts = []
+    for b in range(blocks):
+        mine = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).toArrow()
+        names, (matrix, lengths) = mine["q"].combine_chunks(), _matrix(mine["v"])
+
+        def run(batches, names=names, matrix=matrix, lengths=lengths):
+            for batch in batches:
+                held, sizes = _matrix(batch.column(0))
+                if not len(names) or not batch.num_rows:
+                    continue
+                step = max(1, _CELLS // batch.num_rows)
+                for at in range(0, len(names), step):
+                    part = slice(at, at + step)
+                    if matrix.shape[1] and held.shape[1] and ((lengths[part][:, None] != sizes[None, :]) & (lengths[part][:, None] > 0) & (sizes[None, :] > 0)).any():
+                        raise ValueError("vectors of unequal length")
+                    scores = np.round(matrix[part] @ held.T if matrix.shape[1] and held.shape[1] else np.zeros((len(lengths[part]), len(sizes))), 12)
+                    if k is not None and k < batch.num_rows:
+                        rounded = np.round(scores, digits)
+                        least = np.partition(rounded, batch.num_rows - k, axis=1)[:, batch.num_rows - k]
+                        i, j = np.nonzero(rounded >= least[:, None])
+                    else:
+                        i, j = np.indices(scores.shape).reshape(2, -1)
+                    columns = [batch.column(c + 1).take(pa.array(j)) for c in range(len(others))]
+                    yield pa.RecordBatch.from_arrays([*columns, names.take(pa.array(i + at)), pa.array(scores[i, j])], [*others, query_key, "score"])
+
+        schema = ", ".join([*(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in others), f"`{query_key}` {queries.schema[query_key].dataType.simpleString()}", "score double"])
+        parts.append(kept.select(F.col(vector).cast("array<double>").alias("_v"), *others).mapInArrow(run, schema))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors scaled to unit length, as rows (null and empty ones: zeros), and how long each was."""
+    rows = column.to_pylist()
+    sizes = np.array([len(x) if x else 0 for x in rows], np.int64)
+    width = int(sizes.max(initial=0))
+    out = np.zeros((len(rows), width))
+    for i, x in enumerate(rows):
+        if x:
+            out[i, : len(x)] = x
+    norms = np.sqrt((out * out).sum(axis=1))
+    return np.divide(out, norms[:, None], out=np.zeros_like(out), where=norms[:, None] > 0), sizes
 
 
 def fuse_ranks(ranked: DataFrame, query_key: str | None, key: str, k: int = RRF_K) -> DataFrame:

@@ -2,41 +2,59 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import alnum_count, strip
 from ..functions.vector import cosine
+from ..sources.state import cut, stored
 
 
-def quality(text: Column, min_score: float = 0.3, min_density: float = 0.2, short: int = 50, long: int = 5000) -> dict[str, Column]:
-    """FLT-04: length_score, density, complete, quality, passed, issues."""
-    n = F.length(text).cast("double")
-    length = F.when(n < short, n / short * 0.5).when(n > long, F.greatest(F.lit(0.0), 1 - (n - long) / long)).otherwise(F.greatest(F.lit(0.5), 1 - F.abs(n - 1000) / 1000 * 0.5))
-    density = F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), alnum_count(text) / n / 0.75))
-    bare = strip(text)
-    opened, closed = F.regexp_count(bare, F.lit(r"\(")), F.regexp_count(bare, F.lit(r"\)"))
-    complaints = [
-        (bare.rlike(r"^\p{Ll}"), F.lit("Starts with lowercase letter (incomplete sentence)")),
-        ((bare != "") & ~bare.rlike(r"[.!?\"']$"), F.lit("Does not end with proper punctuation")),
-        (F.regexp_count(bare, F.lit('"')) % 2 != 0, F.lit("Unbalanced double quotes")),
-        (opened != closed, F.format_string("Unbalanced parentheses (%d open, %d close)", opened, closed)),
-    ]
-    whole = ~complaints[0][0]
-    for found, _ in complaints[1:]:
-        whole = whole & ~found
-    score = length * 0.3 + density * 0.4 + F.when(whole, 1.0).otherwise(0.5) * 0.3
-    size = F.length(text)
-    first = [
-        ((length < 0.7) & (size < short), F.format_string(f"Chunk too short (%d < {short})", size)),
-        ((length < 0.7) & (size >= short), F.format_string(f"Chunk too long (%d > {long})", size)),
-        (density < min_density, F.concat(F.lit("Low information density ("), F.format_number(density, 2), F.lit(")"))),
-    ]
-    issues = F.filter(F.array(*[F.when(found, said) for found, said in first + complaints]), lambda x: x.isNotNull())
-    return {"length_score": length, "density": density, "complete": whole, "quality": score, "passed": (score >= min_score) & (density >= min_density), "issues": issues}
+#: What is said of a chunk: fixed values.
+LOWER_START, NO_END, ODD_QUOTES = "Starts with lowercase letter (incomplete sentence)", "Does not end with proper punctuation", "Unbalanced double quotes"
+PARENTHESES = "Unbalanced parentheses (%d open, %d close)"
+
 
+def _count(text: str, one: str) -> Column:
+    return F.length(text) - F.length(F.replace(F.col(text), F.lit(one), F.lit("")))
 
-def with_quality(chunks: DataFrame, text: str = "content", **options) -> DataFrame:
-    return chunks.withColumns(quality(F.col(text), **options))
+
+def with_quality(chunks: DataFrame, text: str = "content", min_score: float = 0.3, min_density: float = 0.2, short: int = 50, long: int = 5000) -> DataFrame:
+    """FLT-04: with length_score, density, complete, quality, passed, issues.
+
+    Built in layers, so that each pass over the text stands in one place and is made once.
+    """
+    t, n = F.col(text), F.col("_size")
+    rows = chunks.withColumns({"_size": F.length(t), "_alnum": alnum_count(t), "_bare": strip(t)})
+    length = F.when(n < short, n / short * 0.5).when(n > long, F.greatest(F.lit(0.0), 1 - (n - long) / long)).otherwise(F.greatest(F.lit(0.5), 1 - F.abs(n - 1000) / 1000 * 0.5))
+    rows = rows.withColumns(
+        {
+            "length_score": length,
+            "density": F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.col("_alnum") / n / 0.75)),
+            "_lower": F.left("_bare", F.lit(1)).rlike(r"\p{Ll}"),
+            "_open_end": (F.col("_bare") != "") & ~F.right("_bare", F.lit(1)).isin(".", "!", "?", '"', "'"),
+            "_odd": _count("_bare", '"') % 2 != 0,
+            "_opened": _count("_bare", "("),
+            "_closed": _count("_bare", ")"),
+        }
+    )
+    uneven, poor = F.col("_opened") != F.col("_closed"), F.col("length_score") < 0.7
+    rows = rows.withColumn("complete", ~(F.col("_lower") | F.col("_open_end") | F.col("_odd") | uneven))
+    rows = rows.withColumn("quality", F.col("length_score") * 0.3 + F.col("density") * 0.4 + F.when(F.col("complete"), 1.0).otherwise(0.5) * 0.3)
+    said = [
+        (poor & (n < short), F.format_string(f"Chunk too short (%d < {short})", n)),
+        (poor & (n >= short), F.format_string(f"Chunk too long (%d > {long})", n)),
+        (F.col("density") < min_density, F.concat(F.lit("Low information density ("), F.format_number("density", 2), F.lit(")"))),
+        (F.col("_lower"), F.lit(LOWER_START)),
+        (F.col("_open_end"), F.lit(NO_END)),
+        (F.col("_odd"), F.lit(ODD_QUOTES)),
+        (uneven, F.format_string(PARENTHESES, F.col("_opened"), F.col("_closed"))),
+    ]
+    rows = rows.withColumns({"passed": (F.col("quality") >= min_score) & (F.col("density") >= min_density), "issues": F.array_compact(F.array(*[F.when(found, what) for found, what in said]))})
+    return rows.drop("_size", "_alnum", "_bare", "_lower", "_open_end", "_odd", "_opened", "_closed")
 
 
 def exact_duplicates(chunks: DataFrame, text: str = "content", order: tuple[str, ...] = ("doc_id", "chunk_index")) -> DataFrame:
@@ -55,28 +73,47 @@ def validation_counts(validated: DataFrame) -> DataFrame:
     return validated.agg(F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_failed"), F.count_if("is_duplicate").alias("n_duplicates"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", tables: int = 24, bits: int = 6) -> DataFrame:
-    """JON-05: pairs (a < b) with a cosine of at least ``threshold``, blocked by signs of fixed projections.
+#: Hyperplanes of a table, and the chance to miss a pair at the threshold that decides how many tables there are.
+BITS, MISSED = 8, 1e-3
 
-    ``tables`` sign patterns of ``bits`` coordinates sums each bring vectors together that point the same way; candidates
-    are compared exactly. tables=0 compares all pairs, for small inputs and tests.
-    """
-    slim = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    a, b = slim.select(F.col("id").alias("a"), F.col("v").alias("va")), slim.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    if tables == 0:
-        return a.join(b, F.col("a") < F.col("b")).withColumn("sim", cosine(F.col("va"), F.col("vb"))).where(F.col("sim") >= threshold).select("a", "b", "sim")
 
-    def code(table: int) -> Column:
-        # a hash of table, bit and place decides each coordinate's sign
-        def turned(bit: int) -> Column:
-            return F.transform("v", lambda x, i: F.when(F.xxhash64(F.lit(table * 64 + bit), i) % 2 == 0, x.cast("double")).otherwise(-x.cast("double")))
+def tables_for(threshold: float, bits: int = BITS, missed: float = MISSED) -> int:
+    """Tables that bring a pair at the threshold together in one of them but for a share of ``missed``."""
+    met = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if met >= 1 - missed else math.ceil(math.log(missed) / math.log(1 - met))
 
-        sums = [F.aggregate(turned(bit), F.lit(0.0), lambda s, x: s + x) for bit in range(bits)]
-        return sum((F.when(s >= 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, s in enumerate(sums)), F.lit(table << bits))
 
-    keyed = slim.select("id", F.explode(F.array(*[code(t) for t in range(tables)])).alias("block"))
+def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", bits: int = BITS, missed: float = MISSED, seed: int = 7) -> DataFrame:
+    """JON-05: pairs (a < b) with a cosine of at least ``threshold``, blocked by the sides of random hyperplanes.
+
+    Two vectors at an angle meet in a table with probability (1 - angle / pi) ** bits; as many tables are made as it
+    takes to miss at most a share of ``missed`` at the threshold, and fewer of the more similar ones. Of equal vectors the
+    least id stands for all: it is paired with each of its copies, and only it with others. Null and empty vectors pair
+    with none.
+    """
+    slim = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(F.size("v") > 0)
+    n_tables = tables_for(threshold, bits, missed)
+    nodes = stored(slim.groupBy("v").agg(F.min("id").alias("id")), "nodes")
+
+    def codes(batches):
+        for batch in batches:
+            v = np.array(batch.column(1).to_pylist(), np.float64)
+            rng = np.random.default_rng(seed)
+            blocks = np.zeros((len(v), n_tables), np.int64)
+            for table in range(n_tables):
+                sides = v @ rng.standard_normal((v.shape[1], bits)) >= 0
+                blocks[:, table] = (table << bits) + sides @ (1 << np.arange(bits))
+            ids = pa.array(np.repeat(np.arange(len(v)), n_tables))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), pa.array(blocks.reshape(-1))], ["id", "block"])
+
+    kind = slim.schema["id"].dataType.simpleString()
+    keyed = stored(nodes.select("id", "v").mapInArrow(codes, f"id {kind}, block long"), "blocks")
     near = keyed.select(F.col("id").alias("a"), "block").join(keyed.select(F.col("id").alias("b"), "block"), "block").where("a < b").select("a", "b").distinct()
-    return near.join(a, "a").join(b, "b").withColumn("sim", cosine(F.col("va"), F.col("vb"))).where(F.col("sim") >= threshold).select("a", "b", "sim")
+    a, b = nodes.select(F.col("id").alias("a"), F.col("v").alias("va")), nodes.select(F.col("id").alias("b"), F.col("v").alias("vb"))
+    between = near.join(a, "a").join(b, "b").withColumn("sim", cosine(F.col("va"), F.col("vb"))).where(F.col("sim") >= threshold).select("a", "b", "sim")
+    copies = slim.join(nodes.withColumnRenamed("id", "node"), "v")
+    inside = copies.where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"), cosine(F.col("v"), F.col("v")).alias("sim")).where(F.col("sim") >= threshold)
+    return between.unionByName(inside)
 
 
 def greedy_near_duplicates(nodes: DataFrame, pairs: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -90,13 +127,29 @@ def greedy_near_duplicates(nodes: DataFrame, pairs: DataFrame, key: str = "vec_i
         seen = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a").groupBy(F.col("b").alias("id")).agg(F.min(F.when(F.col("ka"), F.col("a"))).alias("by"), F.count_if(F.col("ka").isNull()).alias("open"))
         now = state.join(seen, "id", "left")
         kept = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("by").isNotNull(), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
-        state = now.select("id", kept.alias("kept")).checkpoint()
+        state = cut(now.select("id", kept.alias("kept")))
         if state.where("kept is null").isEmpty():
             break
     by = pairs.join(state.where("kept").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("duplicate_of"))
     return state.join(by, "id", "left").select(F.col("id").alias(key), "kept", F.when(~F.col("kept"), F.col("duplicate_of")).alias("duplicate_of"))
 
 
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
+    """JON-05: key, kept, duplicate_of for all vectors, in the order of their keys; options go to similar_pairs.
+
+    A copy of a vector is decided by its first one: a duplicate of it if it is kept, else of what that is a duplicate of.
+    """
+    pairs = stored(similar_pairs(vectors, threshold, key, vector, **options).select("a", "b"), "pairs")
+    ids = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    first = ids.where(F.size("v") > 0).groupBy("v").agg(F.min("id").alias("first"))
+    members = stored(ids.join(first, "v", "left").join(pairs.select(F.col("a").alias("first"), F.col("b").alias("id"), F.lit(True).alias("copy")), ["first", "id"], "left").select("id", F.when(F.col("copy"), F.col("first")).otherwise(F.col("id")).alias("first")), "members")
+    heads = members.where("id = first").select(F.col("id").alias(key))
+    between = pairs.join(heads.select(F.col(key).alias("b")), "b", "left_semi")
+    decided = greedy_near_duplicates(heads, between, key).withColumnRenamed(key, "first")
+    out = members.join(decided, "first")
+    return out.select(F.col("id").alias(key), (F.col("kept") & (F.col("id") == F.col("first"))).alias("kept"), F.when((F.col("id") != F.col("first")) & F.col("kept"), F.col("first")).otherwise(F.col("duplicate_of")).alias("duplicate_of"))
+
+
 def adjacent_similarity(vectors: DataFrame, group: list[str], order: str, vector: str = "embedding") -> DataFrame:
     """JON-12: similarity to the vector before, within a group; null for the first."""
     before = F.lag(vector).over(W.partitionBy(*group).orderBy(order))

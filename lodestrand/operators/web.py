@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import clipped, strip
 from ..functions.url import followed, hostname, page_links, registered_domain
+from ..sources.state import cut
 
 #: Words in a listing's status that mean it is gone: fixed values.
 STALE = ("sold", "ended", "expired", "pending", "closed", "completed")
@@ -116,13 +117,13 @@ def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_depth: int,
     has reached: an equi-join, a distinct and an anti-join, cut by a checkpoint. At most max_pages, by depth, then url.
     """
     web = pages.select("url").distinct()
-    reached = web.join(seeds.select("url").distinct(), "url", "left_semi").select("url", F.lit(0).alias("depth")).checkpoint()
+    reached = cut(web.join(seeds.select("url").distinct(), "url", "left_semi").select("url", F.lit(0).alias("depth")))
     wave = reached
     for depth in range(1, max_depth + 1):
-        wave = wave.select("url").join(links, "url").select(F.col("link").alias("url")).distinct().join(web, "url", "left_semi").join(reached, "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        wave = cut(wave.select("url").join(links, "url").select(F.col("link").alias("url")).distinct().join(web, "url", "left_semi").join(reached, "url", "left_anti").withColumn("depth", F.lit(depth)))
         if wave.isEmpty():
             break
-        reached = reached.unionByName(wave).checkpoint()
+        reached = cut(reached.unionByName(wave))
         if reached.count() >= max_pages:
             break
     return reached.orderBy("depth", "url").limit(max_pages)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.url import hostname
 from ..operators import web
-from ..sources.state import checkpointed
+from ..sources.state import cut
 
 #: A provider answers queries (round_number, query) with results (round_number, position, url, title, description).
 Provider = Callable[[DataFrame], DataFrame]
@@ -48,7 +48,6 @@ def search_and_crawl(spark, queries: list[str], search: Provider, fetch: Fetcher
     preferred order, relevance, the page budget, fetching, content filters. Rounds are cut by a checkpoint; only counts
     reach the driver.
     """
-    checkpointed(spark)
     page_schema = "round_number int, position long, url string, title string, summary string"
     pages = spark.createDataFrame([], page_schema)
     filtered = spark.createDataFrame([], "round_number int, position long, url string, reason string")
@@ -64,18 +63,18 @@ def search_and_crawl(spark, queries: list[str], search: Provider, fetch: Fetcher
         good = web.relevant(F.col("url"), F.col("title"), F.col("description"), F.array(*[F.lit(w.lower()) for w in strategy.bad_words]).cast("array<string>"))
         judged = by.withColumn("reason", F.when(F.col("blocked_by").isNotNull(), "blocked_domain").when(~good, "irrelevant"))
         order = web.preferred_order(hostname(F.col("url")), strategy.preferred) if strategy.preferred else F.lit(0)
-        candidates = judged.where("reason is null").withColumn("p", order).orderBy("p", "position").limit(budget).drop("p").checkpoint()
+        candidates = cut(judged.where("reason is null").withColumn("p", order).orderBy("p", "position").limit(budget).drop("p"))
         dropped = judged.where("reason is not null").select("round_number", "position", "url", "reason")
         if candidates.isEmpty():
-            filtered = filtered.union(dropped).checkpoint()
+            filtered = cut(filtered.union(dropped))
             break
         text = web.page_text(F.col("markdown"), F.col("content"))
         got = fetch(candidates).withColumn("text", text)
         why = F.when(F.col("error").isNotNull(), "fetch_failed").when(web.first_stale(F.col("text"), strategy.stale).isNotNull(), "stale_content").when(~web.has_required(F.col("text"), strategy.required), "missing_required")
-        got = got.withColumn("reason", why).checkpoint()
-        pages = pages.union(got.where("reason is null").select("round_number", "position", "url", "title", F.substring("text", 1, 500).alias("summary"))).checkpoint()
-        filtered = filtered.union(dropped).union(got.where("reason is not null").select("round_number", "position", "url", "reason")).checkpoint()
-        crawled = crawled.union(candidates.select("url")).checkpoint()
+        got = cut(got.withColumn("reason", why))
+        pages = cut(pages.union(got.where("reason is null").select("round_number", "position", "url", "title", F.substring("text", 1, 500).alias("summary"))))
+        filtered = cut(filtered.union(dropped).union(got.where("reason is not null").select("round_number", "position", "url", "reason")))
+        crawled = cut(crawled.union(candidates.select("url")))
         n_pages = pages.count()
     rounds = spark.createDataFrame(list(enumerate(asked, 1)), "round_number int, query string")
     return Trace(rounds, pages, filtered, asked)

@@ -42,7 +42,7 @@ def flt01_extra_filter(spark, sf):
 
 @query("agg01_term_frequencies", f"WITH {POSTINGS_SQL} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM p GROUP BY term")
 def agg01_term_frequencies(spark, sf):
-    return R.postings(table(spark, sf, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return R.term_index(table(spark, sf, "documents"))
 
 
 @query("agg01_corpus_stats", f"WITH {POSTINGS_SQL} SELECT count(*) AS n, sum(dl)::BIGINT AS n_tokens, round(avg(dl), 6) AS avgdl FROM l")
@@ -64,21 +64,21 @@ def agg03_bm25_standard(spark, sf):
     SELECT q.vec_id AS query_id, v.vec_id, {COSINE_SQL} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE_SQL} DESC, v.vec_id) AS rank
     FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 QUALIFY rank <= 10""")
 def top01_vector_topk(spark, sf):
-    return R.top_k(R.vector_scores(_queries(spark, sf), table(spark, sf, "embeddings").drop("label")), 10, "query_id", "vec_id")
+    return R.top_k(R.vector_scores(_queries(spark, sf), table(spark, sf, "embeddings").drop("label"), k=10), 10, "query_id", "vec_id")
 
 
 @query("top01_filtered_topk", f"""
     SELECT q.vec_id AS query_id, v.vec_id, {COSINE_SQL} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE_SQL} DESC, v.vec_id) AS rank
     FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.label IN (1, 2, 3) QUALIFY rank <= 5""")
 def top01_filtered_topk(spark, sf):
-    return R.top_k(R.vector_scores(_queries(spark, sf), table(spark, sf, "embeddings"), row_filter={"label": [1, 2, 3]}).drop("label"), 5, "query_id", "vec_id")
+    return R.top_k(R.vector_scores(_queries(spark, sf), table(spark, sf, "embeddings"), row_filter={"label": [1, 2, 3]}, k=5).drop("label"), 5, "query_id", "vec_id")
 
 
 @query("agg04_rank_fusion", f"""
     WITH s AS (SELECT q.vec_id AS qid, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE_SQL} DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 QUALIFY rank <= 10)
     SELECT vec_id, round(sum(1.0 / (60 + rank)), 6) AS rrf FROM s GROUP BY vec_id""")
 def agg04_rank_fusion(spark, sf):
-    ranked = R.top_k(R.vector_scores(_queries(spark, sf), table(spark, sf, "embeddings").drop("label")), 10, "query_id", "vec_id")
+    ranked = R.top_k(R.vector_scores(_queries(spark, sf), table(spark, sf, "embeddings").drop("label"), k=10), 10, "query_id", "vec_id")
     return R.fuse_ranks(ranked, None, "vec_id").withColumn("rrf", F.round("rrf", 6))
 
 
@@ -87,7 +87,7 @@ def agg04_rank_fusion(spark, sf):
          f AS (SELECT question, vec_id, round(sum(1.0 / (60 + rank)), 6) AS rrf FROM s GROUP BY ALL)
     SELECT *, row_number() OVER (PARTITION BY question ORDER BY rrf DESC, vec_id) AS rank FROM f QUALIFY rank <= 10""")
 def top04_multi_query(spark, sf):
-    ranked = R.top_k(R.vector_scores(_queries(spark, sf), table(spark, sf, "embeddings").drop("label")), 10, "query_id", "vec_id")
+    ranked = R.top_k(R.vector_scores(_queries(spark, sf), table(spark, sf, "embeddings").drop("label"), k=10), 10, "query_id", "vec_id")
     return R.top_k(R.fuse_ranks(ranked.withColumn("question", F.floor(F.col("query_id") / 60)), "question", "vec_id"), 10, "question", "vec_id", "rrf")
 
 
@@ -95,7 +95,7 @@ def hybrid_hits(spark, sf, k: int = 10):
     """Each benchmark text against all documents: BM25 and, where a document has one, its vector."""
     bench, docs, vectors = table(spark, sf, "benchmark"), table(spark, sf, "documents"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = bench.join(vectors.withColumnRenamed("doc_id", "item_id"), "item_id").select("item_id", F.col("embedding").alias("query_embedding"))
-    return R.hybrid(R.bm25(bench, docs), R.vector_scores(asked, vectors, "item_id"), "item_id", "doc_id", k)
+    return R.hybrid(R.bm25(bench, docs), R.vector_scores(asked, vectors, "item_id", k=2 * k), "item_id", "doc_id", k)
 
 
 @query("top03_hybrid", f"""

@@ -223,16 +223,12 @@ def jon04_exact_duplicates(spark, sf):
     SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim
     FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4""")
 def jon05_similar_pairs(spark, sf):
-    return V.similar_pairs(table(spark, sf, "embeddings"), 0.4, tables=0).withColumn("sim", F.round("sim", 6))
+    return V.similar_pairs(table(spark, sf, "embeddings"), 0.4, missed=1e-4).withColumn("sim", F.round("sim", 6))
 
 
 @query("jon05_greedy_near_duplicates")
 def jon05_greedy_near_duplicates(spark, sf):
-    from ..sources.state import checkpointed
-
-    checkpointed(spark)
-    v = table(spark, sf, "embeddings")
-    return V.greedy_near_duplicates(v.select("vec_id"), V.similar_pairs(v, 0.3, tables=0).select("a", "b").checkpoint())
+    return V.near_duplicates(table(spark, sf, "embeddings"), 0.4, missed=1e-4)
 
 
 @query("jon12_adjacent_similarity", """

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import file_stem, file_type
+from .state import cut
 
 #: SRC-05: suffixes that are read as text, as HTML, or as JSON; others need a registered extractor.
 TEXT, HTML, JSON = {"txt", "md", "csv", "xml", "rtf"}, {"html", "htm"}, {"json"}
@@ -108,7 +109,7 @@ def sitemap_urls(maps: DataFrame, root: str, most_levels: int = 10) -> DataFrame
     locs = lambda df, path: df.select(F.explode(F.expr(f"xpath(xml, '{path}')")).alias("url")).select(F.trim("url").alias("url")).distinct()
     seen = wave = clean.where(F.col("url") == root).select("url")
     for _ in range(most_levels):
-        wave = locs(clean.join(wave, "url", "left_semi"), "/sitemapindex/sitemap/loc/text()").join(seen, "url", "left_anti").checkpoint()
+        wave = cut(locs(clean.join(wave, "url", "left_semi"), "/sitemapindex/sitemap/loc/text()").join(seen, "url", "left_anti"))
         if wave.isEmpty():
             break
         seen = seen.union(wave)

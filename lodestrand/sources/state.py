@@ -1,18 +1,39 @@
-"""Where iterative operators cut their lineage."""
+"""Where iterative operators cut their lineage: tables in the folder that all executors share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(spark: SparkSession) -> str:
-    """The session's checkpoint folder (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The session's checkpoint folder (``spark.checkpoint.dir``); a temporary one only in local mode where none is set."""
     context = spark.sparkContext
-    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lodestrand-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
-    return found
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint of df, in the shared folder."""
+    checkpointed(df.sparkSession)
+    return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder; the files go when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{checkpointed(spark)}/lodestrand-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)

@@ -28,7 +28,7 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # each distinct term counts the document, each occurrence counts itself
     mark = lambda terms, first: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(first).alias("first")))
     rows = docs.select(F.explode(F.concat(mark(F.array_distinct(found), 1), mark(found, 0))).alias("e")).select("e.*")
-    return collected(rows.groupBy("term").agg(F.sum("first").alias("df"), F.sum(1 - F.col("first")).alias("total")), "complete")
+    return collected(rows.groupBy("term").agg(F.sum("first").alias("df"), F.sum(1 - F.col("first")).alias("total")), "update", ("term",))
 
 
 def ingest_stream(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, key: str = "doc_id") -> None:
@@ -37,7 +37,7 @@ def ingest_stream(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], pa
     def one(batch: DataFrame, number: int) -> None:
         chunk(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
 
-    state = f"{checkpointed(stream.sparkSession).rstrip('/')}/ingest"
+    state = f"{checkpointed(stream.sparkSession)}/ingest"
     stream.writeStream.foreachBatch(one).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..sources.state import checkpointed
 
@@ -21,20 +21,37 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windowed(events: DataFrame, window: Column, key: str, late: str = "1 hour") -> DataFrame:
-    """Counts and sums of value by window and key; results come out once no row of the window can still arrive."""
-    return events.withWatermark("ts", late).groupBy(window.alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("key", F.col("w.start").alias("window_start"), "n", "total")
+    """Counts and sums of value by window and key.
 
+    Late data: a row that is older than the latest event time of the batches before by more than ``late`` is dropped if
+    its windows have ended by then; all other rows count, in whatever order they come.
+    """
+    return events.withWatermark("ts", late).groupBy(window.alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("key", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "total")
 
-def collected(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there and returns its result: a table in the shared folder (append) or memory."""
+
+def collected(stream: DataFrame, mode: str, keys: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """Runs a stream over what is there and returns its result, a table in the shared folder (or at path).
+
+    append: rows are final. update: each batch appends the rows that it changed with its number, and the latest of each
+    key counts; so a batch writes no more than it changed, nothing is held by the driver, and a batch that is run again
+    after a failure replaces itself.
+    """
     spark = stream.sparkSession
-    base = f"{checkpointed(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = path or f"{checkpointed(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
-        stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        writer.format("parquet").option("path", f"{base}/out").outputMode("append").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
-    name = f"out_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    if mode != "update" or not keys:
+        raise ValueError("mode is append, or update with keys")
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    writer.foreachBatch(one).outputMode("update").start().awaitTermination()
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{base}/out")
+    latest = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("batch")))
+    return rows.withColumn("_latest", latest).where("_latest = 1").drop("_latest", "batch")
 
 
 def _whole(out: DataFrame) -> DataFrame:
@@ -42,9 +59,28 @@ def _whole(out: DataFrame) -> DataFrame:
 
 
 def run_windows(spark: SparkSession, sf_dir: str, size: str, slide: str | None = None) -> DataFrame:
-    """All windows, open ones included (complete mode)."""
-    return _whole(collected(windowed(event_stream(spark, sf_dir), F.window("ts", size, slide), "event_type"), "complete"))
+    """All windows, open ones included."""
+    return _whole(collected(windowed(event_stream(spark, sf_dir), F.window("ts", size, slide), "event_type"), "update", ("key", "window_start")))
 
 
 def run_sessions(spark: SparkSession, sf_dir: str, gap: str) -> DataFrame:
-    return _whole(collected(windowed(event_stream(spark, sf_dir), F.session_window("ts", gap), "user_id"), "complete"))
+    """All sessions, open ones included.
+
+    Sessions merge, so their rows can't be updated by key; they come out when they have ended (append), and those still
+    open at the end of the stream are closed by a last file with one row long after, which is left out of the result.
+    """
+    base = f"{checkpointed(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+
+    def follow(source: str) -> DataFrame:
+        events = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
+        return windowed(events, F.session_window("ts", gap), "user_id")
+
+    # The stream reads a folder of its own: the events, and, once they are done, the row that closes what is open.
+    events = spark.read.parquet(path)
+    events.write.parquet(f"{base}/in/events")
+    collected(follow(f"{base}/in/*"), "append", path=base)
+    last = events.agg(F.max("ts").alias("ts")).where("ts is not null").select(*[(F.col("ts") + F.expr("INTERVAL 3650 DAYS")).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    last.write.parquet(f"{base}/in/last")
+    return _whole(collected(follow(f"{base}/in/*"), "append", path=base))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,13 +91,55 @@ def test_near_duplicates(spark):
     assert {r.vec_id for r in out if r.kept} == kept and {r.vec_id: r.duplicate_of for r in out if not r.kept} == by
 
 
-def test_blocked_pairs_find_close_vectors(spark):
+def brute_pairs(rows, threshold):
+    v = np.array([x for _, x in rows])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    sims = v @ v.T
+    return {(min(a, b), max(a, b)) for i, (a, _) in enumerate(rows) for j, (b, _) in enumerate(rows[:i]) if sims[i, j] >= threshold}
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.8, 0.4])
+def test_blocked_pairs_against_all_pairs(spark, threshold):
+    """Recall at 0.4, where a registered query asks, and above."""
     rng = random.Random(2)
-    base = [[rng.gauss(0, 1) for _ in range(32)] for _ in range(30)]
-    rows = [(i, v) for i, v in enumerate(base)] + [(100 + i, [x + rng.gauss(0, 0.02) for x in v]) for i, v in enumerate(base)]
+    base = [[rng.gauss(0, 1) for _ in range(32)] for _ in range(60)]
+    rows = list(enumerate(base)) + [(100 + i, [x + rng.gauss(0, (0.02, 0.1, 0.6, 1.2)[i % 4]) for x in v]) for i, v in enumerate(base)]
     df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
-    exact, blocked = values(validate.similar_pairs(df, 0.95, tables=0), "a", "b"), values(validate.similar_pairs(df, 0.95), "a", "b")
-    assert len(exact) == 30 and len(set(blocked) & set(exact)) >= 28 and set(blocked) <= set(exact)
+    want, got = brute_pairs(rows, threshold), set(values(validate.similar_pairs(df, threshold), "a", "b"))
+    assert len(want) >= 15 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_near_duplicates_with_copies(spark):
+    rng = random.Random(3)
+    base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    rows = [(i, rng.choice(base) if i % 3 else [x + rng.gauss(0, 0.1) for x in rng.choice(base)]) for i in range(90)]
+    rows += [(200, [0.0] * 16), (201, [0.0] * 16)]
+    kept, by = [], {}
+    pairs = brute_pairs(rows[:-2], 0.95)
+    for i, _ in rows:
+        if found := [k for k in kept if (k, i) in pairs]:
+            by[i] = found[0]
+        else:
+            kept.append(i)
+    df = spark.createDataFrame([*rows, (300, None), (301, [])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in validate.near_duplicates(df, 0.95).collect()}
+    assert len(got) == 94 and sorted(i for i, r in got.items() if r.kept) == sorted([*kept, 300, 301]) and {i: r.duplicate_of for i, r in got.items() if not r.kept} == by
+
+
+def test_vector_search_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    vectors, asked = rng.integers(-2, 3, (300, 6)).astype(float), rng.integers(-2, 3, (40, 6)).astype(float)
+    unit = lambda x: np.divide(x, np.linalg.norm(x, axis=1)[:, None], out=np.zeros_like(x), where=np.linalg.norm(x, axis=1)[:, None] > 0)
+    sims = np.round(unit(asked) @ unit(vectors).T, 6)
+    want = {(q, sorted(range(300), key=lambda i: (-sims[q, i], i))[r], r + 1) for q in range(40) for r in range(7)}
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "id long, embedding array<double>").repartition(5)
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(asked)], "query_id long, query_embedding array<double>")
+    for block in (20_000, 9):
+        assert set(values(R.top_k(R.vector_scores(q, v, k=7, block=block), 7, "query_id", "id"), "query_id", "id", "rank")) == want
+    odd = spark.createDataFrame([(1, [1.0]), (2, None), (3, [])], "id long, embedding array<double>")
+    with pytest.raises(Exception, match="unequal length"):
+        R.vector_scores(q, odd).collect()
+    assert {r.score for r in R.vector_scores(q, odd.where("id > 1")).collect()} == {0.0}
 
 
 def test_spans(spark):
