@@ -389,8 +389,9 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     w = W.partitionBy("band", "slot")
     meet = meet.withColumn("shared", F.col("known") | (F.min("h").over(w) != F.max("h").over(w)))
     meet = materialize(meet.where("shared").select("band", "h").distinct(), "meetings")
-    # a table of its own: the join can be split, and copies are combined before the shuffle of the next step
-    texts = materialize(paragraphs.select("h", "g", "text").join(meet.select("h").distinct(), "h", "left_semi"), "texts")
+    # tables of their own: the join starts from two shuffles and can be split, and copies are combined before the next one
+    wanted = materialize(meet.select("h").distinct(), "wanted")
+    texts = materialize(paragraphs.select("h", "g", "text").join(wanted, "h", "left_semi"), "texts")
     texts = texts.groupBy("h", "g").agg(F.first("text").alias("text"))
     clusters = materialize(connected_components(link_bands(materialize(meet.join(texts, "h"), "bands"), min_jaccard, most)), "clusters")
     clusters = clusters.select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), F.col("component.h").alias("ch"), F.col("component.g").alias("cg"))
