@@ -175,16 +175,16 @@ def text_windows(text: Column, size: int, overlap: int = 200) -> Column:
     return F.filter(windows, lambda w: w["content"].rlike(r"\S"))
 
 
-def batch_numbers(tokens: Column, most_tokens: int = 200_000, most_items: int = 100) -> Column:
-    """CHK-12: the batch of each item, given the items' tokens; batches closed when the next item would overflow them."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("t"), F.lit(0).alias("n"))
+def last_above(rows: DataFrame, doc: str, order: str, value: Column, into: str) -> DataFrame:
+    """WIN-03: the last value that isn't null before a row of its document, as a chunk finds its section's parent."""
+    w = W.partitionBy(doc).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn(into, F.last(value, ignorenulls=True).over(w))
 
-    def step(s: Column, x: Column) -> Column:
-        new = (s["n"] > 0) & ((s["t"] + x > most_tokens) | (s["n"] >= most_items))
-        b = F.when(new, s["b"] + 1).otherwise(s["b"])
-        return F.struct(F.array_append(s["out"], b).alias("out"), b.alias("b"), F.when(new, x).otherwise(s["t"] + x).alias("t"), F.when(new, F.lit(1)).otherwise(s["n"] + 1).alias("n"))
 
-    return F.aggregate(tokens, start, step, lambda s: s["out"])
+def section_ends(rows: DataFrame, doc: str, start: str, size: Column, end: int) -> DataFrame:
+    """WIN-04, WIN-05: section_end, where the next section starts (or ``end``), and chars, the running sum of sizes."""
+    w = W.partitionBy(doc).orderBy(start)
+    return rows.withColumns({"section_end": F.lead(start, 1, end).over(w), "chars": F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))})
 
 
 def strategy_of(file_name: Column, answer: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import safe_label
-from ..sources.state import cut
+from ..sources.state import cut, stored
 
 
 def entity_id(doc: Column, index: Column, text: Column, start: Column, end: Column) -> Column:
@@ -76,3 +76,69 @@ def expand_users(follows: DataFrame, seeds: DataFrame, levels: int, users_per_le
             break
         reached = reached.unionByName(wave)
     return reached
+
+
+def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """SET-05: both directions of each edge, each once."""
+    return edges.select(a, b).union(edges.select(b, a)).distinct()
+
+
+def concatenated(*parts: DataFrame) -> DataFrame:
+    """SET-10: all rows of all parts, by name; nothing is dropped."""
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def children_of(nodes: DataFrame, parent: str, node: str) -> DataFrame:
+    """AGG-13: (parent, children in order); nodes without a parent aren't anyone's children."""
+    return nodes.where(F.col(parent).isNotNull()).groupBy(F.col(parent).alias("parent")).agg(F.sort_array(F.collect_list(node)).alias("children"))
+
+
+def with_authors(posts: DataFrame, users: DataFrame, author: str, name: str, default: str = "unknown") -> DataFrame:
+    """JON-09: posts with the name of their author, or the default where the users don't have it."""
+    return posts.join(users.select(author, F.col(name).alias("username")), author, "left").withColumn("username", F.coalesce("username", F.lit(default)))
+
+
+#: What a missing verdict is called: a fixed value.
+NO_VERDICT = "no verdict returned"
+
+
+def with_verdicts(items: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """JON-10: items with passed and reason; one without a verdict has failed."""
+    found = items.join(verdicts.select(*keys, "passed", "reason", F.lit(True).alias("_there")), keys, "left")
+    reason = F.when(F.col("_there").isNull(), NO_VERDICT).otherwise(F.coalesce("reason", F.lit("")))
+    return found.withColumns({"reason": reason, "passed": F.coalesce("passed", F.lit(False))}).drop("_there")
+
+
+def rule_counts(verdicts: DataFrame, item: str, verdict: str, fail: str = "FAIL", unknown: str = "UNKNOWN") -> DataFrame:
+    """AGG-14: how many rules an item fails and how many are open; it passes if it fails none."""
+    return verdicts.groupBy(item).agg(F.count_if(F.col(verdict) == fail).alias("n_fail"), F.count_if(F.col(verdict) == unknown).alias("n_unknown")).withColumn("passed", F.col("n_fail") == 0)
+
+
+def rejections(fails: DataFrame, item: str, rule: str, most: int = 3) -> DataFrame:
+    """FN-33: (item, fails): the first rules that an item fails, joined by commas. Spark ranks before it shuffles."""
+    from pyspark.sql import Window as W
+
+    first = fails.withColumn("_k", F.row_number().over(W.partitionBy(item).orderBy(rule))).where(F.col("_k") <= most)
+    return first.groupBy(item).agg(F.array_join(F.sort_array(F.collect_list(rule)).cast("array<string>"), ",").alias("fails"))
+
+
+def path_edges(edges: DataFrame, seeds: DataFrame, depth: int, limit: int | None = 500) -> DataFrame:
+    """GRA-04 at depth d: (seed, source, relation, target): the edges of all undirected paths of 1 to ``depth`` edges from
+    a seed, one row for each edge of each path, not distinct; a path doesn't use an edge twice.
+
+    A wave holds the paths of one length, as lists of edge numbers. Their number can grow with each step as the degree
+    does; limit (of rows, in no order) is the query's own, None for all.
+    """
+    rows = stored(edges.select("source", "relation", "target").withColumn("edge", F.monotonically_increasing_id()), "edges")
+    steps = rows.select(F.col("source").alias("node"), F.col("target").alias("next"), "edge").union(rows.where("source != target").select("target", "source", "edge"))
+    wave = seeds.select("seed", F.col("seed").alias("node"), F.array().cast("array<long>").alias("path"))
+    found = None
+    for _ in range(depth):
+        wave = wave.join(steps, "node").where(~F.array_contains("path", F.col("edge"))).select("seed", F.col("next").alias("node"), F.array_append("path", F.col("edge")).alias("path"))
+        wave = stored(wave, "paths")
+        found = wave if found is None else found.unionByName(wave)
+    out = found.select("seed", F.explode("path").alias("edge")).join(rows, "edge").select("seed", "source", "relation", "target")
+    return out if limit is None else out.limit(limit)

@@ -157,4 +157,45 @@ def merged_content(pages: DataFrame, group: str, order: str, url: str = "url", t
 
 def page_batches(pages: DataFrame, group: str, order: str, size: int = 8) -> DataFrame:
     """AGG-12: pages of a group, ``size`` at a time."""
-    return pages.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(group).orderBy(order)) - 1) / size))
+    from .stores import rank_within
+
+    return rank_within(pages, [group], [F.col(order)], "_rank").withColumn("batch", F.floor((F.col("_rank") - 1) / size)).drop("_rank")
+
+
+def long_pages(pages: DataFrame, text: str = "text", least: int = 80) -> DataFrame:
+    """FLT-20: pages with enough text to hold a listing."""
+    return pages.where(F.length(text) >= least)
+
+
+def trace_urls(records: DataFrame, kind: str = "page") -> DataFrame:
+    """FLT-22: (round_number, position, url) of a trace's records (type, round_number, position, url) of one kind: page for
+    what was crawled, filtered for what was left out."""
+    return records.where(F.col("type") == kind).select("round_number", "position", "url")
+
+
+def provider_rows(rows: DataFrame, key: str, order: str, limit: int | None = None) -> DataFrame:
+    """FN-31, SRC-17: a provider's rows (key, order, url, title, description, snippet) as results, numbered from 1 in order.
+
+    Rows without a url go; the description is the provider's, or else its snippet.
+    """
+    kept = rows.where("url is not null and url != ''").withColumn("description", F.coalesce("description", "snippet")).drop("snippet")
+    ranked = kept.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy(order)))
+    return ranked if limit is None else ranked.where(F.col("position") <= limit)
+
+
+def capped_links(pages: DataFrame, most: int = 100, html: str = "html", url: str = "url") -> DataFrame:
+    """TOP-10: pages with at most so many of their links."""
+    return pages.withColumn("links", F.slice(page_links(F.col(html), F.col(url)), 1, most))
+
+
+def within_budget(candidates: DataFrame, order: list, per_round: int, max_pages: int, n_crawled: int) -> DataFrame:
+    """TOP-08: the first candidates, as many as a round and the whole run still allow."""
+    return candidates.orderBy(*order).limit(max(0, min(per_round, max_pages - n_crawled)))
+
+
+def expansion_posters(posts: DataFrame, url: str = "url", failed: str | None = None) -> DataFrame:
+    """SET-08: the distinct authors of posts by their urls, without failed posts and unknown authors."""
+    from ..functions.text import status_user
+
+    kept = posts if failed is None else posts.where(F.col(failed).isNull())
+    return kept.select(status_user(F.col(url)).alias("username")).where("username is not null and username != 'unknown'").distinct()

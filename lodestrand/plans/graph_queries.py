@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph as G, stores as S, validate as V
+from ..operators import graph as G, stores as S, validate as V, web as X
 from ..sources.state import checkpointed
 from .registered import query, table
 
@@ -24,10 +24,10 @@ def edges(spark, sf):
     return out
 
 
-@query("gra01_entity_ids", "SELECT doc_id, sha256(doc_id || ':' || i || ':' || text[i * 40 + 1 : i * 40 + 12] || ':' || (i * 40) || ':' || CASE WHEN i = 2 THEN 'None' ELSE (i * 40 + 12)::VARCHAR END)[1:24] AS entity_id FROM documents, unnest(range(0, 3)) u(i)")
+@query("gra01_entity_ids", "SELECT doc_id, sha256(doc_id || ':' || i || ':' || w || ':' || i || ':' || CASE WHEN i % 3 = 2 THEN 'None' ELSE (i + length(w))::VARCHAR END)[1:24] AS entity_id FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents))")
 def gra01_entity_ids(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
-    return rows.select("doc_id", G.entity_id(F.col("doc_id"), F.col("i"), F.substr("text", F.col("i") * 40 + 1, F.lit(12)), F.col("i") * 40, F.when(F.col("i") != 2, F.col("i") * 40 + 12)).alias("entity_id"))
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
+    return rows.select("doc_id", G.entity_id(F.col("doc_id"), F.col("i"), F.col("w"), F.col("i"), F.when(F.col("i") % 3 != 2, F.col("i") + F.length("w"))).alias("entity_id"))
 
 
 @query("gra02_relationships", "SELECT o_orderkey, 'c' || o_custkey AS source, 'n' || (o_custkey % 30) AS target FROM orders WHERE o_custkey % 7 <> 0 AND o_custkey % 30 < 25")
@@ -80,20 +80,19 @@ def jon08_resolved_labels(spark, sf):
 @query("jon09_post_authors", "SELECT o_orderkey, o_custkey, coalesce(c_name, 'unknown') AS username FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 2 = 0")
 def jon09_post_authors(spark, sf):
     users = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return table(spark, sf, "orders").join(users, "o_custkey", "left").select("o_orderkey", "o_custkey", F.coalesce("c_name", F.lit("unknown")).alias("username"))
+    return G.with_authors(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), users, "o_custkey", "c_name").select("o_orderkey", "o_custkey", "username")
 
 
 @query("jon10_verdicts", "SELECT d.doc_id, coalesce(l.quality = 1 AND l.toxic = 0, FALSE) AS passed, CASE WHEN l.doc_id IS NULL THEN 'no verdict returned' WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'quality' ELSE '' END AS reason FROM documents d LEFT JOIN labels l USING (doc_id)")
 def jon10_verdicts(spark, sf):
-    out = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").withColumn("there", F.lit(True)), "doc_id", "left")
-    return out.select("doc_id", F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False)).alias("passed"), F.when(F.col("there").isNull(), "no verdict returned").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "quality").otherwise("").alias("reason"))
+    reason = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "quality").otherwise("")
+    verdicts = table(spark, sf, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("passed"), reason.alias("reason"))
+    return G.with_verdicts(table(spark, sf, "documents").select("doc_id"), verdicts, ["doc_id"]).select("doc_id", "passed", "reason")
 
 
 @query("agg14_rule_counts", "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n_fail, count(*) FILTER (o_orderstatus = 'P') AS n_unknown, count(*) FILTER (o_orderstatus = 'F') = 0 AS passed FROM orders GROUP BY 1")
 def agg14_rule_counts(spark, sf):
-    rules = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderstatus").alias("r"))
-    n = lambda s: F.size(F.filter("r", lambda x: x == s)).cast("long")
-    return rules.select("o_custkey", n("F").alias("n_fail"), n("P").alias("n_unknown"), (~F.exists("r", lambda x: x == "F")).alias("passed"))
+    return G.rule_counts(table(spark, sf, "orders"), "o_custkey", "o_orderstatus", "F", "P")
 
 
 @query("snk01_upsert", """
@@ -120,9 +119,9 @@ def snk06_entity_merge(spark, sf):
     return out.select("id", F.col("attributes")["status"].alias("status"), F.col("attributes")["priority"].alias("priority"))
 
 
-@query("snk07_relationship_merge", "SELECT DISTINCT 'c' || o_custkey AS source, 'PLACED_' || o_orderstatus AS relation, 's' || (o_orderkey % 200) AS target FROM orders WHERE o_custkey < 700 AND o_orderkey % 200 IN (SELECT s_suppkey FROM supplier) AND o_custkey IN (SELECT c_custkey FROM customer)")
+@query("snk07_relationship_merge", "SELECT DISTINCT 'c' || o_custkey AS source, 'PLACED_' || o_orderstatus AS relation, 's' || (o_orderkey % 200) AS target FROM orders WHERE o_custkey % 10 <> 3 AND o_orderkey % 200 IN (SELECT s_suppkey FROM supplier) AND o_custkey IN (SELECT c_custkey FROM customer)")
 def snk07_relationship_merge(spark, sf):
-    c, s = table(spark, sf, "customer").where("c_custkey < 700"), table(spark, sf, "supplier")
+    c, s = table(spark, sf, "customer").where("c_custkey % 10 != 3"), table(spark, sf, "supplier")
     ids = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id")).union(s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))))
     rows = table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("placed "), F.lower("o_orderstatus")).alias("relation"), F.concat(F.lit("s"), (F.col("o_orderkey") % 200).cast("string")).alias("target"))
     return G.upsert_relationships(rows, ids)
@@ -153,7 +152,7 @@ def agg10_metrics(spark, sf):
 @query("flt17_scope_attributes", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source END AS source_type, lang AS author_id FROM documents")
 def flt17_scope_attributes(spark, sf):
     extra = F.create_map(F.lit("source_type"), F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.lit("author_id"), "lang", F.lit("other"), F.lit("x"))
-    scope = F.map_filter(extra, lambda k, v: k.isin("source_type", "author_id") & v.isNotNull())
+    scope = S.scoped(extra, ("source_type", "author_id"))
     return table(spark, sf, "documents").select("doc_id", scope.alias("m")).select("doc_id", F.col("m")["source_type"].alias("source_type"), F.col("m")["author_id"].alias("author_id"))
 
 
@@ -175,12 +174,13 @@ def fn17_post_urls(spark, sf):
 @query("set08_posters", "SELECT DISTINCT 'user' || user_id AS username FROM events WHERE event_type <> 'click'")
 def set08_posters(spark, sf):
     url = F.concat(F.lit("https://x.com/user"), F.col("user_id").cast("string"), F.lit("/status/"), F.col("event_id").cast("string"))
-    return table(spark, sf, "events").where("event_type != 'click'").select(T.status_user(url).alias("username")).where("username is not null and username != 'unknown'").distinct()
+    error = F.when(F.col("event_type") == "click", "failed")
+    return X.expansion_posters(table(spark, sf, "events").select(url.alias("url"), error.alias("error")), failed="error")
 
 
 @query("set10_concatenated", "SELECT r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation")
 def set10_concatenated(spark, sf):
-    return table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")).unionByName(table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")))
+    return G.concatenated(table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")), table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")))
 
 
 @query("fn22_listing_lines", "SELECT p_partkey, '- ' || p_name || CASE WHEN p_size > 25 THEN ' — ' || p_brand ELSE '' END || ' — ' || p_type AS line FROM part")

@@ -111,11 +111,11 @@ def top03_hybrid(spark, sf):
 
 @query("jon13_hydrated_hits", f"""
     WITH {bm25_sql('tf')}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM lexical QUALIFY rank <= 3)
-    SELECT item_id, doc_id, rank, score, lang, source, text[1:120] AS content FROM r JOIN documents USING (doc_id)""")
+    SELECT item_id, doc_id, rank, score, lang, source, text AS content FROM r JOIN documents USING (doc_id)""")
 def jon13_hydrated_hits(spark, sf):
     docs = table(spark, sf, "documents")
     hits = R.top_k(R.bm25(table(spark, sf, "benchmark"), docs), 3, "item_id", "doc_id")
-    return hits.join(docs, "doc_id").select("item_id", "doc_id", "rank", "score", "lang", "source", F.substring("text", 1, 120).alias("content"))
+    return hits.join(docs, "doc_id").select("item_id", "doc_id", "rank", "score", "lang", "source", F.col("text").alias("content"))
 
 
 @query("agg09_hits_by_document", f"""
@@ -146,10 +146,10 @@ def jon01_context_window(spark, sf):
 
 @query("jon02_page_windows", """
     WITH p AS (SELECT conv_id, turn, [turn // 2, turn // 2 + 1] AS pages FROM conversations)
-    SELECT DISTINCT m.conv_id, m.turn AS match_turn, c.turn FROM p m JOIN p c USING (conv_id) WHERE m.turn = 2 AND len(list_filter(c.pages, lambda x: x BETWEEN greatest(m.pages[1] - 1, 0) AND m.pages[1])) > 0""")
+    SELECT DISTINCT m.conv_id, m.turn AS match_turn, c.turn FROM p m JOIN p c USING (conv_id) WHERE len(list_filter(c.pages, lambda x: x BETWEEN greatest(m.pages[1] - 1, 0) AND m.pages[1])) > 0""")
 def jon02_page_windows(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.array(F.floor(F.col("turn") / 2), F.floor(F.col("turn") / 2) + 1).alias("pages"))
-    hits = rows.where("turn = 2").select("conv_id", F.col("turn").alias("match_turn"), "pages")
+    hits = rows.select("conv_id", F.col("turn").alias("match_turn"), "pages")
     return R.page_windows(hits, rows, "conv_id", "pages", 1, 0).select("conv_id", "match_turn", "turn")
 
 

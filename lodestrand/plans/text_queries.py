@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunk as C, spans as S, validate as V
+from ..operators import chunk as C, spans as S, stores as K, validate as V
 from .registered import query, table
 
 # DuckDB forms of the shared scalars
@@ -157,9 +157,8 @@ def chk11_text_windows(spark, sf):
                  f.batch + CASE WHEN f.tokens + s.t > 3000 OR f.n >= 8 THEN 1 ELSE 0 END FROM f JOIN s ON s.source = f.source AND s.i = f.i + 1)
     SELECT source, doc_id, batch FROM f""")
 def chk12_embedding_batches(spark, sf):
-    rows = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", T.token_estimate(F.col("text")).alias("t")))).alias("all"))
-    batches = C.batch_numbers(F.transform("all", lambda x: x["t"]), 3000, 8)
-    return rows.select("source", F.inline(F.arrays_zip(F.transform("all", lambda x: x["doc_id"]).alias("doc_id"), batches.alias("batch"))))
+    rows = table(spark, sf, "documents").select("source", "doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+    return K.embedding_batches(rows, "source", "doc_id", "tokens", 3000, 8).drop("tokens")
 
 
 @query("chk13_page_summaries", r"""

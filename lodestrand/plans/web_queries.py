@@ -96,10 +96,10 @@ def flt13_live_listings(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", status.alias("o_orderstatus")).where(X.live_listing(F.col("o_orderstatus")))
 
 
-@query("flt14_relevance", "SELECT page_id, NOT (contains(lower(url), 'tionsh') OR contains(lower(url), '.html') OR contains(lower(html[1:200]), 'verein')) AS relevant FROM pages")
+@query("flt14_relevance", "SELECT page_id, NOT (contains(t, 'xqtionsh') OR contains(t, '.html') OR contains(t, 'verein')) AS relevant FROM (SELECT page_id, lower(url || '  ' || html) AS t FROM pages)")
 def flt14_relevance(spark, sf):
-    words = X.bad_words(F.lit("Good: prose\nBad: Tionsh, .html , verein"))
-    return table(spark, sf, "pages").select("page_id", X.relevant(F.col("url"), F.lit(None), F.substring("html", 1, 200), words).alias("relevant"))
+    words = X.bad_words(F.lit("Good: prose\nBad: xqTionsh, .html , verein"))
+    return table(spark, sf, "pages").select("page_id", X.relevant(F.col("url"), F.lit(None), F.col("html"), words).alias("relevant"))
 
 
 @query("flt15_verdicts", "SELECT doc_id, NOT (quality = 0 AND toxic = 0) AS kept FROM labels")
@@ -108,15 +108,15 @@ def flt15_verdicts(spark, sf):
     return table(spark, sf, "labels").select("doc_id", T.judged_good(answer).alias("kept"))
 
 
-@query("flt19_page_texts", r"SELECT doc_id, regexp_replace(coalesce(CASE WHEN doc_id % 3 <> 0 THEN text[1:40] END, '') || chr(10) || coalesce(CASE WHEN doc_id % 2 = 0 THEN source END, ''), '^\s+|\s+$', '', 'g') AS content FROM documents")
+@query("flt19_page_texts", r"SELECT doc_id, regexp_replace(coalesce(CASE WHEN doc_id % 3 <> 0 THEN text END, '') || chr(10) || coalesce(CASE WHEN doc_id % 2 = 0 THEN source END, ''), '^\s+|\s+$', '', 'g') AS content FROM documents")
 def flt19_page_texts(spark, sf):
-    md, raw = F.when(F.col("doc_id") % 3 != 0, F.substring("text", 1, 40)), F.when(F.col("doc_id") % 2 == 0, F.col("source"))
+    md, raw = F.when(F.col("doc_id") % 3 != 0, F.col("text")), F.when(F.col("doc_id") % 2 == 0, F.col("source"))
     return table(spark, sf, "documents").select("doc_id", X.page_text(md, raw).alias("content"))
 
 
 @query("flt20_long_pages", "SELECT doc_id FROM documents WHERE length(text) >= 80 AND text IS NOT NULL")
 def flt20_long_pages(spark, sf):
-    return table(spark, sf, "documents").where(F.length("text") >= 80).select("doc_id")
+    return X.long_pages(table(spark, sf, "documents")).select("doc_id")
 
 
 @query("src18_stub_search", """SELECT item_id, i AS position, 'https://example.com/' || replace(lower(text), ' ', '-')[1:30] || '-' || i AS url FROM benchmark, unnest(range(1, 6)) u(i)""")
@@ -124,11 +124,11 @@ def src18_stub_search(spark, sf):
     return stub_results(table(spark, sf, "benchmark"), "item_id", "text", 5).select("item_id", "position", "url")
 
 
-@query("src22_page_documents", "SELECT page_id AS document_id, coalesce(nullif(CASE WHEN page_id % 2 = 0 THEN '' ELSE url END, ''), html[1:50]) AS text, url AS source FROM pages")
+@query("src22_page_documents", "SELECT page_id AS document_id, coalesce(nullif(CASE WHEN page_id % 2 = 0 THEN '' ELSE url END, ''), html) AS text, url AS source FROM pages")
 def src22_page_documents(spark, sf):
     from ..sources.pages import as_documents
 
-    rows = table(spark, sf, "pages").select("page_id", "url", F.when(F.col("page_id") % 2 == 0, "").otherwise(F.col("url")).alias("markdown"), F.substring("html", 1, 50).alias("content"), F.lit(200).alias("status_code"), F.lit(None).cast("string").alias("error"))
+    rows = table(spark, sf, "pages").select("page_id", "url", F.when(F.col("page_id") % 2 == 0, "").otherwise(F.col("url")).alias("markdown"), F.col("html").alias("content"), F.lit(200).alias("status_code"), F.lit(None).cast("string").alias("error"))
     return as_documents(rows, "page_id").select(F.col("page_id").alias("document_id"), "text", "source")
 
 
@@ -145,10 +145,10 @@ def set02_listing_keys(spark, sf):
     return X.keep_first(table(spark, sf, "pages"), key, F.col("page_id")).select(key.alias("url_key"), "page_id")
 
 
-@query("set04_sitemap_union", f"WITH {LINKS_SQL} SELECT url FROM pages UNION SELECT link FROM links WHERE i <= 3")
+@query("set04_sitemap_union", f"WITH {LINKS_SQL} SELECT url FROM pages UNION SELECT link FROM links")
 def set04_sitemap_union(spark, sf):
     p = table(spark, sf, "pages")
-    found = p.select(F.explode(F.slice(U.page_links(F.col("html"), F.col("url")), 1, 3)).alias("url"))
+    found = p.select(F.explode(U.page_links(F.col("html"), F.col("url"))).alias("url"))
     return p.select("url").union(found).distinct()
 
 
@@ -175,13 +175,13 @@ def agg12_page_batches(spark, sf):
 @query("gra06_crawl_waves", """
     WITH RECURSIVE l AS (SELECT page_id AS u, (page_id * 3 + 1) % 250 AS v FROM pages UNION ALL SELECT page_id, (page_id * 7 + 2) % 250 FROM pages),
     w AS (SELECT page_id AS u FROM pages), f AS (SELECT 0 AS u, 0 AS depth UNION SELECT l.v, f.depth + 1 FROM f JOIN l ON l.u = f.u JOIN w ON w.u = l.v WHERE f.depth < 4)
-    SELECT url, depth FROM (SELECT u, min(depth) AS depth FROM f GROUP BY u) JOIN pages ON page_id = u""")
+    SELECT url, depth FROM (SELECT u, min(depth) AS depth FROM f GROUP BY u) JOIN pages ON page_id = u ORDER BY depth, url LIMIT 12""")
 def gra06_crawl_waves(spark, sf):
     checkpointed(spark)
     p = table(spark, sf, "pages").select("page_id", "url")
     to = p.select(F.col("page_id").alias("v"), F.col("url").alias("link"))
     links = p.select("url", F.explode(F.array((F.col("page_id") * 3 + 1) % 250, (F.col("page_id") * 7 + 2) % 250)).alias("v")).join(to, "v").select("url", "link")
-    return X.crawl(p, links, p.where("page_id = 0"), 4, 100_000)
+    return X.crawl(p, links, p.where("page_id = 0"), 4, 12)
 
 
 @query("snk12_trace_lines", """
@@ -197,12 +197,11 @@ def snk12_trace_lines(spark, sf):
     return X.trace_lines(trace, rounds, good, bad)
 
 
-@query("fn11_augmented_queries", "SELECT item_id, text[1:20] || ' -sold -expired site:example.com' AS q FROM benchmark")
+@query("fn11_augmented_queries", "SELECT item_id, text || ' -sold -expired site:example.com' AS q FROM benchmark")
 def fn11_augmented_queries(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", T.augmented_query(F.substring("text", 1, 20), F.array(F.lit("sold"), F.lit("expired")), F.array(F.lit("example.com"))).alias("q"))
+    return table(spark, sf, "benchmark").select("item_id", T.augmented_query(F.col("text"), F.array(F.lit("sold"), F.lit("expired")), F.array(F.lit("example.com"))).alias("q"))
 
 
 @query("top08_crawl_budget", "SELECT page_id FROM pages ORDER BY page_id LIMIT 30")
 def top08_crawl_budget(spark, sf):
-    per_round, most, crawled = 40, 100, 70
-    return table(spark, sf, "pages").select("page_id").orderBy("page_id").limit(min(per_round, most - crawled))
+    return X.within_budget(table(spark, sf, "pages").select("page_id"), ["page_id"], 40, 100, 70)
\ No newline at end of file
