@@ -53,6 +53,24 @@ def facts(answer: Column, most: int = 10) -> Column:
     return F.slice(F.when(listed.isNotNull() & (F.size(listed) > 0), listed).otherwise(lines), 1, most)
 
 
+def facts_add_on(chunks: DataFrame, model: Callable[[list[str]], list[str | None]] | None = None, text: str = "content", into: str = "facts", most: int = 10) -> DataFrame:
+    """LLM-05: chunks with their facts; without a model, the sentences of more than ten characters stand in."""
+    if model is None:
+        from .functions.text import sentences
+
+        return chunks.withColumn(into, F.slice(F.filter(sentences(F.col(text)), lambda x: F.length(x) > 10), 1, most))
+    prompt = F.concat(F.lit(f"List up to {most} facts of this text as a JSON list:\n"), F.col(text))
+    return ask(chunks, prompt, "_answer", model).withColumn(into, F.coalesce(facts(F.col("_answer"), most), F.array().cast("array<string>"))).drop("_answer")
+
+
+def capitalised_entities(prompts: list[str]) -> list[str]:
+    """LLM-06's stand-in as a model: capitalised words that don't start a sentence, as JSON."""
+    import json
+    import re
+
+    return [json.dumps([{"kind": "Entity", "text": m} for m in re.findall(r"(?<=[^.!?\s] )([A-ZÀ-Þ][a-zà-ÿ]+)", p)], ensure_ascii=False) for p in prompts]
+
+
 def keyword_entities(text: Column, kind: str = "Entity") -> Column:
     """LLM-06's stand-in: capitalised words that don't start a sentence, with their offsets."""
     pieces = F.split(text, r"(?<=[^.!?\s] )(?=\p{Lu}\p{Ll}+)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .operators import chunk
 
@@ -72,8 +72,57 @@ class Hooks:
         return df
 
 
-#: EXT-02, EXT-08: a chunker takes (documents, key=..., text=..., **options) and returns chunks.
-chunkers, crawlers, extractors, search_providers, add_ons, stores, models = (Registry(k) for k in ("chunker", "crawler", "extractor", "search provider", "chunk add-on", "store", "model"))
-chunkers.register("sentence", chunk.sentence_chunks)
-chunkers.register("sliding_window", chunk.sliding_chunks)
-chunkers.register("hierarchical", chunk.hierarchical_chunks)
+#: EXT-02, EXT-08. What a component of each kind is:
+#: chunker: (documents, key=, text=, **options) -> chunks (key, chunk_index, content); extractor: bytes -> text, by suffix;
+#: crawler: candidates (url) -> with status_code, content, markdown, error; search provider: queries (round_number, query)
+#: -> results; chunk add-on: chunks -> chunks; validator: chunks -> a condition on them; store: a factory of stores;
+#: model: texts -> answers.
+chunkers, crawlers, extractors, search_providers, add_ons, validators, stores, models = (Registry(k) for k in ("chunker", "crawler", "extractor", "search provider", "chunk add-on", "validator", "store", "model"))
+
+
+def _semantic(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5, most: int = 1000, least: int = 100, embedder: Callable | None = None) -> DataFrame:
+    """CHK-10 from texts: sentences, their vectors, the similarity of neighbours, and the cuts."""
+    from .functions.text import sentences
+    from .models import embed
+    from .operators.validate import adjacent_similarity
+
+    rows = docs.select(key, F.posexplode(sentences(F.col(text))).alias("sent_idx", "sentence"))
+    near = adjacent_similarity(embed(rows, "sentence", "embedding", embedder), [key], "sent_idx")
+    return chunk.semantic_chunks(near, key, threshold=threshold, most=most, least=least)
+
+
+def _register() -> None:
+    from .models import facts_add_on, hash_embedding
+    from .sources.fetch import fetched
+    from .sources.formats import READERS
+    from .sources.stub import stub_provider
+
+    for name, part in (("sentence", chunk.sentence_chunks), ("sliding_window", chunk.sliding_chunks), ("hierarchical", chunk.hierarchical_chunks), ("semantic", _semantic)):
+        chunkers.register(name, part)
+    for suffix, reader in READERS.items():
+        extractors.register(suffix, reader)
+    crawlers.register("http", fetched)
+    search_providers.register("stub", stub_provider)
+    add_ons.register("facts", facts_add_on)
+    models.register("hash", hash_embedding)
+    validators.register("not_blank", lambda chunks: chunks["content"].rlike(r"\S"))
+
+
+def chunker_for(name: str, strict: bool = False) -> Callable[..., DataFrame]:
+    """CHK-15: a chunker by name; an unknown name is hierarchical, or a KeyError if strict."""
+    return chunkers.get(name if strict or name in chunkers else "hierarchical")
+
+
+def run_add_ons(chunks: DataFrame, names: list[str], **options) -> DataFrame:
+    """EXT-05: chunks through add-ons in order; an unknown name is an error, an add-on that fails while its plan is made is
+    passed over."""
+    for name in names:
+        add_on = add_ons.get(name)
+        try:
+            chunks = add_on(chunks, **options.get(name, {}))
+        except Exception:  # noqa: BLE001
+            continue
+    return chunks
+
+
+_register()

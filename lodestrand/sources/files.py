@@ -1,23 +1,17 @@
-"""Files as documents, and documents as files."""
+"""Files as documents."""
 
 from __future__ import annotations
 
-import html as _html
-import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import file_stem, file_type
+from ..functions.text import file_type
 from .state import cut
 
-#: SRC-05: suffixes that are read as text, as HTML, or as JSON; others need a registered extractor.
-TEXT, HTML, JSON = {"txt", "md", "csv", "xml", "rtf"}, {"html", "htm"}, {"json"}
-
-
 class _Markdown(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -71,33 +65,70 @@ def pages_to_markdown(pages: DataFrame, html: str = "html", into: str = "markdow
     return pages.withColumn(into, convert(F.col(html)))
 
 
-def _decode(kind: str, raw: bytes) -> str:
-    text = raw.decode("utf-8", "replace")
-    if kind in HTML:
-        return markdown(text) or ""
-    if kind in JSON:
-        try:
-            return json.dumps(json.loads(text), indent=2, ensure_ascii=False)
-        except ValueError:
-            return text
-    return _html.unescape(re.sub(r"<[^>]+>", "", text)) if kind == "xml" else text
+_FILE = "path string, file_type string, size long, mtime timestamp, hash string, text string, error string"
 
 
-def load_files(spark: SparkSession, path: str, recursive: bool = True, kinds: set[str] = TEXT | HTML | JSON) -> DataFrame:
-    """SRC-01 to SRC-05, SRC-27: a file or folder -> path, file_type, size, mtime, hash, text; unknown kinds are left out.
+def _read(files: DataFrame, kinds: set[str] | None, extractors: dict[str, Callable[[bytes], str]] | None) -> DataFrame:
+    from .formats import READERS
 
-    Lazy: a folder is listed, its files are read where the rows are made, and corrupt ones are skipped by Spark's own
-    setting (spark.sql.files.ignoreCorruptFiles).
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    files = files.withColumn("file_type", file_type(F.col("path"))).where(F.col("file_type").isin(*kinds))
+    readers = READERS | (extractors or {})
+    wanted = set(readers) if kinds is None else kinds & set(readers)
+    files = files.withColumn("file_type", file_type(F.col("path"))).where(F.col("file_type").isin(*wanted))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(text=[_decode(k, c) for k, c in zip(b["file_type"], b["content"])])[["path", "file_type", "size", "mtime", "hash", "text"]]
+            texts, errors = [], []
+            for kind, content in zip(b["file_type"], b["content"]):
+                try:
+                    texts.append(readers[kind](content))
+                    errors.append(None)
+                except Exception as x:  # noqa: BLE001  an unreadable file is a row with an error
+                    texts.append(None)
+                    errors.append(f"{type(x).__name__}: {x}")
+            out = b.drop(columns="content")
+            yield out.assign(text=pd.Series(texts, b.index, object), error=pd.Series(errors, b.index, object))
 
     slim = files.select("path", "file_type", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"), "content")
-    return slim.mapInPandas(decode, "path string, file_type string, size long, mtime timestamp, hash string, text string")
+    return slim.mapInPandas(decode, _FILE)
+
+
+def read_files(spark: SparkSession, path: str, recursive: bool = True, kinds: set[str] | None = None, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """SRC-02, SRC-05, SRC-26: a file or folder -> path, file_type, size, mtime, hash, text, error (text is null then).
+
+    kinds: suffixes to read (all that have a reader); extractors: readers by suffix, before the built-in ones. A folder is
+    listed, and its files are read where the rows are made.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return _read(files, kinds, extractors)
+
+
+def load_files(spark: SparkSession, path: str, recursive: bool = True, kinds: set[str] | None = None, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """SRC-01 to SRC-05, SRC-27: as read_files, without the files that couldn't be read."""
+    return read_files(spark, path, recursive, kinds, extractors).where("error is null").drop("error")
+
+
+def file_stream(spark: SparkSession, path: str, kinds: set[str] | None = None, extractors: dict[str, Callable[[bytes], str]] | None = None, files_per_trigger: int = 1000) -> DataFrame:
+    """SRC-03: the files of a folder as a stream, new ones as they come; unreadable ones are skipped."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(path)
+    return _read(files, kinds, extractors).where("error is null").drop("error")
+
+
+def pdf_page_rows(files: DataFrame) -> DataFrame:
+    """SRC-07: PDF files (path, content) -> (path, page_no from 1, text); a file that can't be read has no rows."""
+    from .formats import pdf_pages
+
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"]):
+                try:
+                    rows += [(path, i, text) for i, text in enumerate(pdf_pages(content), 1)]
+                except Exception:  # noqa: BLE001
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "page_no", "text"])
+
+    return files.select("path", "content").mapInPandas(pages, "path string, page_no int, text string")
 
 
 def sitemap_urls(maps: DataFrame, root: str, most_levels: int = 10) -> DataFrame:
@@ -118,13 +149,3 @@ def sitemap_urls(maps: DataFrame, root: str, most_levels: int = 10) -> DataFrame
 
 def sitemap_of(url: str) -> str:
     return re.sub(r"^([a-z]+://[^/]+).*", r"\1/sitemap.xml", url)
-
-
-def save_crawl(results: DataFrame, path: str, kind: str = "md") -> None:
-    """SNK-08: one row per page: Markdown with a front matter, or JSON with at most 100 links; partitioned by host file."""
-    stem = file_stem(F.col("url"))
-    if kind == "md":
-        body = F.concat(F.lit("---\nurl: "), "url", F.lit("\nstatus: "), F.col("status_code").cast("string"), F.lit("\n---\n\n"), F.coalesce("markdown", "content"))
-    else:
-        body = F.to_json(F.struct("url", "status_code", F.slice("links", 1, 100).alias("links"), F.coalesce("markdown", "content").alias("text")))
-    results.select(F.struct(stem.alias("file"), body.alias("body")).alias("r")).select("r.*").write.mode("overwrite").parquet(path)
