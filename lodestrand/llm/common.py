@@ -39,12 +39,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Files of a table whose names may be numbered by a broadcast.
+MAX_FILES = 100_000
+
+
+def is_plain_scan(df: DataFrame) -> bool:
+    """Whether df is a projection or selection of one table of Parquet files, without anything random."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic() or "_metadata" in (c.lower() for c in df.columns):
+        return False
+    node = plan
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    if node.getClass().getSimpleName() != "LogicalRelation" or node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return node.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
 def numbered(df: DataFrame, rid: str, name: str = "rows") -> DataFrame:
-    """df with a row id, as a table in the shared folder.
+    """df with a row id (long) that is the same whenever the rows are read again.
 
-    Row ids hold for one evaluation only: rows come in another order when a shuffle is repeated, and even a scan is cut
-    anew when the number of cores changes. So whoever joins by row id must read both sides from a table like this one.
+    The usual running number isn't: it holds for one evaluation only, as rows come in another order when a shuffle is
+    repeated, and even a scan is cut anew when the number of cores changes. So a plain scan of Parquet files takes its
+    rows' places in their files, and anything else is written, with its numbers, as a table in the shared folder.
+    Whoever joins by row id must read both sides from what this returns.
     """
+    if is_plain_scan(df):
+        placed = df.select("*", F.col("_metadata.file_path").alias(file := free_name(df, "_file")), F.col("_metadata.row_index").alias(row := free_name(df, "_row")))
+        files = [r[0] for r in placed.select(file).distinct().limit(MAX_FILES + 1).collect()]
+        if len(files) <= MAX_FILES:
+            numbers = df.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(sorted(files))], f"{file} string, _base long")
+            return placed.join(F.broadcast(numbers), file).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_base") + F.col(row)).alias(rid))
     return materialize(df.withColumn(rid, F.monotonically_increasing_id()), name)
 
 

@@ -200,8 +200,8 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
 def apply_mix(docs: DataFrame, copies: str = "copies", **options) -> DataFrame:
     """The rows of docs that the mix takes, with all their columns and how many copies it takes of each.
 
-    A column of docs that has the new column's name gives way to it. docs is written once with row ids, and both sides
-    of the join read that table.
+    A column of docs that has the new column's name gives way to it. Both sides of the join read their
+    row ids from one numbered table (see common.numbered).
     """
     name = free_name(docs, "rid")
     kept = [c for c in docs.columns if c.lower() != copies.lower()]

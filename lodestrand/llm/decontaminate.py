@@ -324,7 +324,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_t
     """The rows of docs that hold no item, with all their columns, whatever these are called.
 
     Rules for nulls, empty and long texts and empty tables: see leaks. With a broadcast index rows are told on the spot;
-    else docs is written once with row ids, and both sides of the join read that table.
+    else both sides of a join read their row ids from one numbered table (see common.numbered).
     """
     items, filed, index = _prepare(benchmark, item_text, item_id, window, max_broadcast)
     if index is None:

@@ -100,7 +100,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that exact_groups keeps, with all their columns, whatever these are called.
 
-    docs is written once with row ids, and both sides of the join read that table.
+    Both sides of the join read their row ids from one numbered table (see common.numbered).
     """
     rid = free_name(docs, "rid")
     rows = numbered(docs, rid)

@@ -210,7 +210,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of docs that stand for their component: the one with the smallest doc_id (the first read, if repeated).
 
-    docs is written once with row ids, and both sides of the join read that table.
+    Both sides of the join read their row ids from one numbered table (see common.numbered).
     """
     name = free_name(docs, "rid")
     rows = numbered(docs, name)

@@ -7,8 +7,8 @@ Only these rules' expressions run on the url. A rule without a whole token is fi
 has while there is such a rule.
 
 The index is broadcast while there are at most MAX_BROADCAST rules, so that a token most urls have doesn't gather them;
-beyond that it is an equi-join between shuffles, which adaptive execution splits. Hosts and paths are written once, with
-row ids, as a table in the shared folder: both sides of the last join read their ids from it.
+beyond that it is an equi-join between shuffles, which adaptive execution splits. Both sides of the last join read their
+row ids from one numbered table (see common.numbered).
 """
 
 from __future__ import annotations

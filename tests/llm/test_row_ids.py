@@ -1,7 +1,9 @@
 """Inputs that aren't files: rows that come out of a shuffle have no fixed order, and results must not depend on one."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodestrand.llm.common import is_plain_scan, numbered
 from lodestrand.llm.cube_mix import apply_mix
 from lodestrand.llm.decontaminate import drop_leaks, leaks
 from lodestrand.llm.exact_dedup import drop_exact_copies, exact_groups
@@ -43,6 +45,25 @@ def test_rows_kept(spark, tables, drop):
             assert pruned == want
 
 
+def test_numbers_of_a_scan_do_not_depend_on_how_it_is_cut(spark, tmp_path):
+    rows = [(i, f"text {i}", None) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, _file string").repartition(5).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/x")
+    docs = spark.read.parquet(f"{tmp_path}/x")
+    assert is_plain_scan(docs) and is_plain_scan(docs.where("doc_id > 5").select("text", "doc_id"))
+    for other in (docs.distinct(), docs.join(docs.select("doc_id"), "doc_id"), docs.limit(5), docs.sample(0.5), docs.withColumn("r", F.rand()), docs.union(docs), docs.withColumn("_metadata", F.lit(1)), spark.range(5)):
+        assert not is_plain_scan(other)
+    seen = []
+    for size in ("4k", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        out = numbered(docs, "rid")
+        assert out.columns == [*docs.columns, "rid"]
+        seen.append({r.doc_id: r.rid for r in out.collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and len(set(seen[0].values())) == 3000
+    kept = numbered(docs, "rid").where("doc_id % 7 = 0").select("rid")
+    assert sorted(r.doc_id for r in numbered(docs, "rid").join(kept, "rid", "left_semi").collect()) == list(range(0, 3000, 7))
+
+
 def test_rows_found(spark, tables):
     docs, labels, bench, pages = tables
     found = lambda df: sorted(map(tuple, df.collect()), key=repr)
