@@ -34,9 +34,9 @@ ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Entries after which a partition's counts are passed on, and remembered words before they are forgotten.
-_FLUSH, _REMEMBER = 400_000, 500_000
+_FLUSH, _REMEMBER = 200_000, 200_000
 #: Texts whose new words are scored together.
-_TOGETHER = 256
+_TOGETHER = 128
 
 
 def _words_of(counts: Counter) -> Counter:
@@ -240,13 +240,16 @@ class Predictor:
             self.matrix = np.concatenate([self.matrix, np.zeros((max(end, len(self.matrix)), self.matrix.shape[1]))])
         self.matrix[begin:end] = rows
 
-    def counted(self, texts: list[str | None], back_off: bool = True) -> Iterator[tuple[list[int], np.ndarray] | None]:
-        """Numbers of a text's tokens (rows of matrix) and how often it has each; None if it has no letter."""
+    def counted(self, texts: pa.Array, back_off: bool = True) -> Iterator[tuple[list[int], np.ndarray] | None]:
+        """Numbers of a text's tokens (rows of matrix) and how often it has each; None if it has no letter.
+
+        Only a few texts at a time are Python strings.
+        """
         for begin in range(0, len(texts), _TOGETHER):
             if len(self.seen) > _REMEMBER:
                 self.forget()
             out, fresh, seen = [], [], self.seen
-            for text in texts[begin : begin + _TOGETHER]:
+            for text in texts.slice(begin, _TOGETHER).to_pylist():
                 if text is None or not self.langs or not has_letter(text):
                     out.append(None)
                     continue
@@ -260,7 +263,7 @@ class Predictor:
                 self._learn(fresh, back_off)
             yield from out
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: pa.Array) -> list[tuple[str, float]]:
         out = []
         for one in self.counted(texts):
             if one is None:
@@ -289,7 +292,7 @@ def _unheaded(docs: DataFrame, model: Model, text: str, keep: list[str], names:
         predictor = Predictor(langs, dict.fromkeys(ORDERS, empty) | {0: shared.value[0]})
         for batch in batches:
             out: tuple = ([], [], [], [], [])
-            for one in predictor.counted([x.as_py() for x in batch.column(0)], back_off=False):
+            for one in predictor.counted(batch.column(0), back_off=False):
                 *sums, n = (one[1] @ predictor.matrix[one[0]]).tolist() if one else [0.0] * (len(langs) + 1)
                 rest: Counter = Counter()
                 for token, times in zip(*one) if one else ():
@@ -352,7 +355,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(langs, shared.value)
         for batch in batches:
-            found = predictor.predict([x.as_py() for x in batch.column(0)])
+            found = predictor.predict(batch.column(0))
             columns = [*batch.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
