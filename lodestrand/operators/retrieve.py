@@ -55,6 +55,26 @@ def merged_index(indexes: list[DataFrame]) -> DataFrame:
     return whole.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
+def matches_payload(columns: list[str], row_filter: dict) -> Column:
+    """FLT-02: as matches, on a payload's top level only: a key that isn't a column there, such as one inside the extra
+    attributes, never matches."""
+    known = {k: v for k, v in row_filter.items() if k in columns}
+    return matches(known) if len(known) == len(row_filter) else F.lit(False)
+
+
+def matches_where(where: dict) -> Column:
+    """FLT-03: conditions as {key: value}, {key: {"$in": [...]}} or {key: {"$eq": value}}; all keys must match."""
+    plain = {}
+    for key, wanted in where.items():
+        if isinstance(wanted, dict):
+            (op, value), = wanted.items()
+            if op not in ("$in", "$eq"):
+                raise ValueError(f"unknown condition {op!r}")
+            wanted = list(value) if op == "$in" else value
+        plain[key] = wanted
+    return matches(plain)
+
+
 def term_index(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """AGG-01, AGG-02: (term, df, total). A document's terms are counted inside its row, so that one row a term goes on."""
     held = tokens(F.col(text))

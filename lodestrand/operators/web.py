@@ -199,3 +199,9 @@ def expansion_posters(posts: DataFrame, url: str = "url", failed: str | None = N
 
     kept = posts if failed is None else posts.where(F.col(failed).isNull())
     return kept.select(status_user(F.col(url)).alias("username")).where("username is not null and username != 'unknown'").distinct()
+
+
+def matched_results(candidates: DataFrame, results: DataFrame) -> DataFrame:
+    """JON-14: candidates with their crawl result, by url: neither order nor number of the results matters."""
+    first = results.groupBy("url").agg(F.min_by(F.struct(*[c for c in results.columns if c != "url"]), F.coalesce("status_code", F.lit(0))).alias("_r"))
+    return candidates.join(first.select("url", "_r.*"), "url", "left")

@@ -23,8 +23,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windowed(events: DataFrame, window: Column, key: str, late: str = "1 hour") -> DataFrame:
     """Counts and sums of value by window and key.
 
-    Late data: a row that is older than the latest event time of the batches before by more than ``late`` is dropped if
-    its windows have ended by then; all other rows count, in whatever order they come.
+    Late data: the watermark is the latest event time less ``late``. A row is dropped if its window had ended by the
+    watermark that held a batch before its own; all other rows count, in whatever order they come.
     """
     return events.withWatermark("ts", late).groupBy(window.alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("key", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "total")
 
