@@ -57,7 +57,20 @@ def gra04_walk(spark, sf):
     return G.walk(edges(spark, sf), spark.createDataFrame([("r1",), ("c5",)], "seed string"), 3)
 
 
-@query("gra05_user_levels")
+@query("gra04_path_edges", f"""WITH {EDGES_SQL}, n AS (SELECT row_number() OVER () AS k, * FROM e),
+    h AS (SELECT k, source AS x, target AS y, source, relation, target FROM n UNION ALL SELECT k, target, source, source, relation, target FROM n),
+    a AS (SELECT x AS seed, * FROM h WHERE x IN ('r1', 'n3')), b AS (SELECT a.seed, a.k AS k1, h.k AS k2 FROM a JOIN h ON h.x = a.y AND h.k <> a.k)
+    SELECT seed, source, relation, target, count(*) AS n FROM (SELECT seed, k FROM a UNION ALL SELECT seed, k1 FROM b UNION ALL SELECT seed, k2 FROM b) JOIN n USING (k) GROUP BY ALL""")
+def gra04_path_edges(spark, sf):
+    found = G.path_edges(edges(spark, sf), spark.createDataFrame([("r1",), ("n3",)], "seed string"), 2, None)
+    return found.groupBy("seed", "source", "relation", "target").agg(F.count("*").alias("n"))
+
+
+@query("gra05_user_levels", """
+    WITH e AS (SELECT DISTINCT o_custkey % 300 AS u, o_orderkey % 300 AS f FROM orders), s AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY u ORDER BY f) <= 10),
+    a AS (SELECT DISTINCT f AS u FROM s WHERE u IN (1, 2) AND f NOT IN (1, 2) ORDER BY f LIMIT 50),
+    b AS (SELECT DISTINCT f AS u FROM s WHERE u IN (SELECT u FROM a) AND f NOT IN (1, 2) AND f NOT IN (SELECT u FROM a) ORDER BY f LIMIT 50)
+    SELECT unnest([1, 2]) AS "user", 0 AS level UNION ALL SELECT u, 1 FROM a UNION ALL SELECT u, 2 FROM b""")
 def gra05_user_levels(spark, sf):
     checkpointed(spark)
     follows = table(spark, sf, "orders").select((F.col("o_custkey") % 300).alias("user"), (F.col("o_orderkey") % 300).alias("follower")).distinct()

@@ -97,7 +97,19 @@ def chk05_hierarchy(spark, sf):
     return C.hierarchical_chunks(headed(table(spark, sf, "documents")), most=10_000_000).drop("start_char", "end_char")
 
 
-@query("chk04_large_sections")
+@query("chk04_large_sections", f"""WITH RECURSIVE {SECTIONS_SQL},
+    p AS (SELECT doc_id, section_index, i, ps[i] AS x, length(ps[i]) AS n, len(ps) AS total
+          FROM (SELECT *, CASE WHEN length(content) > 400 THEN string_split(content, chr(10) || chr(10)) ELSE [content] END AS ps FROM sections), unnest(range(1, len(ps) + 1)) u(i)),
+    f AS (SELECT doc_id, section_index, i, total, x AS buf, n AS blen, []::VARCHAR[] AS done FROM p WHERE i = 1 UNION ALL
+          SELECT p.doc_id, p.section_index, p.i, p.total, CASE WHEN f.blen + p.n > 400 THEN p.x ELSE f.buf || chr(10) || chr(10) || p.x END, CASE WHEN f.blen + p.n > 400 THEN p.n ELSE f.blen + p.n END,
+                 CASE WHEN f.blen + p.n > 400 THEN list_append(f.done, f.buf) ELSE f.done END FROM f JOIN p ON p.doc_id = f.doc_id AND p.section_index = f.section_index AND p.i = f.i + 1),
+    c AS (SELECT doc_id, section_index, k, parts[k] AS content, len(parts) AS np FROM (SELECT doc_id, section_index, list_append(done, buf) AS parts FROM f WHERE i = total), unnest(range(1, len(parts) + 1)) u(k)),
+    n AS (SELECT doc_id, section_index, (row_number() OVER (PARTITION BY doc_id ORDER BY section_index, k) - 1)::INT AS chunk_index, title || CASE WHEN np > 1 THEN ' (part ' || k || ')' ELSE '' END AS title, level, c.content, start_char, end_char
+          FROM c JOIN sections USING (doc_id, section_index)),
+    q AS (SELECT *, max(CASE WHEN level = 1 THEN chunk_index END) OVER w AS l1, max(CASE WHEN level = 2 THEN chunk_index END) OVER w AS l2
+          FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY section_index RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    r AS (SELECT doc_id, chunk_index, title, level, CASE level WHEN 3 THEN coalesce(l2, l1) WHEN 2 THEN l1 END AS parent_index, content, start_char, end_char FROM q)
+    SELECT r.*, (SELECT count(*) FROM r c WHERE c.doc_id = r.doc_id AND c.parent_index = r.chunk_index) AS n_children FROM r""")
 def chk04_large_sections(spark, sf):
     return C.hierarchical_chunks(headed(table(spark, sf, "documents")), most=400)
 
@@ -124,7 +136,20 @@ def chk06_sentence_chunks(spark, sf):
     return C.sentence_chunks(table(spark, sf, "documents"))
 
 
-@query("chk07_sliding_sentences")
+SLICES_SQL = "list_transform(range(0, s.n, 600), lambda k: substr(s.x, (k + 1)::BIGINT, 600))"
+KEPT_SQL = "list_filter(f.buf, lambda v, i: list_sum(list_transform(f.buf[i:], lambda z: length(z))) <= 150)"
+
+
+@query("chk07_sliding_sentences", f"""
+    WITH RECURSIVE s AS (SELECT doc_id, i, ss[i] AS x, length(ss[i]) AS n, len(ss) AS total FROM (SELECT doc_id, {SENTENCES} AS ss FROM documents), unnest(range(1, len(ss) + 1)) u(i)),
+    f AS (SELECT doc_id, i, total, CASE WHEN n > 600 THEN []::VARCHAR[] ELSE [x] END AS buf, CASE WHEN n > 600 THEN {SLICES_SQL} ELSE []::VARCHAR[] END AS done FROM s WHERE i = 1 UNION ALL
+          SELECT doc_id, i, total, CASE WHEN n > 600 AND len(kept) = 0 THEN kept ELSE list_append(kept, x) END, CASE WHEN n > 600 AND len(kept) = 0 THEN list_concat(out, slices) ELSE out END
+          FROM (SELECT s.doc_id, s.i, s.total, s.x, s.n, {SLICES_SQL} AS slices, CASE WHEN flush THEN {KEPT_SQL} ELSE f.buf END AS kept, CASE WHEN flush THEN list_append(f.done, array_to_string(f.buf, ' ')) ELSE f.done END AS out
+                FROM (SELECT f.*, list_sum(list_transform(f.buf, lambda z: length(z))) AS blen FROM f) f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1, LATERAL (SELECT len(f.buf) > 0 AND f.blen + s.n > 600 AS flush))),
+    c AS (SELECT doc_id, CASE WHEN len(buf) > 0 THEN list_append(done, array_to_string(buf, ' ')) ELSE done END AS chunks FROM f WHERE i = total),
+    r AS (SELECT doc_id, k - 1 AS chunk_index, chunks[k] AS content FROM c, unnest(range(1, len(chunks) + 1)) u(k)),
+    o AS (SELECT *, coalesce(sum(length(content)) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - chunk_index * 150 AS start FROM r)
+    SELECT doc_id, chunk_index, content, start::BIGINT AS start_char, (start + length(content))::BIGINT AS end_char FROM o""")
 def chk07_sliding_sentences(spark, sf):
     return C.sliding_chunks(table(spark, sf, "documents"), most=600, overlap=150)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import tokens
-from ..sources.state import checkpointed
+from ..sources.state import checkpointed, scratch
 from .windows import collected, table_stream
 
 
@@ -31,14 +31,18 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collected(rows.groupBy("term").agg(F.sum("first").alias("df"), F.sum(1 - F.col("first")).alias("total")), "update", ("term",))
 
 
-def ingest_stream(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, key: str = "doc_id") -> None:
-    """STR-01, STR-04: each micro-batch is chunked and appended; the source's checkpoint is the ingest cache."""
+def ingest_stream(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str) -> None:
+    """STR-01, STR-04: each micro-batch is chunked and added to the table at path, with its number (batch).
+
+    The stream's checkpoint lies beside the rows and is the ingest cache: a later run takes up where this one ended. A
+    batch that is run again replaces itself.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
-        chunk(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        chunk(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    state = f"{checkpointed(stream.sparkSession)}/ingest"
-    stream.writeStream.foreachBatch(one).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    checkpointed(stream.sparkSession)
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/_ingest").trigger(availableNow=True).start().awaitTermination()
 
 
 def mark_processed(summaries: DataFrame, processed: DataFrame, key: str) -> DataFrame:
@@ -53,13 +57,11 @@ def near_deduplicated(stream: DataFrame, threshold: float = 0.95, key: str = "do
     The seen-set is the table of kept rows at path; each batch is deduplicated within itself and against it, so it grows with
     what is kept and lives as long as the folder. Deleting the folder resets it (clear_seen).
     """
-    import uuid
-
     from ..operators.validate import near_duplicates, similar_pairs
     from ..sources.state import stored
 
     spark = stream.sparkSession
-    base = path or f"{checkpointed(spark)}/seen-{uuid.uuid4().hex}"
+    base = path or scratch(spark, "seen")
     schema = stream.schema
     seen = lambda: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/kept")
     spark.createDataFrame([], schema).write.mode("append").parquet(f"{base}/kept/start")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..sources.state import checkpointed
+from ..sources.state import scratch
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
@@ -37,7 +35,7 @@ def collected(stream: DataFrame, mode: str, keys: tuple[str, ...] = (), path: st
     after a failure replaces itself.
     """
     spark = stream.sparkSession
-    base = path or f"{checkpointed(spark)}/stream-{uuid.uuid4().hex}"
+    base = path or scratch(spark, "stream")
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{base}/out").outputMode("append").start().awaitTermination()
@@ -69,7 +67,7 @@ def run_sessions(spark: SparkSession, sf_dir: str, gap: str) -> DataFrame:
     Sessions merge, so their rows can't be updated by key; they come out when they have ended (append), and those still
     open at the end of the stream are closed by a last file with one row long after, which is left out of the result.
     """
-    base = f"{checkpointed(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
 
