@@ -79,7 +79,8 @@ def count_tokens(docs: DataFrame, sections: Column | None = None, text: str = "t
 
     sections: an array of (name, start, end) in characters, sorted, without overlaps; spans beyond the text are cut.
     A null text counts as empty and null sections as none; an empty section has no tokens. Repeated rows and repeated
-    section names keep a row each.
+    section names keep a row each; an empty table gives none. A text is encoded whole, however long, one at a time. Other
+    columns aren't read, so their names can't clash.
     """
     if rule not in ("start", "most"):
         raise ValueError(f"unknown rule {rule!r}")
