@@ -242,6 +242,34 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(*map(np.concatenate, held))
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows with slot and known, as in step 2: a window that a task sees in two documents is known to repeat, and only
+    two of its rows have to meet those of other tasks, in slot 0."""
+
+    def told(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        rid, h, g = (rows.column(FIELDS.index(c)).to_numpy() for c in ("rid", "h", "g"))
+        order = np.lexsort((rid, g, h))
+        rid, h, g = rid[order], h[order], g[order]
+        heads = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+        size = np.diff(np.append(heads, len(h)))
+        known = np.repeat(rid[heads] != rid[heads + size - 1], size)
+        place = np.arange(len(h)) - np.repeat(heads, size)
+        inner = known & (place > 0) & (place < np.repeat(size, size) - 1)
+        slot = np.where(inner, rid * 2 + 1, 0)
+        return pa.RecordBatch.from_arrays([*rows.take(pa.array(order)).columns, pa.array(slot), pa.array(known)], [*rows.schema.names, "slot", "known"])
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > _FLUSH // 4:
+            yield told(held)
+            held, rows = [], 0
+    if rows:
+        yield told(held)
+
+
 def _shingle_set(text: bytes) -> set[bytes]:
     """The shingles of some words with one space between them; the words can't hold spaces, so joined ones tell them apart."""
     words = text.split(b" ")
@@ -404,11 +432,12 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     nodes = materialize(nodes.select("h", "g", F.coalesce("ch", "h").alias("ch"), F.coalesce("cg", "g").alias("cg"), "r0", "r1"), "nodes")
     # tables of their own, so that adaptive execution can split a hot paragraph's join
     labelled = materialize(nodes.join(spread(nodes, "ch", "cg"), ["ch", "cg"]).select("h", "g", "ch", "cg"), "labelled")
-    ends = wide.select("h", "g", F.col("rid").alias("r0"), F.col("rid").alias("r1"))
-    places = materialize(spread(ends, "h", "g"), "places")
     columns = ["rid", "doc_id", "start", "length", "at", "n_words", "ch", "cg", "wide"]
     found = numbers.join(labelled, ["h", "g"]).withColumn("wide", F.lit(False)).select(*columns)
-    found = found.unionByName(wide.join(places, ["h", "g"]).select(*columns[:6], F.col("h").alias("ch"), F.col("g").alias("cg"), F.lit(True).alias("wide")))
+    told = arrow_parts(wide.drop("text"), _told, ", ".join(f"{c} long" for c in FIELDS[:-1]) + ", slot long, known boolean")
+    w = W.partitionBy("h", "g", "slot")
+    told = told.withColumn("shared", F.col("known") | (F.min("rid").over(w) != F.max("rid").over(w))).where("shared")
+    found = found.unionByName(told.select(*columns[:6], F.col("h").alias("ch"), F.col("g").alias("cg"), F.lit(True).alias("wide")))
     return _reported(_stretches(found, min_run, min_words))
 
 

@@ -4,8 +4,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from lodestrand.llm.paragraph_dedup import MIN_JACCARD, link_bands, repeated_paragraphs, split_words, units
+from lodestrand.llm.paragraph_dedup import FIELDS, MIN_JACCARD, _told, link_bands, repeated_paragraphs, split_words, units
 
 SCHEMA = "doc_id long, text string, rid string"
 
@@ -183,3 +184,24 @@ def test_passages_without_a_long_sentence_of_their_own(spark):
     for r in out:
         span = texts[r.doc_id][r.start : r.start + r.length].decode()
         assert len(span.split()) == r.n_words >= 25 and span in (short, lines, inside)[r.doc_id // 2] and r.component_size == 2
+
+
+def test_windows_that_tasks_know_and_windows_that_meet():
+    rng = random.Random(11)
+    rows = [(rng.randrange(40), rng.choice([1, 1, 1, *range(2, 60)]), rng.randrange(2)) for _ in range(600)] + [(7, 99, 0)] * 5
+    seen = []
+    for task in range(4):
+        mine = [r for i, r in enumerate(rows) if i % 4 == task]
+        columns = [pa.array([r[0] for r in mine]), *[pa.array([0] * len(mine))] * 5, pa.array([r[1] for r in mine]), pa.array([r[2] for r in mine])]
+        batch = pa.RecordBatch.from_arrays(columns, FIELDS[:-1])
+        for out in _told(iter([batch.slice(0, 60), batch.slice(60)])):
+            seen += [(r["rid"], r["h"], r["g"], r["slot"], r["known"]) for r in out.to_pylist()]
+    assert sorted(r[:3] for r in seen) == sorted(rows)
+    meet = {}
+    for rid, h, g, slot, _ in seen:
+        meet.setdefault((h, g, slot), set()).add(rid)
+    truth = {}
+    for rid, h, g in rows:
+        truth.setdefault((h, g), set()).add(rid)
+    assert all((known or len(meet[h, g, slot]) > 1) == (len(truth[h, g]) > 1) for _, h, g, slot, known in seen)
+    assert sum(r[1] == 1 and r[3] == 0 for r in seen) <= 16  # two a task of each of the two hot keys
