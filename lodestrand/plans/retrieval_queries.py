@@ -154,18 +154,18 @@ def jon02_page_windows(spark, sf):
 
 
 @query("win09_guided_windows", """
-    WITH c AS (SELECT conv_id, turn, embedding FROM conversations JOIN embeddings ON vec_id = (conv_id * 8 + turn) % 487),
-    m AS (SELECT c.conv_id, c.turn AS p, g.embedding AS guide FROM c, (SELECT embedding FROM embeddings WHERE vec_id = 3) g WHERE c.turn = 3),
+    WITH c AS (SELECT conv_id, turn, embedding FROM conversations JOIN embeddings ON vec_id = (conv_id * 8 + turn) % (SELECT count(*) FROM embeddings)),
+    m AS (SELECT c.conv_id, c.turn AS p, g.embedding AS guide FROM c, (SELECT embedding FROM embeddings WHERE vec_id = 3) g),
     r AS (SELECT m.conv_id, m.p, c.turn, list_cosine_similarity(guide::DOUBLE[], c.embedding::DOUBLE[]) AS s, ceil(greatest(m.p - c.turn - 1, c.turn - m.p - 1, 0) / 2.0)::INT AS step FROM m JOIN c ON c.conv_id = m.conv_id AND c.turn BETWEEN greatest(m.p - 7, 0) AND m.p + 7),
-    k AS (SELECT *, coalesce(min(step) FILTER (s >= 0.1) OVER (PARTITION BY conv_id), 3) AS chosen FROM r)
-    SELECT conv_id, turn, turn - p AS position_offset, round(s, 6) AS semantic_score, chosen > 0 AS from_expansion FROM k WHERE step <= chosen""")
+    k AS (SELECT *, coalesce(min(step) FILTER (s >= 0.1) OVER (PARTITION BY conv_id, p), 3) AS chosen FROM r)
+    SELECT conv_id, p AS match_turn, turn, turn - p AS position_offset, round(s, 6) AS semantic_score, chosen > 0 AS from_expansion FROM k WHERE step <= chosen""")
 def win09_guided_windows(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", ((F.col("conv_id") * 8 + F.col("turn")) % 487).alias("vec_id")).join(vectors.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", ((F.col("conv_id") * 8 + F.col("turn")) % vectors.count()).alias("vec_id")).join(vectors.select("vec_id", "embedding"), "vec_id").drop("vec_id")
     guide = vectors.where("vec_id = 3").select(F.col("embedding").alias("guide"))
-    hits = rows.where("turn = 3").select("conv_id", "turn").join(F.broadcast(guide))  # one row
+    hits = rows.select("conv_id", "turn").join(F.broadcast(guide))  # one row
     out = R.guided_windows(hits, rows, "conv_id", "turn", "guide", "embedding", 1, 1, min_score=0.1)
-    return out.select("conv_id", "turn", "position_offset", F.round("semantic_score", 6).alias("semantic_score"), "from_expansion")
+    return out.select("conv_id", F.col("match_position").alias("match_turn"), "turn", "position_offset", F.round("semantic_score", 6).alias("semantic_score"), "from_expansion")
 
 
 @query("fn01_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

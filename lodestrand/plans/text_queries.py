@@ -163,7 +163,8 @@ def chk08_fixed_windows(spark, sf):
 
 @query("chk10_semantic_chunks")
 def chk10_semantic_chunks(spark, sf):
-    rows = table(spark, sf, "conversations").join(table(spark, sf, "embeddings").select((F.col("vec_id") % 97).alias("v"), "vec_id", "embedding").where("vec_id < 97"), (F.col("conv_id") * 7 + F.col("turn")) % 97 == F.col("v"))
+    vectors = table(spark, sf, "embeddings")
+    rows = table(spark, sf, "conversations").withColumn("vec_id", (F.col("conv_id") * 7 + F.col("turn")) % vectors.count()).join(vectors.select("vec_id", "embedding"), "vec_id")
     sims = V.adjacent_similarity(rows, ["conv_id"], "turn").select("conv_id", "turn", "text", "prev_sim")
     return C.semantic_chunks(sims, "conv_id", "turn", "text", threshold=0.0, most=2000, least=50)
 
