@@ -32,15 +32,28 @@ def on_domain(host: Column, domain: Column) -> Column:
     return (host == domain) | host.endswith(F.concat(F.lit("."), domain))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root without its . and .. segments; .. at the root is dropped."""
+
+    def step(done: Column, segment: Column) -> Column:
+        shorter = F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)
+        return F.when(segment == "..", shorter).when(segment == ".", done).otherwise(F.array_append(done, segment))
+
+    joined = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    plain = F.concat(joined, F.when(path.rlike(r"/[.]{1,2}$"), F.lit("/")).otherwise(F.lit("")))
+    return F.when(path.rlike(r"/[.]{1,2}(/|$)"), plain).otherwise(path)
+
+
 def resolve(link: Column, base: Column) -> Column:
-    """Joins a link to its page's url: absolute, protocol-relative, root-relative or relative (without .. segments)."""
+    """Joins a link to its page's url: absolute, protocol-relative, root-relative or relative, also with . and .. segments."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.concat(root, F.when(url_path(base) == "", F.lit("/")).otherwise(url_path(base))), r"(?<=/)[^/]*$", "")
+    folder = F.regexp_replace(F.when(url_path(base) == "", F.lit("/")).otherwise(url_path(base)), r"(?<=/)[^/]*$", "")
+    path, tail = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .otherwise(F.concat(folder, link))
+        .when(link.startswith("/"), F.concat(root, without_dots(path), tail))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, path)), tail))
     )
 
 

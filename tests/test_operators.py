@@ -46,6 +46,14 @@ def test_urls(spark):
     assert values(allowed, "id") == [(2,)] and values(blocked, "id", "reason") == [(1, "blocked_domain"), (3, "blocked_domain")]
 
 
+def test_links_with_dots(spark):
+    from urllib.parse import urljoin
+
+    for base in ("https://e.com/a/b/c.html?x=1", "https://e.com", "https://e.com/a/"):
+        for link in ("../x", "./y?q=../1", "../../../z", "/p/../q/./r", "..", ".", "d/e/..", "a..b/c", "/..", "x#../y"):
+            assert one(spark, U.resolve(F.lit(link), F.lit(base))) == urljoin(base, link), (base, link)
+
+
 def test_filters(spark):
     assert one(spark, web.first_stale(F.lit("the MANUAL"), ("[", "(?i>manual"))) == "(?i>manual"
     assert [one(spark, web.live_listing(F.lit(x).cast("string"))) for x in (None, "unknown", "Sold!")] == [True, True, False]
