@@ -8,9 +8,10 @@ and n-grams are counted from the summed words. Whatever was counted is known, ho
 a word or n-gram gets a share below any that was counted: a tenth of one in the largest language's total.
 
 *Prediction* reads the text alone. While the model has at most MAX_NUMBERS numbers, it is broadcast and texts are scored
-where they are read. Beyond that only its head is: words with a share of at least MIN_SHARE in some language, hence
-1 / MIN_SHARE of each language at most. A text's other words are counted and joined with the whole model, sharded by
-word, and those that are unseen with its n-grams. Both ways give the same scores.
+where they are read. Beyond that only its head is: the words with the largest shares, about as many as that bound admits,
+and in any case those with a share of at least MIN_SHARE in some language, 1 / MIN_SHARE of each language at most. A
+text's other words are counted and joined with the whole model, sharded by word, and those that are unseen with its
+n-grams. Both ways give the same scores.
 """
 
 from __future__ import annotations
@@ -280,10 +281,18 @@ def _fields(docs: DataFrame, keep: list[str]) -> str:
     return "".join(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
 
 
-def _unheaded(docs: DataFrame, model: Model, text: str, keep: list[str], names: tuple[str, str]) -> DataFrame:
+def _head(model: Model, max_numbers: int) -> DataFrame:
+    """The words with the largest shares, about as many as max_numbers admits; rarer ones of one share stay out together."""
+    words = model.table.where("kind = 0")
+    spare = max(0.0, 1 - max_numbers / (len(model.langs) + 2) / max(1, words.count()))
+    cut = words.agg(F.percentile_approx("share", spare, 10_000)).first()[0] or 0.0
+    return words.where((F.col("share") > cut) | (F.col("share") >= MIN_SHARE))
+
+
+def _unheaded(docs: DataFrame, model: Model, text: str, keep: list[str], names: tuple[str, str], max_numbers: int) -> DataFrame:
     """predict() for a model that is too large to be broadcast."""
     langs, k = model.langs, range(len(model.langs))
-    shared = docs.sparkSession.sparkContext.broadcast(_collect(model, model.table.where(f"kind = 0 and share >= {MIN_SHARE!r}")))
+    shared = docs.sparkSession.sparkContext.broadcast(_collect(model, _head(model, max_numbers)))
     own = ["rid", "letter", "n", "sums", "w", "c"]
     free = dict(zip(own, (free_name(docs.select(*keep), f"_{x}") for x in own)))
 
@@ -348,7 +357,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     """
     keep = keep or []
     if model.langs and model.table.count() * (len(model.langs) + 2) > max_numbers:
-        return _unheaded(docs, model, text, keep, names)
+        return _unheaded(docs, model, text, keep, names, max_numbers)
     langs = model.langs
     shared = docs.sparkSession.sparkContext.broadcast(_collect(model, model.table))
 

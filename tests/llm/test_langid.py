@@ -67,7 +67,7 @@ def learned(docs):
     return [(r.text, r.lang) for r in docs.where(~held_out()).select("text", "lang").collect()]
 
 
-@pytest.mark.parametrize("most", [10**9, 0])
+@pytest.mark.parametrize("most", [10**9, 4000, 0])
 def test_against_plain_version(spark, most):
     docs = spark.read.parquet(SF).limit(120)
     plain = Plain([(r.text, r.lang) for r in docs.select("text", "lang").collect()])
