@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .best_fit import pack_documents
 from .chat_format import as_chain, digest, format_conversations
+from .common import ascii_lower
 from .cube_mix import mix
 from .decontaminate import leaks
 from .exact_dedup import exact_groups
 from .kneser_ney import judge_quality
 from .langid import identify
+from .merkle import FIELDS, digest as sha256, fold, leaf, manifest, siblings
 from .paragraph_dedup import repeated_paragraphs
 from .simhash_vptree import near_groups
 from .token_counts import count_tokens
+from .tokenizer_alignment import align
 from .url_rules import SEGMENTS, judge_urls
 
 
@@ -70,6 +74,23 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(_table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = [ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, leaf(lowered))
+    rows, root = manifest(_table(spark, sf_dir, "documents"), keep={"tampered": tampered})
+    folded = fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    rows = rows.select("doc_id", "leaf", "subroot", F.lit(root).cast("string").alias("root"), sha256(siblings(F.col("path"))).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_url_filters": op2_url_filters,
@@ -81,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_paragraph_dedup": op10_paragraph_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -88,7 +112,38 @@ _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 #: The template's escape, for DuckDB.
 _ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>|\|im_(?:start|end)\|>)', '\1\\\2\3', 'g')"
 
+#: A row's leaf and a digest's CRC-32, for DuckDB.
+_FIELD = "coalesce(strlen(({0})::VARCHAR)::VARCHAR || ':' || ({0})::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_BYTE = "xor(c, CASE WHEN k % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, (k // 8 + 1)::INT, 1)) ELSE 0 END)"
+_CRC = f"xor(list_reduce(range(0, 8 * length(doc_id::VARCHAR)), lambda c, k: CASE WHEN {_BYTE} % 2 = 1 THEN xor({_BYTE} >> 1, 3988292384) ELSE {_BYTE} >> 1 END, 4294967295::BIGINT), 4294967295::BIGINT)"
+
 ORACLE: dict[str, str] = {
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '-') AS g, {_LEAF.format(text="text")} AS leaf,
+                                    CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered FROM documents),
+             l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+             t(g, level, pos, h) AS (
+                 SELECT g, 0::BIGINT, pos, leaf FROM l
+                 UNION ALL
+                 SELECT g, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM t) WHERE n > 1 GROUP BY g, level, pos // 8),
+             s AS (SELECT g, arg_max(h, level) AS subroot, max(level) AS height FROM t GROUP BY g),
+             r AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS pos FROM s),
+             u(level, pos, h) AS (
+                 SELECT 0::BIGINT, pos, subroot FROM r
+                 UNION ALL
+                 SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM u) WHERE n > 1 GROUP BY level, pos // 8),
+             sides AS (
+                 SELECT l.g, l.pos, t.level, string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < l.pos // (8 ** t.level)::BIGINT) AS lefts, string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > l.pos // (8 ** t.level)::BIGINT) AS rights
+                 FROM l JOIN s USING (g) JOIN t ON t.g = l.g AND t.level < s.height AND t.pos // 8 = l.pos // (8 ** (t.level + 1))::BIGINT GROUP BY l.g, l.pos, t.level
+                 UNION ALL
+                 SELECT l.g, l.pos, s.height + u.level, string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos < r.pos // (8 ** u.level)::BIGINT), string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos > r.pos // (8 ** u.level)::BIGINT)
+                 FROM l JOIN s USING (g) JOIN r USING (g) JOIN u ON u.level < (SELECT max(level) FROM u) AND u.pos // 8 = r.pos // (8 ** (u.level + 1))::BIGINT GROUP BY l.g, l.pos, s.height, u.level),
+             p AS (SELECT g, pos, list(struct_pack(a := coalesce(lefts, ''), b := coalesce(rights, '')) ORDER BY level) AS path FROM sides GROUP BY g, pos),
+             f AS (SELECT l.doc_id, l.leaf, s.subroot, (SELECT arg_max(h, level) FROM u) AS root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.a || x.b), ''), '')) AS proof_sha256,
+                          list_reduce(coalesce(path, []), lambda node, x: struct_pack(a := sha256(x.a || node.a || x.b), b := ''), struct_pack(a := coalesce(l.tampered, l.leaf), b := '')).a AS folded_root
+                   FROM l JOIN s USING (g) LEFT JOIN p ON p.g = l.g AND p.pos = l.pos)
+        SELECT *, folded_root = root AS verified FROM f""",
     "op2_url_filters": f"""
         WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                           coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
