@@ -8,7 +8,9 @@ held back. It and the unsettled ones of the other blocks fly again, until a sour
 ever smaller documents, so that the two that have to land, one constraint at a time, are small.
 
 Blocks have a bounded number of documents whatever a source holds, so a hot source is many small groups. Draws depend
-on the seed, the source and the documents only: reruns agree.
+on the seed, the source and the documents only: a document's block and place in it follow from a hash of its id, source and
+text, and, among rows equal in these, from a running number, which no one can tell apart. So reruns agree, however the rows
+lie in files or come out of a shuffle.
 """
 
 from __future__ import annotations
@@ -16,32 +18,38 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import arrow_rows, free_name, materialize, numbered
+from .positions import with_positions
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 #: Documents of a block, on average.
 BLOCK_ROWS = 2_000
 _NEAR = 1e-9
+#: Documents that are left when only the size is kept any more.
+_FEW = 4
 
 
 def sized(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", rid: str | None = None) -> DataFrame:
-    """docs -> rid, doc_id, source, size (words; null text: 0).
+    """docs -> rid, doc_id, source, size (words; null text: 0), h (a hash of doc_id, source and text).
 
     rid names a column of row ids, if docs has one; else rows are numbered as they are read.
     """
+    names = ["rid", "doc_id", "source", "h", "size"]
+    kinds = [LongType(), docs.schema[doc_id].dataType, StringType(), LongType(), LongType()]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes = [len(t.as_buffer().to_pybytes().split()) if t.is_valid else 0 for t in batch.column(3)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64())], ["rid", "doc_id", "source", "size"])
+        sizes = [len(t.as_buffer().to_pybytes().split()) if t.is_valid else 0 for t in batch.column(4)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes, pa.int64())], names)
 
     row = F.col(rid) if rid else F.monotonically_increasing_id()
-    rows = docs.select(row.alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("binary").alias("t"))
-    return arrow_rows(rows, work, "rid long, doc_id long, source string, size long")
+    held = F.xxhash64(F.lit(1), doc_id, F.lit(2), source, F.lit(3), text)  # nulls are skipped, the marks between them aren't
+    rows = docs.select(row.alias("rid"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), held.alias("h"), F.col(text).cast("binary").alias("t"))
+    return arrow_rows(rows, work, StructType([StructField(*x) for x in zip(names, kinds)]))
 
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
@@ -125,15 +133,18 @@ def settle(chances: np.ndarray, sizes: np.ndarray, rng: random.Random) -> np.nda
     """The chances after the last flight, all 0 or 1.
 
     Here the largest unsettled document moves against all smaller ones at once, in the direction of the null space
-    that spreads the response evenly over number and size. So the two that are left to land are small.
+    that spreads the response evenly over number and size. When few are left, their number gives way, and the size is kept
+    until one is left to land, as a rule a small one.
     """
     out = np.array(chances, float)
     order = sorted(range(len(out)), key=lambda i: (-sizes[i], rng.random()))
     left = np.array([i for i in order if 0 < out[i] < 1], int)
-    while len(left) > 2:
+    while len(left) > 1:
         big, rest = sizes[left[0]], sizes[left[1:]]
         n, s1, s2 = len(rest), rest.sum(), (rest * rest).sum()
-        if (det := n * s2 - s1 * s1) > 1e-6 * s2:
+        if n < _FEW:
+            response = -big * rest / s2 if s2 > 0 else np.zeros(n)
+        elif (det := n * s2 - s1 * s1) > 1e-6 * s2:
             response = (s1 * big - s2 + (s1 - n * big) * rest) / det
         else:  # all smaller ones are of one size: their number gives way
             response = np.full(n, -big / s1 if s1 > 0 else -1.0 / n)
@@ -156,36 +167,39 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     """docs -> rid, doc_id, source, size, source_size, target, copies, taken (size times copies).
 
     A null source is a source. A document without words counts for balancing and takes no words. Each input row has
-    one output row, repeated rows included; ties in size are settled by doc_id and row. Empty input gives no rows. Texts
-    are read whole, and only their number of words goes on. Other columns of docs are not read.
+    one output row, repeated rows included; ties in size are settled by a hash of the row. Empty input gives no rows. Texts
+    are read whole, and only their number of words and a hash go on. Other columns of docs are not read.
     """
     sizes = materialize(sized(docs, text, doc_id, source, rid), "sizes")
+    # k tells rows apart that are equal in all that counts
+    sizes = materialize(with_positions(sizes, "h", [F.asc("size")], "k", "_same", "alike").drop("_same"), "sizes")
     targets = source_targets(sizes, weights, max_copies)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = sizes.join(F.broadcast(targets) if targets.count() <= 100_000 else targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     whole = F.floor(ratio + _NEAR)
     units = joined.withColumn("whole", whole).withColumn("chance", F.greatest(ratio - whole, F.lit(0.0)).cast("double"))
-    columns = ["rid", "doc_id", "source", "size", "source_size", "target", "whole", "chance", "rank"]
-    schema = "rid long, doc_id long, source string, size long, source_size long, target double, whole long, chance double, rank long"
+    columns = ["rid", "doc_id", "source", "size", "source_size", "target", "whole", "chance", "rank", "h", "k"]
+    schema = units.select(*columns).schema
     settled, flights = None, 0
     left, most = units.select(*columns, "n"), None
     while True:
         blocks = F.ceil(F.col("n") / block_rows)
-        # The document's row is part of the key, so that a doc_id that fills a source is dealt out like any other.
-        dealt = left.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "rid", F.lit(seed + flights)), blocks))
+        # the running number of equal rows is part of the key, so that rows that fill a source are dealt out like any other
+        dealt = left.withColumn("block", F.pmod(F.xxhash64("h", "k", F.lit(seed + flights)), blocks))
         most = left.agg(F.max("n")).first()[0] or 0
         land = most <= 2 * block_rows
 
-        def one(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(["doc_id", "size", "rid"], na_position="first", ignore_index=True)
-            rank, block = int(group["rank"].iloc[0]), int(group["block"].iloc[0])
+        def one(group: pa.Table) -> pa.Table:
+            group = group.sort_by([("h", "ascending"), ("k", "ascending")])
+            rank, block = group["rank"][0].as_py(), group["block"][0].as_py()
+            group = group.select(columns)
             if not land and block == 0:
-                return group[columns]
+                return group
             rng = random.Random(f"{seed}/{flights}/{rank}/{block}")
-            chances = (settle if land else fly)(group["chance"].to_numpy(float), group["size"].to_numpy(float), rng)
-            return group.assign(chance=chances)[columns]
+            chances = (settle if land else fly)(group["chance"].to_numpy(), group["size"].to_numpy().astype(float), rng)
+            return group.set_column(columns.index("chance"), "chance", pa.array(chances))
 
-        flown = materialize(dealt.groupBy("rank", "block").applyInPandas(one, schema), "flown")
+        flown = materialize(dealt.groupBy("rank", "block").applyInArrow(one, schema), "flown")
         if land:
             settled = flown if settled is None else settled.unionByName(flown)
             break

@@ -41,7 +41,8 @@ def test_mix(spark):
     for s in sizes:
         mine = [r for r in got if r.source == s]
         assert {r.source_size for r in mine} == {sizes[s]} and all(r.target == pytest.approx(want[s]) for r in mine)
-        assert abs(sum(r.taken for r in mine) - want[s]) <= max(0.02 * want[s], 5)
+        # what lands last is one document; with so few of a source it can be one of the largest, whatever the draw
+        assert abs(sum(r.taken for r in mine) - want[s]) <= max(r.size for r in mine)
     assert all(0 <= r.taken <= 3 * r.size and r.taken == r.size * r.copies for r in got)
     again = mix(docs.repartition(1), block_rows=10_000).collect()
     assert sorted((r.doc_id, r.target) for r in again) == sorted((r.doc_id, r.target) for r in got)
@@ -69,3 +70,25 @@ def test_apply(spark):
     kept = apply_mix(docs)
     assert sorted(kept.columns) == sorted(docs.columns) and kept.where("copies < 1 or copies > 3").count() == 0
     assert apply_mix(docs.where("doc_id < 0")).count() == 0
+
+
+def test_draws_do_not_depend_on_how_rows_lie(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 9 = 0")).unionByName(docs.where("doc_id < 3")).unionByName(docs.where("doc_id = 1"))
+    taken = lambda d, **o: sorted((r.doc_id, r.source, r.taken) for r in mix(d, **o).collect())
+    options = [{"block_rows": 10}, {"block_rows": 4, "seed": 7}]
+    want = [taken(docs, **o) for o in options]
+    assert want[0] != want[1]
+    for files in (1, 3):
+        docs.orderBy("n_chars", "doc_id").repartition(files).write.parquet(f"{tmp_path}/{files}")
+        for size in ("1m", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert [taken(spark.read.parquet(f"{tmp_path}/{files}"), **o) for o in options] == want
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [taken(docs.repartition(11), **o) for o in options] == want
+
+
+def test_text_ids_and_one_row_that_fills_a_source(spark):
+    docs = spark.createDataFrame([(None if k % 3 else f"d{k}", "w w w", "a") for k in range(300)] + [("x", "w", "b")] * 300, "doc_id string, text string, source string")
+    got = mix(docs, block_rows=20).collect()
+    assert len(got) == 600 and sum(r.taken for r in got) == pytest.approx(1200, abs=6)

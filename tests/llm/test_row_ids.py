@@ -35,14 +35,7 @@ def test_rows_kept(spark, tables, drop):
     want = sorted(r.doc_id for r in run(docs).collect())
     assert len(want) > 100
     for given in inputs(docs, labels):
-        pruned = sorted(r.doc_id for r in run(given).select("doc_id").collect())
-        if drop == apply_mix:  # the draw may differ with the rows' order, its size not
-            assert abs(len(pruned) - len(want)) <= 0.05 * len(want) and len(set(pruned)) == len(pruned)
-            whole = run(given)
-            held = {r.doc_id: r.text for r in docs.collect()}
-            assert all(held[r.doc_id] == r.text for r in whole.collect())
-        else:
-            assert pruned == want
+        assert sorted(r.doc_id for r in run(given).select("doc_id").collect()) == want
 
 
 def test_numbers_of_a_scan_do_not_depend_on_how_it_is_cut(spark, tmp_path):
