@@ -20,8 +20,9 @@ Paragraphs are compared as sets of 5-word shingles.
    each PASSAGE words in a row, the WINDOW words in a row with the least hash are a unit (winnowing), so that any PASSAGE
    words that two texts share hold a whole common unit. Windows are equal by a 128-bit hash of their words. A window that
    repeats across documents is reported, with all its places, if at some place it touches no reported paragraph.
-6. *Stretches.* Repeated units of a document with less than MIN_WORDS words between them form a stretch. Only stretches
-   of MIN_RUN words are passages; a shorter one, as a license line, is not reported.
+6. *Stretches.* Repeated units of a document with less than MIN_WORDS words between them form a stretch, whose words are
+   reported with each of its units (stretch_words). A single license line is a short stretch in many documents
+   (component_size), a passage a long one: callers tell them apart by these, and nothing is left out by itself.
 
 In each cluster the first paragraph (by document, then place) stays.
 """
@@ -41,7 +42,6 @@ from .components import connected_components
 SHINGLE, MIN_JACCARD, MIN_WORDS = 5, 0.8, 12
 BANDS, ROWS = 6, 2
 PASSAGE, WINDOW = 50, 25
-MIN_RUN = 25
 #: Nodes of a band that are compared in one task; larger bands are taken apart first.
 MOST = 2_000
 #: Pivots of a band before its rest is compared slice by slice.
@@ -399,18 +399,19 @@ def link_bands(meet: DataFrame, min_jaccard: float = MIN_JACCARD, most: int = MO
     return out
 
 
-def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, min_jaccard: float = MIN_JACCARD, min_run: int = MIN_RUN, most: int = MOST) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, min_jaccard: float = MIN_JACCARD, most: int = MOST) -> DataFrame:
     """docs -> one row per paragraph that repeats across documents, and per window that repeats apart from those.
 
     rid (row number within this scan), doc_id, start and length (UTF-8 bytes of the text, from 0), n_words,
-    component_id, component_size, removed: false for the first paragraph of its cluster, which stays (of equal doc_ids
-    the row read first, null ids first).
-    A cluster lies in two rows of docs at least; repetition within one row alone isn't reported, nor are stretches of
-    less than min_run words. Null and empty texts and shorter ones give no rows. Repeated rows of docs repeat each other.
-    Texts are read whole, a long one as one chunk. An empty table gives no rows. Other columns aren't read.
+    stretch_words, component_id, component_size, removed: false for the first paragraph of its cluster, which stays (of
+    equal doc_ids the row read first, null ids first).
+    A cluster lies in two rows of docs at least; repetition within one row alone isn't reported. Null and empty texts and
+    shorter ones give no rows. Repeated rows of docs repeat each other. Texts are read whole, a long one as one chunk. An
+    empty table gives no rows. Other columns aren't read.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    schema = "rid long, doc_id long, start long, length long, at long, n_words long, h long, g long, text binary"
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    schema = f"rid long, doc_id {kind}, start long, length long, at long, n_words long, h long, g long, text binary"
     both = materialize(arrow_parts(rows, lambda x: _units_of(x, min_words), schema), "units")
     paragraphs, wide = both.where("text is not null"), both.where("text is null")
     meet = arrow_parts(paragraphs.select("h", "n_words", "text"), _keyed, "band long, h long, slot long, known boolean")
@@ -434,22 +435,22 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     labelled = materialize(nodes.join(spread(nodes, "ch", "cg"), ["ch", "cg"]).select("h", "g", "ch", "cg"), "labelled")
     columns = ["rid", "doc_id", "start", "length", "at", "n_words", "ch", "cg", "wide"]
     found = numbers.join(labelled, ["h", "g"]).withColumn("wide", F.lit(False)).select(*columns)
-    told = arrow_parts(wide.drop("text"), _told, ", ".join(f"{c} long" for c in FIELDS[:-1]) + ", slot long, known boolean")
+    told = arrow_parts(wide.drop("text"), _told, schema.replace("text binary", "slot long, known boolean"))
     w = W.partitionBy("h", "g", "slot")
     told = told.withColumn("shared", F.col("known") | (F.min("rid").over(w) != F.max("rid").over(w))).where("shared")
     found = found.unionByName(told.select(*columns[:6], F.col("h").alias("ch"), F.col("g").alias("cg"), F.lit(True).alias("wide")))
-    return _reported(_stretches(found, min_run, min_words))
+    return _reported(_stretches(found, min_words))
 
 
-def _stretches(found: DataFrame, min_run: int, gap: int) -> DataFrame:
-    """The repeated units that lie in stretches of at least min_run words."""
+def _stretches(found: DataFrame, gap: int) -> DataFrame:
+    """The repeated units with the number of words of the stretch that each lies in."""
     by = W.partitionBy("rid").orderBy("at", "n_words", "wide", "ch")
     end = F.col("at") + F.col("n_words")
     before = F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1))
     cut = found.withColumn("new", F.when(F.col("at") >= before + gap, 1).otherwise(0))
     cut = cut.withColumn("stretch", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
     whole = W.partitionBy("rid", "stretch")
-    return cut.withColumn("run", F.max(end).over(whole) - F.min("at").over(whole)).where(F.col("run") >= min_run).drop("new", "stretch", "run")
+    return cut.withColumn("stretch_words", F.max(end).over(whole) - F.min("at").over(whole)).drop("new", "stretch")
 
 
 def _reported(found: DataFrame) -> DataFrame:
@@ -467,4 +468,4 @@ def _reported(found: DataFrame) -> DataFrame:
     out = rows.drop("free").join(groups, ["ch", "cg", "wide"])
     stays = (F.col("rid") == F.col("first.rid")) & (F.col("start") == F.col("first.start"))
     name = F.concat(F.lpad(F.hex("ch"), 16, "0"), F.lpad(F.hex("cg"), 16, "0"))
-    return out.select("rid", "doc_id", "start", "length", "n_words", F.lower(name).alias("component_id"), "component_size", (~stays).alias("removed"))
+    return out.select("rid", "doc_id", "start", "length", "n_words", "stretch_words", F.lower(name).alias("component_id"), "component_size", (~stays).alias("removed"))

@@ -66,7 +66,7 @@ def test_against_all_pairs(spark):
             body.insert(2, " ".join(words).upper() + ".")
         rows.append((i, rng.choice(["\n", " "]).join(body), "x"))
     rows += [(99, None, None), (98, "", "x"), (97, "short", "x"), (3, rows[3][1], "again")]
-    got = found(repeated_paragraphs(spark.createDataFrame(rows, SCHEMA), min_run=0))
+    got = found(repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)))
     assert got == plain(rows) and any(len(g) >= 8 for g in got)
 
 
@@ -79,11 +79,26 @@ def test_spans_cut_the_text(spark):
     line = "Ünd two three four five six seven eight nine ten eleven twelve thirteen."
     rows = [(1, f"Start. {line} End.", "x"), (2, f"é\n{line}", "x")]
     texts = {d: t.encode() for d, t, _ in rows}
-    assert repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)).count() == 0  # too short a stretch for a passage
-    out = repeated_paragraphs(spark.createDataFrame(rows, SCHEMA), min_run=12).collect()
+    out = repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [r.stretch_words for r in out] == [13, 13]
     assert [texts[r.doc_id][r.start : r.start + r.length].decode() for r in out] == [line, line]
 
 
+def test_a_shared_sentence_has_rows_in_both_documents(spark):
+    rng = random.Random(8)
+    for n in (12, 16, 20, 24):
+        shared = [prose(rng, n) + "." for _ in range(2)]
+        rows = [(1, f"{prose(rng, 30)}. {shared[0]} {prose(rng, 40)}.", "x"), (2, f"{prose(rng, 9)}.\n{shared[0]}", "x"), (3, f"{shared[0]} {shared[1]}", "x"), (4, f"{prose(rng, 40)}. {shared[1]}", "x")]
+        out = repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert sorted((r.doc_id, r.n_words, r.stretch_words, r.removed) for r in out) == [(1, n, n, False), (2, n, n, True), (3, n, 2 * n, False), (3, n, 2 * n, True), (4, n, n, True)]
+
+
+def test_text_ids(spark):
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen."
+    out = repeated_paragraphs(spark.createDataFrame([("a", line), ("b", line), (None, line)], "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.removed) for r in out} == {(None, False), ("a", True), ("b", True)}
+
+
 def test_empty(spark):
     assert repeated_paragraphs(spark.createDataFrame([], SCHEMA)).count() == 0
 
