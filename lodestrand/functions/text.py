@@ -25,6 +25,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def term_counts(words: Column) -> Column:
+    """AGG-01 inside a row: (term, tf) of each distinct token, by term; none for null."""
+
+    def runs(sorted_words: Column) -> Column:
+        heads = F.transform(sorted_words, lambda w, i: F.when((i == 0) | (w != F.get(sorted_words, i - 1)), i))
+        count = lambda at, after: F.struct(F.get(sorted_words, at).alias("term"), (F.coalesce(after, F.size(sorted_words)) - at).alias("tf"))
+        return let(F.array_compact(heads), lambda starts: F.transform(starts, lambda at, j: count(at, F.get(starts, j + 1))))
+
+    return let(F.sort_array(F.coalesce(words, F.array().cast("array<string>"))), runs)
+
+
 def sentences(text: Column) -> Column:
     """CHK-01: cut after . ! or ? and white space; stripped, without empty ones."""
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), strip), lambda s: s != "")

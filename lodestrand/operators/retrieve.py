@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import tokens
+from ..functions.text import let, term_counts, tokens
 from ..functions.vector import cosine
 from ..sources.state import stored
 
@@ -33,8 +33,8 @@ def matches_extra(extra: Column, row_filter: dict) -> Column:
 
 
 def postings(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """AGG-01: (key, term, tf)."""
-    return chunks.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """AGG-01: (key, term, tf). A chunk's terms are counted inside its row, without a shuffle."""
+    return chunks.select(key, F.inline(term_counts(tokens(F.col(text)))))
 
 
 def chunk_lengths(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,31 +76,44 @@ def matches_where(where: dict) -> Column:
 
 
 def term_index(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """AGG-01, AGG-02: (term, df, total). A document's terms are counted inside its row, so that one row a term goes on."""
-    held = tokens(F.col(text))
-    first = F.transform(F.array_distinct(held), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("total")))
-    each = F.transform(held, lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("total")))
-    return chunks.select(F.inline(F.concat(first, each))).groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    """AGG-01, AGG-02: (term, df, total). Each chunk sends its distinct terms once, with their counts."""
+    return postings(chunks, key, text).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
+def bm25_weight(n: Column, avgdl: Column, df: Column, tf: Column, dl: Column) -> Column:
+    """AGG-03: what one term adds to a chunk's score, for each time that it counts."""
+    return idf(n, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+#: Asked terms that may be told to every task, in characters all together.
+_TOLD = 200_000
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, query_key: str = "item_id", query_text: str = "text", key: str = "doc_id", text: str = "text", standard: bool = False) -> DataFrame:
     """AGG-03: (query_key, key, score) for chunks that share a term with the query.
 
-    A term counts for each of its occurrences in the query and, unless standard, in the chunk too. Queries are expected
-    to be few against chunks: only postings of their terms are aggregated.
+    A term counts for each of its occurrences in the query and, unless standard, in the chunk too. One pass over the texts:
+    a chunk sends its asked terms with their counts, and one row for its length. Asked terms of _TOLD characters at
+    most are told to every task, so that no other term leaves its row; beyond that, terms are joined. For many searches
+    over the same chunks, keep an index (see index.TermIndex).
     """
     asked = queries.select(query_key, F.explode(tokens(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    # One pass over the texts: each chunk sends its asked terms, and one row without a term for its length.
-    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
-    found = chunks.select(F.col(key), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("all"))
-    rows = found.select(key, F.size("all").alias("dl"), F.explode(F.concat("all", F.array(F.lit(None).cast("string")))).alias("term"))
-    held = rows.join(wanted, "term", "left").where("wanted or term is null").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    wanted = asked.select("term").distinct()
+    size = wanted.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
+    told = [r["term"] for r in wanted.collect()] if size <= _TOLD else None
+    kept = (lambda all_: all_) if told is None else (lambda all_: F.filter(all_, lambda t: t.isin(told)))  # a look-up in a set
+    counted = let(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")), lambda all_: F.struct(F.size(all_).alias("dl"), term_counts(kept(all_)).alias("terms")))
+    rows = chunks.select(key, counted.alias("_r")).select(key, "_r.dl", "_r.terms")
+    length = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("tf")))
+    held = rows.select(key, "dl", F.inline(F.concat("terms", length)))
+    if told is None:
+        held = held.join(wanted.withColumn("wanted", F.lit(True)), "term", "left").where("wanted or term is null").drop("wanted")
     held = stored(held, "postings")
-    stats = held.where("term is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    stats = held.where("term is null").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     held = held.where("term is not null")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     rows = held.join(df, "term").join(F.broadcast(stats)).join(asked, "term")  # stats is one row
-    weight = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weight = bm25_weight(*map(F.col, ("n", "avgdl", "df", "tf", "dl")))
     times = F.col("qtf") if standard else F.col("qtf") * F.col("tf")
     return rows.groupBy(query_key, key).agg(F.sum(weight * times).alias("score"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T, url as U
 from ..operators import chunk as C, graph as G, retrieve as R, stores as S, web as X
 from .registered import query, table
+from .retrieval_queries import kept_index
 from .web_queries import HOST_SQL, LINKS_SQL
 
 
@@ -130,9 +131,8 @@ def agg13_children(spark, sf):
 @query("agg02_incremental_index", r"""
     SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) GROUP BY 1""")
 def agg02_incremental_index(spark, sf):
-    """Two loads of an index, merged: the second reads its own documents only."""
-    docs = table(spark, sf, "documents")
-    return R.merged_index([R.term_index(docs.where(F.col("doc_id") % 2 == k)) for k in (0, 1)])
+    """Two loads of an index; the second reads its own documents only, and the counts come from the blocks' heads."""
+    return kept_index(spark, sf).terms()
 
 
 @query("snk03_flat_payload", """SELECT doc_id, '{"lang":"' || lang || '","source":"' || source || '"}' AS extra_json FROM documents""")
