@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources import services
 from ..sources.state import scratch
+from ..streaming.frontier import crawl_web
 from .registered import query, table
 from .served import served
 
@@ -85,3 +86,23 @@ def src17_search_results(spark, sf):
     hosts = [r.host for r in pages.groupBy("host").count().orderBy(F.desc("count"), "host").limit(10).collect()]
     out = [service(spark, sf, "web_search", provider=name, queries=json.dumps(hosts), limit="5").option("base", served(spark, sf).url).load().select(F.concat(F.lit(f"{name} "), "query").alias("query"), "position", "url", "title") for name in ("searxng", "firecrawl")]
     return out[0].unionByName(out[1])
+
+
+def web_fetch(base: str):
+    """A fetcher of the served pages, by their own urls."""
+
+    def fetch(url: str) -> tuple[int, str | None, str | None]:
+        answer = services.Client().get(f"{base}/web", {"url": url})
+        return (404, None, "status 404") if answer is None else (200, answer["html"], None)
+
+    return fetch
+
+
+@query("gra06_fetched_crawl", """
+    WITH RECURSIVE p AS (SELECT page_id AS i, regexp_replace(url, '#.*$', '') AS url FROM pages), m AS (SELECT url, min(i) AS i FROM p GROUP BY url),
+    l AS (SELECT m.url, (m.i * k.a + k.b) % (SELECT count(*) FROM pages) AS v FROM m, (VALUES (3, 1), (7, 2)) k(a, b)), e AS (SELECT l.url, p.url AS link FROM l JOIN p ON p.i = l.v),
+    f AS (SELECT DISTINCT p.url, 1 AS depth FROM p WHERE i % 50 = 0 UNION SELECT e.link, f.depth + 1 FROM f JOIN e USING (url) WHERE f.depth < 3)
+    SELECT url, min(depth)::INT AS depth, 200 AS status_code FROM f GROUP BY url""")
+def gra06_fetched_crawl(spark, sf):
+    seeds = table(spark, sf, "pages").where("page_id % 50 = 0").select("url")
+    return crawl_web(seeds, scratch(spark, "crawl"), web_fetch(served(spark, sf).url), max_depth=3).select("url", "depth", "status_code")
