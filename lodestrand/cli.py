@@ -41,6 +41,14 @@ def parser() -> argparse.ArgumentParser:
     crawl = add("crawl", "fetch pages")
     crawl.add_argument("urls", nargs="+")
     crawl.add_argument("--out", help="save them here")
+    crawl.add_argument("--depth", type=int, default=1, help="waves of links that are followed")
+    crawl.add_argument("--max-pages", type=int)
+    crawl.add_argument("--follow", action="append", default=[], help="a pattern that links must hold")
+    crawl.add_argument("--exclude", action="append", default=[], help="a pattern that links may not hold")
+    crawl.add_argument("--same-domain", action="store_true")
+    crawl.add_argument("--sitemap", action="store_true", help="start from the sitemaps, too")
+    crawl.add_argument("--delay", type=float, default=0.0, help="seconds between requests to a host")
+    crawl.add_argument("--state", help="keep the crawl here, so that it can go on later")
     crawl.add_argument("--kind", choices=("md", "html", "json", "all"), default="md")
     search = add("search", "results of the search provider")
     search.add_argument("text")
@@ -104,7 +112,10 @@ def main(args: list[str] | None = None) -> None:
         engine.ingest(docs)
         engine.query(asked, given.k, given.mode, given.filter, tuple(given.window) if given.window else None, given.expansion).show(given.k, 100)
     elif given.command == "crawl":
-        got = engine.crawl_many(given.urls)
+        options = {"max_pages": given.max_pages, "follow": tuple(given.follow), "exclude": tuple(given.exclude), "same_domain": given.same_domain, "delay": given.delay}
+        deep = given.depth > 1 or given.sitemap or given.state or any(options.values())
+        urls = spark.createDataFrame([(u,) for u in given.urls], "url string")
+        got = engine.crawl(urls, given.depth, given.sitemap, path=given.state, **options) if deep else engine.crawl(urls)
         if given.out:
             from .sources.sinks import save_crawl
 

@@ -10,34 +10,48 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import models, plugins
 from .functions.text import not_blank
 from .operators import answers, graph, retrieve, stores, validate
+from .operators.keyed import KeyedTable
 from .sources import files as sources
 from .sources.pages import as_documents
-from .sources.state import stored
+from .sources.state import scratch, stored
+from .streaming.frontier import crawl_web, http_fetch
 
 _CHUNKS = "chunk_id string, doc_id string, chunk_index int, content string, quality double, embedding array<float>"
 _STATE = "path string, hash string, mtime timestamp"
 
 
 class Engine:
-    """API-01: chunks are a lazy DataFrame, and methods return DataFrames. Hooks run around extraction, chunking, crawling.
+    """API-01: chunks are a keyed table, and methods return DataFrames. Hooks run around extraction, chunking, crawling.
+
+    store: a folder that keeps the chunks beyond the session (and holds those of earlier ones); without it they go with it.
+    validators: names of registered conditions that chunks must meet besides quality.
 
     model: a text model (texts -> answers) for query expansion, extraction and reports; without one these fall back.
     """
 
-    def __init__(self, spark: SparkSession, chunker: str = "sentence", embedder: Callable | None = None, min_quality: float = 0.3, deduplicate: bool = True, model: Callable | None = None, add_ons: tuple[str, ...] = (), crawler: Callable | None = None, provider: Callable | None = None, **chunk_options):
+    def __init__(self, spark: SparkSession, chunker: str = "sentence", embedder: Callable | None = None, min_quality: float = 0.3, deduplicate: bool = True, model: Callable | None = None, add_ons: tuple[str, ...] = (), crawler: Callable | None = None, provider: Callable | None = None, validators: tuple[str, ...] = (), store: str | None = None, **chunk_options):
         self.spark, self.chunker, self.embedder, self.model = spark, chunker, embedder, model
         self.min_quality, self.deduplicate, self.chunk_options, self.add_ons = min_quality, deduplicate, chunk_options, list(add_ons)
         self.crawler, self.provider = crawler or plugins.crawlers.get("http"), provider or plugins.search_providers.get("stub")
         self.hooks = plugins.Hooks()
-        self.chunks: DataFrame | None = None
+        self.validators = list(validators)
+        self.table = KeyedTable(spark, store or scratch(spark, "chunks"), ["chunk_id"], _CHUNKS)
         self.state = spark.createDataFrame([], _STATE)
         self.entities = spark.createDataFrame([], "label string, id string, attributes map<string,string>, seq long")
         self.edges = spark.createDataFrame([], "source string, relation string, target string")
 
+    @property
+    def chunks(self) -> DataFrame | None:
+        """The chunks as of now; None before the first load."""
+        return self.table.read() if self.table.version() else None
+
     # ingestion
 
     def ingest(self, docs: DataFrame, key: str = "doc_id", text: str = "text", chunker: str | None = None) -> DataFrame:
-        """SRC-26: documents -> validated, deduplicated, embedded chunks, added to the engine's table (same ids replaced)."""
+        """SRC-26: documents -> validated, deduplicated, embedded chunks, added to the engine's table (same ids replaced).
+
+        A chunk whose content another chunk of this or an earlier load has is left out. The documents are read once.
+        """
         for point in ("after_extract", "before_chunk"):
             docs = self.hooks.run(point, docs)
             if docs is None:
@@ -50,11 +64,14 @@ class Engine:
         if chunks is None:
             return self._empty()
         good = validate.with_quality(chunks, min_score=self.min_quality).where("passed").select("chunk_id", "doc_id", "chunk_index", "content", "quality")
+        good = plugins.validated(good, self.validators)
         if self.deduplicate:
             good = validate.exact_duplicates(good).where(~F.col("is_duplicate")).drop("is_duplicate", "content_hash")
+            good = good if self.chunks is None else validate.new_contents(good, self.chunks)
         kept = stores.embedded(models.embed(good, model=self.embedder))
         kept = plugins.run_add_ons(kept, self.add_ons).select("chunk_id", "doc_id", "chunk_index", "content", "quality", "embedding") if self.add_ons else kept
-        self.chunks = kept if self.chunks is None else stores.delete(self.chunks, kept, ["chunk_id"]).unionByName(kept)
+        kept = stored(kept, "ingested")
+        self.table.upsert(kept.withColumn("_last", F.col("content")), order="_last")
         return kept
 
     def ingest_with_adaptive_chunking(self, docs: DataFrame, key: str = "doc_id", text: str = "text", name: str | None = None) -> DataFrame:
@@ -78,8 +95,7 @@ class Engine:
         files = stored(sources.read_files(self.spark, path, recursive, extractors={n: plugins.extractors.get(n) for n in plugins.extractors.names()}), "files")
         todo = stores.to_process(files, self.state) if skip_known else files
         good = todo.where(F.col("error").isNull() & not_blank(F.col("text")))
-        kept = stored(self.ingest(good, "path"), "ingested")
-        self.chunks = kept if self.chunks is None else stored(stores.delete(self.chunks, kept, ["chunk_id"]).unionByName(kept), "chunks")
+        kept = self.ingest(good, "path")
         seen = todo.where("error is null").select("path", "hash", "mtime", F.lit(1).alias("seq"))
         self.state = stored(stores.updated_cache(self.state, seen, ["path"]), "ingest")
         counts = kept.groupBy(F.col("doc_id").alias("path")).agg(F.count("*").alias("n"))
@@ -99,11 +115,11 @@ class Engine:
 
     def delete_document(self, doc_id: str) -> None:
         if self.chunks is not None:
-            self.chunks = self.chunks.where(F.col("doc_id") != doc_id)
+            self.table.delete(self.chunks.where(F.col("doc_id") == doc_id).select("chunk_id"))
 
     def clear(self) -> None:
         """SNK-05"""
-        self.chunks = None
+        self.table.clear()
 
     def document_chunks(self, doc_id: str, limit: int = 1000) -> DataFrame:
         return stores.by_document(self._empty() if self.chunks is None else self.chunks, doc_id, "doc_id", "chunk_index", limit)
@@ -145,12 +161,21 @@ class Engine:
 
     # crawling
 
-    def crawl(self, urls: DataFrame) -> DataFrame:
-        """urls (url) -> what the crawler gets, between the hooks before_crawl and after_crawl (None skips: no rows)."""
+    def crawl(self, urls: DataFrame, max_depth: int = 1, use_sitemap: bool = False, fetch: Callable | None = None, path: str | None = None, **options) -> DataFrame:
+        """urls (url) -> what the crawler gets, between the hooks before_crawl and after_crawl (None skips: no rows).
+
+        With max_depth over 1, a sitemap or other options (max_pages, follow, exclude, same_domain, delay: see
+        frontier.crawl_web), links are followed; path keeps such a crawl, so that it can go on later. What was fetched is
+        stored once: using the result again requests nothing.
+        """
         urls = self.hooks.run("before_crawl", urls)
         if urls is None:
             return self.spark.createDataFrame([], "url string, status_code int, content string, markdown string, error string")
-        got = self.crawler(urls)
+        if max_depth > 1 or use_sitemap or options:
+            found = crawl_web(urls.select("url"), path or scratch(self.spark, "crawl"), fetch or http_fetch, max_depth=max_depth, use_sitemap=use_sitemap, **options)
+            got = sources.pages_to_markdown(found, "content")
+        else:
+            got = stored(self.crawler(urls), "fetched")
         after = self.hooks.run("after_crawl", got)
         return got.limit(0) if after is None else after
 
@@ -163,7 +188,10 @@ class Engine:
     def crawl_and_ingest_many(self, urls: list[str], schema: str | None = None) -> DataFrame:
         """SRC-22, SRC-23: what could be crawled, as documents named by their url; with a schema, the model's reading of each
         page is part of its text."""
-        docs = stored(as_documents(self.crawl_many(urls), "url"), "crawled")
+        return self._ingest_pages(self.crawl_many(urls), schema)
+
+    def _ingest_pages(self, pages: DataFrame, schema: str | None = None) -> DataFrame:
+        docs = as_documents(pages, "url")
         if schema and self.model:
             read = answers.extracted(docs, self.model, schema)
             docs = read.withColumn("text", F.when(F.col("data").isNotNull(), F.concat("text", F.lit("\n\n"), F.to_json("data"))).otherwise(F.col("text"))).drop("data")
@@ -171,10 +199,11 @@ class Engine:
 
     def crawl_and_ingest_one(self, url: str, schema: str | None = None) -> DataFrame:
         """As the batch form, but a page that can't be had is an error."""
-        row = self.crawl_one(url).select("error").first()
+        pages = self.crawl_one(url)
+        row = pages.select("error").first()
         if row is None or row["error"] is not None:
             raise RuntimeError(f"{url}: {row['error'] if row else 'nothing came back'}")
-        return self.crawl_and_ingest_many([url], schema)
+        return self._ingest_pages(pages, schema)
 
     def crawl_and_query(self, urls: list[str], text: str, k: int = 10) -> DataFrame:
         self.crawl_and_ingest_many(urls)

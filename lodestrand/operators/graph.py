@@ -23,6 +23,12 @@ def upsert_entities(entities: DataFrame, seq: str = "seq") -> DataFrame:
     return heads.join(merged, ["label", "id"], "left")
 
 
+def merged_entities(old: DataFrame, new: DataFrame) -> DataFrame:
+    """SNK-06: entities (label, id, attributes) of a table with those of a load, which come later."""
+    both = old.withColumn("seq", F.lit(0)).unionByName(new.withColumn("seq", F.lit(1)))
+    return upsert_entities(both)
+
+
 def upsert_relationships(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """SNK-07, JON-07: edges (source, relation, target) whose ends both exist, each once."""
     ids = entities.select("id").distinct()

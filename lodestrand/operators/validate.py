@@ -68,6 +68,12 @@ def exact_duplicates(chunks: DataFrame, text: str = "content", order: tuple[str,
     return chunks.withColumn("content_hash", key).join(first, "content_hash").withColumn("is_duplicate", F.struct(*order) != F.col("first")).drop("first")
 
 
+def new_contents(chunks: DataFrame, kept: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
+    """JON-04 across loads: the chunks whose content no kept chunk has, but for kept ones that a chunk of this load replaces."""
+    seen = kept.join(chunks.select(key), key, "left_anti").select(F.sha2(F.col(text), 256).alias("_hash")).distinct()
+    return chunks.withColumn("_hash", F.sha2(F.col(text), 256)).join(seen, "_hash", "left_anti").drop("_hash")
+
+
 def validation_counts(validated: DataFrame) -> DataFrame:
     """AGG-06"""
     return validated.agg(F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_failed"), F.count_if("is_duplicate").alias("n_duplicates"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from typing import Any
 
@@ -115,13 +116,20 @@ def chunker_for(name: str, strict: bool = False) -> Callable[..., DataFrame]:
 
 def run_add_ons(chunks: DataFrame, names: list[str], **options) -> DataFrame:
     """EXT-05: chunks through add-ons in order; an unknown name is an error, an add-on that fails while its plan is made is
-    passed over."""
+    passed over and logged."""
     for name in names:
         add_on = add_ons.get(name)
         try:
             chunks = add_on(chunks, **options.get(name, {}))
-        except Exception:  # noqa: BLE001
-            continue
+        except Exception as x:  # noqa: BLE001
+            logging.getLogger("lodestrand").warning("add-on %s was passed over: %s: %s", name, type(x).__name__, x)
+    return chunks
+
+
+def validated(chunks: DataFrame, names: list[str]) -> DataFrame:
+    """EXT-04: the chunks that all validators pass; an unknown name is an error, an unknown answer (null) doesn't pass."""
+    for name in names:
+        chunks = chunks.where(F.coalesce(validators.get(name)(chunks), F.lit(False)))
     return chunks
 
 
