@@ -16,11 +16,15 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import term_counts, tokens
 from ..sources.state import stored
-from .retrieve import bm25_weight, top_k
+from .retrieve import B, K1, bm25_weight, top_k
 
 BUCKETS, RANGE_DOCS = 64, 128
 #: Ranges of each query that are scored for a threshold.
@@ -118,18 +122,18 @@ class TermIndex:
         ranges, weights = self._ranges(queries, query_key, text, standard)
         best = W.partitionBy("q").orderBy(F.desc("bound"), "load", "range")
         placed = stored(ranges.withColumn("place", F.row_number().over(best)), "bounds")
-        first = stored(self._scores(placed.where(F.col("place") <= PROBES), weights, standard), "probes")
+        first = stored(self._scores(placed.where(F.col("place") <= PROBES), weights, standard, k, digits), "probes")
         least = top_k(first, k, "q", self.key, digits=digits).groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("found"))
         # without k chunks there is no threshold
         rest = placed.where(F.col("place") > PROBES).join(least.where(F.col("found") >= k), "q", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - _SLACK))
-        both = first.unionByName(self._scores(rest, weights, standard))
+        both = first.unionByName(self._scores(rest, weights, standard, k, digits))
         return top_k(both, k, "q", self.key, digits=digits).withColumnRenamed("q", query_key)
 
     def reach(self, queries: DataFrame, k: int, query_key: str = "item_id", text: str = "text", standard: bool = False, digits: int = 6) -> DataFrame:
         """How many of each query's ranges a search reads: query_key, n_ranges, n_read."""
         ranges, weights = self._ranges(queries, query_key, text, standard)
         placed = stored(ranges.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("bound"), "load", "range"))), "bounds")
-        first = self._scores(placed.where(F.col("place") <= PROBES), weights, standard)
+        first = self._scores(placed.where(F.col("place") <= PROBES), weights, standard, k, digits)
         least = top_k(first, k, "q", self.key, digits=digits).groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("found")).where(F.col("found") >= k)
         read = (F.col("place") <= PROBES) | F.col("least").isNull() | (F.col("bound") >= F.col("least") - _SLACK)
         return placed.join(least, "q", "left").groupBy(F.col("q").alias(query_key)).agg(F.count("*").alias("n_ranges"), F.count_if(read).alias("n_read"))
@@ -146,11 +150,44 @@ class TermIndex:
         bounds = heads.drop("n").join(weights, "term").groupBy("q", "load", "range").agg(F.sum(F.greatest(most, F.lit(0.0))).alias("bound"))
         return bounds, weights
 
-    def _scores(self, ranges: DataFrame, weights: DataFrame, standard: bool) -> DataFrame:
-        """(q, key, score) of all chunks in some ranges (q, load, range) that share a term with the query."""
-        wanted = ranges.select("q", "load", "range").join(weights, "q")
-        terms = weights.select("term").distinct()
-        rows = self.blocks(terms).select("term", "load", "range", "postings").join(wanted, ["term", "load", "range"])
-        each = rows.select("q", "qtf", "n", "avgdl", "df", F.inline("postings"))
-        weight = bm25_weight(*map(F.col, ("n", "avgdl", "df", "tf", "dl")))
-        return each.groupBy("q", self.key).agg(F.sum(weight * (F.col("qtf") if standard else F.col("qtf") * F.col("tf"))).alias("score"))
+    def _scores(self, ranges: DataFrame, weights: DataFrame, standard: bool, k: int, digits: int) -> DataFrame:
+        """(q, key, score) of what may be among a query's best k in some ranges (q, load, range), ties included.
+
+        A range's blocks and the queries that want it meet in one task and are scored as a matrix; the chunks of a range are
+        few, so a task holds little, and no score of a chunk that its range surpasses is shuffled.
+        """
+        wanted = ranges.select("q", "load", "range").join(weights, "q").select("load", "range", "q", "term", "qtf", "df", "n", "avgdl")
+        held = self.blocks(weights.select("term").distinct()).select("load", "range", "term", "postings")
+        kind, key = weights.schema["q"].dataType, self.key
+        schema = StructType([StructField("q", kind), StructField(key, StructType.fromDDL(self.documents_schema)[key].dataType), StructField("score", DoubleType())])
+
+        def one(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+            places = {t: i for i, t in enumerate(blocks["term"].to_pylist())}
+            lists = pa.concat_arrays(blocks["postings"].chunks) if blocks.num_rows else None
+            if lists is None or not asked.num_rows:
+                return pa.table({"q": asked["q"].slice(0, 0), key: pa.array([], schema_of(key)), "score": pa.array([], pa.float64())})
+            flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            chunks, queries = flat.field(key).dictionary_encode(), pa.concat_arrays(asked["q"].chunks).dictionary_encode()
+            document, query = chunks.indices.to_numpy(), queries.indices.to_numpy()
+            tf, dl = (flat.field(c).to_numpy().astype(float) for c in ("tf", "dl"))
+            n, avgdl, df, times = (asked[c].to_numpy().astype(float) for c in ("n", "avgdl", "df", "qtf"))
+            amount = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl[0])) * (1 if standard else tf)
+            amounts = np.log((n - df + 0.5) / (df + 0.5)) * times
+            scores = np.zeros((len(queries.dictionary), len(chunks.dictionary)))
+            shared = np.zeros(scores.shape, bool)
+            for i, term in enumerate(asked["term"].to_pylist()):
+                if (at := places.get(term)) is not None:
+                    mine = slice(ends[at], ends[at + 1])
+                    scores[query[i], document[mine]] += amounts[i] * amount[mine]
+                    shared[query[i], document[mine]] = True
+            rounded = np.where(shared, np.round(scores, digits), -np.inf)
+            if k < rounded.shape[1]:
+                # a little less than the k-th, as rounding here and in the result may differ in the last digit
+                shared &= rounded >= np.partition(rounded, -k, axis=1)[:, -k, None] - _SLACK
+            i, j = np.nonzero(shared)
+            return pa.table({"q": queries.dictionary.take(pa.array(i)), key: chunks.dictionary.take(pa.array(j)), "score": scores[i, j]})
+
+        def schema_of(name: str) -> pa.DataType:
+            return to_arrow_type(schema[name].dataType)
+
+        return wanted.groupBy("load", "range").cogroup(held.groupBy("load", "range")).applyInArrow(one, schema)
