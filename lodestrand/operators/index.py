@@ -18,7 +18,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -75,18 +75,19 @@ class TermIndex:
 
     def loads(self) -> list[str]:
         """The loads that count; as many as have been added since the last rewriting."""
-        return [r["load"] for r in self._commits().select("load").collect()]
+        return [r["load"] for r in self._commits()]
 
     def _exists(self, path: str) -> bool:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
-    def _commits(self) -> DataFrame:
-        schema = "n long, n_tokens long, replaces array<string>, load string"
+    def _commits(self) -> list[Row]:
+        """A line a load: load, n, n_tokens; without loads that a later one replaces."""
         if not self._exists(f"{self.path}/commits"):
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/commits").parquet(f"{self.path}/commits")
-        return rows.join(rows.select(F.explode("replaces").alias("load")), "load", "left_anti")
+            return []
+        rows = self.spark.read.schema("n long, n_tokens long, replaces array<string>, load string").option("basePath", f"{self.path}/commits").parquet(f"{self.path}/commits").collect()
+        gone = {x for r in rows for x in r["replaces"]}
+        return [r for r in rows if r["load"] not in gone]
 
     def _table(self, name: str, schema: str, loads: list[str]) -> DataFrame:
         if not loads:
@@ -101,10 +102,11 @@ class TermIndex:
     def blocks(self, terms: DataFrame | None = None) -> DataFrame:
         """The blocks, or those of some terms (term): folders are pruned by the terms' hashes, which are few."""
         rows = self._table("blocks", self.blocks_schema, self.loads())
-        if terms is None:
-            return rows
+        return rows if terms is None else self._pruned(rows, terms).join(terms.select("term"), "term", "left_semi")
+
+    def _pruned(self, rows: DataFrame, terms: DataFrame) -> DataFrame:
         asked = [r["b"] for r in terms.select(self._bucket(F.col("term")).alias("b")).distinct().collect()]
-        return rows.where(F.col("bucket").isin(asked)).join(terms.select("term"), "term", "left_semi")
+        return rows.where(F.col("bucket").isin(asked))
 
     def terms(self) -> DataFrame:
         """AGG-01: (term, df, total), from the blocks' heads."""
@@ -112,52 +114,59 @@ class TermIndex:
 
     def stats(self) -> tuple[int, float]:
         """How many chunks there are, and their mean length."""
-        r = self._commits().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
-        return r["n"], r["t"] / r["n"] if r["n"] else 0.0
+        return self._stats(self._commits())
+
+    @staticmethod
+    def _stats(commits: list[Row]) -> tuple[int, float]:
+        n = sum(r["n"] for r in commits)
+        return n, sum(r["n_tokens"] for r in commits) / n if n else 0.0
 
     # searching
 
     def search(self, queries: DataFrame, k: int, query_key: str = "item_id", text: str = "text", standard: bool = False, digits: int = 6) -> DataFrame:
         """The k best chunks of each query by BM25 (see retrieve.bm25): query_key, key, score, rank."""
-        ranges, weights = self._ranges(queries, query_key, text, standard)
+        ranges, weights, blocks = self._ranges(queries, query_key, text, standard)
         best = W.partitionBy("q").orderBy(F.desc("bound"), "load", "range")
         placed = stored(ranges.withColumn("place", F.row_number().over(best)), "bounds")
-        first = stored(self._scores(placed.where(F.col("place") <= PROBES), weights, standard, k, digits), "probes")
+        first = stored(self._scores(placed.where(F.col("place") <= PROBES), weights, blocks, standard, k, digits), "probes")
         least = top_k(first, k, "q", self.key, digits=digits).groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("found"))
         # without k chunks there is no threshold
         rest = placed.where(F.col("place") > PROBES).join(least.where(F.col("found") >= k), "q", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - _SLACK))
-        both = first.unionByName(self._scores(rest, weights, standard, k, digits))
+        both = first.unionByName(self._scores(rest, weights, blocks, standard, k, digits))
         return top_k(both, k, "q", self.key, digits=digits).withColumnRenamed("q", query_key)
 
     def reach(self, queries: DataFrame, k: int, query_key: str = "item_id", text: str = "text", standard: bool = False, digits: int = 6) -> DataFrame:
         """How many of each query's ranges a search reads: query_key, n_ranges, n_read."""
-        ranges, weights = self._ranges(queries, query_key, text, standard)
+        ranges, weights, blocks = self._ranges(queries, query_key, text, standard)
         placed = stored(ranges.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("bound"), "load", "range"))), "bounds")
-        first = self._scores(placed.where(F.col("place") <= PROBES), weights, standard, k, digits)
+        first = self._scores(placed.where(F.col("place") <= PROBES), weights, blocks, standard, k, digits)
         least = top_k(first, k, "q", self.key, digits=digits).groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("found")).where(F.col("found") >= k)
         read = (F.col("place") <= PROBES) | F.col("least").isNull() | (F.col("bound") >= F.col("least") - _SLACK)
         return placed.join(least, "q", "left").groupBy(F.col("q").alias(query_key)).agg(F.count("*").alias("n_ranges"), F.count_if(read).alias("n_read"))
 
-    def _ranges(self, queries: DataFrame, query_key: str, text: str, standard: bool) -> tuple[DataFrame, DataFrame]:
-        """(q, load, range, bound), and the weights of each query's terms (q, term, qtf, df, n, avgdl)."""
-        n, avgdl = self.stats()
+    def _ranges(self, queries: DataFrame, query_key: str, text: str, standard: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(q, load, range, bound), the weights of each query's terms (q, term, qtf, df, n, avgdl), and the terms' blocks; all
+        of the loads that count now."""
+        commits = self._commits()
+        n, avgdl = self._stats(commits)
         asked = stored(queries.select(F.col(query_key).alias("q"), F.inline(term_counts(tokens(F.col(text))))).withColumnRenamed("tf", "qtf"), "asked")
         terms = asked.select("term").distinct()
-        heads = stored(self.blocks(terms).select("term", "load", "range", "n", "max_tf", "min_dl"), "heads")
+        blocks = self._pruned(self._table("blocks", self.blocks_schema, [r["load"] for r in commits]), terms).join(terms, "term", "left_semi")
+        heads = stored(blocks.select("term", "load", "range", "n", "max_tf", "min_dl"), "heads")
         df = heads.groupBy("term").agg(F.sum("n").alias("df"))
         weights = stored(asked.join(df, "term").withColumns({"n": F.lit(n), "avgdl": F.lit(avgdl)}), "weights")
         most = bm25_weight(*map(F.col, ("n", "avgdl", "df", "max_tf", "min_dl"))) * F.col("qtf") * (F.lit(1) if standard else F.col("max_tf"))
         bounds = heads.drop("n").join(weights, "term").groupBy("q", "load", "range").agg(F.sum(F.greatest(most, F.lit(0.0))).alias("bound"))
-        return bounds, weights
+        return bounds, weights, blocks
 
-    def _scores(self, ranges: DataFrame, weights: DataFrame, standard: bool, k: int, digits: int) -> DataFrame:
+    def _scores(self, ranges: DataFrame, weights: DataFrame, blocks: DataFrame, standard: bool, k: int, digits: int) -> DataFrame:
         """(q, key, score) of what may be among a query's best k in some ranges (q, load, range), ties included.
 
         A range's blocks and the queries that want it meet in one task and are scored as a matrix; the chunks of a range are
         few, so a task holds little, and no score of a chunk that its range surpasses is shuffled.
         """
         wanted = ranges.select("q", "load", "range").join(weights, "q").select("load", "range", "q", "term", "qtf", "df", "n", "avgdl")
-        held = self.blocks(weights.select("term").distinct()).select("load", "range", "term", "postings")
+        held = blocks.select("load", "range", "term", "postings")
         kind, key = weights.schema["q"].dataType, self.key
         schema = StructType([StructField("q", kind), StructField(key, StructType.fromDDL(self.documents_schema)[key].dataType), StructField("score", DoubleType())])
 
