@@ -209,6 +209,17 @@ def post_queries(goals: DataFrame, model: Model | None, text: str = "text", into
     return rows.withColumn(into, F.substring(F.when(not_blank(first), first).otherwise(F.col(text)), 1, POST_QUERY_CHARS)).drop("_answer")
 
 
+def new_queries(tried: list[str], proposed: list[str], most: int) -> list[str]:
+    """SET-07: proposals that differ, without case and outer space, from each other and from what was tried."""
+    seen, out = {q.strip().casefold() for q in tried}, []
+    for q in proposed:
+        key = q.strip().casefold()
+        if key and key not in seen:
+            seen.add(key)
+            out.append(q.strip())
+    return out[:most]
+
+
 class Planner:
     """LLM-10: what to search for, when to go on and what to search next; driver-side, for one goal at a time.
 
@@ -243,7 +254,5 @@ class Planner:
 
     def more(self, goal: str, tried: list[str], found: str, most: int = 3) -> list[str]:
         """Queries that differ from those tried (SET-07)."""
-        from ..plans.research import new_queries
-
         said = self._said(f"Goal: {goal}\nTried:\n" + "\n".join(tried) + f"\nFound:\n{found}\nWrite up to {most} other queries, one a line.")
         return new_queries(tried, list(self._lines(said)), most)

@@ -80,17 +80,6 @@ def search_and_crawl(spark, queries: list[str], search: Provider, fetch: Fetcher
     return Trace(rounds, pages, filtered, asked)
 
 
-def new_queries(tried: list[str], proposed: list[str], most: int) -> list[str]:
-    """SET-07: proposals that differ, without case and outer space, from each other and from what was tried."""
-    seen, out = {q.strip().casefold() for q in tried}, []
-    for q in proposed:
-        key = q.strip().casefold()
-        if key and key not in seen:
-            seen.add(key)
-            out.append(q.strip())
-    return out[:most]
-
-
 @dataclass
 class Listings:
     """What a listing run found: the listings kept, what was left out with its reason, and the queries asked."""

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from lodestrand import cli
-from lodestrand.plans.research import Strategy, new_queries, offline_web, search_and_crawl
+from lodestrand.operators.answers import new_queries
+from lodestrand.plans.research import Strategy, offline_web, search_and_crawl
 
 TABLES = "/root/testdata/sf0.001"
 
