@@ -8,15 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
-from .functions.text import tokens, unfenced_json
+from .functions.text import let, tokens, unfenced_json
 
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """LLM-01's stand-in: signed term counts by hash, scaled to unit length, inside the JVM."""
     cells = F.transform(tokens(text), lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dim)).alias("i"), F.when(F.pmod(F.hash(t), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(cells, lambda c: c["i"] == i), F.lit(0.0), lambda a, c: a + c["s"]))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).cast("array<float>")
+    summed = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(held, lambda c: c["i"] == i), F.lit(0.0), lambda a, c: a + c["s"]))
+    scaled = lambda sums: let(F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)))
+    return let(let(cells, summed), scaled).cast("array<float>")
 
 
 def embed(chunks: DataFrame, text: str = "content", into: str = "embedding", model: Callable[[list[str]], list[list[float] | None]] | None = None) -> DataFrame:
