@@ -1,16 +1,12 @@
-"""Chunk validation: quality scores, exact and near duplicates."""
+"""Chunk validation: quality scores and exact duplicates; near duplicates are in near.py."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import alnum_count, strip
 from ..functions.vector import cosine
-from ..sources.state import cut, stored
+from .near import greedy_near_duplicates, near_duplicates, similar_pairs  # noqa: F401  part of validation
 
 
 #: What is said of a chunk: fixed values.
@@ -79,83 +75,6 @@ def validation_counts(validated: DataFrame) -> DataFrame:
     return validated.agg(F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_failed"), F.count_if("is_duplicate").alias("n_duplicates"))
 
 
-#: Hyperplanes of a table, and the chance to miss a pair at the threshold that decides how many tables there are.
-BITS, MISSED = 8, 1e-3
-
-
-def tables_for(threshold: float, bits: int = BITS, missed: float = MISSED) -> int:
-    """Tables that bring a pair at the threshold together in one of them but for a share of ``missed``."""
-    met = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
-    return 1 if met >= 1 - missed else math.ceil(math.log(missed) / math.log(1 - met))
-
-
-def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", bits: int = BITS, missed: float = MISSED, seed: int = 7) -> DataFrame:
-    """JON-05: pairs (a < b) with a cosine of at least ``threshold``, blocked by the sides of random hyperplanes.
-
-    Two vectors at an angle meet in a table with probability (1 - angle / pi) ** bits; as many tables are made as it
-    takes to miss at most a share of ``missed`` at the threshold, and fewer of the more similar ones. Of equal vectors the
-    least id stands for all: it is paired with each of its copies, and only it with others. Null and empty vectors pair
-    with none.
-    """
-    slim = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(F.size("v") > 0)
-    n_tables = tables_for(threshold, bits, missed)
-    nodes = stored(slim.groupBy("v").agg(F.min("id").alias("id")), "nodes")
-
-    def codes(batches):
-        for batch in batches:
-            v = np.array(batch.column(1).to_pylist(), np.float64)
-            rng = np.random.default_rng(seed)
-            blocks = np.zeros((len(v), n_tables), np.int64)
-            for table in range(n_tables):
-                sides = v @ rng.standard_normal((v.shape[1], bits)) >= 0
-                blocks[:, table] = (table << bits) + sides @ (1 << np.arange(bits))
-            ids = pa.array(np.repeat(np.arange(len(v)), n_tables))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), pa.array(blocks.reshape(-1))], ["id", "block"])
-
-    kind = slim.schema["id"].dataType.simpleString()
-    keyed = stored(nodes.select("id", "v").mapInArrow(codes, f"id {kind}, block long"), "blocks")
-    near = keyed.select(F.col("id").alias("a"), "block").join(keyed.select(F.col("id").alias("b"), "block"), "block").where("a < b").select("a", "b").distinct()
-    a, b = nodes.select(F.col("id").alias("a"), F.col("v").alias("va")), nodes.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    between = near.join(a, "a").join(b, "b").withColumn("sim", cosine(F.col("va"), F.col("vb"))).where(F.col("sim") >= threshold).select("a", "b", "sim")
-    copies = slim.join(nodes.withColumnRenamed("id", "node"), "v")
-    inside = copies.where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"), cosine(F.col("v"), F.col("v")).alias("sim")).where(F.col("sim") >= threshold)
-    return between.unionByName(inside)
-
-
-def greedy_near_duplicates(nodes: DataFrame, pairs: DataFrame, key: str = "vec_id") -> DataFrame:
-    """JON-05 as the order decides: a node is kept unless an earlier kept node is similar; duplicate_of is the first such.
-
-    nodes: (key); pairs: (a < b). A node whose earlier neighbours are all decided is decided; rounds go on until all are.
-    Each round decides the first open node at least, so a chain of n nodes can take n rounds.
-    """
-    state = nodes.select(F.col(key).alias("id"), F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast("long").alias("duplicate_of"))
-    while True:
-        seen = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a").groupBy(F.col("b").alias("id")).agg(F.min(F.when(F.col("ka"), F.col("a"))).alias("by"), F.count_if(F.col("ka").isNull()).alias("open"))
-        now = state.join(seen, "id", "left")
-        kept = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("by").isNotNull(), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
-        state = cut(now.select("id", kept.alias("kept")))
-        if state.where("kept is null").isEmpty():
-            break
-    by = pairs.join(state.where("kept").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("duplicate_of"))
-    return state.join(by, "id", "left").select(F.col("id").alias(key), "kept", F.when(~F.col("kept"), F.col("duplicate_of")).alias("duplicate_of"))
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
-    """JON-05: key, kept, duplicate_of for all vectors, in the order of their keys; options go to similar_pairs.
-
-    A copy of a vector is decided by its first one: a duplicate of it if it is kept, else of what that is a duplicate of.
-    """
-    pairs = stored(similar_pairs(vectors, threshold, key, vector, **options).select("a", "b"), "pairs")
-    ids = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    first = ids.where(F.size("v") > 0).groupBy("v").agg(F.min("id").alias("first"))
-    members = stored(ids.join(first, "v", "left").join(pairs.select(F.col("a").alias("first"), F.col("b").alias("id"), F.lit(True).alias("copy")), ["first", "id"], "left").select("id", F.when(F.col("copy"), F.col("first")).otherwise(F.col("id")).alias("first")), "members")
-    heads = members.where("id = first").select(F.col("id").alias(key))
-    between = pairs.join(heads.select(F.col(key).alias("b")), "b", "left_semi")
-    decided = greedy_near_duplicates(heads, between, key).withColumnRenamed(key, "first")
-    out = members.join(decided, "first")
-    return out.select(F.col("id").alias(key), (F.col("kept") & (F.col("id") == F.col("first"))).alias("kept"), F.when((F.col("id") != F.col("first")) & F.col("kept"), F.col("first")).otherwise(F.col("duplicate_of")).alias("duplicate_of"))
-
-
 def adjacent_similarity(vectors: DataFrame, group: list[str], order: str, vector: str = "embedding") -> DataFrame:
     """JON-12: similarity to the vector before, within a group; null for the first."""
     before = F.lag(vector).over(W.partitionBy(*group).orderBy(order))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 from ..operators import chunk as C, spans as S, stores as K, validate as V
@@ -256,6 +256,41 @@ def jon05_greedy_near_duplicates(spark, sf):
     return V.near_duplicates(table(spark, sf, "embeddings"), 0.4, missed=1e-4)
 
 
+#: Each vector thrice: as it is, and twice drawn aside by a part of its own mirror image (cosines of about 0.96 and 0.91).
+PLANTED = """planted AS (SELECT vec_id * 10 + k AS vec_id, list_transform(list_zip(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), lambda p: p[1] + c * p[2]) AS v
+        FROM embeddings, (VALUES (0, 0.0::DOUBLE), (1, 0.3::DOUBLE), (2, 0.45::DOUBLE)) u(k, c))"""
+PLANTED_PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM planted a JOIN planted b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9"
+
+
+def planted(spark, sf) -> DataFrame:
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate((0.0, 0.3, 0.45))]))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), parts.alias("p"))
+    return rows.select((F.col("vec_id") * 10 + F.col("p.k")).alias("vec_id"), F.zip_with("v", F.reverse("v"), lambda x, y: x + F.col("p.c") * y).alias("embedding"))
+
+
+@query("jon05_planted_pairs", f"WITH {PLANTED} {PLANTED_PAIRS}")
+def jon05_planted_pairs(spark, sf):
+    return V.similar_pairs(planted(spark, sf), 0.9, method="hash", missed=1e-6).withColumn("sim", F.round("sim", 6))
+
+
+@query("jon05_exact_pairs", f"WITH {PLANTED} {PLANTED_PAIRS}")
+def jon05_exact_pairs(spark, sf):
+    return V.similar_pairs(planted(spark, sf), 0.9, method="exact").withColumn("sim", F.round("sim", 6))
+
+
+GREEDY = f"""
+    WITH RECURSIVE {PLANTED}, pairs AS MATERIALIZED ({PLANTED_PAIRS}),
+    s AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, coalesce(near, []) AS near FROM planted LEFT JOIN (SELECT b, list(a) AS near FROM pairs GROUP BY b) n ON n.b = vec_id),
+    f AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS vec_id, []::BIGINT[] AS kept, NULL::BIGINT AS duplicate_of UNION ALL
+          SELECT s.i, s.vec_id, CASE WHEN len(list_intersect(s.near, f.kept)) = 0 THEN list_append(f.kept, s.vec_id) ELSE f.kept END, list_min(list_intersect(s.near, f.kept)) FROM f JOIN s ON s.i = f.i + 1)
+    SELECT vec_id, duplicate_of IS NULL AS kept, duplicate_of FROM f WHERE i > 0"""
+
+
+@query("jon05_planted_near_duplicates", GREEDY)
+def jon05_planted_near_duplicates(spark, sf):
+    return V.near_duplicates(planted(spark, sf), 0.9, missed=1e-6)
+
+
 @query("jon12_adjacent_similarity", """
     SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], lag(embedding) OVER (PARTITION BY label ORDER BY vec_id)::DOUBLE[]), 6) AS prev_sim FROM embeddings""")
 def jon12_adjacent_similarity(spark, sf):
