@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import tokens
 from ..sources.state import checkpointed, scratch
+from .seen import near_deduplicated  # noqa: F401
 from .windows import collected, table_stream
 
 
@@ -51,38 +52,6 @@ def mark_processed(summaries: DataFrame, processed: DataFrame, key: str) -> Data
     return summaries.join(done, key, "left").withColumn("is_fully_processed", F.col("is_fully_processed") | F.coalesce("_done", F.lit(False))).drop("_done")
 
 
-def near_deduplicated(stream: DataFrame, threshold: float = 0.95, key: str = "doc_id", vector: str = "embedding", path: str | None = None) -> DataFrame:
-    """STR-02 with vectors: rows of the stream that aren't similar to a row that was kept before; returns the kept ones.
-
-    The seen-set is the table of kept rows at path; each batch is deduplicated within itself and against it, so it grows with
-    what is kept and lives as long as the folder. Deleting the folder resets it (clear_seen).
-    """
-    from ..operators.validate import near_duplicates, similar_pairs
-    from ..sources.state import stored
-
-    spark = stream.sparkSession
-    base = path or scratch(spark, "seen")
-    schema = stream.schema
-    seen = lambda: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/kept")
-    spark.createDataFrame([], schema).write.mode("append").parquet(f"{base}/kept/start")
-
-    def one(batch: DataFrame, number: int) -> None:
-        before = seen().where(~F.col("_metadata.file_path").contains(f"/kept/batch-{number}/"))
-        fresh = batch.join(before.select(key), key, "left_anti").dropDuplicates([key])
-        ids = F.concat(F.lit("n"), F.col(key).cast("string"))
-        both = before.select(F.concat(F.lit("k"), F.col(key).cast("string")).alias("id"), vector).unionByName(fresh.select(ids.alias("id"), vector))
-        pairs = similar_pairs(both, threshold, "id", vector)
-        known = pairs.where("a like 'k%' and b like 'n%'").select(F.substring("b", 2, 10**6).alias("_id"))
-        # a vector that is known goes with all its copies
-        gone = fresh.withColumn("_id", F.col(key).cast("string")).join(known.distinct(), "_id", "left_semi").select(vector).distinct()
-        left = stored(fresh.join(gone, vector, "left_anti").select(*schema.names), "fresh")
-        kept = near_duplicates(left.select(key, vector), threshold, key, vector).where("kept").select(key)
-        left.join(kept, key, "left_semi").select(*schema.names).write.mode("overwrite").parquet(f"{base}/kept/batch-{number}")
-
-    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return seen()
-
-
 def clear_seen(spark: SparkSession, path: str) -> None:
     """STR-02: forgets what a stream has seen, its place in the source included."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
