@@ -77,9 +77,12 @@ def page_text(markdown: Column, content: Column) -> Column:
     return strip(F.concat_ws("\n", F.coalesce(markdown, F.lit("")), F.coalesce(content, F.lit(""))))
 
 
-def link_graph(pages: DataFrame, follow: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
-    """FN-08, FLT-06: (url, position, link) of the links a crawl may follow."""
-    links = pages.select("url", F.posexplode(page_links(F.col("html"), F.col("url"))).alias("position", "link"))
+def link_graph(pages: DataFrame, follow: tuple[str, ...] = (), exclude: tuple[str, ...] = (), keys: tuple[str, ...] = ()) -> DataFrame:
+    """FN-08, FLT-06: (keys, url, position, link) of the links a crawl may follow.
+
+    A url may stand for several pages, so what tells them apart (keys) comes along here; a join by url would mix them.
+    """
+    links = pages.select(*keys, "url", F.posexplode(page_links(F.col("html"), F.col("url"))).alias("position", "link"))
     return links.where(followed(F.col("link"), follow, exclude))
 
 

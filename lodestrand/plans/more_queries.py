@@ -44,7 +44,7 @@ def flt22_trace_urls(spark, sf):
 
 @query("jon06_frontier", f"WITH {LINKS_SQL} SELECT DISTINCT link AS url FROM links WHERE link NOT IN (SELECT link FROM links WHERE page_id < 50)")
 def jon06_frontier(spark, sf):
-    links = X.link_graph(table(spark, sf, "pages")).join(table(spark, sf, "pages").select("url", "page_id"), "url")
+    links = X.link_graph(table(spark, sf, "pages"), keys=("page_id",))
     return links.select(F.col("link").alias("url")).distinct().join(links.where("page_id < 50").select(F.col("link").alias("url")), "url", "left_anti")
 
 

@@ -43,8 +43,7 @@ def fn07_file_stems(spark, sf):
 
 @query("flt06_followed_links", f"WITH {LINKS_SQL} SELECT page_id, link FROM links WHERE regexp_matches(link, '/[a-t]') AND NOT regexp_matches(link, 'tion') AND NOT regexp_matches(link, '\\.pdf$')")
 def flt06_followed_links(spark, sf):
-    pages = table(spark, sf, "pages")
-    return X.link_graph(pages, follow=("/[a-t]",), exclude=("tion", r"\.pdf$")).join(pages.select("page_id", "url"), "url").select("page_id", "link")
+    return X.link_graph(table(spark, sf, "pages"), follow=("/[a-t]",), exclude=("tion", r"\.pdf$"), keys=("page_id",)).select("page_id", "link")
 
 
 @query("flt07_same_domain", f"WITH {LINKS_SQL} SELECT page_id, link FROM links WHERE array_to_string(string_split({HOST_SQL}, '.')[-2:], '.') = array_to_string(string_split({HOST_SQL.replace('url', 'link')}, '.')[-2:], '.')")
