@@ -48,8 +48,7 @@ def flt06_followed_links(spark, sf):
 
 @query("flt07_same_domain", f"WITH {LINKS_SQL} SELECT page_id, link FROM links WHERE array_to_string(string_split({HOST_SQL}, '.')[-2:], '.') = array_to_string(string_split({HOST_SQL.replace('url', 'link')}, '.')[-2:], '.')")
 def flt07_same_domain(spark, sf):
-    pages = table(spark, sf, "pages")
-    return X.same_domain(X.link_graph(pages)).join(pages.select("page_id", "url"), "url").select("page_id", "link")
+    return X.same_domain(X.link_graph(table(spark, sf, "pages"), keys=("page_id",))).select("page_id", "link")
 
 
 @query("flt08_safe_urls", """
