@@ -82,17 +82,23 @@ PRIVATE = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0
 
 
 def safe_url(url: Column) -> Column:
-    """FLT-08: an http url with a host, without credentials, that isn't local, private or reserved."""
+    """FLT-08: an http url with a host, without credentials, that isn't local, private or reserved.
+
+    A host whose last label is a number is an address, and only four plain octets are taken for one: 10.0.0.1234, 127.1 and
+    0x7f000001 are read in ways that differ.
+    """
     host = hostname(url)
     octets = F.split(host, "[.]")
-    number = sum((octets[i].try_cast("long") * 256 ** (3 - i) for i in range(4)), F.lit(0).cast("long"))
+    number = sum((F.get(octets, F.lit(i)).try_cast("long") * 256 ** (3 - i) for i in range(4)), F.lit(0).cast("long"))
     private = F.lit(False)
     for net in map(ipaddress.ip_network, PRIVATE):
         private = private | number.between(int(net.network_address), int(net.broadcast_address))
-    literal = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    address = host.rlike(r"(^|\.)(\d+|0x[0-9a-f]*)\.?$")
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    public = host.rlike(rf"^{octet}([.]{octet}){{3}}$") & ~F.coalesce(private, F.lit(True))
     plain = url.rlike(r"(?i)^https?://[^/?#]") & ~F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*)", 1).contains("@")
-    local = (host == "localhost") | host.endswith(".localhost") | host.startswith("[")
-    return F.coalesce(plain & (host != "") & ~local & ~(literal & F.coalesce(private, F.lit(False))), F.lit(False))
+    local = host.rlike(r"(^|\.)localhost\.?$") | host.startswith("[")
+    return F.coalesce(plain & (host != "") & ~local & (~address | public), F.lit(False))
 
 
 def dead(status: Column, valid: Column) -> Column:
