@@ -83,7 +83,7 @@ def agg03_bm25_standard(spark, sf):
 @query("top02_bm25_scan", f"WITH {bm25_sql('tf')} SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM lexical QUALIFY rank <= 5")
 def top02_bm25_scan(spark, sf):
     """Without an index: one pass over the texts."""
-    return R.top_k(R.bm25(table(spark, sf, "benchmark"), table(spark, sf, "documents")), 5, "item_id", "doc_id")
+    return R.top_k(R.bm25(table(spark, sf, "benchmark"), table(spark, sf, "documents"), k=5), 5, "item_id", "doc_id")
 
 
 @query("top01_vector_topk", f"""
@@ -121,7 +121,7 @@ def hybrid_hits(spark, sf, k: int = 10):
     """Each benchmark text against all documents: BM25 and, where a document has one, its vector."""
     bench, docs, vectors = table(spark, sf, "benchmark"), table(spark, sf, "documents"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = bench.join(vectors.withColumnRenamed("doc_id", "item_id"), "item_id").select("item_id", F.col("embedding").alias("query_embedding"))
-    return R.hybrid(R.bm25(bench, docs), R.vector_scores(asked, vectors, "item_id", k=2 * k), "item_id", "doc_id", k)
+    return R.hybrid(R.bm25(bench, docs, k=2 * k), R.vector_scores(asked, vectors, "item_id", k=2 * k), "item_id", "doc_id", k)
 
 
 @query("top03_hybrid", f"""
@@ -140,7 +140,7 @@ def top03_hybrid(spark, sf):
     SELECT item_id, doc_id, rank, score, lang, source, text AS content FROM r JOIN documents USING (doc_id)""")
 def jon13_hydrated_hits(spark, sf):
     docs = table(spark, sf, "documents")
-    hits = R.top_k(R.bm25(table(spark, sf, "benchmark"), docs), 3, "item_id", "doc_id")
+    hits = R.top_k(R.bm25(table(spark, sf, "benchmark"), docs, k=3), 3, "item_id", "doc_id")
     return hits.join(docs, "doc_id").select("item_id", "doc_id", "rank", "score", "lang", "source", F.col("text").alias("content"))
 
 
@@ -148,7 +148,7 @@ def jon13_hydrated_hits(spark, sf):
     WITH {bm25_sql('tf')}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM lexical QUALIFY rank <= 5)
     SELECT doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS matches FROM r GROUP BY doc_id""")
 def agg09_hits_by_document(spark, sf):
-    hits = R.top_k(R.bm25(table(spark, sf, "benchmark"), table(spark, sf, "documents")), 5, "item_id", "doc_id")
+    hits = R.top_k(R.bm25(table(spark, sf, "benchmark"), table(spark, sf, "documents"), k=5), 5, "item_id", "doc_id")
     return R.by_document(hits, "doc_id", "item_id").select("doc_id", F.array_join(F.col("matches").cast("array<string>"), ",").alias("matches"))
 
 
@@ -158,7 +158,7 @@ def agg09_hits_by_document(spark, sf):
     SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 4""")
 def top05_rerank(spark, sf):
     docs = table(spark, sf, "documents")
-    hits = R.top_k(R.bm25(table(spark, sf, "benchmark"), docs), 10, "item_id", "doc_id").select("item_id", "doc_id", "rank").join(docs.select("doc_id", "text"), "doc_id")
+    hits = R.top_k(R.bm25(table(spark, sf, "benchmark"), docs, k=10), 10, "item_id", "doc_id").select("item_id", "doc_id", "rank").join(docs.select("doc_id", "text"), "doc_id")
     return R.rerank(hits, 1000.0 / (1 + F.length("text")), 4, "item_id", "doc_id").drop("text")
 
 
