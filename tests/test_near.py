@@ -109,3 +109,21 @@ def test_a_chain_takes_few_rounds(spark, monkeypatch):
     kept, by = decided(spark, list(range(n)), [(i, i + 1) for i in range(n - 1)])
     assert kept == set(range(0, n, 2)) and by == {i: i - 1 for i in range(1, n, 2)}
     assert rounds.count("known") <= 40
+
+
+def test_pairs_of_spread_vectors_are_few_rows(spark, monkeypatch):
+    """Where cells save nothing a row is dealt out as often as there are slices, and not to half of all cells; what meets in a
+    block of hashed rows leaves it only if it is similar."""
+    monkeypatch.setattr(near, "TILE", 64)
+    rng = np.random.default_rng(3)
+    rows = [(i, list(map(float, v))) for i, v in enumerate(rng.standard_normal((2000, 32)))]
+    rows += [(5000 + i, [x + 0.02 for x in v]) for i, v in rows[::3]]
+    dealt, real = [], near._dealt
+    monkeypatch.setattr(near, "_dealt", lambda *a: (dealt.append(near.stored(real(*a), "dealt")), dealt[-1])[1])
+    df, want = spark.createDataFrame(rows, SCHEMA), all_pairs(rows, 0.9)
+    for method, options in (("exact", {}), ("hash", {"missed": 1e-9})):
+        got = [(r.a, r.b) for r in near.similar_pairs(df, 0.9, method=method, **options).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 600
+    assert dealt[0].count() <= (near.SLICES + 1) * len(rows)
+    met = near._hashed(df.selectExpr("vec_id AS id", "embedding AS v"), 0.9, 4, 40, 7)
+    assert met.count() == len(want)
