@@ -15,16 +15,18 @@ result is that of scoring everything.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import term_counts, tokens
 from ..sources.state import stored
-from .retrieve import B, K1, bm25_weight, top_k
+from .retrieve import _PAIRS, B, K1, top_k
 
 BUCKETS, RANGE_DOCS = 64, 128
 #: Ranges of each query that are scored for a threshold.
@@ -58,15 +60,39 @@ class TermIndex:
         ordered = ordered.withColumn("range", F.floor(F.monotonically_increasing_id() / self.range_docs))
         ordered.select(self.key, "dl", "range", "terms").write.parquet(f"{self.path}/documents/load={load}")
         held = self._table("documents", self.documents_schema, [load])
-        each = held.select("range", "dl", self.key, F.inline("terms"))
-        posting = F.struct(self.key, "tf", "dl")
-        blocks = each.groupBy("term", "range").agg(F.count("*").cast("int").alias("n"), F.sum("tf").alias("total"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(posting)).alias("postings"))
+        blocks = held.select(self.key, "dl", "range", "terms").mapInArrow(self._inverted, ", ".join(self.blocks_schema.split(", ")[:-2]))
         blocks = blocks.withColumn("bucket", self._bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "range")
         blocks.write.partitionBy("bucket").parquet(f"{self.path}/blocks/load={load}")
         sums = held.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"), F.lit(replaces).cast("array<string>").alias("replaces"))
         sums.coalesce(1).write.parquet(f"{self.path}/commits/load={load}")
         return load
 
+    @staticmethod
+    def _inverted(batches):
+        """Blocks of rows (key, dl, range, terms), made where the rows are: a range's rows lie together, so no posting is moved
+        alone. A range that two batches hold has two blocks of a term."""
+        for batch in batches:
+            keys, dl, ranges, lists = (batch.column(i) for i in range(4))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            held = lists.flatten()
+            if not len(held):
+                continue
+            rank = np.empty(len(keys), np.int64)
+            rank[pc.array_sort_indices(keys).to_numpy()] = np.arange(len(keys))
+            coded = held.field("term").dictionary_encode()
+            doc, term = np.repeat(np.arange(len(keys)), sizes), coded.indices.to_numpy().astype(np.int64)
+            at = ranges.to_numpy()[doc]
+            order = np.lexsort((rank[doc], term, at))
+            doc, term, at, tf = doc[order], term[order], at[order], held.field("tf").to_numpy()[order]
+            heads = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (at[1:] != at[:-1])]))
+            long = dl.to_numpy()[doc]
+            postings = pa.StructArray.from_arrays([keys.take(pa.array(doc)), pa.array(tf), pa.array(long)], [batch.schema.names[0], "tf", "dl"])
+            ends = np.append(heads, len(doc)).astype(np.int32)
+            made = [coded.dictionary.take(pa.array(term[heads])), pa.array(at[heads]), pa.array(np.diff(ends)), pa.array(np.add.reduceat(tf.astype(np.int64), heads)), pa.array(np.maximum.reduceat(tf, heads)), pa.array(np.minimum.reduceat(long, heads)), pa.ListArray.from_arrays(pa.array(ends), postings)]
+            blocks = pa.RecordBatch.from_arrays(made, ["term", "range", "n", "total", "max_tf", "min_dl", "postings"])
+            for first in range(0, len(heads), 10_000):
+                yield blocks.slice(first, 10_000)
+
     def rewritten(self, without: DataFrame | None = None) -> str:
         """All loads as one, without some keys; no text is read. Readers see the old loads until the new one is committed."""
         loads = self.loads()
@@ -124,79 +150,132 @@ class TermIndex:
     # searching
 
     def search(self, queries: DataFrame, k: int, query_key: str = "item_id", text: str = "text", standard: bool = False, digits: int = 6) -> DataFrame:
-        """The k best chunks of each query by BM25 (see retrieve.bm25): query_key, key, score, rank."""
-        ranges, weights, blocks = self._ranges(queries, query_key, text, standard)
+        """The k best chunks of each query by BM25 (see retrieve.bm25): query_key, key, score, rank.
+
+        Queries are taken so many at once that their terms can be told to every task.
+        """
+        parts = self._parts(queries, query_key, text)
+        out = self._search(parts[0], k, standard, digits)
+        for more in parts[1:]:
+            out = out.unionByName(self._search(more, k, standard, digits))
+        return out.withColumnRenamed("q", query_key)
+
+    def _parts(self, queries: DataFrame, query_key: str, text: str) -> list[DataFrame]:
+        """(q, term, qtf) of the queries, in parts of some _PAIRS rows."""
+        asked = stored(queries.select(F.col(query_key).alias("q"), F.inline(term_counts(tokens(F.col(text))))).withColumnRenamed("tf", "qtf"), "asked")
+        parts = max(1, -(-asked.count() // _PAIRS))
+        return [asked if parts == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == i) for i in range(parts)]
+
+    def _placed(self, asked: DataFrame, k: int, standard: bool, digits: int) -> tuple[DataFrame, DataFrame, DataFrame, _Asked, DataFrame]:
+        """Each query's ranges by what they allow at most (q, load, range, bound, place), the scores of its first ones, its k-th
+        score so far where it has one, and what it takes to score others."""
+        ranges, told, blocks = self._ranges(asked, standard)
         best = W.partitionBy("q").orderBy(F.desc("bound"), "load", "range")
         placed = stored(ranges.withColumn("place", F.row_number().over(best)), "bounds")
-        first = stored(self._scores(placed.where(F.col("place") <= PROBES), weights, blocks, standard, k, digits), "probes")
+        first = stored(self._scores(placed.where(F.col("place") <= PROBES), told, blocks, standard, k, digits), "probes")
         least = top_k(first, k, "q", self.key, digits=digits).groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("found"))
-        # without k chunks there is no threshold
-        rest = placed.where(F.col("place") > PROBES).join(least.where(F.col("found") >= k), "q", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - _SLACK))
-        both = first.unionByName(self._scores(rest, weights, blocks, standard, k, digits))
-        return top_k(both, k, "q", self.key, digits=digits).withColumnRenamed("q", query_key)
+        return placed, first, least.where(F.col("found") >= k), told, blocks  # without k chunks there is no threshold
+
+    def _search(self, asked: DataFrame, k: int, standard: bool, digits: int) -> DataFrame:
+        placed, first, least, told, blocks = self._placed(asked, k, standard, digits)
+        rest = stored(placed.where(F.col("place") > PROBES).join(least, "q", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - _SLACK)), "rest")
+        both = first.unionByName(self._scores(rest, told, blocks, standard, k, digits))
+        return top_k(both, k, "q", self.key, digits=digits)
 
     def reach(self, queries: DataFrame, k: int, query_key: str = "item_id", text: str = "text", standard: bool = False, digits: int = 6) -> DataFrame:
         """How many of each query's ranges a search reads: query_key, n_ranges, n_read."""
-        ranges, weights, blocks = self._ranges(queries, query_key, text, standard)
-        placed = stored(ranges.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("bound"), "load", "range"))), "bounds")
-        first = self._scores(placed.where(F.col("place") <= PROBES), weights, blocks, standard, k, digits)
-        least = top_k(first, k, "q", self.key, digits=digits).groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("found")).where(F.col("found") >= k)
         read = (F.col("place") <= PROBES) | F.col("least").isNull() | (F.col("bound") >= F.col("least") - _SLACK)
-        return placed.join(least, "q", "left").groupBy(F.col("q").alias(query_key)).agg(F.count("*").alias("n_ranges"), F.count_if(read).alias("n_read"))
-
-    def _ranges(self, queries: DataFrame, query_key: str, text: str, standard: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(q, load, range, bound), the weights of each query's terms (q, term, qtf, df, n, avgdl), and the terms' blocks; all
-        of the loads that count now."""
+        out = []
+        for asked in self._parts(queries, query_key, text):
+            placed, _, least, _, _ = self._placed(asked, k, standard, digits)
+            out.append(placed.join(least, "q", "left").groupBy(F.col("q").alias(query_key)).agg(F.count("*").alias("n_ranges"), F.count_if(read).alias("n_read")))
+        return reduce(DataFrame.unionByName, out)
+
+    def _ranges(self, asked: DataFrame, standard: bool) -> tuple[DataFrame, _Asked, DataFrame]:
+        """(q, load, range, bound), the queries as they are told to tasks, and their terms' blocks; all of the loads that count
+        now. The heads of a range's blocks meet in one task, which tells the bounds of all queries."""
         commits = self._commits()
         n, avgdl = self._stats(commits)
-        asked = stored(queries.select(F.col(query_key).alias("q"), F.inline(term_counts(tokens(F.col(text))))).withColumnRenamed("tf", "qtf"), "asked")
         terms = asked.select("term").distinct()
         blocks = self._pruned(self._table("blocks", self.blocks_schema, [r["load"] for r in commits]), terms).join(terms, "term", "left_semi")
         heads = stored(blocks.select("term", "load", "range", "n", "max_tf", "min_dl"), "heads")
-        df = heads.groupBy("term").agg(F.sum("n").alias("df"))
-        weights = stored(asked.join(df, "term").withColumns({"n": F.lit(n), "avgdl": F.lit(avgdl)}), "weights")
-        most = bm25_weight(*map(F.col, ("n", "avgdl", "df", "max_tf", "min_dl"))) * F.col("qtf") * (F.lit(1) if standard else F.col("max_tf"))
-        bounds = heads.drop("n").join(weights, "term").groupBy("q", "load", "range").agg(F.sum(F.greatest(most, F.lit(0.0))).alias("bound"))
-        return bounds, weights, blocks
+        told = _Asked(asked.toArrow(), heads.groupBy("term").agg(F.sum("n").alias("df")).toArrow(), n, avgdl)
+        kind = asked.schema["q"].dataType.simpleString()
+
+        def one(heads: pa.Table) -> pa.Table:
+            t = told.places(heads["term"])
+            most = np.maximum(told.amount(t, heads["max_tf"].to_numpy(), heads["min_dl"].to_numpy(), standard), 0)
+            block, pair = told.pairs(t)
+            bound = np.bincount(told.who[pair], most[block] * told.often[pair], len(told.names))
+            found = np.flatnonzero(np.bincount(told.who[pair], minlength=len(told.names)))
+            return pa.table({"q": told.names.take(pa.array(found)), "load": heads["load"].take(pa.array(np.zeros(len(found), np.int64))), "range": np.full(len(found), heads["range"][0].as_py()), "bound": bound[found]})
+
+        return heads.groupBy("load", "range").applyInArrow(one, f"q {kind}, load string, range long, bound double"), told, blocks
 
-    def _scores(self, ranges: DataFrame, weights: DataFrame, blocks: DataFrame, standard: bool, k: int, digits: int) -> DataFrame:
+    def _scores(self, ranges: DataFrame, told: _Asked, blocks: DataFrame, standard: bool, k: int, digits: int) -> DataFrame:
         """(q, key, score) of what may be among a query's best k in some ranges (q, load, range), ties included.
 
         A range's blocks and the queries that want it meet in one task and are scored as a matrix; the chunks of a range are
-        few, so a task holds little, and no score of a chunk that its range surpasses is shuffled.
+        few, so a task holds little, and no score of a chunk that its range surpasses is shuffled. Queries' terms are told to
+        the task, and blocks of ranges that nobody wants stay where they are.
         """
-        wanted = ranges.select("q", "load", "range").join(weights, "q").select("load", "range", "q", "term", "qtf", "df", "n", "avgdl")
-        held = blocks.select("load", "range", "term", "postings")
-        kind, key = weights.schema["q"].dataType, self.key
+        wanted = ranges.select("q", "load", "range")
+        held = blocks.select("load", "range", "term", "postings").join(wanted.select("load", "range").distinct(), ["load", "range"], "left_semi")
+        kind, key = ranges.schema["q"].dataType, self.key
         schema = StructType([StructField("q", kind), StructField(key, StructType.fromDDL(self.documents_schema)[key].dataType), StructField("score", DoubleType())])
 
         def one(asked: pa.Table, blocks: pa.Table) -> pa.Table:
-            places = {t: i for i, t in enumerate(blocks["term"].to_pylist())}
             lists = pa.concat_arrays(blocks["postings"].chunks) if blocks.num_rows else None
             if lists is None or not asked.num_rows:
-                return pa.table({"q": asked["q"].slice(0, 0), key: pa.array([], schema_of(key)), "score": pa.array([], pa.float64())})
+                return pa.table({"q": asked["q"].slice(0, 0), key: pa.array([], to_arrow_type(schema[key].dataType)), "score": pa.array([], pa.float64())})
             flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            chunks, queries = flat.field(key).dictionary_encode(), pa.concat_arrays(asked["q"].chunks).dictionary_encode()
-            document, query = chunks.indices.to_numpy(), queries.indices.to_numpy()
-            tf, dl = (flat.field(c).to_numpy().astype(float) for c in ("tf", "dl"))
-            n, avgdl, df, times = (asked[c].to_numpy().astype(float) for c in ("n", "avgdl", "df", "qtf"))
-            amount = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl[0])) * (1 if standard else tf)
-            amounts = np.log((n - df + 0.5) / (df + 0.5)) * times
-            scores = np.zeros((len(queries.dictionary), len(chunks.dictionary)))
+            chunks, t = flat.field(key).dictionary_encode(), told.places(blocks["term"])
+            document, tf, dl = (x.to_numpy() for x in (chunks.indices, flat.field("tf"), flat.field("dl")))
+            amount = told.amount(np.repeat(t, np.diff(ends)), tf, dl, standard)
+            queries = np.unique(pc.index_in(asked["q"], value_set=told.names).to_numpy())
+            place = np.full(len(told.names), -1)
+            place[queries] = np.arange(len(queries))
+            scores = np.zeros((len(queries), len(chunks.dictionary)))
             shared = np.zeros(scores.shape, bool)
-            for i, term in enumerate(asked["term"].to_pylist()):
-                if (at := places.get(term)) is not None:
-                    mine = slice(ends[at], ends[at + 1])
-                    scores[query[i], document[mine]] += amounts[i] * amount[mine]
-                    shared[query[i], document[mine]] = True
+            for i, x in enumerate(t):
+                mine, pair = slice(ends[i], ends[i + 1]), slice(told.first[x], told.first[x + 1])
+                row = place[told.who[pair]]
+                cells = np.ix_(row[row >= 0], document[mine])
+                scores[cells] += told.often[pair][row >= 0][:, None] * amount[mine]
+                shared[cells] = True
             rounded = np.where(shared, np.round(scores, digits), -np.inf)
             if k < rounded.shape[1]:
                 # a little less than the k-th, as rounding here and in the result may differ in the last digit
                 shared &= rounded >= np.partition(rounded, -k, axis=1)[:, -k, None] - _SLACK
             i, j = np.nonzero(shared)
-            return pa.table({"q": queries.dictionary.take(pa.array(i)), key: chunks.dictionary.take(pa.array(j)), "score": scores[i, j]})
-
-        def schema_of(name: str) -> pa.DataType:
-            return to_arrow_type(schema[name].dataType)
+            return pa.table({"q": told.names.take(pa.array(queries[i])), key: chunks.dictionary.take(pa.array(j)), "score": scores[i, j]})
 
         return wanted.groupBy("load", "range").cogroup(held.groupBy("load", "range")).applyInArrow(one, schema)
+
+
+class _Asked:
+    """Queries as they are told to tasks: the asked terms that the index holds, and by term who asks for it and how often."""
+
+    def __init__(self, asked: pa.Table, found: pa.Table, n: int, avgdl: float):
+        self.terms, df = pa.concat_arrays(found["term"].chunks or [pa.array([], pa.string())]), found["df"].to_numpy().astype(float)
+        self.idf, self.avgdl = np.log((n - df + 0.5) / (df + 0.5)), avgdl
+        known = asked.filter(pc.is_in(asked["term"], value_set=self.terms))
+        t = pc.index_in(known["term"], value_set=self.terms).to_numpy().astype(np.int64)
+        self.names = known["q"].unique()
+        order = np.argsort(t, kind="stable")
+        self.who = pc.index_in(known["q"], value_set=self.names).to_numpy().astype(np.int64)[order]
+        self.often = known["qtf"].to_numpy().astype(float)[order]
+        self.first = np.searchsorted(t[order], np.arange(len(self.terms) + 1))
+
+    def places(self, terms: pa.ChunkedArray) -> np.ndarray:
+        return pc.index_in(terms, value_set=self.terms).to_numpy().astype(np.int64)
+
+    def pairs(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For terms: which of them, and where the queries are that ask for it."""
+        times = self.first[t + 1] - self.first[t]
+        return np.repeat(np.arange(len(t)), times), np.repeat(self.first[t] - np.cumsum(times) + times, times) + np.arange(times.sum())
+
+    def amount(self, t: np.ndarray, tf: np.ndarray, dl: np.ndarray, standard: bool) -> np.ndarray:
+        """What a term adds to a chunk's score, for each time that it is asked for (see retrieve.bm25_weight)."""
+        tf = tf.astype(float)
+        return self.idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.avgdl)) * (1 if standard else tf)

@@ -93,3 +93,34 @@ def test_text_keys_and_terms_that_are_too_many_to_tell(spark, tmp_path, monkeypa
     assert sorted(map(tuple, made.search(asked, 5, "query_id").collect())) == sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in want)
     monkeypatch.setattr(R, "_TOLD", 1)
     assert R.top_k(R.bm25(asked, chunks, "query_id", "text", "chunk_id", "content"), 5, "query_id", "chunk_id").collect() == want
+
+
+def test_no_row_is_made_for_each_query_range_and_term(spark, docs, tmp_path, monkeypatch):
+    """Queries' terms are told to tasks, in parts where they are many; postings are moved as blocks."""
+    from lodestrand.operators import index as X
+
+    asked = spark.createDataFrame([(i, "that of the in and nowhere") for i in range(60)], "item_id long, text string")
+    want = rows(R.top_k(R.bm25(asked, docs), 5, "item_id", "doc_id"))
+    made = TermIndex(spark, f"{tmp_path}/i", range_docs=16, buckets=4)
+    made.add(docs)
+    assert rows(made.search(asked, 5)) == want
+    part = made._parts(asked, "item_id", "text")[0]
+    ranges, told, blocks = made._ranges(part, False)
+    plan = made._scores(ranges, told, blocks, False, 5, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "qtf" not in plan and "explode" not in plan.lower()
+    monkeypatch.setattr(X, "_PAIRS", 70)
+    assert len(made._parts(asked, "item_id", "text")) > 1 and rows(made.search(asked, 5)) == want
+
+
+def test_a_range_in_two_batches_counts_once(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        docs = spark.createDataFrame([(i, f"a b{i % 3} " + "c " * (i % 4)) for i in range(40)], "doc_id long, text string").coalesce(1)
+        made = TermIndex(spark, f"{tmp_path}/i", range_docs=8, buckets=2)
+        made.add(docs)
+        assert made.blocks().groupBy("term", "range").count().where("count > 1").count() > 0
+        asked = spark.createDataFrame([(1, "a b1 c"), (2, "b2 b2")], "item_id long, text string")
+        assert rows(made.search(asked, 40)) == rows(R.top_k(R.bm25(asked, docs), 40, "item_id", "doc_id"))
+        assert {r.term: (r.df, r.total) for r in made.terms().collect()} == {r.term: (r.df, r.total) for r in R.term_index(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
