@@ -19,6 +19,8 @@ MISSED, PIVOTS = 1e-3, 1024
 TILE, MOST_TILE, SLICES, STEP = 1024, 131_072, 16, 512
 #: What a row that is dealt out costs, in pairs that are compared (some 3 us against 3 ns).
 ROW = 1000
+#: Pairs that are passed on at once; what one costs that passes a bound, in dimensions of a product; rows that costs are drawn from.
+PASSED, SURVIVOR, DRAWN = 65_536, 4000, 512
 #: Slack of bounds in floating point; what passes is compared again in double precision.
 SLACK, ANGLE_SLACK = 1e-9, 1e-6
 
@@ -27,7 +29,7 @@ def matrix(lists: pa.Array) -> np.ndarray:
     """A column of lists of equal length as a matrix."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
-    n, flat = len(lists), lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    n, flat = len(lists), lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if n and pc.min_max(pc.list_value_length(lists)).as_py() != {"min": len(flat) // n, "max": len(flat) // n}:
         raise ValueError("vectors of unequal length")
     return flat.reshape(n, len(flat) // n if n else 0)
@@ -69,15 +71,61 @@ def hash_codes(vectors: np.ndarray, bits: int, tables: int, seed: int, first: in
     return blocks
 
 
+def _bounding(one: np.ndarray, other: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Both sides with fewer dimensions, whose products are nowhere below those of the whole rows: the directions in which the
+    rows differ most, and the length of what is left (Cauchy-Schwarz). As many as make products and survivors cheapest by a
+    draw of rows; None if whole rows are cheaper."""
+    dims = one.shape[1]
+    if dims < 16 or len(one) * len(other) < 4 * DRAWN**2:
+        return None
+    turn = np.linalg.eigh((one.T @ one + other.T @ other).astype(np.float64))[1][:, ::-1].astype(np.float32)
+
+    def bound(turned: np.ndarray, n: int) -> np.ndarray:
+        return np.concatenate([turned[:, :n], np.linalg.norm(turned[:, n:], axis=1, keepdims=True)], axis=1)
+
+    drawn = [side[:: -(-len(side) // DRAWN)] @ turn for side in (one, other)]
+    costs = [(dims, dims)]
+    for n in range(dims // 4, dims * 3 // 4, max(1, dims // 16)):
+        costs.append((n + 1 + SURVIVOR * float((bound(drawn[0], n) @ bound(drawn[1], n).T >= least).mean()), n))
+    n = min(costs)[1]
+    return None if n == dims else (bound(one @ turn, n), bound(other @ turn, n))
+
+
 def _alike(one: np.ndarray, other: np.ndarray, least: float, same: bool):
-    """(i, j) of rows whose product is at least ``least``, some at a time; same: of one set of rows, i < j."""
-    for at in range(0, len(one), STEP):
-        for to in range(at if same else 0, len(other), STEP):
-            met = one[at : at + STEP] @ other[to : to + STEP].T
-            if met.max() >= least:
-                i, j = np.nonzero(met >= least)
-                i, j = i + at, j + to
-                yield (i[i < j], j[i < j]) if same else (i, j)
+    """(i, j) of rows whose product is at least ``least``, many at a time; same: of one set of rows, i < j."""
+    slack = _float_slack(one.shape[1])
+    bounds = _bounding(one, other, least - slack)
+    left, right, low = (one, other, least) if bounds is None else (*bounds, least - slack)
+    product, passed, found, n = np.empty(STEP * STEP, np.result_type(left, right)), np.zeros(STEP * STEP + 8, bool), [], 0
+
+    def whole():
+        i, j = (np.concatenate(x) for x in zip(*found))
+        if same:
+            i, j = i[i < j], j[i < j]
+        if bounds is not None:
+            good = np.concatenate([np.einsum("ij,ij->i", one[i[k : k + PASSED]], other[j[k : k + PASSED]]) >= least for k in range(0, len(i), PASSED)] or [np.zeros(0, bool)])
+            i, j = i[good], j[good]
+        return i, j
+
+    for at in range(0, len(left), STEP):
+        for to in range(at if same else 0, len(right), STEP):
+            x, y = left[at : at + STEP], right[to : to + STEP]
+            size = len(x) * len(y)
+            met = np.matmul(x, y.T, out=product[:size].reshape(len(x), len(y)))
+            np.greater_equal(met, low, out=passed[:size].reshape(len(x), len(y)))
+            passed[size : size + 8] = False
+            eight = passed[: -(-size // 8) * 8]
+            words = np.flatnonzero(eight.view(np.uint64))  # few are not zero
+            if len(words):
+                w, k = np.nonzero(eight.reshape(-1, 8)[words])
+                i, j = np.divmod(words[w] * 8 + k, len(y))
+                found.append((i + at, j + to))
+                n += len(i)
+            if n >= PASSED:
+                yield whole()
+                found, n = [], 0
+    if found:
+        yield whole()
 
 
 def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -112,16 +160,33 @@ def _dealt(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.select("cell", "id", "v", F.explode(F.concat(left, right)).alias("t")).select("cell", "t.i", "t.j", "t.left", "id", "v")
 
 
+def _short(units: np.ndarray) -> np.ndarray:
+    """Rows of bytes: a scale, how far off the row is (both single precision), and a signed byte for each dimension."""
+    scale = np.maximum(np.abs(units).max(axis=1, keepdims=True) / 127, 1e-30).astype(np.float32)
+    whole = np.rint(units / scale).astype(np.int8)
+    off = np.linalg.norm(units - whole * scale.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
+    return np.concatenate([scale.view(np.uint8), off.view(np.uint8), whole.view(np.uint8)], axis=1)
+
+
+def _from_short(rows: np.ndarray) -> tuple[np.ndarray, float]:
+    """The vectors that _short's rows stand for, and how far off a product of two may be."""
+    scale, off = np.ascontiguousarray(rows[:, :8]).view(np.float32).T
+    e = float(off.max(initial=0))
+    return rows[:, 8:].view(np.int8) * scale[:, None], 2 * e + 3 * e * e
+
+
 def _hashed(nodes: DataFrame, threshold: float, bits: int, tables: int, seed: int) -> DataFrame:
     """(a, b) that meet in a block and may be similar. A block's rows meet in one task, in tiles if they are many, and are
-    compared there in single precision; a pair is passed on by the first block that it meets in."""
+    compared there; a pair is passed on by the first block that it meets in. As a row goes to all its blocks, it goes with a
+    byte for each dimension: it is filed by the codes of that, and products have as much slack as it is off."""
     kind = nodes.schema["id"].dataType.simpleString()
 
     def coded(batches):
         for batch in batches:
-            units = directions(batch.column(1)).astype(np.float32)
-            ends = np.arange(len(units) + 1, dtype=np.int32) * units.shape[1] * 4
-            held = pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(units))])
+            short = _short(directions(batch.column(1)))
+            ends = np.arange(len(short) + 1, dtype=np.int32) * short.shape[1]
+            held = pa.Array.from_buffers(pa.binary(), len(short), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(short))])
+            units = _from_short(short)[0]
             blocks = hash_codes(units.astype(np.float64), bits, tables, seed).astype(np.int32)
             lists = pa.ListArray.from_arrays(np.arange(len(units) + 1, dtype=np.int32) * tables, blocks.reshape(-1))
             yield pa.RecordBatch.from_arrays([batch.column(0), held, lists], ["id", "v", "cells"])
@@ -133,11 +198,11 @@ def _hashed(nodes: DataFrame, threshold: float, bits: int, tables: int, seed: in
 
     def compare(tile: pa.Table) -> pa.Table:
         ids, mine = tile.column("id").combine_chunks(), tile.column("left").to_numpy()
-        units = np.frombuffer(b"".join(tile.column("v").to_pylist()), np.float32).reshape(tile.num_rows, -1)
+        units, off = _from_short(np.frombuffer(b"".join(tile.column("v").to_pylist()), np.uint8).reshape(tile.num_rows, -1))
         one, other = np.flatnonzero(mine), np.flatnonzero(~mine)
         table, same = tile.column("cell")[0].as_py() >> bits, tile.column("i")[0] == tile.column("j")[0]
         found = [pa.table({"a": ids.slice(0, 0), "b": ids.slice(0, 0)})]
-        for x, y in _alike(units[one], units[one if same else other], threshold - _float_slack(units.shape[1]), same):
+        for x, y in _alike(units[one], units[one if same else other], threshold - _float_slack(units.shape[1]) - off, same):
             x, y = one[x], (one if same else other)[y]
             if table and len(x):
                 rows, places = np.unique(np.concatenate([x, y]), return_inverse=True)
@@ -241,7 +306,9 @@ def _angular(nodes: DataFrame, threshold: float, n: int) -> DataFrame:
         ids, mine = tile.column("id").combine_chunks(), tile.column("left").to_numpy()
         one, other = np.flatnonzero(mine), np.flatnonzero(~mine)
         vectors = matrix(tile.column("v"))
-        units = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+        units = np.empty(vectors.shape, np.float32)
+        for at in range(0, len(units), 8192):
+            units[at : at + 8192] = vectors[at : at + 8192] / np.linalg.norm(vectors[at : at + 8192], axis=1, keepdims=True)
         same = tile.column("i")[0] == tile.column("j")[0]
         found = [pa.table({"a": ids.slice(0, 0), "b": ids.slice(0, 0), "sim": np.zeros(0)})]
         for x, y in _alike(units[one], units[one if same else other], threshold - _float_slack(units.shape[1]), same):
