@@ -21,6 +21,9 @@ TILE, MOST_TILE, SLICES, STEP = 1024, 131_072, 16, 512
 ROW = 1000
 #: Pairs that are passed on at once; what one costs that passes a bound, in dimensions of a product; rows that costs are drawn from.
 PASSED, SURVIVOR, DRAWN = 65_536, 4000, 512
+#: The greedy choice by prefixes: vectors of the first, how often longer each next is, ids that their ends are drawn from; pairs
+#: for each vector above which it is taken, and vectors that their number is drawn from.
+PREFIX, LONGER, ENDS, PAIRS, PAIRS_DRAWN = 4096, 4, 16_384, 16, 2048
 #: Slack of bounds in floating point; what passes is compared again in double precision.
 SLACK, ANGLE_SLACK = 1e-9, 1e-6
 
@@ -137,6 +140,20 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return sums[0] / (np.sqrt(sums[1]) * np.sqrt(sums[2]))
 
 
+def _similar(tile: pa.Table, one: np.ndarray, other: np.ndarray, same: bool, threshold: float):
+    """(i, j, sim) of rows of one and other whose cosine is at least ``threshold``, places in them, many at a time."""
+    vectors = matrix(tile.column("v"))
+    units = np.empty(vectors.shape, np.float32)
+    for at in range(0, len(units), 8192):
+        units[at : at + 8192] = vectors[at : at + 8192] / np.linalg.norm(vectors[at : at + 8192], axis=1, keepdims=True)
+    for x, y in _alike(units[one], units[one if same else other], threshold - _float_slack(units.shape[1]), same):
+        for at in range(0, len(x), 8192):
+            i, j = x[at : at + 8192], y[at : at + 8192]
+            sim = _cosines(vectors[one[i]], vectors[(one if same else other)[j]])
+            good = sim >= threshold
+            yield i[good], j[good], sim[good]
+
+
 def _ordered(a: pa.Array, b: pa.Array, **more: np.ndarray) -> pa.Table:
     first = pc.less(a, b)
     return pa.table({"a": pc.if_else(first, a, b), "b": pc.if_else(first, b, a), **more})
@@ -305,19 +322,10 @@ def _angular(nodes: DataFrame, threshold: float, n: int) -> DataFrame:
     def compare(tile: pa.Table) -> pa.Table:
         ids, mine = tile.column("id").combine_chunks(), tile.column("left").to_numpy()
         one, other = np.flatnonzero(mine), np.flatnonzero(~mine)
-        vectors = matrix(tile.column("v"))
-        units = np.empty(vectors.shape, np.float32)
-        for at in range(0, len(units), 8192):
-            units[at : at + 8192] = vectors[at : at + 8192] / np.linalg.norm(vectors[at : at + 8192], axis=1, keepdims=True)
         same = tile.column("i")[0] == tile.column("j")[0]
         found = [pa.table({"a": ids.slice(0, 0), "b": ids.slice(0, 0), "sim": np.zeros(0)})]
-        for x, y in _alike(units[one], units[one if same else other], threshold - _float_slack(units.shape[1]), same):
-            x, y = one[x], (one if same else other)[y]
-            for at in range(0, len(x), 8192):
-                i, j = x[at : at + 8192], y[at : at + 8192]
-                sim = _cosines(vectors[i], vectors[j])
-                good = sim >= threshold
-                found.append(_ordered(ids.take(pa.array(i[good])), ids.take(pa.array(j[good])), sim=sim[good]))
+        for i, j, sim in _similar(tile, one, other, same, threshold):
+            found.append(_ordered(ids.take(pa.array(one[i])), ids.take(pa.array((one if same else other)[j])), sim=sim))
         return pa.concat_tables(found)
 
     return _dealt(cells, parts).groupBy("cell", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, sim double")
@@ -343,23 +351,35 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vec
     Of equal vectors the least id stands for all: it is paired with each of its copies, and only it with others. Null,
     empty and zero vectors and those with NaN pair with none; unequal lengths are an error.
     """
+    slim, nodes = _nodes(vectors, threshold, key, vector, method)
+    between = _between(nodes, nodes.count(), threshold, method, missed, seed)
+    copies = slim.join(nodes.withColumnRenamed("id", "node"), "v")
+    inside = copies.where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"), cosine(F.col("v"), F.col("v")).alias("sim"))
+    return between.unionByName(inside)
+
+
+def _nodes(vectors: DataFrame, threshold: float, key: str, vector: str, method: str) -> tuple[DataFrame, DataFrame]:
+    """(id, v) of the vectors that can pair, and of each different one with its least id."""
     if not 0 < threshold <= 1 or method not in ("auto", "hash", "exact"):
         raise ValueError("threshold is above 0 and at most 1; method is auto, hash or exact")
     slim = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where((F.size("v") > 0) & (norm(F.col("v")) > 0) & (norm(F.col("v")) < float("inf")))
-    nodes = stored(slim.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "nodes")
-    n = nodes.count()
-    bits, tables, cost = hashing_for(n, threshold, missed, ROW)
+    return slim, stored(slim.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "nodes")
+
+
+def _is_hashed(n: int, threshold: float, method: str, missed: float) -> bool:
+    return method == "hash" or (method == "auto" and hashing_for(n, threshold, missed, ROW)[2] < _all_pairs(n) / 5)
+
+
+def _between(nodes: DataFrame, n: int, threshold: float, method: str, missed: float = MISSED, seed: int = 7) -> DataFrame:
+    """(a, b, sim) of n different vectors."""
     if n < 2:
-        between = nodes.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("sim"))
-    elif method == "hash" or (method == "auto" and cost < _all_pairs(n) / 5):
-        a, b = nodes.select(F.col("id").alias("a"), F.col("v").alias("va")), nodes.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-        near = _hashed(nodes, threshold, bits, tables, seed)
-        between = near.join(a, "a").join(b, "b").withColumn("sim", cosine(F.col("va"), F.col("vb"))).where(F.col("sim") >= threshold).select("a", "b", "sim")
-    else:
-        between = _angular(nodes, threshold, n)
-    copies = slim.join(nodes.withColumnRenamed("id", "node"), "v")
-    inside = copies.where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"), cosine(F.col("v"), F.col("v")).alias("sim"))
-    return between.unionByName(inside)
+        return nodes.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("sim"))
+    if not _is_hashed(n, threshold, method, missed):
+        return _angular(nodes, threshold, n)
+    bits, tables, _ = hashing_for(n, threshold, missed, ROW)
+    a, b = nodes.select(F.col("id").alias("a"), F.col("v").alias("va")), nodes.select(F.col("id").alias("b"), F.col("v").alias("vb"))
+    near = _hashed(nodes, threshold, bits, tables, seed)
+    return near.join(a, "a").join(b, "b").withColumn("sim", cosine(F.col("va"), F.col("vb"))).where(F.col("sim") >= threshold).select("a", "b", "sim")
 
 
 def greedy_near_duplicates(nodes: DataFrame, pairs: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -392,17 +412,88 @@ def greedy_near_duplicates(nodes: DataFrame, pairs: DataFrame, key: str = "vec_i
     return state.join(by, key, "left").select(key, "kept", F.when(~F.col("kept"), F.col("duplicate_of")).alias("duplicate_of"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
-    """JON-05: key, kept, duplicate_of for all vectors, in the order of their keys; options go to similar_pairs.
+def _pairs_of(nodes: DataFrame, n: int, threshold: float) -> float:
+    """About how many pairs there are, by a draw of vectors that a hash of their ids picks."""
+    drawn = [r.v for r in nodes.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, n // PAIRS_DRAWN))) == 0).select("v").collect()]
+    if len(drawn) < 2:
+        return 0.0
+    units = directions(pa.array(drawn, pa.list_(pa.float64())))
+    return float(np.triu(units @ units.T >= threshold, 1).mean()) * n * n
+
+
+def _ends(nodes: DataFrame, n: int) -> list:
+    """Ids that end about the first PREFIX nodes, LONGER times as many, and so on."""
+    drawn = sorted(r.id for r in nodes.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // ENDS))) == 0).select("id").collect())
+    sizes = [PREFIX * LONGER**k for k in range(64) if PREFIX * LONGER**k < n]
+    return sorted({drawn[size * len(drawn) // n] for size in sizes}) if drawn else []
+
+
+def _first_met(kept: DataFrame, n_kept: int, late: DataFrame, n_late: int, threshold: float) -> DataFrame:
+    """(id, duplicate_of) of late vectors that are similar to kept ones, with the first of these: by products of matrices in
+    tiles, which pass on a row a vector at most."""
+    tile = max(TILE, min(MOST_TILE, -(-(n_kept + n_late) // (2 * SLICES))))
+    s, g = (F.lit(-(-n // tile)) for n in (n_kept, n_late))
+    hashed, kind = F.xxhash64("id"), kept.schema["id"].dataType.simpleString()
+    to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = kept.select(F.lit(True).alias("left"), "id", "v", F.pmod(hashed, s).cast("int").alias("i"), to(g).alias("j"))
+    right = late.select(F.lit(False).alias("left"), "id", "v", to(s).alias("i"), F.pmod(hashed, g).cast("int").alias("j"))
+
+    def compare(tile: pa.Table) -> pa.Table:
+        ids, mine = tile.column("id").combine_chunks(), tile.column("left").to_numpy()
+        one, other = np.flatnonzero(mine), np.flatnonzero(~mine)
+        one = one[pc.sort_indices(ids.take(pa.array(one))).to_numpy()]
+        first = np.full(len(other), len(one))
+        for i, j, _ in _similar(tile, one, other, False, threshold):
+            np.minimum.at(first, j, i)
+        met = first < len(one)
+        return pa.table({"id": ids.take(pa.array(other[met])), "duplicate_of": ids.take(pa.array(one[first[met]]))})
+
+    found = left.unionByName(right).groupBy("i", "j").applyInArrow(compare, f"id {kind}, duplicate_of {kind}")
+    return found.groupBy("id").agg(F.min("duplicate_of").alias("duplicate_of"))
+
+
+def _decided(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(id, kept, duplicate_of) of n different vectors by the exact way.
+
+    If there are many pairs, not all are made: the first ids are decided, then all that is similar to one that is kept of
+    them is left out, and so on with prefixes that grow. What is left of a prefix has few pairs, whatever the number of all,
+    unless similar vectors follow each other in the order of ids; then it is taken apart in the same way.
+    """
+    if n <= PREFIX or _pairs_of(nodes, n, threshold) <= PAIRS * n or not (ends := _ends(nodes, n)):
+        pairs = stored(_between(nodes, n, threshold, "exact").select("a", "b"), "pairs")
+        return stored(greedy_near_duplicates(nodes.select("id"), pairs, "id"), "states")
+    states = []
+    for end in [*ends, None]:
+        early = nodes if end is None else stored(nodes.where(F.col("id") < F.lit(end)), "early")
+        n_early = early.count()
+        if n_early:
+            states.append(_decided(early, n_early, threshold))
+        if end is None or n_early == n:
+            break
+        if n_early:
+            kept = stored(early.join(states[-1].where("kept").select("id"), "id", "left_semi"), "kept")
+            late = nodes.where(F.col("id") >= F.lit(end))
+            met = stored(_first_met(kept, kept.count(), late, n - n_early, threshold), "met")
+            states.append(met.select("id", F.lit(False).alias("kept"), "duplicate_of"))
+            nodes = stored(late.join(met.select("id"), "id", "left_anti"), "left")
+            n = nodes.count()
+    return reduce(DataFrame.unionByName, states)
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding", method: str = "auto", missed: float = MISSED, seed: int = 7) -> DataFrame:
+    """JON-05: key, kept, duplicate_of for all vectors, in the order of their keys; method, missed and seed as in similar_pairs.
 
     A copy of a vector is decided by its first one: a duplicate of it if it is kept, else of what that is a duplicate of.
+    By hashing all pairs are made; by the exact way only as many as there are for vectors that no earlier one rules out.
     """
-    pairs = stored(similar_pairs(vectors, threshold, key, vector, **options).select("a", "b"), "pairs")
+    _, nodes = _nodes(vectors, threshold, key, vector, method)
+    n = nodes.count()
+    if _is_hashed(n, threshold, method, missed):
+        pairs = stored(_between(nodes, n, threshold, method, missed, seed).select("a", "b"), "pairs")
+        decided = greedy_near_duplicates(nodes.select("id"), pairs, "id")
+    else:
+        decided = _decided(nodes, n, threshold)
     ids = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    first = ids.where(F.size("v") > 0).groupBy("v").agg(F.min("id").alias("first"))
-    members = stored(ids.join(first, "v", "left").join(pairs.select(F.col("a").alias("first"), F.col("b").alias("id"), F.lit(True).alias("copy")), ["first", "id"], "left").select("id", F.when(F.col("copy"), F.col("first")).otherwise(F.col("id")).alias("first")), "members")
-    heads = members.where("id = first").select(F.col("id").alias(key))
-    between = pairs.join(heads.select(F.col(key).alias("b")), "b", "left_semi")
-    decided = greedy_near_duplicates(heads, between, key).withColumnRenamed(key, "first")
-    out = members.join(decided, "first")
+    members = ids.join(nodes.withColumnRenamed("id", "first"), "v", "left").select("id", F.coalesce("first", "id").alias("first"))
+    out = members.join(decided.withColumnRenamed("id", "first"), "first", "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
     return out.select(F.col("id").alias(key), (F.col("kept") & (F.col("id") == F.col("first"))).alias("kept"), F.when((F.col("id") != F.col("first")) & F.col("kept"), F.col("first")).otherwise(F.col("duplicate_of")).alias("duplicate_of"))
