@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import tokens
 from ..sources.state import checkpointed, scratch
 from .seen import near_deduplicated  # noqa: F401
-from .windows import collected, table_stream
+from .windows import added, collected, table_stream
 
 
 def document_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -24,12 +24,13 @@ def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-03: document frequencies and totals, kept up to date as documents come."""
-    docs = document_stream(spark, sf_dir)
-    found = tokens(F.col("text"))
+    # a file of one row group is one task: its texts are dealt to all cores, and each is taken apart once
+    docs = document_stream(spark, sf_dir).select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    found = docs.select(tokens(F.col("text")).alias("found"))
     # each distinct term counts the document, each occurrence counts itself
     mark = lambda terms, first: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(first).alias("first")))
-    rows = docs.select(F.explode(F.concat(mark(F.array_distinct(found), 1), mark(found, 0))).alias("e")).select("e.*")
-    return collected(rows.groupBy("term").agg(F.sum("first").alias("df"), F.sum(1 - F.col("first")).alias("total")), "update", ("term",))
+    rows = found.select(F.explode(F.concat(mark(F.array_distinct("found"), 1), mark(F.col("found"), 0))).alias("e"))
+    return added(rows.select("e.term", F.col("e.first").cast("long").alias("df"), (1 - F.col("e.first")).cast("long").alias("total")), ("term",))
 
 
 def ingest_stream(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str) -> None:

@@ -52,6 +52,25 @@ def collected(stream: DataFrame, mode: str, keys: tuple[str, ...] = (), path: st
     return rows.withColumn("_latest", latest).where("_latest = 1").drop("_latest", "batch")
 
 
+def added(stream: DataFrame, keys: tuple[str, ...], path: str | None = None) -> DataFrame:
+    """Runs a stream over what is there and returns the sums of its other columns by key, from a table in the shared folder (or
+    at path).
+
+    Each batch writes its own sums with its number, so no state is kept and a batch that is run again after a failure replaces
+    itself; reading adds the batches up.
+    """
+    spark = stream.sparkSession
+    base = path or scratch(spark, "stream")
+    sums = lambda rows: rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in stream.columns if c not in keys])
+    result = sums(stream).schema
+
+    def one(batch: DataFrame, number: int) -> None:
+        sums(batch).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(one).start().awaitTermination()
+    return sums(spark.read.schema(result).parquet(f"{base}/out"))
+
+
 def _whole(out: DataFrame) -> DataFrame:
     return out.select("key", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round("total", 4).alias("total"))
 
