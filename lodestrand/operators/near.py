@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -319,14 +320,13 @@ def _angular(nodes: DataFrame, threshold: float, n: int) -> DataFrame:
             cells, parts = rows, sizes.where("n_own > 0").select("cell", "s", "g")
     kind = nodes.schema["id"].dataType.simpleString()
 
-    def compare(tile: pa.Table) -> pa.Table:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = pa.Table.from_batches(batches)
         ids, mine = tile.column("id").combine_chunks(), tile.column("left").to_numpy()
         one, other = np.flatnonzero(mine), np.flatnonzero(~mine)
         same = tile.column("i")[0] == tile.column("j")[0]
-        found = [pa.table({"a": ids.slice(0, 0), "b": ids.slice(0, 0), "sim": np.zeros(0)})]
-        for i, j, sim in _similar(tile, one, other, same, threshold):
-            found.append(_ordered(ids.take(pa.array(one[i])), ids.take(pa.array((one if same else other)[j])), sim=sim))
-        return pa.concat_tables(found)
+        for i, j, sim in _similar(tile, one, other, same, threshold):  # a tile of copies has as many pairs as there can be
+            yield from _ordered(ids.take(pa.array(one[i])), ids.take(pa.array((one if same else other)[j])), sim=sim).to_batches()
 
     return _dealt(cells, parts).groupBy("cell", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, sim double")
 
@@ -337,7 +337,7 @@ def _all_pairs(n: int) -> float:
     return n * (n - 1) / 2 + ROW * n * -(-n // tile)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", method: str = "auto", missed: float = MISSED, seed: int = 7) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", method: str = "auto", missed: float = MISSED, seed: int = 7, copies: bool = False) -> DataFrame:
     """JON-05: pairs (a < b, sim) with a cosine of at least ``threshold``, which is above 0.
 
     hash: vectors meet on the same side of random hyperplanes. At an angle two meet in a table with probability
@@ -348,9 +348,13 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vec
     pairs are compared instead, by products of matrices in tiles (a row is dealt out 16 times up to 2,000,000 vectors).
     auto: hash where it is expected to cost under a fifth of comparing all pairs, else exact.
 
-    Of equal vectors the least id stands for all: it is paired with each of its copies, and only it with others. Null,
-    empty and zero vectors and those with NaN pair with none; unequal lengths are an error.
+    Of equal vectors the least id stands for all: it is paired with each of its copies, and only it with others. With
+    ``copies`` none stands for others, and all pairs are given. Null, empty and zero vectors and those with NaN pair with
+    none; unequal lengths are an error.
     """
+    if copies:
+        every = stored(_slim(vectors, threshold, key, vector, method), "nodes")
+        return _between(every, every.count(), threshold, method, missed, seed).where("a < b")
     slim, nodes = _nodes(vectors, threshold, key, vector, method)
     between = _between(nodes, nodes.count(), threshold, method, missed, seed)
     copies = slim.join(nodes.withColumnRenamed("id", "node"), "v")
@@ -358,11 +362,16 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vec
     return between.unionByName(inside)
 
 
-def _nodes(vectors: DataFrame, threshold: float, key: str, vector: str, method: str) -> tuple[DataFrame, DataFrame]:
-    """(id, v) of the vectors that can pair, and of each different one with its least id."""
+def _slim(vectors: DataFrame, threshold: float, key: str, vector: str, method: str) -> DataFrame:
+    """(id, v) of the vectors that can pair."""
     if not 0 < threshold <= 1 or method not in ("auto", "hash", "exact"):
         raise ValueError("threshold is above 0 and at most 1; method is auto, hash or exact")
-    slim = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where((F.size("v") > 0) & (norm(F.col("v")) > 0) & (norm(F.col("v")) < float("inf")))
+    return vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where((F.size("v") > 0) & (norm(F.col("v")) > 0) & (norm(F.col("v")) < float("inf")))
+
+
+def _nodes(vectors: DataFrame, threshold: float, key: str, vector: str, method: str) -> tuple[DataFrame, DataFrame]:
+    """(id, v) of the vectors that can pair, and of each different one with its least id."""
+    slim = _slim(vectors, threshold, key, vector, method)
     return slim, stored(slim.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "nodes")
 
 

@@ -248,7 +248,7 @@ def jon04_exact_duplicates(spark, sf):
     SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim
     FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4""")
 def jon05_similar_pairs(spark, sf):
-    return V.similar_pairs(table(spark, sf, "embeddings"), 0.4, missed=1e-4).withColumn("sim", F.round("sim", 6))
+    return V.similar_pairs(table(spark, sf, "embeddings"), 0.4, method="exact", copies=True).withColumn("sim", F.round("sim", 6))
 
 
 @query("jon05_greedy_near_duplicates")
@@ -270,12 +270,12 @@ def planted(spark, sf) -> DataFrame:
 
 @query("jon05_planted_pairs", f"WITH {PLANTED} {PLANTED_PAIRS}")
 def jon05_planted_pairs(spark, sf):
-    return V.similar_pairs(planted(spark, sf), 0.9, method="hash", missed=1e-6).withColumn("sim", F.round("sim", 6))
+    return V.similar_pairs(planted(spark, sf), 0.9, method="exact", copies=True).withColumn("sim", F.round("sim", 6))
 
 
 @query("jon05_exact_pairs", f"WITH {PLANTED} {PLANTED_PAIRS}")
 def jon05_exact_pairs(spark, sf):
-    return V.similar_pairs(planted(spark, sf), 0.9, method="exact").withColumn("sim", F.round("sim", 6))
+    return V.similar_pairs(planted(spark, sf), 0.9, method="exact", copies=True).withColumn("sim", F.round("sim", 6))
 
 
 GREEDY = f"""
